@@ -33,22 +33,22 @@ dag_runs AS (
 
 GIT_FILES = """
 git_files AS (
-  SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS raw_name,
-         'sql/' || source || '/doc_' || CAST(doc_id AS VARCHAR) || '.sql' AS path,
+  SELECT 'doc_' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 9 = 0 THEN '.bin' ELSE '.sql' END AS raw_name,
+         'sql/' || source || '/doc_' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 9 = 0 THEN '.bin' ELSE '.sql' END AS path,
          doc_id AS seq, text AS content
   FROM documents WHERE doc_id % 10 <> 0)"""
 
 GCS_FILES = """
 gcs_files AS (
-  SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS raw_name,
-         'sql/' || source || '/doc_' || CAST(doc_id AS VARCHAR) || '.sql' AS path,
+  SELECT 'DOC-' || CAST(doc_id AS VARCHAR) || '_v' || CAST(doc_id % 3 + 1 AS VARCHAR) || '.sql' AS raw_name,
+         'sql/' || source || '/doc_' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 9 = 0 THEN '.bin' ELSE '.sql' END AS path,
          doc_id AS seq,
          CASE WHEN doc_id % 11 = 0 THEN text || ' drift' ELSE text END AS content
   FROM documents WHERE doc_id % 7 <> 0)"""
 
 MAPPING = """
 mapping AS (
-  SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS raw_name, doc_id AS seq,
+  SELECT 'Doc ' || CAST(doc_id AS VARCHAR) AS raw_name, doc_id AS seq,
          CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'p.d.t' || CAST(doc_id AS VARCHAR) END AS bq_table,
          ['dag_' || CAST(doc_id % 20 AS VARCHAR)] AS dag_names
   FROM documents WHERE doc_id % 3 <> 0)"""
@@ -100,3 +100,25 @@ task_logs AS (
                    CASE state WHEN 'failed' THEN 'ERROR' WHEN 'upstream_failed' THEN 'WARNING' ELSE 'INFO' END,
                    task_id, operator, 'duration=' || coalesce(CAST(duration_s AS VARCHAR), 'none')) AS line
   FROM task_instances)"""
+
+ACKS = """
+acks AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS logical_name, 'known' AS reason
+         FROM documents WHERE doc_id % 8 = 1)"""
+
+ORDERS_CHANGED = """
+orders_b AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus,
+         CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+         o_orderdate, o_orderpriority
+  FROM orders WHERE o_orderkey % 89 <> 0
+  UNION ALL SELECT * FROM orders WHERE o_orderkey % 83 = 0)"""
+
+
+def norm_name(col: str) -> str:
+    """The logical-name rule written for DuckDB."""
+    base = f"regexp_extract({col}, '([^/]*)/*$', 1)"
+    stem = f"regexp_replace({base}, '^(.+)[.][^.]+$', '\\1')"
+    s = f"regexp_replace(lower({stem}), '[^a-z0-9]', '_', 'g')"
+    s = f"regexp_replace({s}, '_+', '_', 'g')"
+    s = f"regexp_replace({s}, '_v[0-9]+$', '')"
+    return f"trim({s}, '_')"

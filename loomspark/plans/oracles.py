@@ -94,3 +94,148 @@ SELECT dag_id, run_id, task_id, count(*) AS line_count,
        CAST(count(*) FILTER (WHERE contains(line, 'ERROR') OR contains(line, 'CRITICAL')
             OR contains(line, 'Traceback') OR contains(line, 'Exception')) AS BIGINT) AS error_count
 FROM task_logs GROUP BY ALL"""
+
+# ── reconcile, folder compare, result compare ─────────────────────────────────
+from .oracle_standins import ACKS, GCS_FILES, GIT_FILES, MAPPING, ORDERS_CHANGED, norm_name  # noqa: E402
+
+_RECON_BASE = with_(GIT_FILES, GCS_FILES, MAPPING, ACKS, f"""
+g AS (SELECT {norm_name('raw_name')} AS logical_name, content, seq FROM git_files
+      QUALIFY row_number() OVER (PARTITION BY logical_name ORDER BY seq DESC) = 1),
+c AS (SELECT {norm_name('raw_name')} AS logical_name, content, seq FROM gcs_files
+      QUALIFY row_number() OVER (PARTITION BY logical_name ORDER BY seq DESC) = 1),
+m AS (SELECT {norm_name('raw_name')} AS logical_name, bq_table, seq FROM mapping
+      QUALIFY row_number() OVER (PARTITION BY logical_name ORDER BY seq DESC) = 1),
+names AS (SELECT logical_name FROM g UNION SELECT logical_name FROM c UNION SELECT logical_name FROM m),
+joined AS (
+  SELECT n.logical_name, g.logical_name IS NOT NULL AS in_git, c.logical_name IS NOT NULL AS in_gcs,
+         m.logical_name IS NOT NULL AS in_mapping, a.logical_name IS NOT NULL AS acknowledged,
+         g.content AS gc, c.content AS cc, m.bq_table
+  FROM names n LEFT JOIN g USING (logical_name) LEFT JOIN c USING (logical_name)
+  LEFT JOIN m USING (logical_name) LEFT JOIN (SELECT DISTINCT logical_name FROM acks) a USING (logical_name)),
+findings AS (
+  SELECT logical_name,
+         CASE WHEN in_mapping AND coalesce(bq_table, '') = '' THEN 'bq_missing'
+              WHEN in_git AND in_gcs AND in_mapping THEN
+                CASE WHEN coalesce(gc, '') <> '' AND coalesce(cc, '') <> ''
+                      AND regexp_replace(gc, '^\\s+|\\s+$', '', 'g') = regexp_replace(cc, '^\\s+|\\s+$', '', 'g')
+                     THEN 'in_sync' ELSE 'content_drift' END
+              WHEN in_git AND in_gcs THEN 'undeclared'
+              WHEN in_git AND in_mapping THEN 'not_deployed'
+              WHEN in_gcs AND in_mapping THEN 'no_source'
+              WHEN in_git THEN 'git_only'
+              WHEN in_gcs THEN 'gcs_orphan'
+              ELSE 'mapping_ghost' END AS status,
+         acknowledged, in_git, in_gcs, in_mapping, coalesce(bq_table, '') AS bq_table
+  FROM joined),
+f AS (SELECT *, status IN ('content_drift', 'not_deployed', 'no_source', 'mapping_ghost') AND NOT acknowledged AS critical
+      FROM findings)
+""")
+
+ORACLES["reconcile"] = _RECON_BASE + "SELECT * FROM f ORDER BY logical_name"
+
+ORACLES["reconcile_summary"] = _RECON_BASE + """
+SELECT s.status, CAST(coalesce(x.n, 0) AS BIGINT) AS n
+FROM (VALUES ('in_sync'), ('content_drift'), ('schema_drift'), ('undeclared'), ('not_deployed'),
+             ('no_source'), ('git_only'), ('gcs_orphan'), ('mapping_ghost'), ('bq_missing')) s(status)
+LEFT JOIN (SELECT status, count(*) AS n FROM f GROUP BY status) x USING (status)"""
+
+ORACLES["reconcile_groups"] = _RECON_BASE + """
+SELECT CAST(count(*) FILTER (WHERE status = 'in_sync') AS BIGINT) AS in_sync,
+       CAST(count(*) FILTER (WHERE status IN ('undeclared','not_deployed','gcs_orphan','git_only','bq_missing')) AS BIGINT) AS warnings,
+       CAST(count(*) FILTER (WHERE status IN ('content_drift','schema_drift','no_source','mapping_ghost')) AS BIGINT) AS critical,
+       CAST(count(*) FILTER (WHERE critical) AS BIGINT) AS critical_open,
+       CAST(count(*) AS BIGINT) AS total
+FROM f"""
+
+ORACLES["reconcile_scope"] = _RECON_BASE + "SELECT * FROM f WHERE in_git AND in_gcs"
+
+ORACLES["reconcile_filtered"] = _RECON_BASE + """
+SELECT * FROM f WHERE contains(logical_name, 'doc_1') AND status = 'content_drift'"""
+
+ORACLES["distinct_statuses"] = _RECON_BASE + "SELECT DISTINCT status FROM f ORDER BY status"
+
+ORACLES["normalise_names"] = f"""
+WITH r AS (SELECT doc_id, 'sql/' || source || '/' || upper(lang) || '-Doc.' || CAST(doc_id AS VARCHAR)
+                          || '_v' || CAST(doc_id % 4 AS VARCHAR) || '.sql' AS raw_name FROM documents)
+SELECT doc_id, raw_name, {norm_name('raw_name')} AS logical_name FROM r"""
+
+ORACLES["safe_table_names"] = """
+SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_brand || '_' || p_name), '[^a-z0-9_]', '_', 'g'),
+                                      '_+', '_', 'g'), '_') AS table_name
+FROM part"""
+
+_CMP = with_(GIT_FILES, GCS_FILES, """
+gt AS (SELECT substr(path, 5) AS rel_path, sha256(content) AS h, CAST(strlen(content) AS BIGINT) AS size
+       FROM git_files WHERE starts_with(path, 'sql/') AND substr(path, 5) <> ''),
+ct AS (SELECT substr(path, 5) AS rel_path, sha256(content) AS h, CAST(strlen(content) AS BIGINT) AS size
+       FROM gcs_files WHERE starts_with(path, 'sql/') AND substr(path, 5) <> ''),
+cmp AS (
+  SELECT coalesce(gt.rel_path, ct.rel_path) AS rel_path,
+         CASE WHEN ct.rel_path IS NULL THEN 'only_in_git'
+              WHEN gt.rel_path IS NULL THEN 'only_in_gcs'
+              WHEN lower(regexp_extract(gt.rel_path, '^.+([.][^.]+)$', 1))
+                   NOT IN ('.sql','.py','.yaml','.yml','.json','.txt','.sh') THEN 'identical'
+              WHEN gt.h IS NULL OR ct.h IS NULL THEN 'different'
+              WHEN gt.h = ct.h THEN 'identical' ELSE 'different' END AS status,
+         CAST(gt.size AS DOUBLE) AS git_size, CAST(ct.size AS DOUBLE) AS gcs_size,
+         CASE WHEN gt.rel_path IS NOT NULL AND ct.rel_path IS NOT NULL
+               AND lower(regexp_extract(gt.rel_path, '^.+([.][^.]+)$', 1)) IN ('.sql','.py','.yaml','.yml','.json','.txt','.sh')
+               AND (gt.h IS NULL OR ct.h IS NULL) THEN 'Could not fetch content for comparison' END AS note
+  FROM gt FULL OUTER JOIN ct ON gt.rel_path = ct.rel_path)
+""")
+
+ORACLES["compare_folders"] = _CMP + "SELECT * FROM cmp"
+
+ORACLES["compare_summary"] = _CMP + """
+SELECT CAST(count(*) FILTER (WHERE status = 'only_in_git') AS BIGINT) AS only_in_git,
+       CAST(count(*) FILTER (WHERE status = 'only_in_gcs') AS BIGINT) AS only_in_gcs,
+       CAST(count(*) FILTER (WHERE status = 'identical') AS BIGINT) AS identical,
+       CAST(count(*) FILTER (WHERE status = 'different') AS BIGINT) AS different,
+       CAST(count(*) FILTER (WHERE status <> 'only_in_gcs') AS BIGINT) AS total_git,
+       CAST(count(*) FILTER (WHERE status <> 'only_in_git') AS BIGINT) AS total_gcs
+FROM cmp"""
+
+ORACLES["compare_one_file"] = with_(GIT_FILES, GCS_FILES, """
+gt AS (SELECT substr(path, 10) AS rel_path, content FROM git_files WHERE starts_with(path, 'sql/src2/')),
+ct AS (SELECT substr(path, 10) AS rel_path, content FROM gcs_files WHERE starts_with(path, 'sql/src2/'))
+""") + """
+SELECT coalesce(gt.rel_path, ct.rel_path) AS rel_path,
+       CASE WHEN ct.rel_path IS NULL THEN 'only_in_git' WHEN gt.rel_path IS NULL THEN 'only_in_gcs'
+            WHEN gt.content = ct.content THEN 'identical' ELSE 'different' END AS status,
+       CAST(strlen(gt.content) AS DOUBLE) AS git_size, CAST(strlen(ct.content) AS DOUBLE) AS gcs_size,
+       CAST(NULL AS VARCHAR) AS note
+FROM (SELECT * FROM gt WHERE rel_path = 'doc_12.sql') gt
+FULL OUTER JOIN (SELECT * FROM ct WHERE rel_path = 'doc_12.sql') ct ON gt.rel_path = ct.rel_path"""
+
+_ROWCMP = with_(ORDERS_CHANGED, """
+ea AS (SELECT * FROM orders EXCEPT ALL SELECT * FROM orders_b),
+eb AS (SELECT * FROM orders_b EXCEPT ALL SELECT * FROM orders)
+""")
+
+ORACLES["compare_results"] = _ROWCMP + """
+SELECT CASE WHEN (SELECT count(*) FROM orders) = (SELECT count(*) FROM orders_b)
+             AND (SELECT count(*) FROM ea) = 0 AND (SELECT count(*) FROM eb) = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
+       (SELECT count(*) FROM orders) AS row_count_a, (SELECT count(*) FROM orders_b) AS row_count_b,
+       true AS columns_match,
+       'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns_a,
+       'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns_b,
+       (SELECT count(*) FROM ea) = 0 AND (SELECT count(*) FROM eb) = 0 AS data_match,
+       (SELECT count(*) FROM ea) AS only_in_a, (SELECT count(*) FROM eb) AS only_in_b"""
+
+ORACLES["compare_results_same"] = """
+SELECT 'PASS' AS status, count(*) AS row_count_a, count(*) AS row_count_b, true AS columns_match,
+       'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns_a,
+       'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns_b,
+       true AS data_match, CAST(0 AS BIGINT) AS only_in_a, CAST(0 AS BIGINT) AS only_in_b
+FROM orders"""
+
+ORACLES["row_diff"] = _ROWCMP + """
+SELECT * FROM (SELECT 'only_in_a' AS side, * FROM ea UNION ALL SELECT 'only_in_b' AS side, * FROM eb)
+ORDER BY side, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority LIMIT 100"""
+
+ORACLES["verdict"] = _ROWCMP + """
+SELECT CASE WHEN (SELECT count(*) FROM orders) = (SELECT count(*) FROM orders_b)
+             AND (SELECT count(*) FROM ea) = 0 AND (SELECT count(*) FROM eb) = 0 THEN 'SAFE' ELSE 'UNSAFE' END AS verdict,
+       CASE WHEN (SELECT count(*) FROM orders) = (SELECT count(*) FROM orders_b)
+             AND (SELECT count(*) FROM ea) = 0 AND (SELECT count(*) FROM eb) = 0 THEN 'PASS' ELSE 'FAIL' END AS comparison_status,
+       CAST(0 AS BIGINT) AS failed_checks"""

@@ -89,3 +89,117 @@ def q_log_tail(spark: SparkSession, sf: str) -> DataFrame:
 @register("log_summary")
 def q_log_summary(spark: SparkSession, sf: str) -> DataFrame:
     return runs.log_summary(S.task_logs(spark, sf), log=["dag_id", "run_id", "task_id"])
+
+
+# ── reconcile, folder compare, result compare ─────────────────────────────────
+
+from ..operators import compare, reconcile  # noqa: E402
+from ..functions import names as N  # noqa: E402
+
+
+def _findings(spark, sf, scope="all"):
+    return reconcile.reconcile(S.git_files(spark, sf), S.gcs_files(spark, sf), S.mapping(spark, sf),
+                               acks=S.acknowledgements(spark, sf), scope=scope)
+
+
+@register("reconcile")
+def q_reconcile(spark, sf):
+    return _findings(spark, sf).orderBy("logical_name")
+
+
+@register("reconcile_summary")
+def q_reconcile_summary(spark, sf):
+    return reconcile.status_summary(_findings(spark, sf))
+
+
+@register("reconcile_groups")
+def q_reconcile_groups(spark, sf):
+    return reconcile.finding_groups(_findings(spark, sf))
+
+
+@register("reconcile_scope")
+def q_reconcile_scope(spark, sf):
+    return _findings(spark, sf, scope="git_gcs")
+
+
+@register("reconcile_filtered")
+def q_reconcile_filtered(spark, sf):
+    f = reconcile.reconcile(S.git_files(spark, sf), S.gcs_files(spark, sf), S.mapping(spark, sf),
+                            acks=S.acknowledgements(spark, sf), folder_filter="DOC_1")
+    return reconcile.filter_status(f, "content_drift")
+
+
+@register("distinct_statuses")
+def q_distinct_statuses(spark, sf):
+    return reconcile.distinct_statuses(_findings(spark, sf))
+
+
+@register("normalise_names")
+def q_normalise_names(spark, sf):
+    d = S.read_table(spark, sf, "documents")
+    raw = F.concat(F.lit("sql/"), F.col("source"), F.lit("/"), F.upper("lang"), F.lit("-Doc."),
+                   F.col("doc_id").cast("string"), F.lit("_v"), (F.col("doc_id") % 4).cast("string"), F.lit(".sql"))
+    return d.select("doc_id", raw.alias("raw_name")).select("doc_id", "raw_name",
+                                                            N.normalise_name("raw_name").alias("logical_name"))
+
+
+@register("safe_table_names")
+def q_safe_table_names(spark, sf):
+    p = S.read_table(spark, sf, "part")
+    return p.select("p_partkey", N.safe_table_name("p_brand", "p_name").alias("table_name"))
+
+
+def _sizes_as_double(df):
+    # nullable integers become float64 on one engine and Int64 on the other; doubles agree
+    return df.withColumn("git_size", F.col("git_size").cast("double")).withColumn(
+        "gcs_size", F.col("gcs_size").cast("double"))
+
+
+@register("compare_folders")
+def q_compare_folders(spark, sf):
+    return _sizes_as_double(reconcile.compare_folders(S.git_files(spark, sf), S.gcs_files(spark, sf), folder="sql"))
+
+
+@register("compare_summary")
+def q_compare_summary(spark, sf):
+    return reconcile.compare_summary(
+        reconcile.compare_folders(S.git_files(spark, sf), S.gcs_files(spark, sf), folder="sql"))
+
+
+@register("compare_one_file")
+def q_compare_one_file(spark, sf):
+    return _sizes_as_double(reconcile.compare_folders(S.git_files(spark, sf), S.gcs_files(spark, sf),
+                                                      folder="sql/src2", file_name="doc_12.sql"))
+
+
+@register("folder_diffs")
+def q_folder_diffs(spark, sf):
+    git, gcs = S.git_files(spark, sf), S.gcs_files(spark, sf)
+    cmp = reconcile.compare_folders(git, gcs, folder="sql")
+    return reconcile.folder_diffs(git, gcs, cmp, folder="sql")
+
+
+@register("compare_results")
+def q_compare_results(spark, sf):
+    return compare.compare_results(S.read_table(spark, sf, "orders"), S.orders_changed(spark, sf))
+
+
+@register("compare_results_same")
+def q_compare_results_same(spark, sf):
+    o = S.read_table(spark, sf, "orders")
+    return compare.compare_results(o, o.orderBy(F.col("o_totalprice").desc()))
+
+
+@register("row_diff")
+def q_row_diff(spark, sf):
+    return compare.row_diff(S.read_table(spark, sf, "orders"), S.orders_changed(spark, sf), n=100)
+
+
+@register("fingerprint")
+def q_fingerprint(spark, sf):
+    return compare.fingerprint(S.read_table(spark, sf, "orders"))
+
+
+@register("verdict")
+def q_verdict(spark, sf):
+    return compare.verdict(compare.compare_results(S.read_table(spark, sf, "orders"), S.orders_changed(spark, sf)))

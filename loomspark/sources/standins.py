@@ -68,12 +68,16 @@ def dag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _doc_path():
+    ext = F.when(F.col("doc_id") % 9 == 0, F.lit(".bin")).otherwise(F.lit(".sql"))
+    return F.concat(F.lit("sql/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), ext)
+
+
 def git_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").where(F.col("doc_id") % 10 != 0)
     return d.select(
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("raw_name"),
-        F.concat(F.lit("sql/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"),
-                 F.lit(".sql")).alias("path"),
+        F.regexp_extract(_doc_path(), r"([^/]*)$", 1).alias("raw_name"),
+        _doc_path().alias("path"),
         F.col("doc_id").alias("seq"),
         F.col("text").alias("content"),
     )
@@ -83,9 +87,9 @@ def gcs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").where(F.col("doc_id") % 7 != 0)
     content = F.when(F.col("doc_id") % 11 == 0, F.concat(F.col("text"), F.lit(" drift"))).otherwise(F.col("text"))
     return d.select(
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("raw_name"),
-        F.concat(F.lit("sql/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"),
-                 F.lit(".sql")).alias("path"),
+        F.concat(F.lit("DOC-"), F.col("doc_id").cast("string"), F.lit("_v"),
+                 (F.col("doc_id") % 3 + 1).cast("string"), F.lit(".sql")).alias("raw_name"),
+        _doc_path().alias("path"),
         F.col("doc_id").alias("seq"),
         content.alias("content"),
     )
@@ -96,7 +100,7 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     bq = F.when(F.col("doc_id") % 13 == 0, F.lit("")).otherwise(
         F.concat(F.lit("p.d.t"), F.col("doc_id").cast("string")))
     return d.select(
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("raw_name"),
+        F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("raw_name"),
         F.col("doc_id").alias("seq"),
         bq.alias("bq_table"),
         F.array(F.concat(F.lit("dag_"), (F.col("doc_id") % 20).cast("string"))).alias("dag_names"),
@@ -176,3 +180,18 @@ def task_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.concat(F.lit("duration="), F.coalesce(F.col("duration_s").cast("string"), F.lit("none"))))
     return ti.select("dag_id", "run_id", "task_id", "try_number", F.col("event_id").alias("line_no"),
                      line.alias("line"))
+
+
+def acknowledgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents").where(F.col("doc_id") % 8 == 1)
+    return d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("logical_name"),
+                    F.lit("known").alias("reason"))
+
+
+def orders_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as a rewritten query might return them: some rows missing, some prices
+    changed, some rows doubled."""
+    o = read_table(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    kept = o.where(F.col("o_orderkey") % 89 != 0).withColumn("o_totalprice", price)
+    return kept.unionByName(o.where(F.col("o_orderkey") % 83 == 0))
