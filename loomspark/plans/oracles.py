@@ -204,8 +204,8 @@ SELECT coalesce(gt.rel_path, ct.rel_path) AS rel_path,
             WHEN gt.content = ct.content THEN 'identical' ELSE 'different' END AS status,
        CAST(strlen(gt.content) AS DOUBLE) AS git_size, CAST(strlen(ct.content) AS DOUBLE) AS gcs_size,
        CAST(NULL AS VARCHAR) AS note
-FROM (SELECT * FROM gt WHERE rel_path = 'doc_12.sql') gt
-FULL OUTER JOIN (SELECT * FROM ct WHERE rel_path = 'doc_12.sql') ct ON gt.rel_path = ct.rel_path"""
+FROM (SELECT * FROM gt WHERE rel_path = 'doc_22.sql') gt
+FULL OUTER JOIN (SELECT * FROM ct WHERE rel_path = 'doc_22.sql') ct ON gt.rel_path = ct.rel_path"""
 
 _ROWCMP = with_(ORDERS_CHANGED, """
 ea AS (SELECT * FROM orders EXCEPT ALL SELECT * FROM orders_b),
@@ -239,3 +239,90 @@ SELECT CASE WHEN (SELECT count(*) FROM orders) = (SELECT count(*) FROM orders_b)
        CASE WHEN (SELECT count(*) FROM orders) = (SELECT count(*) FROM orders_b)
              AND (SELECT count(*) FROM ea) = 0 AND (SELECT count(*) FROM eb) = 0 THEN 'PASS' ELSE 'FAIL' END AS comparison_status,
        CAST(0 AS BIGINT) AS failed_checks"""
+
+# ── schema audit ──────────────────────────────────────────────────────────────
+from ..functions.types import SOURCE_TO_TARGET, TARGET_ALIASES  # noqa: E402
+from .oracle_standins import SOURCE_COLUMNS, TARGET_COLUMNS  # noqa: E402
+
+
+def _case(expr: str, mapping: dict, default: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"CASE {expr} {whens} ELSE {default} END"
+
+
+def _expected(x: str) -> str:
+    return _case(f"lower(trim({x}))", SOURCE_TO_TARGET, f"upper(trim({x}))")
+
+
+def _canon(x: str) -> str:
+    return _case(f"upper(trim({x}))", TARGET_ALIASES, f"upper(trim({x}))")
+
+
+_AUDIT = with_(SOURCE_COLUMNS, TARGET_COLUMNS, f"""
+meta AS (SELECT d.table_name, d.column_name, d.ordinal_position, d.data_type, h.deployed_to_prod
+         FROM source_columns d JOIN (SELECT DISTINCT table_name, deployed_to_prod, is_streamed FROM source_columns) h
+           ON d.table_name = h.table_name WHERE h.is_streamed = 1),
+tables AS (SELECT DISTINCT table_name, CASE WHEN deployed_to_prod = 1 THEN 'prod' ELSE 'uat' END AS batch FROM meta),
+s AS (SELECT table_name, column_name, ordinal_position, trim(data_type) AS t FROM meta
+      QUALIFY row_number() OVER (PARTITION BY table_name, column_name ORDER BY ordinal_position DESC) = 1),
+t AS (SELECT table_name, column_name, ordinal_position, trim(data_type) AS t, coalesce(description, '') AS d
+      FROM target_columns WHERE table_name IN (SELECT table_name FROM tables)
+      QUALIFY row_number() OVER (PARTITION BY table_name, column_name ORDER BY ordinal_position DESC) = 1),
+j AS (
+  SELECT coalesce(s.table_name, t.table_name) AS table_name, coalesce(s.column_name, t.column_name) AS column_name,
+         CAST(s.ordinal_position AS DOUBLE) AS source_ordinal, CAST(t.ordinal_position AS DOUBLE) AS target_ordinal,
+         coalesce(s.t, '') AS source_type,
+         CASE WHEN s.column_name IS NULL OR coalesce(s.t, '') = '' THEN '' ELSE {_expected('s.t')} END AS expected_type,
+         coalesce(t.t, '') AS actual_type, coalesce(t.d, '') AS target_description,
+         s.column_name IS NOT NULL AS in_s, t.column_name IS NOT NULL AS in_t
+  FROM s FULL OUTER JOIN t ON s.table_name = t.table_name AND s.column_name = t.column_name),
+audit AS (
+  SELECT tables.batch, j.table_name, column_name, source_ordinal, target_ordinal, source_type, expected_type,
+         actual_type, target_description,
+         CASE WHEN NOT in_s THEN 'Target Only' WHEN NOT in_t THEN 'Source Only'
+              WHEN expected_type <> '' AND actual_type <> '' AND {_canon('actual_type')} <> {_canon('expected_type')}
+              THEN 'Type Mismatch' ELSE 'Match' END AS status
+  FROM j JOIN tables USING (table_name))
+""")
+
+ORACLES["schema_audit"] = _AUDIT + "SELECT * FROM audit"
+
+ORACLES["audit_summary"] = _AUDIT + """
+SELECT batch, CAST(count(DISTINCT table_name) AS BIGINT) AS tables, CAST(count(*) AS BIGINT) AS total_columns,
+       CAST(count(*) FILTER (WHERE status = 'Match') AS BIGINT) AS match,
+       CAST(count(*) FILTER (WHERE status = 'Type Mismatch') AS BIGINT) AS type_mismatch,
+       CAST(count(*) FILTER (WHERE status = 'Target Only') AS BIGINT) AS target_only,
+       CAST(count(*) FILTER (WHERE status = 'Source Only') AS BIGINT) AS source_only,
+       CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE status = 'Match') * 100.0 / count(*), 1)
+            ELSE 0.0 END AS match_pct
+FROM audit GROUP BY batch"""
+
+ORACLES["audit_findings"] = _AUDIT + "SELECT * FROM audit WHERE status <> 'Match'"
+
+ORACLES["column_metadata"] = _AUDIT + """
+SELECT table_name, column_name, ordinal_position, data_type, CAST(deployed_to_prod AS DOUBLE) AS deployed_to_prod
+FROM meta ORDER BY table_name, ordinal_position"""
+
+ORACLES["schema_ddl"] = _AUDIT + f"""
+SELECT batch, table_name, ordinal_position AS position, column_name AS name,
+       CASE WHEN coalesce(trim(data_type), '') = '' THEN '' ELSE {_expected('data_type')} END AS type,
+       'NULLABLE' AS mode
+FROM meta JOIN tables USING (table_name)"""
+
+ORACLES["audit_labels"] = """
+WITH d AS (SELECT DISTINCT p_brand || ':' || p_name AS table_name FROM part),
+c AS (SELECT table_name, substr(regexp_replace(table_name, '[\\\\/?*\\[\\]:]', '_', 'g'), 1, 31) AS clean FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY clean ORDER BY table_name)
+                + CASE WHEN clean = 'Summary' THEN 1 ELSE 0 END AS i FROM c)
+SELECT table_name, CASE WHEN i = 1 THEN clean
+                        ELSE substr(clean, 1, 31 - length(CAST(i AS VARCHAR)) - 1) || '_' || CAST(i AS VARCHAR) END AS label
+FROM r"""
+
+ORACLES["leaf_profile"] = """
+SELECT path, type, mode, non_null, row_count FROM (
+  SELECT 'c_custkey' AS path, 'bigint' AS type, 'NULLABLE' AS mode, count(c_custkey) AS non_null, count(*) AS row_count FROM customer
+  UNION ALL SELECT 'profile.name', 'string', 'NULLABLE', count(c_name), count(*) FROM customer
+  UNION ALL SELECT 'profile.geo.nation', 'int', 'NULLABLE', count(c_nationkey), count(*) FROM customer
+  UNION ALL SELECT 'profile.geo.segment', 'string', 'NULLABLE', count(c_mktsegment), count(*) FROM customer
+  UNION ALL SELECT 'account.balance', 'double', 'NULLABLE', count(c_acctbal), count(*) FROM customer
+  UNION ALL SELECT 'tags', 'array<string>', 'REPEATED', count(CASE WHEN c_acctbal > 0 THEN 1 END), count(*) FROM customer)"""

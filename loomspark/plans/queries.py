@@ -169,7 +169,7 @@ def q_compare_summary(spark, sf):
 @register("compare_one_file")
 def q_compare_one_file(spark, sf):
     return _sizes_as_double(reconcile.compare_folders(S.git_files(spark, sf), S.gcs_files(spark, sf),
-                                                      folder="sql/src2", file_name="doc_12.sql"))
+                                                      folder="sql/src2", file_name="doc_22.sql"))
 
 
 @register("folder_diffs")
@@ -203,3 +203,56 @@ def q_fingerprint(spark, sf):
 @register("verdict")
 def q_verdict(spark, sf):
     return compare.verdict(compare.compare_results(S.read_table(spark, sf, "orders"), S.orders_changed(spark, sf)))
+
+
+# ── schema audit ──────────────────────────────────────────────────────────────
+
+from ..operators import audit  # noqa: E402
+
+
+def _meta(spark, sf):
+    return audit.column_metadata(S.schema_header(spark, sf), S.schema_detail(spark, sf))
+
+
+def _audit(spark, sf):
+    a = audit.schema_audit(_meta(spark, sf), S.target_columns(spark, sf))
+    # nullable ordinals as double: see _sizes_as_double
+    return (a.withColumn("source_ordinal", F.col("source_ordinal").cast("double"))
+            .withColumn("target_ordinal", F.col("target_ordinal").cast("double")))
+
+
+@register("column_metadata")
+def q_column_metadata(spark, sf):
+    return (_meta(spark, sf).withColumn("deployed_to_prod", F.col("deployed_to_prod").cast("double"))
+            .orderBy("table_name", "ordinal_position"))
+
+
+@register("schema_audit")
+def q_schema_audit(spark, sf):
+    return audit.audit_order(_audit(spark, sf))
+
+
+@register("audit_summary")
+def q_audit_summary(spark, sf):
+    return audit.audit_summary(_audit(spark, sf))
+
+
+@register("audit_findings")
+def q_audit_findings(spark, sf):
+    return audit.audit_findings(_audit(spark, sf))
+
+
+@register("schema_ddl")
+def q_schema_ddl(spark, sf):
+    return audit.schema_ddl_rows(_meta(spark, sf))
+
+
+@register("audit_labels")
+def q_audit_labels(spark, sf):
+    p = S.read_table(spark, sf, "part").select(F.concat(F.col("p_brand"), F.lit(":"), F.col("p_name")).alias("table_name"))
+    return audit.short_unique_labels(p, "table_name")
+
+
+@register("leaf_profile")
+def q_leaf_profile(spark, sf):
+    return audit.leaf_profile(S.nested_customer(spark, sf))

@@ -195,3 +195,25 @@ def orders_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     kept = o.where(F.col("o_orderkey") % 89 != 0).withColumn("o_totalprice", price)
     return kept.unionByName(o.where(F.col("o_orderkey") % 83 == 0))
+
+
+def schema_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One header row per source table (tables are part sizes)."""
+    sc = source_columns(spark, sf_dir)
+    return sc.select("table_name", "deployed_to_prod", "is_streamed").dropDuplicates(["table_name"])
+
+
+def schema_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_columns(spark, sf_dir).select("table_name", "column_name", "ordinal_position", "data_type")
+
+
+def nested_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer with nested structs and an array, for the leaf-path profile."""
+    c = read_table(spark, sf_dir, "customer")
+    return c.select(
+        "c_custkey",
+        F.struct(F.col("c_name").alias("name"),
+                 F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).alias("geo")
+                 ).alias("profile"),
+        F.struct(F.col("c_acctbal").alias("balance")).alias("account"),
+        F.when(F.col("c_acctbal") > 0, F.array(F.col("c_mktsegment"))).alias("tags"))
