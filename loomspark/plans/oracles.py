@@ -326,3 +326,10 @@ SELECT path, type, mode, non_null, row_count FROM (
   UNION ALL SELECT 'profile.geo.segment', 'string', 'NULLABLE', count(c_mktsegment), count(*) FROM customer
   UNION ALL SELECT 'account.balance', 'double', 'NULLABLE', count(c_acctbal), count(*) FROM customer
   UNION ALL SELECT 'tags', 'array<string>', 'REPEATED', count(CASE WHEN c_acctbal > 0 THEN 1 END), count(*) FROM customer)"""
+
+# ── delegated SQL ─────────────────────────────────────────────────────────────
+from .delegated import DELEGATED  # noqa: E402
+
+for _name, (_tables, _spark_sql, _duck_sql) in DELEGATED.items():
+    if _duck_sql is not None:
+        ORACLES[_name] = _duck_sql

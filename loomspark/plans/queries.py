@@ -256,3 +256,20 @@ def q_audit_labels(spark, sf):
 @register("leaf_profile")
 def q_leaf_profile(spark, sf):
     return audit.leaf_profile(S.nested_customer(spark, sf))
+
+
+# ── delegated SQL (D1–D19) through the read-only entry point ─────────────────
+
+from . import delegated, sqlapi  # noqa: E402
+
+
+def _delegated_query(tables, sql):
+    def q(spark, sf):
+        for t in tables:
+            S.read_table(spark, sf, t).createOrReplaceTempView(t)
+        return sqlapi.run_sql(spark, sql)
+    return q
+
+
+for _name, (_tables, _spark_sql, _duck_sql) in delegated.DELEGATED.items():
+    register(_name)(_delegated_query(_tables, _spark_sql))
