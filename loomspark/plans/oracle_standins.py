@@ -122,3 +122,68 @@ def norm_name(col: str) -> str:
     s = f"regexp_replace({s}, '_+', '_', 'g')"
     s = f"regexp_replace({s}, '_v[0-9]+$', '')"
     return f"trim({s}, '_')"
+
+
+def _template_values() -> str:
+    from ..sources.standins import TASK_TEMPLATE
+    rows = []
+    for n, op, ds in TASK_TEMPLATE:
+        arr = "[" + ", ".join(f"'line_{d}'" for d in ds) + "]" if ds else "CAST([] AS VARCHAR[])"
+        rows.append(f"({n}, '{op}', {arr})")
+    return ", ".join(rows)
+
+
+TASK_DEFS = f"""
+tmpl(n, operator, downstream_task_ids) AS (VALUES {_template_values()}),
+dag_nums AS (SELECT dag_id, CAST(regexp_extract(dag_id, '([0-9]+)$', 1) AS INTEGER) AS dag_no,
+                    unnest(range(1, 8)) AS n
+             FROM (SELECT DISTINCT dag_id FROM dag_runs)),
+task_defs AS (
+  SELECT d.dag_id, 'line_' || CAST(d.n AS VARCHAR) AS task_id, t.operator, t.downstream_task_ids,
+         CASE WHEN contains(t.operator, 'TriggerDagRun') THEN 'dag_' || CAST((d.dag_no + 1) % 20 AS VARCHAR) END AS trigger_dag_id,
+         CASE WHEN starts_with(t.operator, 'BigQuery') THEN
+           'SELECT * FROM ds.t_' || CAST(d.dag_no AS VARCHAR) || '_' || CAST(d.n AS VARCHAR) ||
+           CASE WHEN d.n = 4 THEN ' WHERE DATE(load_ts) = CURRENT_DATE() AND k IN (SELECT k FROM ds.t_'
+                                  || CAST(d.dag_no AS VARCHAR) || '_2)' ELSE '' END END AS sql
+  FROM dag_nums d JOIN tmpl t ON t.n = d.n)"""
+
+GRAPH_INSTANCES = """
+graph_instances AS (
+  SELECT r.dag_id, r.run_id, 'line_' || CAST(l.l_linenumber AS VARCHAR) AS task_id,
+         CASE WHEN l.l_returnflag = 'R' THEN 'failed' WHEN l.l_linestatus = 'F' THEN 'success' ELSE 'running' END AS state,
+         l.l_shipdate AS start_date,
+         CASE WHEN l.l_linestatus = 'F' THEN l.l_shipdate + to_seconds(CAST(l.l_quantity * 60 AS BIGINT)) END AS end_date,
+         l.l_quantity * 60 AS duration, 1 AS try_number,
+         l.l_shipdate AS s1, l.l_partkey AS s2, l.l_suppkey AS s3, l.l_quantity AS s4, l.l_extendedprice AS s5
+  FROM lineitem l JOIN dag_runs r ON r.run_key = l.l_orderkey)"""
+
+PART_TREE = """
+pe AS (SELECT 'dag_' || CAST(p_partkey % 20 AS VARCHAR) AS dag_id, 't' || CAST(p_partkey AS VARCHAR) AS src,
+              unnest([(2 * (p_partkey // 20) + 1) * 20 + p_partkey % 20, (2 * (p_partkey // 20) + 2) * 20 + p_partkey % 20]) AS child
+       FROM part WHERE NOT starts_with(p_type, 'SMALL')),
+tree_edges AS (SELECT dag_id, src, 't' || CAST(child AS VARCHAR) AS dst FROM pe WHERE child IN (SELECT p_partkey FROM part)),
+tree_nodes AS (SELECT 'dag_' || CAST(p_partkey % 20 AS VARCHAR) AS dag_id, 't' || CAST(p_partkey AS VARCHAR) AS task_id FROM part)"""
+
+REGISTRY = """
+registry AS (
+  SELECT p_partkey AS pos,
+         lower(regexp_replace(CASE WHEN p_partkey % 2 = 0 THEN 'mapping' ELSE 'master' END || '_' ||
+                              replace(p_brand, '#', '_') || ' ' || p_name, '[^A-Za-z0-9_]+', '_', 'g')) AS table_name,
+         '/data/' || CASE WHEN p_partkey % 2 = 0 THEN 'mapping' ELSE 'master' END || '/' ||
+           replace(p_brand, '#', '_') || ' ' || p_name || '.xlsx' AS file_path,
+         replace(p_brand, '#', '_') || ' ' || p_name AS stem
+  FROM part)"""
+
+MAPPING_CONFIG = """
+mc_rows AS (
+  SELECT CASE WHEN p_partkey % 2 = 0 THEN replace(p_brand, '#', '_') || ' ' || p_name
+              ELSE lower(replace(p_brand, '#', '_') || ' ' || p_name) END AS stem, p_partkey AS seq,
+         CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'ds.t' || CAST(p_partkey AS VARCHAR) END AS bq_table,
+         ['dag_' || CAST(p_partkey % 20 AS VARCHAR)] AS dag_names
+  FROM part WHERE p_partkey % 3 <> 0),
+mapping_config AS (SELECT stem, bq_table, dag_names FROM mc_rows
+                   QUALIFY row_number() OVER (PARTITION BY stem ORDER BY seq DESC) = 1)"""
+
+NEEDLES = """
+needles AS (SELECT DISTINCT needle FROM (
+  SELECT unnest(string_split(p_name, ' ')) AS needle FROM part UNION ALL SELECT n_name FROM nation))"""

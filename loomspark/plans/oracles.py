@@ -333,3 +333,102 @@ from .delegated import DELEGATED  # noqa: E402
 for _name, (_tables, _spark_sql, _duck_sql) in DELEGATED.items():
     if _duck_sql is not None:
         ORACLES[_name] = _duck_sql
+
+# ── lineage ───────────────────────────────────────────────────────────────────
+from .oracle_standins import (GRAPH_INSTANCES, MAPPING_CONFIG, NEEDLES, PART_TREE,  # noqa: E402
+                              REGISTRY, TASK_DEFS)
+
+_GRAPH = with_(DAG_RUNS, TASK_DEFS, GRAPH_INSTANCES, """
+latest AS (SELECT dag_id, run_id, state AS run_state FROM (
+  SELECT *, row_number() OVER (PARTITION BY dag_id ORDER BY logical_date DESC, run_key DESC) AS r FROM dag_runs) WHERE r = 1),
+inst AS (SELECT * FROM graph_instances WHERE (dag_id, run_id) IN (SELECT (dag_id, run_id) FROM latest)
+         QUALIFY row_number() OVER (PARTITION BY dag_id, run_id, task_id ORDER BY s1 DESC, s2 DESC, s3 DESC, s4 DESC, s5 DESC) = 1)
+""")
+
+ORACLES["task_graph"] = _GRAPH + """
+SELECT t.dag_id, l.run_id, l.run_state, t.task_id, t.operator, array_to_string(t.downstream_task_ids, ', ') AS downstream,
+       i.state, i.start_date AS start_time, i.end_date AS end_time,
+       CASE WHEN i.end_date IS NULL OR i.start_date IS NULL OR i.end_date = i.start_date THEN i.duration
+            ELSE date_diff('microsecond', i.start_date, i.end_date) / 1e6 END AS duration_s,
+       CAST(i.try_number AS DOUBLE) AS try_number, t.trigger_dag_id
+FROM task_defs t LEFT JOIN latest l ON l.dag_id = t.dag_id
+LEFT JOIN inst i ON i.dag_id = t.dag_id AND i.run_id = l.run_id AND i.task_id = t.task_id"""
+
+ORACLES["task_roots"] = with_(DAG_RUNS, TASK_DEFS) + """
+SELECT dag_id, task_id, operator FROM task_defs t
+WHERE NOT EXISTS (SELECT 1 FROM task_defs u WHERE u.dag_id = t.dag_id AND list_contains(u.downstream_task_ids, t.task_id))"""
+
+ORACLES["child_dag_edges"] = with_(DAG_RUNS, TASK_DEFS) + """
+SELECT DISTINCT dag_id, trigger_dag_id AS child_dag_id FROM task_defs WHERE trigger_dag_id IS NOT NULL"""
+
+ORACLES["lineage_edges"] = with_(DAG_RUNS, TASK_DEFS, MAPPING) + """
+SELECT 'excel:' || raw_name AS src, 'dag:' || unnest(dag_names) AS dst, 'excel_dag' AS kind FROM mapping
+UNION ALL
+SELECT 'dag:' || dag_id, 'task:' || dag_id || '.' || task_id, 'dag_task' FROM task_defs t
+WHERE NOT EXISTS (SELECT 1 FROM task_defs u WHERE u.dag_id = t.dag_id AND list_contains(u.downstream_task_ids, t.task_id))
+UNION ALL
+SELECT 'task:' || dag_id || '.' || task_id, 'task:' || dag_id || '.' || unnest(downstream_task_ids), 'task_task' FROM task_defs
+UNION ALL
+SELECT 'task:' || dag_id || '.' || task_id, 'sql:' || dag_id || '.' || task_id, 'task_sql' FROM task_defs
+WHERE length(trim(coalesce(sql, ''))) > 0"""
+
+ORACLES["sql_coverage"] = with_(DAG_RUNS, TASK_DEFS) + """
+SELECT dag_id, count(*) AS tasks, count(*) FILTER (WHERE length(trim(coalesce(sql, ''))) > 0) AS tasks_with_sql
+FROM task_defs GROUP BY dag_id"""
+
+ORACLES["task_depth"] = "WITH RECURSIVE " + PART_TREE + """, walk(dag_id, task_id, depth) AS (
+  SELECT dag_id, task_id, 0 FROM tree_nodes n
+  WHERE NOT EXISTS (SELECT 1 FROM tree_edges e WHERE e.dag_id = n.dag_id AND e.dst = n.task_id)
+  UNION ALL
+  SELECT e.dag_id, e.dst, w.depth + 1 FROM walk w JOIN tree_edges e ON e.dag_id = w.dag_id AND e.src = w.task_id)
+SELECT dag_id, task_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY dag_id, task_id"""
+
+_LOOKUP = with_(REGISTRY, NEEDLES, """
+firsts AS (
+  SELECT n.needle, min(r.pos) AS pos FROM needles n JOIN registry r
+    ON contains(lower(coalesce(r.file_path, '') || chr(1) || coalesce(r.table_name, '')), lower(n.needle))
+  WHERE length(n.needle) > 0 GROUP BY n.needle),
+looked AS (SELECT n.needle, f.pos FROM needles n LEFT JOIN firsts f USING (needle) WHERE length(n.needle) > 0)
+""")
+
+ORACLES["lookup_first"] = _LOOKUP + """
+SELECT l.needle, CAST(l.pos AS DOUBLE) AS pos, r.table_name, r.file_path FROM looked l LEFT JOIN registry r USING (pos)"""
+
+_MAPLOOK = """
+ml AS (
+  SELECT r.pos, r.file_path, r.stem,
+         CASE WHEN e.stem IS NOT NULL THEN e.bq_table ELSE l.bq_table END AS bq_table,
+         coalesce(CASE WHEN e.stem IS NOT NULL THEN e.dag_names ELSE l.dag_names END, CAST([] AS VARCHAR[])) AS dag_names
+  FROM registry r LEFT JOIN mapping_config e ON e.stem = r.stem
+  LEFT JOIN mapping_config l ON l.stem = lower(r.stem))"""
+
+ORACLES["mapping_lookup"] = with_(REGISTRY, MAPPING_CONFIG, _MAPLOOK) + """
+SELECT pos, file_path, bq_table, array_to_string(dag_names, ',') AS dag_names FROM ml"""
+
+ORACLES["trace"] = with_(DAG_RUNS, TASK_DEFS, GRAPH_INSTANCES, REGISTRY, MAPPING_CONFIG, NEEDLES, _MAPLOOK, """
+firsts AS (
+  SELECT n.needle, min(r.pos) AS pos FROM needles n JOIN registry r
+    ON contains(lower(coalesce(r.file_path, '') || chr(1) || coalesce(r.table_name, '')), lower(n.needle))
+  WHERE length(n.needle) > 0 GROUP BY n.needle),
+looked AS (SELECT n.needle, f.pos FROM needles n LEFT JOIN firsts f USING (needle) WHERE length(n.needle) > 0),
+per_dag AS (
+  SELECT l.needle, r.table_name, m.bq_table, d.dag_id
+  FROM looked l JOIN registry r USING (pos) JOIN ml m USING (pos)
+  LEFT JOIN (SELECT pos, unnest(dag_names) AS dag_id FROM ml) d USING (pos)),
+recent AS (SELECT dag_id, run_id, state, recency FROM (
+  SELECT *, row_number() OVER (PARTITION BY dag_id ORDER BY logical_date DESC, run_key DESC) AS recency FROM dag_runs)
+  WHERE recency <= 5),
+tstat AS (SELECT dag_id, run_id, count(DISTINCT task_id) AS tasks_run,
+                 count(DISTINCT CASE WHEN state = 'failed' THEN task_id END) AS tasks_failed
+          FROM graph_instances WHERE (dag_id, run_id) IN (SELECT (dag_id, run_id) FROM recent) GROUP BY ALL),
+cov AS (SELECT dag_id, count(*) AS tasks, count(*) FILTER (WHERE length(trim(coalesce(sql, ''))) > 0) AS tasks_with_sql
+        FROM task_defs GROUP BY dag_id)
+""") + """
+SELECT p.needle, p.table_name, p.bq_table, p.dag_id, r.run_id, r.state AS run_state, CAST(r.recency AS DOUBLE) AS recency,
+       CAST(coalesce(t.tasks_run, 0) AS BIGINT) AS tasks_run, CAST(coalesce(t.tasks_failed, 0) AS BIGINT) AS tasks_failed,
+       CAST(coalesce(c.tasks, 0) AS BIGINT) AS tasks, CAST(coalesce(c.tasks_with_sql, 0) AS BIGINT) AS tasks_with_sql,
+       CASE WHEN p.dag_id IS NULL THEN 'no_dag' WHEN r.run_id IS NULL THEN 'not_found' ELSE 'ok' END AS status
+FROM per_dag p LEFT JOIN recent r USING (dag_id) LEFT JOIN tstat t ON t.dag_id = p.dag_id AND t.run_id = r.run_id
+LEFT JOIN cov c ON c.dag_id = p.dag_id
+UNION ALL
+SELECT needle, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, 0, 0, 'no_excel' FROM looked WHERE pos IS NULL"""

@@ -273,3 +273,60 @@ def _delegated_query(tables, sql):
 
 for _name, (_tables, _spark_sql, _duck_sql) in delegated.DELEGATED.items():
     register(_name)(_delegated_query(_tables, _spark_sql))
+
+
+# ── lineage ───────────────────────────────────────────────────────────────────
+
+from ..operators import lineage  # noqa: E402
+
+
+@register("task_graph")
+def q_task_graph(spark, sf):
+    g = lineage.task_graph(S.task_defs(spark, sf), S.dag_runs(spark, sf), S.graph_instances(spark, sf))
+    return g.withColumn("try_number", F.col("try_number").cast("double"))
+
+
+@register("task_roots")
+def q_task_roots(spark, sf):
+    return lineage.root_tasks(S.task_defs(spark, sf)).select("dag_id", "task_id", "operator")
+
+
+@register("child_dag_edges")
+def q_child_dag_edges(spark, sf):
+    return lineage.child_dag_edges(S.task_defs(spark, sf))
+
+
+@register("lineage_edges")
+def q_lineage_edges(spark, sf):
+    return lineage.lineage_edges(S.mapping(spark, sf), S.task_defs(spark, sf))
+
+
+@register("sql_coverage")
+def q_sql_coverage(spark, sf):
+    return lineage.sql_coverage(S.task_defs(spark, sf)).select(
+        "dag_id", F.col("tasks").cast("long"), F.col("tasks_with_sql").cast("long"))
+
+
+@register("task_depth")
+def q_task_depth(spark, sf):
+    return lineage.task_depth(S.part_tree_edges(spark, sf), S.part_tree_nodes(spark, sf)).select(
+        "dag_id", "task_id", F.col("depth").cast("long"))
+
+
+@register("lookup_first")
+def q_lookup_first(spark, sf):
+    return lineage.lookup_first(S.registry(spark, sf), S.trace_needles(spark, sf)).select(
+        "needle", F.col("pos").cast("double").alias("pos"), "table_name", "file_path")
+
+
+@register("mapping_lookup")
+def q_mapping_lookup(spark, sf):
+    return lineage.mapping_lookup(S.registry(spark, sf), S.mapping_config(spark, sf)).select(
+        "pos", "file_path", "bq_table", F.array_join("dag_names", ",").alias("dag_names"))
+
+
+@register("trace")
+def q_trace(spark, sf):
+    t = lineage.trace(S.trace_needles(spark, sf), S.registry(spark, sf), S.mapping_config(spark, sf),
+                      S.dag_runs(spark, sf), S.task_defs(spark, sf), S.graph_instances(spark, sf), n_runs=5)
+    return t.withColumn("recency", F.col("recency").cast("double"))

@@ -217,3 +217,111 @@ def nested_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
                  ).alias("profile"),
         F.struct(F.col("c_acctbal").alias("balance")).alias("account"),
         F.when(F.col("c_acctbal") > 0, F.array(F.col("c_mktsegment"))).alias("tags"))
+
+
+# fixed values: the task template every DAG runs (line number → task)
+TASK_TEMPLATE = [
+    # (n, operator, downstream line numbers)
+    (1, "EmptyOperator", [2, 3]),
+    (2, "BigQueryInsertJobOperator", [4]),
+    (3, "PythonOperator", [4, 5]),
+    (4, "BigQueryInsertJobOperator", [6]),
+    (5, "TriggerDagRunOperator", [7]),
+    (6, "BashOperator", [7]),
+    (7, "BigQueryInsertJobOperator", []),
+]
+
+
+def task_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task definitions: every DAG seen in the runs gets the 7-task template; BigQuery tasks
+    carry SQL text, the trigger task names the next DAG."""
+    dags = dag_runs(spark, sf_dir).select("dag_id").distinct()
+    n = F.col("n")
+    op = F.element_at(F.array(*[F.lit(o) for _, o, _ in TASK_TEMPLATE]), n)
+    down = F.element_at(F.array(*[F.array(*[F.lit(f"line_{d}") for d in ds]).cast("array<string>")
+                                  for _, _, ds in TASK_TEMPLATE]), n)
+    dag_no = F.regexp_extract("dag_id", r"([0-9]+)$", 1).cast("int")
+    is_bq = op.startswith("BigQuery")
+    sql = F.when(is_bq, F.concat(
+        F.lit("SELECT * FROM ds.t_"), dag_no.cast("string"), F.lit("_"), n.cast("string"),
+        F.when(n == 4, F.concat(F.lit(" WHERE DATE(load_ts) = CURRENT_DATE() AND k IN (SELECT k FROM ds.t_"),
+                                dag_no.cast("string"), F.lit("_2)"))).otherwise(F.lit(""))))
+    return (dags.select("dag_id", F.explode(F.sequence(F.lit(1), F.lit(len(TASK_TEMPLATE)))).alias("n"))
+            .select("dag_id", F.concat(F.lit("line_"), n.cast("string")).alias("task_id"),
+                    op.alias("operator"), down.alias("downstream_task_ids"),
+                    F.when(op.contains("TriggerDagRun"),
+                           F.concat(F.lit("dag_"), ((dag_no + 1) % 20).cast("string"))).alias("trigger_dag_id"),
+                    sql.alias("sql")))
+
+
+def graph_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem → task instances: line n of order k is task line_n of run run_k."""
+    li = read_table(spark, sf_dir, "lineitem")
+    runs = dag_runs(spark, sf_dir).select("dag_id", "run_id", "run_key")
+    state = (F.when(F.col("l_returnflag") == "R", "failed")
+             .when(F.col("l_linestatus") == "F", "success").otherwise("running"))
+    start = F.col("l_shipdate")
+    end = F.timestamp_add("SECOND", (F.col("l_quantity") * 60).cast("long"), F.col("l_shipdate"))
+    inst = li.select(
+        F.col("l_orderkey").alias("run_key"),
+        F.concat(F.lit("line_"), F.col("l_linenumber").cast("string")).alias("task_id"),
+        state.alias("state"), start.alias("start_date"),
+        F.when(F.col("l_linestatus") == "F", end).alias("end_date"),
+        (F.col("l_quantity") * 60).alias("duration"),
+        F.lit(1).alias("try_number"),
+        F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("seq"))
+    return inst.join(runs, "run_key").drop("run_key")
+
+
+def part_tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A larger task graph from part: DAG = key mod 20, node i of a DAG points at 2i+1 and
+    2i+2 of the same DAG; SMALL parts are sinks."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    k = F.col("p_partkey")
+    dag, i = k % 20, F.floor(k / 20)
+    kids = F.array((2 * i + 1) * 20 + dag, (2 * i + 2) * 20 + dag)
+    e = (p.where(~F.col("p_type").startswith("SMALL"))
+         .select(F.concat(F.lit("dag_"), dag.cast("string")).alias("dag_id"),
+                 F.concat(F.lit("t"), k.cast("string")).alias("src"),
+                 F.explode(kids).alias("child")))
+    keys = p.select(F.col("p_partkey").alias("child"))
+    return (e.join(keys, "child", "left_semi")
+            .select("dag_id", "src", F.concat(F.lit("t"), F.col("child").cast("string")).alias("dst")))
+
+
+def part_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_table(spark, sf_dir, "part").select("p_partkey")
+    return p.select(F.concat(F.lit("dag_"), (F.col("p_partkey") % 20).cast("string")).alias("dag_id"),
+                    F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("task_id"))
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbook registry: one workbook per part, insertion order = part key."""
+    p = read_table(spark, sf_dir, "part")
+    folder = F.when(F.col("p_partkey") % 2 == 0, F.lit("mapping")).otherwise(F.lit("master"))
+    stem = F.concat(F.regexp_replace("p_brand", "#", "_"), F.lit(" "), F.col("p_name"))
+    return p.select(
+        F.col("p_partkey").alias("pos"),
+        F.lower(F.regexp_replace(F.concat(folder, F.lit("_"), stem), "[^A-Za-z0-9_]+", "_")).alias("table_name"),
+        F.concat(F.lit("/data/"), folder, F.lit("/"), stem, F.lit(".xlsx")).alias("file_path"),
+        stem.alias("stem"))
+
+
+def mapping_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stem → (bq_table, dag_names); odd keys are stored lower-cased (exercises the
+    lower-case fallback); duplicate stems: the last (largest key) wins."""
+    p = read_table(spark, sf_dir, "part").where(F.col("p_partkey") % 3 != 0)
+    stem = F.concat(F.regexp_replace("p_brand", "#", "_"), F.lit(" "), F.col("p_name"))
+    key = F.when(F.col("p_partkey") % 2 == 0, stem).otherwise(F.lower(stem))
+    bq = F.when(F.col("p_partkey") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("ds.t"), F.col("p_partkey").cast("string")))
+    rows = p.select(key.alias("stem"), F.col("p_partkey").alias("seq"), bq.alias("bq_table"),
+                    F.array(F.concat(F.lit("dag_"), (F.col("p_partkey") % 20).cast("string"))).alias("dag_names"))
+    return (rows.groupBy("stem").agg(F.max_by(F.struct("bq_table", "dag_names"), "seq").alias("m"))
+            .select("stem", "m.bq_table", "m.dag_names"))
+
+
+def trace_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names a user may trace: every part-name word and every nation name."""
+    p = read_table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("needle"))
+    n = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("needle"))
+    return p.unionByName(n).distinct()
