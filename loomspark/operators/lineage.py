@@ -108,10 +108,12 @@ def task_depth(edges: DataFrame, nodes: DataFrame, max_levels: int | None = None
     and one anti-join; the loop stops when a level adds nothing (cycles cannot loop) and
     the plan is cut with a reliable checkpoint every few levels.  Unreachable nodes (only
     on cycles) are not returned."""
-    e = edges.select("dag_id", F.col("src").alias("task_id"), F.col("dst").alias("_dst")).dropDuplicates()
+    # the edge list is read at every level: write it once (reliable checkpoint) and reuse
+    e = cut_lineage(edges.select("dag_id", F.col("src").alias("task_id"), F.col("dst").alias("_dst"))
+                    .dropDuplicates())
     roots = nodes.select("dag_id", "task_id").join(
         e.select("dag_id", F.col("_dst").alias("task_id")), ["dag_id", "task_id"], "left_anti")
-    visited = roots.select("dag_id", "task_id", F.lit(0).alias("depth"))
+    visited = cut_lineage(roots.select("dag_id", "task_id", F.lit(0).alias("depth")))
     frontier = roots_level = visited
     level = 0
     while max_levels is None or level < max_levels:

@@ -187,3 +187,56 @@ mapping_config AS (SELECT stem, bq_table, dag_names FROM mc_rows
 NEEDLES = """
 needles AS (SELECT DISTINCT needle FROM (
   SELECT unnest(string_split(p_name, ' ')) AS needle FROM part UNION ALL SELECT n_name FROM nation))"""
+
+SQL_STATEMENTS = """
+sql_statements AS (
+  SELECT o_orderkey AS stmt_id, 'dag_' || CAST(o_custkey % 20 AS VARCHAR) AS dag_id,
+    CASE o_orderkey % 6
+      WHEN 0 THEN 'SELECT * FROM sales.orders_' || CAST(o_custkey AS VARCHAR)
+      WHEN 1 THEN 'SELECT o_id, price FROM sales.orders_v WHERE UDF_CLEAN(o_id) = ' || CAST(o_orderkey AS VARCHAR)
+      WHEN 2 THEN 'INSERT INTO mart.daily_' || CAST(o_custkey % 7 AS VARCHAR) || ' SELECT count(*) FROM sales.orders_'
+                  || CAST(o_custkey AS VARCHAR) || ' WHERE o_date = DATE ''' || strftime(o_orderdate, '%Y-%m-%d') || ''''
+      WHEN 3 THEN 'SELECT a FROM t WHERE a IN (SELECT k FROM ref.keys_' || CAST(o_custkey % 3 AS VARCHAR)
+                  || ') OR b IN (SELECT k FROM ref.keys_' || CAST(o_custkey % 3 AS VARCHAR) || ')'
+      WHEN 4 THEN '/* header */ MERGE INTO mart.cust_' || CAST(o_custkey AS VARCHAR) || ' USING stage.c ON TRUE -- SELECT * FROM x'
+      ELSE 'WITH x AS (SELECT o.* FROM ops.orders o JOIN ops.lines l ON l.k = o.k) SELECT x.k FROM x WHERE lower(x.s) = ''f'' AND my_fn(x.p) > '
+           || CAST(o_orderkey AS VARCHAR) END AS sql
+  FROM orders)"""
+
+RENDERED_JSON = """
+rendered_json AS (
+  SELECT event_id,
+    CASE event_type
+      WHEN 'purchase' THEN '{"configuration": {"query": {"query": "SELECT amount FROM sales WHERE user_id = '
+                           || CAST(user_id AS VARCHAR) || '", "useLegacySql": false}}}'
+      WHEN 'click' THEN '{"sql": "  SELECT * FROM clicks WHERE k = ' || json_extract_string(props, '$.k') || '  ", "bql": "x"}'
+      WHEN 'error' THEN '{"bash_command": "exit 1", "env": {"Q": "WITH x AS (SELECT ' || CAST(event_id AS VARCHAR)
+                        || ') SELECT * FROM x"}}'
+      WHEN 'signup' THEN '{"rendered_fields": {"configuration": "Truncated. You can change this behaviour. '
+                         || '{''query'': {''query'': ''SELECT id FROM users WHERE signup_id = ' || CAST(event_id AS VARCHAR)
+                         || ''', ''useLegacySql'': False}}..."}}'
+      ELSE '{"query": "short", "params": ["INSERT INTO t VALUES (' || CAST(event_id AS VARCHAR) || ', 1, 2, 3)"], "sql": "load/users_'
+           || CAST(user_id AS VARCHAR) || '.sql"}' END AS fields
+  FROM events)"""
+
+DAG_SOURCE_LINES = """
+dag_src AS (
+  SELECT 'dags/dag_' || CAST(o_orderkey AS VARCHAR) || '.py' AS path, [
+    'from airflow import DAG',
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 'from airflow.operators.bash_operator import BashOperator'
+         ELSE 'from airflow.operators.bash import BashOperator' END,
+    'from airflow.models import Variable',
+    CASE WHEN o_orderstatus = 'P' THEN 'TARGET = Variable.get(''target_' || CAST(o_custkey AS VARCHAR) || ''')'
+         ELSE 'TARGET = ''ds_' || CAST(o_custkey AS VARCHAR) || '''' END,
+    'with DAG(''dag_' || CAST(o_orderkey AS VARCHAR) || ''', start_date='
+      || CASE WHEN o_orderkey % 4 = 0 THEN 'datetime.now()' ELSE 'datetime(2024, 1, 1)' END
+      || ', schedule_interval=''@daily'''
+      || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ', catchup=False' END
+      || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE ', default_args={''retries'': 2}' END || ') as dag:',
+    '    start = ' || CASE WHEN o_orderkey % 2 = 0 THEN 'DummyOperator' ELSE 'EmptyOperator' END || '(task_id=''start'')',
+    '    load = BashOperator(task_id=''load'', bash_command=''run.sh {{ '
+      || CASE WHEN o_orderstatus = 'F' THEN 'execution_date' ELSE 'logical_date' END || ' }}'')',
+    CASE WHEN o_orderkey % 7 = 0 THEN '    start.set_downstream(load)' ELSE '    start >> load' END,
+    CASE WHEN o_orderkey % 3 = 0 THEN '    dag.doc_md = ''Loads order ' || CAST(o_orderkey AS VARCHAR) || '''' ELSE '' END
+  ] AS lines FROM orders),
+dag_source_lines AS (SELECT path, unnest(lines) AS line FROM dag_src)"""

@@ -432,3 +432,197 @@ FROM per_dag p LEFT JOIN recent r USING (dag_id) LEFT JOIN tstat t ON t.dag_id =
 LEFT JOIN cov c ON c.dag_id = p.dag_id
 UNION ALL
 SELECT needle, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, 0, 0, 'no_excel' FROM looked WHERE pos IS NULL"""
+
+# ── SQL text, JSON, prompts, lint, formats ────────────────────────────────────
+from ..operators.textjobs import FLAG_INFO, KNOWN_FUNCTIONS, LINE_RULES, MISSING_RULES  # noqa: E402
+from .oracle_standins import DAG_SOURCE_LINES, RENDERED_JSON, SQL_STATEMENTS  # noqa: E402
+
+
+def _q(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+_BLANK_RE = r"(?s)--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|" + '"(?:[^"\\\\]|\\\\.)*"'
+_WHERE_RE = r"(?is)\bWHERE\b(.*?)(\bGROUP\s+BY\b|\bORDER\s+BY\b|\bHAVING\b|\bQUALIFY\b|\bLIMIT\b|\bWINDOW\b|$)"
+_FRAG_RE = r"(?i)(\(\s*SELECT\b[^()]*\))"
+_KNOWN = "[" + ", ".join(_q(k) for k in KNOWN_FUNCTIONS) + "]"
+
+_STMTS = with_(SQL_STATEMENTS, f"""
+b AS (SELECT stmt_id, dag_id, sql, regexp_replace(sql, {_q(_BLANK_RE)}, '''''', 'g') AS s FROM sql_statements),
+w AS (SELECT *, regexp_extract(s, {_q(_WHERE_RE)}, 1) AS wh,
+             regexp_extract_all(regexp_replace(s, '\\s+', ' ', 'g'), {_q(_FRAG_RE)}, 1) AS frags FROM b),
+f AS (SELECT *, list_filter(list_transform(regexp_extract_all(wh, '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1),
+                                           lambda x: lower(x)), lambda x: NOT list_contains({_KNOWN}, x))[1] AS fn
+      FROM w)
+""")
+
+ORACLES["sql_flags"] = _STMTS + f"""
+SELECT stmt_id, 'select_star' AS flag_type, {_q(FLAG_INFO['select_star'][0])} AS severity,
+       {_q(FLAG_INFO['select_star'][1])} AS description
+FROM f WHERE regexp_matches(s, {_q(r'(?i)(\bSELECT\s+|\bDISTINCT\s+|,\s*|\.|\(\s*)\*')})
+UNION ALL
+SELECT stmt_id, 'full_table_scan', {_q(FLAG_INFO['full_table_scan'][0])}, {_q(FLAG_INFO['full_table_scan'][1])}
+FROM f WHERE NOT regexp_matches(s, '(?i)\\bWHERE\\b')
+UNION ALL
+SELECT stmt_id, 'repeated_subquery', {_q(FLAG_INFO['repeated_subquery'][0])}, {_q(FLAG_INFO['repeated_subquery'][1])}
+FROM f WHERE len(frags) <> len(list_distinct(frags))
+UNION ALL
+SELECT stmt_id, 'non_sargable', 'medium',
+       'Function ''' || fn || ''' applied to column in WHERE — may prevent partition/index use.'
+FROM f WHERE regexp_matches(s, '(?i)\\bWHERE\\b') AND fn IS NOT NULL"""
+
+ORACLES["repeated_fragments"] = _STMTS + """
+SELECT stmt_id, CAST(len(frags) AS BIGINT) AS fragments, len(frags) <> len(list_distinct(frags)) AS repeated FROM f"""
+
+_READ_RE = r"(?i)\b(?:FROM|JOIN)\s+`?([A-Za-z_][A-Za-z0-9_.\-]*)`?"
+_WRITE_RE = (r"(?i)\b(?:INSERT\s+(?:INTO\s+)?|MERGE\s+(?:INTO\s+)?|CREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+"
+             r"(?:IF\s+NOT\s+EXISTS\s+)?)`?([A-Za-z_][A-Za-z0-9_.\-]*)`?")
+
+ORACLES["object_access"] = _STMTS + f""",
+acc AS (
+  SELECT dag_id, unnest(regexp_extract_all(s, {_q(_READ_RE)}, 1)) AS object, true AS r, false AS w FROM b
+  UNION ALL
+  SELECT dag_id, unnest(regexp_extract_all(s, {_q(_WRITE_RE)}, 1)), false, true FROM b),
+g AS (SELECT dag_id, object, bool_or(r) AS r, bool_or(w) AS w FROM acc GROUP BY dag_id, object)
+SELECT dag_id, object, operation, type FROM (
+  SELECT dag_id, object,
+         CASE WHEN r AND w THEN 'read/write' WHEN w THEN 'write' ELSE 'read' END AS operation,
+         CASE WHEN regexp_matches(lower(object), '(_view|_vw|_v)$') OR (r AND NOT w) THEN 'view' ELSE 'table' END AS type,
+         row_number() OVER (PARTITION BY dag_id ORDER BY object) AS rn
+  FROM g) WHERE rn <= 10"""
+
+_SQLW = "(?i)\\b(SELECT|WITH|INSERT|MERGE|UPDATE|DELETE|CREATE)\\b"
+
+
+def _str_at(doc: str, path: str) -> str:
+    return f"CASE WHEN json_type({doc}, '{path}') = 'VARCHAR' THEN json_extract_string({doc}, '{path}') END"
+
+
+def _qual(x: str) -> str:
+    return f"(length(trim({x})) > 20 AND regexp_matches({x}, '{_SQLW}'))"
+
+
+def _salvage(x: str) -> str:
+    outs = []
+    for marker, endq in ((r"\'query\': \'", r"\'"), ("'query': '", "'"), ('"query": "', '"')):
+        esc = "".join("\\" + ch if ch in "\\.^$|?*+()[]{}" else ch for ch in marker)
+        endesc = "".join("\\" + ch if ch in "\\.^$|?*+()[]{}" else ch for ch in endq)
+        t = f"regexp_extract({x}, {_q('(?s)^.*' + esc + '(.*)$')}, 1)"
+        t = f"replace(replace(replace(replace(replace({t}, {_q(chr(92) * 2 + 'n')}, chr(10)), {_q(chr(92) * 2 + 't')}, chr(9)), {_q(chr(92) + chr(39))}, ''''), {_q(chr(92) + chr(34))}, '\"'), {_q(chr(92) * 2)}, {_q(chr(92))})"
+        t = f"trim(regexp_replace({t}, {_q(endesc + r'\s*\.\.\.\s*$')}, ''))"
+        t = f"trim(regexp_replace({t}, {_q(r'\s*\.\.\.\s*$')}, ''))"
+        outs.append(f"CASE WHEN contains({x}, {_q(marker)}) AND {_qual(t)} THEN {t} END")
+    return f"CASE WHEN starts_with({x}, 'Truncated') THEN coalesce({', '.join(outs)}) END"
+
+
+ORACLES["json_extract"] = with_(RENDERED_JSON, f"""
+leaves AS (
+  SELECT r.event_id, t.id, t.key, t.path, json_extract_string(t.value, '$') AS v
+  FROM rendered_json r, json_tree(r.fields) t WHERE t.type = 'VARCHAR'),
+ranked AS (
+  SELECT event_id, id, v,
+         CASE WHEN path = '$' AND key = 'sql' THEN 0 WHEN path = '$' AND key = 'query' THEN 1
+              WHEN path = '$' AND key = 'bql' THEN 2
+              WHEN path = '$.configuration.query' AND key = 'query' THEN 3
+              WHEN starts_with(path, '$.sql') THEN 0 WHEN starts_with(path, '$.query') THEN 1
+              WHEN starts_with(path, '$.bql') THEN 2
+              WHEN key = 'configuration' OR contains(path || '.', '.configuration.') THEN NULL
+              ELSE 4 END AS rk
+  FROM leaves),
+found AS (SELECT event_id, arg_min(trim(v), (rk, id)) AS sql FROM ranked WHERE rk IS NOT NULL AND {_qual('v')}
+          GROUP BY event_id),
+u AS (SELECT event_id, fields,
+             CASE WHEN json_type(fields, '$.rendered_fields') = 'OBJECT' THEN json_extract(fields, '$.rendered_fields')::VARCHAR
+                  ELSE fields END AS uw FROM rendered_json),
+x AS (
+  SELECT u.event_id, f.sql,
+         coalesce({', '.join(f"CASE WHEN {_qual(_str_at('u.fields', p))} THEN trim({_str_at('u.fields', p)}) END" for p in ('$.sql', '$.query', '$.bql', '$.configuration.query.query'))}) AS sql_fixed_paths,
+         coalesce({', '.join(f"CASE WHEN lower(trim({_str_at('u.fields', p)})) LIKE '%.sql' THEN trim({_str_at('u.fields', p)}) END" for p in ('$.sql', '$.query', '$.bql', '$.configuration.query.query'))}) AS sql_file,
+         coalesce(starts_with({_str_at('u.uw', '$.configuration')}, 'Truncated'), false) AS truncated,
+         {_salvage(_str_at('u.uw', '$.configuration'))} AS salvaged
+  FROM u LEFT JOIN found f USING (event_id))
+""") + """
+SELECT event_id, sql, sql_fixed_paths, sql_file, truncated, salvaged,
+       CASE WHEN truncated AND length(coalesce(sql, '')) > 0 THEN sql
+            WHEN length(coalesce(sql, '')) > 0 AND length(coalesce(salvaged, '')) > 0 THEN
+                 CASE WHEN length(sql) >= length(salvaged) THEN sql ELSE salvaged END
+            WHEN length(coalesce(sql, '')) > 0 THEN sql WHEN length(coalesce(salvaged, '')) > 0 THEN salvaged
+            ELSE coalesce(sql, salvaged) END AS best_sql
+FROM x"""
+
+ORACLES["first_json"] = """
+WITH t AS (
+  SELECT event_id,
+    CASE event_id % 4
+      WHEN 0 THEN 'Result:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Done.'
+      WHEN 1 THEN 'The answer is ' || props || ' as requested {not json}'
+      WHEN 2 THEN 'List: [' || props || ', {"s": "a]b"}] end'
+      ELSE 'no json here, value ' || CAST(value AS VARCHAR) END AS text
+  FROM events),
+c AS (
+  SELECT event_id,
+    coalesce(nullif(trim(regexp_extract(text, '```(?:json)?\\s*([\\s\\S]*?)```', 1), ' ' || chr(10)), ''),
+             nullif(regexp_extract(text, '(\\{[^{}]*\\})', 1), ''),
+             nullif(regexp_extract(text, '(\\[[^\\[\\]]*\\])', 1), ''), text) AS cand
+  FROM t)
+SELECT event_id, CASE WHEN json_valid(cand) THEN cand END AS json FROM c"""
+
+ORACLES["json_safe"] = """
+WITH e AS (SELECT event_id, value,
+  CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS v FROM events)
+SELECT event_id, v, v AS sx, v AS a0, value AS a1 FROM e"""
+
+ORACLES["prompt_cleanup"] = """
+SELECT conv_id, turn,
+  replace(replace(replace(replace(text, chr(160), ' '), chr(8203), ''), chr(8232), chr(10)), chr(8233), chr(10)) AS normalised,
+  regexp_replace(array_to_string(list_filter(string_split(replace(text, chr(160), ' '), chr(10)),
+                                             lambda l: NOT starts_with(regexp_replace(l, '^\\s+', ''), '|')), chr(10)),
+                 '^\\s+|\\s+$', '', 'g') AS stripped
+FROM conversations"""
+
+_LINE_HITS = " UNION ALL ".join(
+    f"SELECT path, {_q(r)} AS rule FROM dag_source_lines WHERE regexp_matches(line, {_q(p)})"
+    for r, p in LINE_RULES.items())
+_FILE_FLAGS = ", ".join(f"bool_or(regexp_matches(line, {_q(p)})) AS {r}" for r, p in MISSING_RULES.items())
+_MISSING = " UNION ALL ".join(
+    f"SELECT path, {_q(r)} AS rule, CAST(1 AS BIGINT) AS hits FROM files WHERE is_dag AND NOT {r}"
+    for r in MISSING_RULES)
+
+ORACLES["lint_sources"] = with_(DAG_SOURCE_LINES, f"""
+files AS (SELECT path, bool_or(contains(line, 'from airflow') OR contains(line, 'import airflow'))
+                        AND ends_with(path, '.py') AS is_dag, {_FILE_FLAGS}
+          FROM dag_source_lines GROUP BY path),
+hits AS ({_LINE_HITS})
+""") + f"""
+SELECT h.path, h.rule, count(*) AS hits FROM hits h JOIN files f ON f.path = h.path AND f.is_dag GROUP BY h.path, h.rule
+UNION ALL {_MISSING}"""
+
+ORACLES["task_formats"] = with_(TASK_INSTANCES) + """,
+m AS (SELECT *, CAST(floor(date_diff('microsecond', start_date, TIMESTAMP '2024-02-01 00:00:00') / 6e7) AS BIGINT) AS mins,
+             CAST(floor(duration_s) AS BIGINT) AS s FROM task_instances)
+SELECT event_id,
+  CASE WHEN duration_s IS NULL THEN '' WHEN s >= 60 THEN CAST(s // 60 AS VARCHAR) || 'm ' || CAST(s % 60 AS VARCHAR) || 's'
+       ELSE CAST(s AS VARCHAR) || 's' END AS duration_text,
+  trim(replace(replace(operator, 'Operator', ''), 'BigQuery', 'BQ')) AS operator_short,
+  upper(replace(task_id, '-', '_')) AS job_name,
+  CASE WHEN mins < 1 THEN 'just now' WHEN mins < 60 THEN CAST(mins AS VARCHAR) || 'm ago'
+       WHEN mins // 60 < 24 THEN CAST(mins // 60 AS VARCHAR) || 'h ago'
+       ELSE CAST(mins // 60 // 24 AS VARCHAR) || 'd ago' END AS age,
+  strftime(start_date, '%Y-%m-%d') AS day, strftime(start_date, '%Y-%m-%d %H:%M:%S') AS minute,
+  CASE WHEN event_id % 100 >= 80 THEN 'HIGH' WHEN event_id % 100 >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS band
+FROM m"""
+
+ORACLES["doc_formats"] = """
+SELECT doc_id,
+  CASE WHEN strlen(text) < 1024 THEN CAST(strlen(text) AS VARCHAR) || ' B'
+       WHEN strlen(text) < 1048576 THEN printf('%.1f KB', round(strlen(text) / 1024.0, 1))
+       ELSE printf('%.1f MB', round(strlen(text) / 1048576.0, 1)) END AS size_text,
+  CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines,
+  CASE WHEN doc_id % 9 = 0 THEN 'plaintext' ELSE 'sql' END AS language,
+  array_to_string(list_filter(list_transform(string_split(lang || ', ' || source || ' ,, ' || lang, ','),
+                                             lambda t: trim(t)), lambda t: t <> ''), '|') AS tags,
+  '/* doc ' || CAST(doc_id AS VARCHAR) || ' */' AS header,
+  CAST(length(regexp_replace(text, '^\\s+', '')) AS BIGINT) AS body_chars,
+  strlen(text) / 1e6 AS megabytes
+FROM documents"""

@@ -330,3 +330,100 @@ def q_trace(spark, sf):
     t = lineage.trace(S.trace_needles(spark, sf), S.registry(spark, sf), S.mapping_config(spark, sf),
                       S.dag_runs(spark, sf), S.task_defs(spark, sf), S.graph_instances(spark, sf), n_runs=5)
     return t.withColumn("recency", F.col("recency").cast("double"))
+
+
+# ── SQL text, JSON, prompts, lint, formats ────────────────────────────────────
+
+from ..functions import sqltext as T  # noqa: E402
+from ..functions import timefmt as TF  # noqa: E402
+from ..functions import types as TY  # noqa: E402
+from ..operators import textjobs  # noqa: E402
+
+FORMAT_NOW = "2024-02-01 00:00:00"
+
+
+@register("sql_flags")
+def q_sql_flags(spark, sf):
+    return textjobs.sql_flags(S.sql_statements(spark, sf))
+
+
+@register("repeated_fragments")
+def q_repeated_fragments(spark, sf):
+    return textjobs.repeated_fragments(S.sql_statements(spark, sf))
+
+
+@register("object_access")
+def q_object_access(spark, sf):
+    return textjobs.object_access(S.sql_statements(spark, sf), group="dag_id", limit=10)
+
+
+@register("json_extract")
+def q_json_extract(spark, sf):
+    r = S.rendered_json(spark, sf)
+    trunc = T.is_truncated("fields")
+    salvaged = T.salvage_truncated_sql(F.get_json_object(T.unwrap_rendered("fields"), "$.configuration"))
+    return r.select(
+        "event_id", T.extract_sql("fields").alias("sql"), T.extract_sql_paths("fields").alias("sql_fixed_paths"),
+        T.sql_file_ref("fields").alias("sql_file"), trunc.alias("truncated"), salvaged.alias("salvaged"),
+        T.best_sql(T.extract_sql("fields"), salvaged, trunc).alias("best_sql"))
+
+
+@register("first_json")
+def q_first_json(spark, sf):
+    return S.json_texts(spark, sf).select("event_id", textjobs.first_json("text").alias("json"))
+
+
+@register("json_safe")
+def q_json_safe(spark, sf):
+    e = S.read_table(spark, sf, "events")
+    v = (F.when(F.col("event_id") % 5 == 0, F.lit(float("nan")))
+         .when(F.col("event_id") % 7 == 0, F.lit(float("inf")))
+         .when(F.col("event_id") % 11 == 0, F.lit(float("-inf"))).otherwise(F.col("value")))
+    nested = e.select("event_id", v.alias("v"), F.struct(v.alias("x"), F.array(v, F.col("value")).alias("arr")).alias("s"))
+    safe = textjobs.json_safe(nested)
+    return safe.select("event_id", "v", F.col("s.x").alias("sx"), F.col("s.arr")[0].alias("a0"),
+                       F.col("s.arr")[1].alias("a1"))
+
+
+@register("expand_glossary")
+def q_expand_glossary(spark, sf):
+    return textjobs.expand_glossary(S.prompts(spark, sf), S.glossary(spark, sf)).select(
+        "conv_id", "turn", "expanded")
+
+
+@register("prompt_cleanup")
+def q_prompt_cleanup(spark, sf):
+    p = S.prompts(spark, sf)
+    return p.select("conv_id", "turn", T.normalise_whitespace("text").alias("normalised"),
+                    textjobs.strip_table_rows("text").alias("stripped"))
+
+
+@register("lint_sources")
+def q_lint_sources(spark, sf):
+    return textjobs.lint_sources(S.dag_source_lines(spark, sf))
+
+
+@register("task_formats")
+def q_task_formats(spark, sf):
+    ti = S.task_instances(spark, sf)
+    return ti.select(
+        "event_id", TF.fmt_duration("duration_s").alias("duration_text"),
+        N.short_operator("operator").alias("operator_short"), N.job_name("task_id").alias("job_name"),
+        TF.fmt_ago("start_date", F.lit(FORMAT_NOW).cast("timestamp_ntz")).alias("age"),
+        TF.iso_date("start_date").alias("day"), TF.iso_minute("start_date").alias("minute"),
+        TY.confidence_band(F.col("event_id") % 100).alias("band"))
+
+
+@register("doc_formats")
+def q_doc_formats(spark, sf):
+    d = S.read_table(spark, sf, "documents")
+    ext = F.when(F.col("doc_id") % 9 == 0, F.lit(".bin")).otherwise(F.lit(".sql"))
+    hdr = T.split_header_comment(F.concat(F.lit("/* doc "), F.col("doc_id").cast("string"), F.lit(" */\n"), F.col("text")))
+    return d.select(
+        "doc_id", TF.fmt_size(F.octet_length("text")).alias("size_text"),
+        T.line_count("text").cast("long").alias("lines"),
+        N.file_language(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), ext)).alias("language"),
+        F.array_join(N.split_tags(F.concat(F.col("lang"), F.lit(", "), F.col("source"), F.lit(" ,, "), F.col("lang"))),
+                     "|").alias("tags"),
+        hdr["header"].alias("header"), F.length(hdr["body"]).cast("long").alias("body_chars"),
+        (F.octet_length("text") / 1e6).alias("megabytes"))

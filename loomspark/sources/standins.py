@@ -325,3 +325,103 @@ def trace_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("needle"))
     n = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("needle"))
     return p.unionByName(n).distinct()
+
+
+def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders → one SQL statement per order, in six shapes (select *, UDF in WHERE,
+    insert-select, repeated subquery, merge with comment, CTE with functions)."""
+    o = read_table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    shape = F.col("o_orderkey") % 6
+    sql = (F.when(shape == 0, F.concat(F.lit("SELECT * FROM sales.orders_"), c))
+           .when(shape == 1, F.concat(F.lit("SELECT o_id, price FROM sales.orders_v WHERE UDF_CLEAN(o_id) = "), k))
+           .when(shape == 2, F.concat(F.lit("INSERT INTO mart.daily_"), (F.col("o_custkey") % 7).cast("string"),
+                                      F.lit(" SELECT count(*) FROM sales.orders_"), c,
+                                      F.lit(" WHERE o_date = DATE '"), day, F.lit("'")))
+           .when(shape == 3, F.concat(F.lit("SELECT a FROM t WHERE a IN (SELECT k FROM ref.keys_"),
+                                      (F.col("o_custkey") % 3).cast("string"),
+                                      F.lit(") OR b IN (SELECT k FROM ref.keys_"),
+                                      (F.col("o_custkey") % 3).cast("string"), F.lit(")")))
+           .when(shape == 4, F.concat(F.lit("/* header */ MERGE INTO mart.cust_"), c,
+                                      F.lit(" USING stage.c ON TRUE -- SELECT * FROM x")))
+           .otherwise(F.concat(F.lit("WITH x AS (SELECT o.* FROM ops.orders o JOIN ops.lines l ON l.k = o.k) "
+                                     "SELECT x.k FROM x WHERE lower(x.s) = 'f' AND my_fn(x.p) > "), k)))
+    return o.select(F.col("o_orderkey").alias("stmt_id"),
+                    F.concat(F.lit("dag_"), (F.col("o_custkey") % 20).cast("string")).alias("dag_id"),
+                    sql.alias("sql"))
+
+
+def rendered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events → rendered task fields as JSON text in five layouts (nested BigQuery job,
+    top-level sql, SQL deep in another key, truncated repr, .sql file reference)."""
+    e = read_table(spark, sf_dir, "events")
+    eid, uid = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    kk = F.get_json_object("props", "$.k")
+    t = F.col("event_type")
+    js = (F.when(t == "purchase", F.concat(
+              F.lit('{"configuration": {"query": {"query": "SELECT amount FROM sales WHERE user_id = '), uid,
+              F.lit('", "useLegacySql": false}}}')))
+          .when(t == "click", F.concat(F.lit('{"sql": "  SELECT * FROM clicks WHERE k = '), kk,
+                                       F.lit('  ", "bql": "x"}')))
+          .when(t == "error", F.concat(F.lit('{"bash_command": "exit 1", "env": {"Q": "WITH x AS (SELECT '), eid,
+                                       F.lit(') SELECT * FROM x"}}')))
+          .when(t == "signup", F.concat(
+              F.lit('{"rendered_fields": {"configuration": "Truncated. You can change this behaviour. '
+                    "{'query': {'query': 'SELECT id FROM users WHERE signup_id = "), eid,
+              F.lit("', 'useLegacySql': False}}...\"}}")))
+          .otherwise(F.concat(F.lit('{"query": "short", "params": ["INSERT INTO t VALUES ('), eid,
+                              F.lit(', 1, 2, 3)"], "sql": "load/users_'), uid, F.lit('.sql"}'))))
+    return e.select("event_id", js.alias("fields"))
+
+
+def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark → glossary: the first word of each passage is a term (first passage
+    fixes its position, the last passage gives its definition)."""
+    b = read_table(spark, sf_dir, "benchmark")
+    term = F.lower(F.regexp_extract("text", r"^([A-Za-z]+)", 1))
+    rows = b.select(term.alias("term"), F.col("item_id"),
+                    F.concat(F.lit("passage "), F.col("item_id").cast("string")).alias("definition"))
+    return (rows.where(F.length("term") > 1).groupBy("term")
+            .agg(F.min("item_id").alias("pos"), F.max_by("definition", "item_id").alias("definition")))
+
+
+def dag_source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders → one Airflow DAG source file per order, as numbered lines."""
+    o = read_table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    ks = k.cast("string")
+    lines = F.array(
+        F.lit("from airflow import DAG"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("from airflow.operators.bash_operator import BashOperator"))
+        .otherwise(F.lit("from airflow.operators.bash import BashOperator")),
+        F.lit("from airflow.models import Variable"),
+        F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("TARGET = Variable.get('target_"), c, F.lit("')")))
+        .otherwise(F.concat(F.lit("TARGET = 'ds_"), c, F.lit("'"))),
+        F.concat(F.lit("with DAG('dag_"), ks, F.lit("', start_date="),
+                 F.when(k % 4 == 0, F.lit("datetime.now()")).otherwise(F.lit("datetime(2024, 1, 1)")),
+                 F.lit(", schedule_interval='@daily'"),
+                 F.when(k % 5 == 0, F.lit("")).otherwise(F.lit(", catchup=False")),
+                 F.when(k % 6 == 0, F.lit("")).otherwise(F.lit(", default_args={'retries': 2}")),
+                 F.lit(") as dag:")),
+        F.concat(F.lit("    start = "), F.when(k % 2 == 0, F.lit("DummyOperator")).otherwise(F.lit("EmptyOperator")),
+                 F.lit("(task_id='start')")),
+        F.concat(F.lit("    load = BashOperator(task_id='load', bash_command='run.sh {{ "),
+                 F.when(F.col("o_orderstatus") == "F", F.lit("execution_date")).otherwise(F.lit("logical_date")),
+                 F.lit(" }}')")),
+        F.when(k % 7 == 0, F.lit("    start.set_downstream(load)")).otherwise(F.lit("    start >> load")),
+        F.when(k % 3 == 0, F.concat(F.lit("    dag.doc_md = 'Loads order "), ks, F.lit("'"))).otherwise(F.lit("")))
+    return o.select(F.concat(F.lit("dags/dag_"), ks, F.lit(".py")).alias("path"),
+                    F.posexplode(lines).alias("pos", "line")).select(
+        "path", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+
+
+def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events → assistant-style texts around the props JSON: fenced, inline, or array."""
+    e = read_table(spark, sf_dir, "events")
+    m = F.col("event_id") % 4
+    t = (F.when(m == 0, F.concat(F.lit("Result:\n```json\n"), F.col("props"), F.lit("\n```\nDone.")))
+         .when(m == 1, F.concat(F.lit("The answer is "), F.col("props"), F.lit(" as requested {not json}")))
+         .when(m == 2, F.concat(F.lit("List: ["), F.col("props"), F.lit(", {\"s\": \"a]b\"}] end")))
+         .otherwise(F.concat(F.lit("no json here, value "), F.col("value").cast("string"))))
+    return e.select("event_id", t.alias("text"))
