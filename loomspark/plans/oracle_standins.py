@@ -167,6 +167,7 @@ tree_nodes AS (SELECT 'dag_' || CAST(p_partkey % 20 AS VARCHAR) AS dag_id, 't' |
 REGISTRY = """
 registry AS (
   SELECT p_partkey AS pos,
+         CASE WHEN p_partkey % 2 = 0 THEN 'mapping' ELSE 'master' END AS source_folder,
          lower(regexp_replace(CASE WHEN p_partkey % 2 = 0 THEN 'mapping' ELSE 'master' END || '_' ||
                               replace(p_brand, '#', '_') || ' ' || p_name, '[^A-Za-z0-9_]+', '_', 'g')) AS table_name,
          '/data/' || CASE WHEN p_partkey % 2 = 0 THEN 'mapping' ELSE 'master' END || '/' ||
@@ -240,3 +241,28 @@ dag_src AS (
     CASE WHEN o_orderkey % 3 = 0 THEN '    dag.doc_md = ''Loads order ' || CAST(o_orderkey AS VARCHAR) || '''' ELSE '' END
   ] AS lines FROM orders),
 dag_source_lines AS (SELECT path, unnest(lines) AS line FROM dag_src)"""
+
+DAGS = """
+dags AS (
+  SELECT 'dag_' || CAST(o_orderkey AS VARCHAR) AS dag_id,
+         CASE o_orderpriority WHEN '1-URGENT' THEN '@hourly' WHEN '5-LOW' THEN '' ELSE '@daily' END AS schedule_interval,
+         o_orderstatus = 'P' AS is_paused,
+         [{'name': 'team_' || CAST(o_custkey % 3 AS VARCHAR)}, {'name': 'prio_' || substr(o_orderpriority, 1, 1)}] AS tags,
+         CASE WHEN o_orderkey % 5 = 0 THEN 'dag_' || CAST(o_orderkey AS VARCHAR) || '.py'
+              ELSE '/home/airflow/gcs/dags/' || lower(o_orderstatus) || '/sales/dag_' || CAST(o_orderkey AS VARCHAR) || '.py'
+         END AS file_loc
+  FROM orders)"""
+
+SAVED_QUERIES = """
+saved_queries AS (
+  SELECT conv_id * 100 + turn AS id, 'q_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS name,
+         text AS sql, role AS source,
+         CASE WHEN turn % 3 = 0 THEN NULL ELSE role || ' turn ' || CAST(turn AS VARCHAR) END AS description,
+         ['Lang_' || CAST(conv_id % 4 AS VARCHAR), 'T' || CAST(turn AS VARCHAR)] AS tags
+  FROM conversations)"""
+
+GLOSSARY = """
+glossary AS (
+  SELECT term, min(item_id) AS pos, arg_max(definition, item_id) AS definition FROM (
+    SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS term, item_id, 'passage ' || CAST(item_id AS VARCHAR) AS definition
+    FROM benchmark) WHERE length(term) > 1 GROUP BY term)"""

@@ -626,3 +626,95 @@ SELECT doc_id,
   CAST(length(regexp_replace(text, '^\\s+', '')) AS BIGINT) AS body_chars,
   strlen(text) / 1e6 AS megabytes
 FROM documents"""
+
+# ── catalog, listings, stores ─────────────────────────────────────────────────
+from .oracle_standins import DAGS, GLOSSARY, SAVED_QUERIES  # noqa: E402
+
+ORACLES["stringify_all"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey,
+       to_json({'name': c_name, 'geo': {'nation': c_nationkey, 'segment': c_mktsegment}})::VARCHAR AS profile,
+       to_json({'balance': c_acctbal})::VARCHAR AS account,
+       CASE WHEN c_acctbal > 0 THEN to_json([c_mktsegment])::VARCHAR END AS tags
+FROM customer"""
+
+ORACLES["table_stats"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count, "
+    f"CAST((SELECT count(*) FROM (DESCRIBE {t})) AS BIGINT) AS column_count FROM {t}"
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+              "embeddings", "pages", "benchmark", "labels", "conversations"))
+
+_DAGLIST = """
+SELECT dag_id, coalesce(nullif(schedule_interval, ''), '—') AS schedule,
+       CASE WHEN NOT is_paused THEN 'active' ELSE 'paused' END AS status,
+       coalesce(nullif(array_to_string(list_transform(tags, lambda t: t.name), ', '), ''), '—') AS tags,
+       coalesce(nullif(regexp_extract(replace(file_loc, chr(92), '/'), '^(.*)/[^/]*$', 1), ''), '—') AS subfolder
+FROM dags"""
+
+ORACLES["list_dags"] = with_(DAGS) + _DAGLIST + """
+WHERE list_contains(list_transform(tags, lambda t: t.name), 'team_1') AND contains(lower(file_loc), 'sales')"""
+ORACLES["list_dags_all"] = with_(DAGS) + _DAGLIST
+
+ORACLES["list_loaded"] = with_(REGISTRY) + """
+SELECT pos, table_name, source_folder, file_path FROM registry
+WHERE table_name IN (SELECT table_name FROM registry WHERE pos % 4 <> 0) AND contains(lower(source_folder), 'map')"""
+
+ORACLES["target_of"] = _LOOKUP.replace("WITH ", "WITH " + MAPPING_CONFIG.strip() + ",", 1) + "," + _MAPLOOK + """
+SELECT l.needle, coalesce(nullif(m.bq_table, ''), 'not found') AS bq_table,
+       coalesce(array_to_string(m.dag_names, ','), '') AS dag_names
+FROM looked l LEFT JOIN ml m USING (pos)"""
+
+_OBJS = """
+WITH o AS (
+  SELECT regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '[?#].*$', '') AS s, strlen(html) AS size
+  FROM pages),
+objs AS (SELECT regexp_extract(s, '^([^/]*)', 1) AS bucket,
+                regexp_replace(regexp_extract(s, '^[^/]*/?(.*)$', 1), '^/+', '') AS path, size FROM o)"""
+
+
+def _listing(prefix: str) -> str:
+    lp = prefix.strip("/") + "/" if prefix.strip("/") else ""
+    where = f"WHERE starts_with(path, '{lp}')" if lp else ""
+    return _OBJS + f""",
+r AS (SELECT bucket, substr(path, {len(lp) + 1}) AS rel, size FROM objs {where}),
+n AS (SELECT bucket, CASE WHEN contains(rel, '/') THEN regexp_extract(rel, '^([^/]*)/', 1) || '/' ELSE rel END AS name,
+             CASE WHEN contains(rel, '/') THEN 'dir' ELSE 'file' END AS type, size FROM r WHERE rel <> '')
+SELECT bucket, name, type, CASE WHEN type = 'file' THEN CAST(sum(size) AS DOUBLE) END AS size,
+       CAST(count(*) AS BIGINT) AS objects
+FROM n GROUP BY bucket, name, type"""
+
+
+ORACLES["folder_listing"] = _listing("")
+ORACLES["folder_listing_en"] = _listing("en/")
+
+ORACLES["split_uri"] = """
+WITH s AS (SELECT page_id, url, regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS s FROM pages)
+SELECT page_id, regexp_extract(s, '^([^/]*)', 1) AS bucket,
+       regexp_replace(regexp_extract(s, '^[^/]*(.*)$', 1), '^/+|/+$', '', 'g') AS prefix,
+       regexp_extract(replace(url, chr(92), '/'), '^(.*)/[^/]*$', 1) AS subfolder
+FROM s"""
+
+ORACLES["upsert"] = """
+WITH store AS (SELECT doc_id, source, 1 AS version FROM documents WHERE doc_id % 2 = 0),
+new AS (SELECT doc_id, upper(source) AS source, 2 AS version FROM documents WHERE doc_id % 3 = 0),
+u AS (SELECT * FROM store UNION ALL SELECT * FROM new)
+SELECT doc_id, source, version FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) = 1"""
+
+ORACLES["last_wins"] = """
+SELECT source, doc_id, lang, n_chars FROM documents
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1"""
+
+ORACLES["cap_history"] = """
+SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 500"""
+
+ORACLES["search_queries"] = with_(SAVED_QUERIES) + """
+SELECT id, name, source, description FROM saved_queries
+WHERE source = 'assistant' AND (contains(lower(name), 'turn 2') OR contains(lower(sql), 'turn 2')
+   OR contains(lower(coalesce(description, '')), 'turn 2') OR len(list_filter(tags, lambda t: contains(t, 'turn 2'))) > 0)"""
+
+ORACLES["search_tags"] = with_(SAVED_QUERIES) + """
+SELECT id, name, source FROM saved_queries
+WHERE contains(lower(name), 't5') OR contains(lower(sql), 't5') OR contains(lower(coalesce(description, '')), 't5')
+   OR len(list_filter(tags, lambda t: contains(t, 't5'))) > 0"""
+
+ORACLES["search_glossary"] = with_(GLOSSARY) + """
+SELECT term, pos, definition FROM glossary WHERE contains(lower(term), 'th') OR contains(lower(definition), 'th')"""

@@ -427,3 +427,101 @@ def q_doc_formats(spark, sf):
                      "|").alias("tags"),
         hdr["header"].alias("header"), F.length(hdr["body"]).cast("long").alias("body_chars"),
         (F.octet_length("text") / 1e6).alias("megabytes"))
+
+
+# ── catalog, listings, stores ─────────────────────────────────────────────────
+
+from ..operators import catalog, stores  # noqa: E402
+from ..sources.tables import TABLE_NAMES  # noqa: E402
+
+
+@register("stringify_all")
+def q_stringify_all(spark, sf):
+    return catalog.stringify_all(S.nested_customer(spark, sf))
+
+
+@register("table_stats")
+def q_table_stats(spark, sf):
+    return catalog.table_stats(spark, {t: S.read_table(spark, sf, t) for t in TABLE_NAMES}).select(
+        "table_name", "row_count", "column_count")
+
+
+@register("list_dags")
+def q_list_dags(spark, sf):
+    return catalog.list_dags(S.dags(spark, sf), tag="team_1", subfolder_filter="SALES")
+
+
+@register("list_dags_all")
+def q_list_dags_all(spark, sf):
+    return catalog.list_dags(S.dags(spark, sf))
+
+
+@register("list_loaded")
+def q_list_loaded(spark, sf):
+    reg = S.registry(spark, sf)
+    active = reg.where(F.col("pos") % 4 != 0).select("table_name")
+    return catalog.list_loaded(reg, active, folder_filter="MAP").select("pos", "table_name", "source_folder", "file_path")
+
+
+@register("target_of")
+def q_target_of(spark, sf):
+    t = catalog.target_of(S.registry(spark, sf), S.mapping_config(spark, sf), S.trace_needles(spark, sf))
+    return t.select("needle", "bq_table", F.array_join("dag_names", ",").alias("dag_names"))
+
+
+@register("folder_listing")
+def q_folder_listing(spark, sf):
+    pages = S.read_table(spark, sf, "pages")
+    objs = catalog.object_paths(pages.withColumn("bytes", F.octet_length("html")), "url", size="bytes")
+    return catalog.folder_listing(objs, prefix="")
+
+
+@register("folder_listing_en")
+def q_folder_listing_en(spark, sf):
+    pages = S.read_table(spark, sf, "pages")
+    objs = catalog.object_paths(pages.withColumn("bytes", F.octet_length("html")), "url", size="bytes")
+    return catalog.folder_listing(objs, prefix="en/")
+
+
+@register("split_uri")
+def q_split_uri(spark, sf):
+    p = S.read_table(spark, sf, "pages")
+    u = N.split_object_uri("url")
+    return p.select("page_id", u["bucket"].alias("bucket"), u["prefix"].alias("prefix"),
+                    N.subfolder("url").alias("subfolder"))
+
+
+@register("upsert")
+def q_upsert(spark, sf):
+    d = S.read_table(spark, sf, "documents")
+    store = d.where(F.col("doc_id") % 2 == 0).select("doc_id", "source", F.lit(1).alias("version"))
+    new = d.where(F.col("doc_id") % 3 == 0).select("doc_id", F.upper("source").alias("source"), F.lit(2).alias("version"))
+    return stores.upsert(store, new, ["doc_id"], "version")
+
+
+@register("last_wins")
+def q_last_wins(spark, sf):
+    d = S.read_table(spark, sf, "documents").select("source", "doc_id", "lang", "n_chars")
+    return stores.last_wins(d, ["source"], "doc_id")
+
+
+@register("cap_history")
+def q_cap_history(spark, sf):
+    p = S.prompts(spark, sf).select("conv_id", "turn", "role")
+    return stores.cap_history(p, 500, order=["conv_id", "turn"])
+
+
+@register("search_queries")
+def q_search_queries(spark, sf):
+    return stores.search_queries(S.saved_queries(spark, sf), text="Turn 2", source="assistant").select(
+        "id", "name", "source", "description")
+
+
+@register("search_tags")
+def q_search_tags(spark, sf):
+    return stores.search_queries(S.saved_queries(spark, sf), text="t5").select("id", "name", "source")
+
+
+@register("search_glossary")
+def q_search_glossary(spark, sf):
+    return stores.search_glossary(S.glossary(spark, sf), "th")

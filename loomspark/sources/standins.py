@@ -302,6 +302,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.concat(F.regexp_replace("p_brand", "#", "_"), F.lit(" "), F.col("p_name"))
     return p.select(
         F.col("p_partkey").alias("pos"),
+        folder.alias("source_folder"),
         F.lower(F.regexp_replace(F.concat(folder, F.lit("_"), stem), "[^A-Za-z0-9_]+", "_")).alias("table_name"),
         F.concat(F.lit("/data/"), folder, F.lit("/"), stem, F.lit(".xlsx")).alias("file_path"),
         stem.alias("stem"))
@@ -425,3 +426,31 @@ def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(m == 2, F.concat(F.lit("List: ["), F.col("props"), F.lit(", {\"s\": \"a]b\"}] end")))
          .otherwise(F.concat(F.lit("no json here, value "), F.col("value").cast("string"))))
     return e.select("event_id", t.alias("text"))
+
+
+def dags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders → one DAG per order: schedule by priority, paused when status P, tags
+    (team, priority) and a file location (some at the root of the DAG folder)."""
+    o = read_table(spark, sf_dir, "orders")
+    ks = F.col("o_orderkey").cast("string")
+    sched = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("@hourly"))
+             .when(F.col("o_orderpriority") == "5-LOW", F.lit("")).otherwise(F.lit("@daily")))
+    tags = F.array(F.struct(F.concat(F.lit("team_"), (F.col("o_custkey") % 3).cast("string")).alias("name")),
+                   F.struct(F.concat(F.lit("prio_"), F.substring("o_orderpriority", 1, 1)).alias("name")))
+    loc = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("dag_"), ks, F.lit(".py"))).otherwise(
+        F.concat(F.lit("/home/airflow/gcs/dags/"), F.lower("o_orderstatus"), F.lit("/sales/dag_"), ks, F.lit(".py")))
+    return o.select(F.concat(F.lit("dag_"), ks).alias("dag_id"), sched.alias("schedule_interval"),
+                    (F.col("o_orderstatus") == "P").alias("is_paused"), tags.alias("tags"), loc.alias("file_loc"))
+
+
+def saved_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations → saved queries (one per turn)."""
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        F.concat(F.lit("q_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("name"),
+        F.col("text").alias("sql"), F.col("role").alias("source"),
+        F.when(F.col("turn") % 3 == 0, F.lit(None).cast("string")).otherwise(
+            F.concat(F.col("role"), F.lit(" turn "), F.col("turn").cast("string"))).alias("description"),
+        F.array(F.concat(F.lit("Lang_"), (F.col("conv_id") % 4).cast("string")),
+                F.concat(F.lit("T"), F.col("turn").cast("string"))).alias("tags"))
