@@ -84,6 +84,19 @@ def health_status(avg_s, rate, thresholds: dict | None = None) -> Column:
             .otherwise(F.lit("healthy")))
 
 
+def health_status_exact(dur_sum, runs, ok, n, thresholds: dict | None = None) -> Column:
+    """``health_status`` on exact totals: avg ≥ t ⇔ sum ≥ t·runs and rate < r ⇔ ok < r·n,
+    so a decimal average sitting exactly on a threshold is classified exactly."""
+    from decimal import Decimal
+    t = dict(DEFAULT_THRESHOLDS)
+    t.update(thresholds or {})
+    d = lambda x: F.lit(Decimal(str(x)))
+    s, r, k, m = _c(dur_sum), _c(runs), _c(ok), _c(n)
+    crit = (s >= d(t["task_critical_seconds"]) * r) | (k < d(t["success_rate_critical"]) * m)
+    warn = (s >= d(t["task_warning_seconds"]) * r) | (k < d(t["success_rate_warning"]) * m)
+    return F.when(crit, F.lit("critical")).when(warn, F.lit("warning")).otherwise(F.lit("healthy"))
+
+
 # fixed values: health severity order for the roll-up
 HEALTH_SEVERITY = {"healthy": 0, "warning": 1, "critical": 2}
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefmt import duration_seconds
-from ..functions.types import HEALTH_SEVERITY, health_status
+from ..functions.types import HEALTH_SEVERITY, health_status_exact
 from .ranks import kth_smallest
 
 FAILED_STATES = ("failed", "upstream_failed")
@@ -17,30 +17,41 @@ ERROR_KEYWORDS = ("ERROR", "Traceback", "Exception")
 LOG_ERROR_KEYWORDS = ("ERROR", "CRITICAL", "Traceback", "Exception")
 
 
+# durations are summed as exact decimals at microsecond precision
+DURATION_DECIMAL = "decimal(24,6)"
+
+
+def exact_avg(total, count, digits: int):
+    """Exact decimal total / count rounded half-up to ``digits`` (as double)."""
+    return F.round(F.col(total) / F.col(count), digits).cast("double")
+
+
 def task_performance(ti: DataFrame, thresholds: dict | None = None,
                      group: Sequence[str] = ("dag_id", "task_id"),
                      duration: str = "duration_s", state: str = "state") -> DataFrame:
     """Per task: avg/max/p95 of non-null durations, success rate over all instances,
     run_count = non-null durations; tasks without any duration are dropped.
     p95 is the element at 0-based index floor(0.95·n) of the ascending durations.
-    Health uses the unrounded average and rate; output rounds 2/2/2/3."""
+    Averages are exact decimals (microseconds) rounded half-up; health is decided on the
+    unrounded values (exactly, without division). Output rounds 2/2/2/3."""
     group = list(group)
     stats = (ti.groupBy(*group).agg(
-        F.avg(duration).alias("_avg"),
+        F.sum(F.col(duration).cast(DURATION_DECIMAL)).alias("_sum"),
         F.max(duration).alias("_max"),
         F.count(duration).alias("run_count"),
-        F.avg(F.when(F.col(state) == "success", 1.0).otherwise(0.0)).alias("_rate"))
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col(state) == "success").alias("_ok"))
         .where(F.col("run_count") > 0))
     k = stats.select(*group, (F.floor(F.col("run_count") * F.lit(0.95)) + 1).alias("_k"))
     p95 = kth_smallest(ti.select(*group, duration), group, duration, k, out="_p95")
     return (stats.join(p95, group).select(
         *group,
-        F.round("_avg", 2).alias("avg_duration_s"),
+        exact_avg("_sum", "run_count", 2).alias("avg_duration_s"),
         F.round("_max", 2).alias("max_duration_s"),
         F.round("_p95", 2).alias("p95_duration_s"),
-        F.round("_rate", 3).alias("success_rate"),
+        F.round(F.col("_ok").cast("decimal(20,0)") / F.col("_n"), 3).cast("double").alias("success_rate"),
         F.col("run_count").cast("long").alias("run_count"),
-        health_status("_avg", "_rate", thresholds).alias("health_status")))
+        health_status_exact("_sum", "run_count", "_ok", "_n", thresholds).alias("health_status")))
 
 
 def health_rollup(perf: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -9,20 +9,38 @@ from .oracle_standins import DAG_RUNS, LOG_LINES, TASK_INSTANCES, TASK_LOGS, wit
 
 ORACLES: dict[str, str] = {}
 
-_PERF = with_(TASK_INSTANCES, """
+
+def _exact_avg(x: str, n: str, digits: int) -> str:
+    """Half-up rounded exact average of a DOUBLE column summed as DECIMAL(24,6)."""
+    u = f"CAST(sum(CAST({x} AS DECIMAL(24,6))) * 1000000 AS HUGEINT)"
+    scale = 10 ** (6 - digits)
+    return f"(((2 * {u} + {n} * {scale}) // (2 * {n} * {scale})) / {10 ** digits}.0)"
+
+
+def _exact_rate(ok: str, n: str, digits: int) -> str:
+    return f"(((2 * {ok} * {10 ** digits} + {n}) // (2 * {n})) / {10 ** digits}.0)"
+
+
+def _health(x: str, runs: str, ok: str, n: str) -> str:
+    u = f"CAST(sum(CAST({x} AS DECIMAL(24,6))) * 1000000 AS HUGEINT)"
+    return (f"CASE WHEN {u} >= 55000000 * {runs} OR {ok} * 100 < 36 * {n} THEN 'critical' "
+            f"WHEN {u} >= 50000000 * {runs} OR {ok} * 100 < 40 * {n} THEN 'warning' ELSE 'healthy' END")
+
+_OK = "count(*) FILTER (WHERE state = 'success')"
+_PERF = with_(TASK_INSTANCES, f"""
 stats AS (
-  SELECT dag_id, task_id, avg(duration_s) AS a, max(duration_s) AS m, count(duration_s) AS n,
-         avg(CASE WHEN state = 'success' THEN 1.0 ELSE 0.0 END) AS r
+  SELECT dag_id, task_id, {_exact_avg('duration_s', 'count(duration_s)', 2)} AS avg_duration_s,
+         max(duration_s) AS m, count(duration_s) AS n,
+         {_exact_rate(_OK, 'count(*)', 3)} AS success_rate,
+         {_health('duration_s', 'count(duration_s)', _OK, 'count(*)')} AS health_status
   FROM task_instances GROUP BY dag_id, task_id HAVING count(duration_s) > 0),
 ranked AS (
   SELECT dag_id, task_id, duration_s,
          row_number() OVER (PARTITION BY dag_id, task_id ORDER BY duration_s) AS rn
   FROM task_instances WHERE duration_s IS NOT NULL),
 perf AS (
-  SELECT s.dag_id, s.task_id, round(s.a, 2) AS avg_duration_s, round(s.m, 2) AS max_duration_s,
-         round(k.duration_s, 2) AS p95_duration_s, round(s.r, 3) AS success_rate, s.n AS run_count,
-         CASE WHEN s.a >= 55.0 OR s.r < 0.36 THEN 'critical'
-              WHEN s.a >= 50.0 OR s.r < 0.40 THEN 'warning' ELSE 'healthy' END AS health_status
+  SELECT s.dag_id, s.task_id, s.avg_duration_s, round(s.m, 2) AS max_duration_s,
+         round(k.duration_s, 2) AS p95_duration_s, s.success_rate, s.n AS run_count, s.health_status
   FROM stats s JOIN ranked k ON k.dag_id = s.dag_id AND k.task_id = s.task_id
    AND k.rn = floor(s.n * CAST(0.95 AS DOUBLE)) + 1)
 """)
@@ -718,3 +736,12 @@ WHERE contains(lower(name), 't5') OR contains(lower(sql), 't5') OR contains(lowe
 
 ORACLES["search_glossary"] = with_(GLOSSARY) + """
 SELECT term, pos, definition FROM glossary WHERE contains(lower(term), 'th') OR contains(lower(definition), 'th')"""
+
+ORACLES["health_windows"] = with_(TASK_INSTANCES) + f"""
+SELECT date_trunc('day', start_date) AS window_start, date_trunc('day', start_date) + INTERVAL 1 DAY AS window_end,
+       dag_id, task_id, count(*) AS instances, count(duration_s) AS runs,
+       CASE WHEN count(duration_s) > 0 THEN {_exact_avg('duration_s', 'count(duration_s)', 2)} END AS avg_duration_s,
+       {_exact_rate(_OK, 'count(*)', 3)} AS success_rate,
+       CASE WHEN count(duration_s) = 0 THEN NULL ELSE {_health('duration_s', 'count(duration_s)', _OK, 'count(*)')} END
+         AS health_status
+FROM task_instances GROUP BY ALL"""

@@ -525,3 +525,13 @@ def q_search_tags(spark, sf):
 @register("search_glossary")
 def q_search_glossary(spark, sf):
     return stores.search_glossary(S.glossary(spark, sf), "th")
+
+
+# ── windowed health (the batch form of the streaming job) ─────────────────────
+
+from ..streaming.health import health_windows  # noqa: E402
+
+
+@register("health_windows")
+def q_health_windows(spark, sf):
+    return health_windows(S.task_instances(spark, sf), "1 day", PERF_THRESHOLDS)
