@@ -65,7 +65,7 @@ def scan_workbooks(spark: SparkSession, roots: Sequence[str], folder_filter: str
 
 def scan_code(spark: SparkSession, root: str, exts: Sequence[str] = (".sql", ".py")) -> DataFrame:
     """Whole files with path, name and content for the given (lower-cased) suffixes."""
-    df = (spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
+    df = (spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
           .select(_strip_scheme(F.input_file_name()).alias("path"), F.col("value").alias("content")))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return df.where(suffix.isin(*[e.lower() for e in exts])).select(
@@ -90,7 +90,7 @@ MAPPING_VALUE = StructType([StructField("bq_table", StringType()), StructField("
 
 def read_mapping_config(spark: SparkSession, path: str) -> DataFrame:
     """{stem: {bq_table, dag_names}} → one row per stem (dag_names kept as array)."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = F.from_json("value", MapType(StringType(), MAPPING_VALUE))
     return raw.select(F.explode(m).alias("stem", "v")).select("stem", "v.bq_table", "v.dag_names")
 
@@ -102,7 +102,7 @@ def mapping_dags(config: DataFrame) -> DataFrame:
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Log files → (path, line_no, line), line numbers 1-based."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return (df.select(_strip_scheme(F.input_file_name()).alias("path"),
                       F.posexplode(F.split("value", "\n")).alias("pos", "line"))
             .select("path", (F.col("pos") + 1).cast("long").alias("line_no"), "line"))
