@@ -100,39 +100,39 @@ def lineage_edges(mapping: DataFrame, tasks: DataFrame) -> DataFrame:
     return wb.unionByName(roots).unionByName(down).unionByName(sql)
 
 
-def task_depth(edges: DataFrame, nodes: DataFrame, max_levels: int | None = None,
-               checkpoint_every: int = 4) -> DataFrame:
+def task_depth(edges: DataFrame, nodes: DataFrame, max_levels: int | None = None) -> DataFrame:
     """Shortest depth of every node reachable from a root (a node that is nobody's dst).
 
-    Breadth-first: frontier ⋈ edges, minus nodes already visited.  Each level is one join
-    and one anti-join; the loop stops when a level adds nothing (cycles cannot loop) and
-    the plan is cut with a reliable checkpoint every few levels.  Unreachable nodes (only
-    on cycles) are not returned."""
-    # the edge list is read at every level: write it once (reliable checkpoint) and reuse
+    Breadth-first: frontier ⋈ edges, minus every node already visited.  Each level is
+    written with a reliable checkpoint, and the visited set is the plain union of those
+    level tables, so each level's plan stays small (no lineage chain) and a lost executor
+    only recomputes one level.  The loop stops when a level adds nothing, so cycles cannot
+    loop; nodes that lie only on cycles are not returned."""
     e = cut_lineage(edges.select("dag_id", F.col("src").alias("task_id"), F.col("dst").alias("_dst"))
                     .dropDuplicates())
     roots = nodes.select("dag_id", "task_id").join(
         e.select("dag_id", F.col("_dst").alias("task_id")), ["dag_id", "task_id"], "left_anti")
-    visited = cut_lineage(roots.select("dag_id", "task_id", F.lit(0).alias("depth")))
-    frontier = roots_level = visited
+    frontier = cut_lineage(roots.select("dag_id", "task_id", F.lit(0).alias("depth")).dropDuplicates())
+    levels = [frontier]
     level = 0
     while max_levels is None or level < max_levels:
         level += 1
+        seen = levels[0].select("dag_id", "task_id")
+        for lv in levels[1:]:
+            seen = seen.unionByName(lv.select("dag_id", "task_id"))
         nxt = (frontier.select("dag_id", "task_id").join(e, ["dag_id", "task_id"])
                .select("dag_id", F.col("_dst").alias("task_id")).dropDuplicates()
-               .join(visited.select("dag_id", "task_id"), ["dag_id", "task_id"], "left_anti")
+               .join(seen, ["dag_id", "task_id"], "left_anti")
                .select("dag_id", "task_id", F.lit(level).alias("depth")))
-        nxt = nxt.persist()  # the emptiness test and the next level share one computation
+        nxt = cut_lineage(nxt)
         if nxt.isEmpty():
-            nxt.unpersist()
             break
-        visited = visited.unionByName(nxt)
-        if level % checkpoint_every == 0:
-            visited = cut_lineage(visited)  # reliable cut every few levels
-        if frontier is not roots_level:
-            frontier.unpersist()
+        levels.append(nxt)
         frontier = nxt
-    return visited
+    out = levels[0]
+    for lv in levels[1:]:
+        out = out.unionByName(lv)
+    return out
 
 
 # ── lookups and the trace from a mapping file to runs, tasks and SQL ────────────

@@ -359,13 +359,15 @@ def q_object_access(spark, sf):
 
 @register("json_extract")
 def q_json_extract(spark, sf):
-    r = S.rendered_json(spark, sf)
-    trunc = T.is_truncated("fields")
-    salvaged = T.salvage_truncated_sql(F.get_json_object(T.unwrap_rendered("fields"), "$.configuration"))
+    r = S.rendered_json(spark, sf).select("event_id", "fields", T.parsed("fields").alias("_v"))
+    r = r.select("event_id", "_v", T.extract_sql("fields").alias("sql"),
+                 F.get_json_object(T.unwrap_rendered("fields"), "$.configuration").alias("_cfg"),
+                 T.is_truncated("fields").alias("truncated"))
     return r.select(
-        "event_id", T.extract_sql("fields").alias("sql"), T.extract_sql_paths("fields").alias("sql_fixed_paths"),
-        T.sql_file_ref("fields").alias("sql_file"), trunc.alias("truncated"), salvaged.alias("salvaged"),
-        T.best_sql(T.extract_sql("fields"), salvaged, trunc).alias("best_sql"))
+        "event_id", "sql", T.extract_sql_paths("_v", is_variant=True).alias("sql_fixed_paths"),
+        T.sql_file_ref("_v", is_variant=True).alias("sql_file"), "truncated",
+        T.salvage_truncated_sql("_cfg").alias("salvaged"),
+        T.best_sql("sql", T.salvage_truncated_sql("_cfg"), "truncated").alias("best_sql"))
 
 
 @register("first_json")
