@@ -227,3 +227,30 @@ def trace(needles: DataFrame, registry: DataFrame, config: DataFrame, runs: Data
         *[F.lit(0).cast("long").alias(c) for c in ("tasks_run", "tasks_failed", "tasks", "tasks_with_sql")],
         F.lit("no_excel").alias("status"))
     return found.unionByName(missing)
+
+
+def latest_task_sql(runs: DataFrame, rendered: DataFrame, n_runs: int = 10) -> DataFrame:
+    """W3 (batch form): per (dag, task), among the DAG's newest ``n_runs`` successful runs,
+    the newest run in which the task rendered SQL.  The instance of a task in a run is the
+    last one in ``seq`` order."""
+    ok = recent_runs(runs.where(F.col("state") == "success"), n_runs)
+    inst = (rendered.join(ok.select("dag_id", "run_id"), ["dag_id", "run_id"], "left_semi")
+            .groupBy("dag_id", "run_id", "task_id")
+            .agg(F.max_by("rendered_sql", "seq").alias("rendered_sql")))
+    with_sql = inst.where(F.coalesce(F.length(F.trim("rendered_sql")), F.lit(0)) > 0)
+    order = ok.select("dag_id", "run_id", F.struct(F.col("logical_date"), F.col("run_key")).alias("_o"))
+    return (with_sql.join(order, ["dag_id", "run_id"])
+            .groupBy("dag_id", "task_id")
+            .agg(F.max_by(F.struct("run_id", "rendered_sql"), "_o").alias("r"))
+            .select("dag_id", "task_id", "r.run_id", "r.rendered_sql"))
+
+
+def task_sql(tasks: DataFrame, runs: DataFrame, rendered: DataFrame, n_runs: int = 10) -> DataFrame:
+    """Q15: raw SQL of the definition, the newest rendered SQL (W3) and the better of the
+    two (F19; rendered text here is never truncated)."""
+    from ..functions.sqltext import best_sql
+    r = latest_task_sql(runs, rendered, n_runs)
+    return (tasks.select("dag_id", "task_id", F.col("sql").alias("raw_sql"))
+            .join(r, ["dag_id", "task_id"], "left")
+            .select("dag_id", "task_id", "raw_sql", "run_id", "rendered_sql",
+                    best_sql("raw_sql", "rendered_sql", F.lit(False)).alias("best_sql")))

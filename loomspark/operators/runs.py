@@ -167,3 +167,17 @@ def log_summary(lines: DataFrame, keywords: Sequence[str] = LOG_ERROR_KEYWORDS,
         cond = c if cond is None else (cond | c)
     return lines.groupBy(*log).agg(F.count(F.lit(1)).alias("line_count"),
                                    F.count_if(cond).cast("long").alias("error_count"))
+
+
+def error_report(ti: DataFrame, logs: DataFrame, n_failed: int = 5, n_tail: int = 50,
+                 keys: Sequence[str] = ("dag_id", "run_id", "task_id")) -> DataFrame:
+    """Q13: for the first ``n_failed`` failed instances of every run, the last ``n_tail``
+    lines of their task log, each flagged when it is an error line."""
+    keys = list(keys)
+    failed = first_failed(ti, n_failed).select(*keys, "state", "position").dropDuplicates(keys)
+    tail = tail_lines(logs.join(failed.select(*keys), keys, "left_semi"), n_tail, log=keys)
+    cond = None
+    for kw in ERROR_KEYWORDS:
+        c = F.col("line").contains(kw)
+        cond = c if cond is None else (cond | c)
+    return failed.join(tail, keys).select(*keys, "state", "position", "line_no", "line", cond.alias("is_error"))

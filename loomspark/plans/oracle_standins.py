@@ -266,3 +266,11 @@ glossary AS (
   SELECT term, min(item_id) AS pos, arg_max(definition, item_id) AS definition FROM (
     SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS term, item_id, 'passage ' || CAST(item_id AS VARCHAR) AS definition
     FROM benchmark) WHERE length(term) > 1 GROUP BY term)"""
+
+RENDERED_INSTANCES = """
+rendered_instances AS (
+  SELECT i.dag_id, i.run_id, i.task_id, i.state, i.s1, i.s2, i.s3, i.s4, i.s5,
+         CASE WHEN d.sql IS NOT NULL AND i.state = 'success'
+              THEN replace(d.sql, 'CURRENT_DATE()', 'DATE ''' || strftime(r.logical_date, '%Y-%m-%d') || '''') END
+           AS rendered_sql
+  FROM graph_instances i JOIN task_defs d USING (dag_id, task_id) JOIN dag_runs r USING (dag_id, run_id))"""

@@ -745,3 +745,67 @@ SELECT date_trunc('day', start_date) AS window_start, date_trunc('day', start_da
        CASE WHEN count(duration_s) = 0 THEN NULL ELSE {_health('duration_s', 'count(duration_s)', _OK, 'count(*)')} END
          AS health_status
 FROM task_instances GROUP BY ALL"""
+
+# ── composites and set operations ─────────────────────────────────────────────
+from .oracle_standins import RENDERED_INSTANCES  # noqa: E402
+
+_LATEST_SQL = with_(DAG_RUNS, TASK_DEFS, GRAPH_INSTANCES, RENDERED_INSTANCES, """
+ok AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY dag_id ORDER BY logical_date DESC, run_key DESC) AS rc
+  FROM dag_runs WHERE state = 'success') WHERE rc <= 10),
+inst AS (SELECT dag_id, run_id, task_id, rendered_sql FROM rendered_instances
+         WHERE (dag_id, run_id) IN (SELECT (dag_id, run_id) FROM ok)
+         QUALIFY row_number() OVER (PARTITION BY dag_id, run_id, task_id
+                                    ORDER BY s1 DESC, s2 DESC, s3 DESC, s4 DESC, s5 DESC) = 1),
+lts AS (SELECT i.dag_id, i.task_id, i.run_id, i.rendered_sql FROM inst i JOIN ok o USING (dag_id, run_id)
+        WHERE length(trim(coalesce(i.rendered_sql, ''))) > 0
+        QUALIFY row_number() OVER (PARTITION BY i.dag_id, i.task_id ORDER BY o.logical_date DESC, o.run_key DESC) = 1)
+""")
+
+ORACLES["latest_task_sql"] = _LATEST_SQL + "SELECT dag_id, task_id, run_id, rendered_sql FROM lts"
+
+ORACLES["task_sql"] = _LATEST_SQL + """
+SELECT t.dag_id, t.task_id, t.sql AS raw_sql, l.run_id, l.rendered_sql,
+       CASE WHEN length(coalesce(t.sql, '')) > 0 AND length(coalesce(l.rendered_sql, '')) > 0 THEN
+              CASE WHEN length(t.sql) >= length(l.rendered_sql) THEN t.sql ELSE l.rendered_sql END
+            WHEN length(coalesce(t.sql, '')) > 0 THEN t.sql
+            WHEN length(coalesce(l.rendered_sql, '')) > 0 THEN l.rendered_sql
+            ELSE coalesce(t.sql, l.rendered_sql) END AS best_sql
+FROM task_defs t LEFT JOIN lts l USING (dag_id, task_id)"""
+
+ORACLES["error_report"] = with_(TASK_INSTANCES, TASK_LOGS, """
+ff AS (SELECT dag_id, run_id, task_id, state, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY dag_id, run_id ORDER BY event_id) AS position
+  FROM task_instances WHERE state IN ('failed', 'upstream_failed')) WHERE position <= 5
+  QUALIFY row_number() OVER (PARTITION BY dag_id, run_id, task_id ORDER BY position) = 1),
+tl AS (SELECT * FROM (
+  SELECT l.*, row_number() OVER (PARTITION BY l.dag_id, l.run_id, l.task_id ORDER BY l.line_no DESC) AS r
+  FROM task_logs l WHERE (dag_id, run_id, task_id) IN (SELECT (dag_id, run_id, task_id) FROM ff)) WHERE r <= 50)
+""") + """
+SELECT f.dag_id, f.run_id, f.task_id, f.state, f.position, t.line_no, t.line,
+       contains(t.line, 'ERROR') OR contains(t.line, 'Traceback') OR contains(t.line, 'Exception') AS is_error
+FROM ff f JOIN tl t USING (dag_id, run_id, task_id)"""
+
+ORACLES["execution_log_runs"] = _HIST.replace("WHERE recency <= 10", "WHERE recency <= 20") + "SELECT * FROM hist"
+
+ORACLES["reconcile_overrides"] = _RECON_BASE.replace(
+    f"c AS (SELECT {norm_name('raw_name')} AS logical_name,",
+    f"c AS (SELECT CASE WHEN raw_name LIKE '%\\_v3.sql' ESCAPE '\\' THEN {norm_name('raw_name')} || '_legacy' "
+    f"ELSE {norm_name('raw_name')} END AS logical_name,") + "SELECT * FROM f"
+
+ORACLES["only_in_git"] = with_(GIT_FILES, GCS_FILES) + """
+SELECT substr(path, 5) AS rel_path FROM git_files
+WHERE substr(path, 5) NOT IN (SELECT substr(path, 5) FROM gcs_files)"""
+
+ORACLES["common_files"] = with_(GIT_FILES, GCS_FILES) + """
+SELECT substr(path, 5) AS rel_path FROM git_files
+WHERE substr(path, 5) IN (SELECT substr(path, 5) FROM gcs_files)"""
+
+ORACLES["name_universe"] = with_(GIT_FILES, GCS_FILES, MAPPING) + f"""
+SELECT {norm_name('raw_name')} AS logical_name FROM git_files
+UNION SELECT {norm_name('raw_name')} FROM gcs_files UNION SELECT {norm_name('raw_name')} FROM mapping"""
+
+ORACLES["preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 500"
+
+ORACLES["flag_counts"] = "SELECT flag_type, count(*) AS n, CAST(count(*) FILTER (WHERE severity = 'high') AS BIGINT) AS high_impact FROM (" \
+    + ORACLES["sql_flags"] + ") x GROUP BY flag_type"

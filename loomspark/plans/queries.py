@@ -363,11 +363,11 @@ def q_json_extract(spark, sf):
     r = r.select("event_id", "_v", T.extract_sql("fields").alias("sql"),
                  F.get_json_object(T.unwrap_rendered("fields"), "$.configuration").alias("_cfg"),
                  T.is_truncated("fields").alias("truncated"))
+    r = r.select("event_id", "_v", "sql", "truncated", T.salvage_truncated_sql("_cfg").alias("salvaged"))
     return r.select(
         "event_id", "sql", T.extract_sql_paths("_v", is_variant=True).alias("sql_fixed_paths"),
-        T.sql_file_ref("_v", is_variant=True).alias("sql_file"), "truncated",
-        T.salvage_truncated_sql("_cfg").alias("salvaged"),
-        T.best_sql("sql", T.salvage_truncated_sql("_cfg"), "truncated").alias("best_sql"))
+        T.sql_file_ref("_v", is_variant=True).alias("sql_file"), "truncated", "salvaged",
+        T.best_sql("sql", "salvaged", "truncated").alias("best_sql"))
 
 
 @register("first_json")
@@ -537,3 +537,74 @@ from ..streaming.health import health_windows  # noqa: E402
 @register("health_windows")
 def q_health_windows(spark, sf):
     return health_windows(S.task_instances(spark, sf), "1 day", PERF_THRESHOLDS)
+
+
+# ── composites and set operations ─────────────────────────────────────────────
+
+@register("latest_task_sql")
+def q_latest_task_sql(spark, sf):
+    return lineage.latest_task_sql(S.dag_runs(spark, sf), S.rendered_instances(spark, sf), 10)
+
+
+@register("task_sql")
+def q_task_sql(spark, sf):
+    return lineage.task_sql(S.task_defs(spark, sf), S.dag_runs(spark, sf), S.rendered_instances(spark, sf), 10)
+
+
+@register("error_report")
+def q_error_report(spark, sf):
+    return runs.error_report(S.task_instances(spark, sf), S.task_logs(spark, sf)).withColumn(
+        "position", F.col("position").cast("long"))
+
+
+@register("execution_log_runs")
+def q_execution_log_runs(spark, sf):
+    return runs.run_history(S.dag_runs(spark, sf), n=20)
+
+
+@register("reconcile_detail")
+def q_reconcile_detail(spark, sf):
+    f = _findings(spark, sf).where(F.col("status") == "content_drift").select("logical_name")
+    return reconcile.reconcile_detail(S.git_files(spark, sf), S.gcs_files(spark, sf), S.mapping(spark, sf), f)
+
+
+@register("reconcile_overrides")
+def q_reconcile_overrides(spark, sf):
+    # explicit raw → logical names: every gcs name ending in _v3 is declared under "<name>_legacy"
+    ov = S.gcs_files(spark, sf).where(F.col("raw_name").like("%\\_v3.sql")).select(
+        "raw_name", F.concat(N.normalise_name("raw_name"), F.lit("_legacy")).alias("logical_name"))
+    return reconcile.reconcile(S.git_files(spark, sf), S.gcs_files(spark, sf), S.mapping(spark, sf),
+                               acks=S.acknowledgements(spark, sf), overrides=ov)
+
+
+def _rel(df):
+    return df.select(F.substring("path", 5, 1 << 30).alias("rel_path"))
+
+
+@register("only_in_git")
+def q_only_in_git(spark, sf):
+    return _rel(S.git_files(spark, sf)).join(_rel(S.gcs_files(spark, sf)), "rel_path", "left_anti")
+
+
+@register("common_files")
+def q_common_files(spark, sf):
+    return _rel(S.git_files(spark, sf)).join(_rel(S.gcs_files(spark, sf)), "rel_path", "left_semi")
+
+
+@register("name_universe")
+def q_name_universe(spark, sf):
+    names = [reconcile.with_logical_name(d).select("logical_name")
+             for d in (S.git_files(spark, sf), S.gcs_files(spark, sf), S.mapping(spark, sf))]
+    return names[0].union(names[1]).union(names[2]).distinct()
+
+
+@register("preview")
+def q_preview(spark, sf):
+    return S.read_table(spark, sf, "orders").orderBy("o_orderkey").limit(500)
+
+
+@register("flag_counts")
+def q_flag_counts(spark, sf):
+    f = textjobs.sql_flags(S.sql_statements(spark, sf))
+    return f.groupBy("flag_type").agg(F.count(F.lit(1)).alias("n"),
+                                      F.count_if(F.col("severity") == "high").cast("long").alias("high_impact"))

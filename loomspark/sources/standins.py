@@ -454,3 +454,16 @@ def saved_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.col("role"), F.lit(" turn "), F.col("turn").cast("string"))).alias("description"),
         F.array(F.concat(F.lit("Lang_"), (F.col("conv_id") % 4).cast("string")),
                 F.concat(F.lit("T"), F.col("turn").cast("string"))).alias("tags"))
+
+
+def rendered_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_instances with the SQL each finished BigQuery task rendered for its run
+    (the template with the run's logical date in place of CURRENT_DATE())."""
+    inst = graph_instances(spark, sf_dir)
+    defs = task_defs(spark, sf_dir).select("dag_id", "task_id", "sql")
+    runs = dag_runs(spark, sf_dir).select("dag_id", "run_id", "logical_date")
+    day = F.concat(F.lit("DATE '"), F.date_format("logical_date", "yyyy-MM-dd"), F.lit("'"))
+    rendered = F.when(F.col("sql").isNotNull() & (F.col("state") == "success"),
+                      F.replace(F.col("sql"), F.lit("CURRENT_DATE()"), day))
+    return (inst.join(defs, ["dag_id", "task_id"]).join(runs, ["dag_id", "run_id"])
+            .select("dag_id", "run_id", "task_id", "state", "seq", rendered.alias("rendered_sql")))

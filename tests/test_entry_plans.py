@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as E
 
-ROWS_ONLY = {"expand_glossary", "fingerprint", "folder_diffs", "sql_d18_approx"}
+ROWS_ONLY = {"expand_glossary", "fingerprint", "folder_diffs", "sql_d18_approx", "reconcile_detail"}
 
 
 def _plan(df):
