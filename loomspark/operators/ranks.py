@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import cut_lineage, shuffle_partitions
 
 
 def kth_smallest(rows: DataFrame, keys: Sequence[str], value: str, k: DataFrame,
@@ -25,8 +25,10 @@ def kth_smallest(rows: DataFrame, keys: Sequence[str], value: str, k: DataFrame,
     n_parts = shuffle_partitions(rows.sparkSession)
     dist = (rows.where(F.col(value).isNotNull())
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m")))
-    ranged = (dist.repartitionByRange(n_parts, *[F.col(c) for c in keys], F.col(value))
-              .withColumn("_pid", F.spark_partition_id()))
+    # one materialisation fixes the partition ids (range bounds are sampled, so two
+    # evaluations of the exchange could place rows differently)
+    ranged = cut_lineage(dist.repartitionByRange(n_parts, *[F.col(c) for c in keys], F.col(value))
+                         .withColumn("_pid", F.spark_partition_id()))
     blocks = ranged.groupBy("_pid", *keys).agg(F.sum("_m").alias("_bm"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_bm").over(before), F.lit(0)))

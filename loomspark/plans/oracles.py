@@ -809,3 +809,5 @@ ORACLES["preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 500"
 
 ORACLES["flag_counts"] = "SELECT flag_type, count(*) AS n, CAST(count(*) FILTER (WHERE severity = 'high') AS BIGINT) AS high_impact FROM (" \
     + ORACLES["sql_flags"] + ") x GROUP BY flag_type"
+
+ORACLES["asof_orders"] = DELEGATED["sql_d5_asof"][2]

@@ -608,3 +608,18 @@ def q_flag_counts(spark, sf):
     f = textjobs.sql_flags(S.sql_statements(spark, sf))
     return f.groupBy("flag_type").agg(F.count(F.lit(1)).alias("n"),
                                       F.count_if(F.col("severity") == "high").cast("long").alias("high_impact"))
+
+
+from ..operators.asof import asof_join  # noqa: E402
+
+
+@register("asof_orders")
+def q_asof_orders(spark, sf):
+    """D5 with the skew-safe as-of operator: for each event (shifted 25 years back), the
+    customer's latest order at or before it."""
+    e = S.read_table(spark, sf, "events").select(
+        "event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 25 YEARS")).alias("ets"))
+    o = S.read_table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    o = o.withColumnRenamed("o_custkey", "user_id")
+    j = asof_join(e, o, "user_id", "ets", "o_orderdate", ["o_orderkey"], right_order="o_orderkey")
+    return j.select("event_id", "user_id", F.col("o_orderkey").cast("double").alias("o_orderkey"))

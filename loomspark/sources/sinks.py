@@ -29,9 +29,12 @@ def write_audit(audit: DataFrame, path: str) -> None:
 
 def write_ddl(ddl_rows: DataFrame, path: str) -> None:
     """K4: target DDL as JSON lines per (batch, table), fields in position order.  Each
-    line is one field {name, type, mode}; the table is the folder, so no table's schema
-    has to be assembled in one task."""
-    (ddl_rows.repartition("batch", "table_name").sortWithinPartitions("batch", "table_name", "position")
+    line is one field {position, name, type, mode}; the table is the folder.  Range
+    partitioning on (batch, table, position) keeps file order = field order and splits a
+    very wide table over several tasks instead of assembling it in one."""
+    n = int(ddl_rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    (ddl_rows.repartitionByRange(n, "batch", "table_name", "position")
+     .sortWithinPartitions("batch", "table_name", "position")
      .write.mode("overwrite").partitionBy("batch", "table_name").json(path))
 
 

@@ -92,3 +92,18 @@ def test_error_lines_and_first_failed(spark):
     ti = ti.withColumn("run_id", F.lit("r1"))
     ff = runs.first_failed(ti, 5).orderBy("position").collect()
     assert [r["event_id"] for r in ff] == [0, 1, 2, 3, 4]
+
+
+def test_asof_join_under_skew(spark):
+    import datetime as dt
+    from loomspark.operators.asof import asof_join
+    rnd = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    left = [(i, "hot" if i % 3 else f"k{i % 7}", base + dt.timedelta(minutes=rnd.randint(0, 5000))) for i in range(1500)]
+    right = [("hot" if j % 2 else f"k{j % 7}", base + dt.timedelta(minutes=rnd.randint(0, 5000)), j) for j in range(800)]
+    ldf = spark.createDataFrame(left, "id long, k string, t timestamp").repartition(6)
+    rdf = spark.createDataFrame(right, "k string, rt timestamp, oid long").repartition(5)
+    got = {r["id"]: r["oid"] for r in asof_join(ldf, rdf, "k", "t", "rt", ["oid"], right_order="oid").collect()}
+    for i, k, t in left:
+        cands = [(rt, oid) for kk, rt, oid in right if kk == k and rt <= t]
+        assert got[i] == (max(cands)[1] if cands else None), i
