@@ -10,8 +10,10 @@ def _c(x) -> Column:
 
 
 def _ts(c: Column) -> Column:
-    """Timestamps pass through; ISO strings (a trailing 'Z' allowed) are parsed, bad ones → null."""
-    return F.try_to_timestamp(F.regexp_replace(c.cast("string"), "Z$", ""))
+    """ISO strings (a trailing 'Z' or '+00:00' allowed) parsed as UTC wall-clock values; bad
+    ones → null."""
+    s = F.regexp_replace(c.cast("string"), r"(Z|[+-]00:?00)$", "")
+    return F.to_timestamp_ntz(F.try_to_timestamp(s).cast("string"))
 
 
 def duration_seconds(start, end, parse: bool = False) -> Column:
@@ -19,7 +21,9 @@ def duration_seconds(start, end, parse: bool = False) -> Column:
     s, e = _c(start), _c(end)
     if parse:
         s, e = _ts(s), _ts(e)
-    return (F.unix_micros(e.cast("timestamp")) - F.unix_micros(s.cast("timestamp"))) / F.lit(1e6)
+    # timestamp_diff works on wall-clock (NTZ) values without applying the session zone,
+    # so a duration never shifts by an hour across a daylight-saving change
+    return F.timestamp_diff("MICROSECOND", s, e) / F.lit(1e6)
 
 
 def fmt_duration(secs) -> Column:
@@ -34,7 +38,7 @@ def fmt_duration(secs) -> Column:
 
 def fmt_ago(ts, now) -> Column:
     """Relative age: 'just now', 'Nm ago', 'Nh ago', 'Nd ago'; ``now`` is a parameter."""
-    mins = F.floor((F.unix_micros(_c(now).cast("timestamp")) - F.unix_micros(_c(ts).cast("timestamp"))) / 6e7)
+    mins = F.floor(F.timestamp_diff("MICROSECOND", _c(ts), _c(now)) / 6e7)
     hours = F.floor(mins / 60)
     return (F.when(_c(ts).isNull(), F.lit(""))
             .when(mins < 1, F.lit("just now"))

@@ -159,7 +159,9 @@ def lookup_first(registry: DataFrame, needles: DataFrame, fields: Sequence[str]
     n = (needles.select("needle").dropDuplicates(["needle"])
          .withColumn("_n", F.lower("needle")).where(F.length("_n") > 0))
     cands = []
-    for size in range(1, gram + 1):
+    # short needles need pieces of their own length; skip those passes when there are none
+    sizes = range(1, gram + 1) if not n.where(F.length("_n") < gram).isEmpty() else [gram]
+    for size in sizes:
         sel = n.where(F.length("_n") == size) if size < gram else n.where(F.length("_n") >= gram)
         pieces = hay.select(pos, "_hay", F.explode(_pieces(F.col("_hay"), size)).alias("_g"))
         freq = pieces.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))

@@ -29,9 +29,10 @@ TEXT_SUFFIXES = (".sql", ".py", ".yaml", ".yml", ".json", ".txt", ".sh")
 
 
 def trimmed_hash(content) -> "F.Column":
-    """sha-256 of the content with leading/trailing (Unicode) whitespace removed."""
+    """sha-256 of the content with leading/trailing whitespace removed (str.strip rules)."""
+    from ..functions.sqltext import py_strip
     c = F.col(content) if isinstance(content, str) else content
-    return F.sha2(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), 256)
+    return F.sha2(py_strip(c), 256)
 
 
 def with_logical_name(df: DataFrame, raw: str = "raw_name", overrides: DataFrame | None = None) -> DataFrame:

@@ -108,3 +108,15 @@ def test_split_tags_and_uri(spark):
     df = spark.createDataFrame([("gs://bucket/a/b/",), ("bucket",)], "x string")
     got = df.select(N.split_object_uri("x").alias("u")).select("u.bucket", "u.prefix").collect()
     assert [tuple(r) for r in got] == [("bucket", "a/b"), ("bucket", "")]
+
+
+def test_durations_ignore_session_zone(spark):
+    import datetime as dt
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 1, 30), dt.datetime(2024, 3, 10, 3, 30))],
+                                   "s timestamp_ntz, e timestamp_ntz")
+        assert df.select(TF.duration_seconds("s", "e")).first()[0] == 7200.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
