@@ -14,11 +14,14 @@ from ..operators.stores import audit_record, upsert
 from ..sources import sinks
 from ..sources.workbook import ingest
 
+# the binaryFile source's fixed columns (a stream must declare them)
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def start_workbook_stream(spark: SparkSession, root: str, kind: str, registry_base: str, audit_path: str,
                           checkpoint: str, cells_path: str):
-    stream = (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", "*.xlsx").load(root))
+    stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(root))
     root_name = root.rstrip("/").split("/")[-1]
     parent = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
     files = stream.select(F.regexp_replace("path", "^file:", "").alias("path"), "content",

@@ -164,3 +164,42 @@ def test_catalog_and_audit(spark, tmp_path):
     sinks.append_audit(rec, str(tmp_path / "audit"))
     sinks.append_audit(rec, str(tmp_path / "audit"))
     assert spark.read.json(str(tmp_path / "audit")).count() == 2
+
+
+def test_workbook_stream_ingest(spark, tmp_path):
+    from loomspark.streaming.ingest import start_workbook_stream
+    root = tmp_path / "mapping"
+    (root / "team").mkdir(parents=True)
+    write_xlsx(root / "team" / "One.xlsx", [["m"], ["m"], ["m"], ["a", "b"], ["1", "2"]])
+    q = start_workbook_stream(spark, str(root), "mapping", str(tmp_path / "registry"), str(tmp_path / "audit"),
+                              str(tmp_path / "ck"), str(tmp_path / "cells"))
+    q.processAllAvailable()
+    write_xlsx(root / "team" / "Two.xlsx", [["m"], ["m"], ["m"], ["x"], ["9"], ["8"]])
+    q.processAllAvailable()
+    q.stop()
+    reg = {os.path.basename(r["file_path"]): r for r in sinks.latest_version(spark, str(tmp_path / "registry")).collect()}
+    assert set(reg) == {"One.xlsx", "Two.xlsx"} and reg["Two.xlsx"]["row_count"] == 2
+    assert spark.read.json(str(tmp_path / "audit")).count() == 2
+
+
+def test_writers(spark, tmp_path):
+    from loomspark.operators import audit as A
+    from loomspark.operators import stores
+    meta = spark.createDataFrame([("t1", "a", 2, "int", 1), ("t1", "b", 1, "varchar", 1)],
+                                 "table_name string, column_name string, ordinal_position long, data_type string, "
+                                 "deployed_to_prod int")
+    target = spark.createDataFrame([("t1", "a", 1, "STRING", "")],
+                                   "table_name string, column_name string, ordinal_position long, data_type string, "
+                                   "description string")
+    sinks.write_audit(A.schema_audit(meta, target), str(tmp_path / "audit"))
+    assert spark.read.parquet(str(tmp_path / "audit" / "summary")).count() == 2
+    sinks.write_ddl(A.schema_ddl_rows(meta), str(tmp_path / "ddl"))
+    ddl = spark.read.json(str(tmp_path / "ddl")).orderBy("position").collect()
+    assert [(r["name"], r["type"], r["mode"]) for r in ddl] == [("b", "STRING", "NULLABLE"), ("a", "INT64", "NULLABLE")]
+    files = spark.createDataFrame([("sql", "ok", "select 1"), ("py", "error", "x")],
+                                  "file_type string, status string, content string")
+    sinks.write_text_bundle(files, str(tmp_path / "bundle"))
+    assert spark.read.text(str(tmp_path / "bundle")).count() == 1
+    store = spark.createDataFrame([("1", "q")], "id string, name string").withColumn("created_at", F.current_timestamp())
+    added = stores.append(store, spark.createDataFrame([("r",)], "name string")).collect()
+    assert len(added) == 2 and all(r["id"] for r in added)
