@@ -112,10 +112,12 @@ def short_unique_labels(names: DataFrame, col: str = "table_name", reserved: str
     """Label per name: characters \\ / ? * [ ] : → '_', at most ``width`` characters; later
     names with the same label get '_2', '_3', … (order by name; the reserved label counts
     as taken)."""
+    from .ranks import row_number_balanced
     cleaned = F.substring(F.regexp_replace(F.col(col), r"[\\/?*\[\]:]", "_"), 1, width)
     d = names.select(col).distinct().withColumn("_clean", cleaned)
-    w = Window.partitionBy("_clean").orderBy(col)
-    d = d.withColumn("_i", F.row_number().over(w) + F.when(F.col("_clean") == reserved, 1).otherwise(0))
+    # many long names can share one truncated label: number them without a hot window
+    d = row_number_balanced(d, ["_clean"], [col], "_rn")
+    d = d.withColumn("_i", F.col("_rn") + F.when(F.col("_clean") == reserved, 1).otherwise(0))
     suffix = F.col("_i").cast("string")
     label = F.when(F.col("_i") == 1, F.col("_clean")).otherwise(
         F.concat(F.expr(f"substring(_clean, 1, {width} - length(cast(_i as string)) - 1)"), F.lit("_"), suffix))

@@ -40,3 +40,21 @@ def kth_smallest(rows: DataFrame, keys: Sequence[str], value: str, k: DataFrame,
     cand = cand.withColumn("_cum", F.sum("_m").over(upto))
     hit = (F.col("_cum") >= F.col("_lk")) & (F.col("_cum") - F.col("_m") < F.col("_lk"))
     return cand.where(hit).select(*keys, F.col(value).alias(out))
+
+
+def row_number_balanced(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_number") -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` without sending a whole
+    group to one task: rows are range-partitioned on (keys, order) (materialised once),
+    numbered inside each (partition, key) block, and shifted by the number of rows of the
+    same key in earlier partitions.  ``order`` should make rows unique within a key."""
+    keys, order = list(keys), list(order)
+    n_parts = shuffle_partitions(df.sparkSession)
+    ranged = cut_lineage(df.repartitionByRange(n_parts, *[F.col(c) for c in keys + order])
+                         .withColumn("_pid", F.spark_partition_id()))
+    blocks = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_bn"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
+    local = Window.partitionBy("_pid", *keys).orderBy(*order)
+    return (ranged.withColumn("__local_rn", F.row_number().over(local)).join(offsets, ["_pid", *keys])
+            .withColumn(out, (F.col("__local_rn") + F.col("_off")).cast("long"))
+            .drop("_pid", "__local_rn", "_off"))

@@ -107,3 +107,15 @@ def test_asof_join_under_skew(spark):
     for i, k, t in left:
         cands = [(rt, oid) for kk, rt, oid in right if kk == k and rt <= t]
         assert got[i] == (max(cands)[1] if cands else None), i
+
+
+def test_row_number_balanced_matches_window(spark):
+    from pyspark.sql import Window
+    from loomspark.operators.ranks import row_number_balanced
+    rnd = random.Random(9)
+    rows = [("hot" if i % 4 else f"k{i % 13}", rnd.random(), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double, id long").repartition(7)
+    got = {r["id"]: r["rn"] for r in row_number_balanced(df, ["k"], ["v", "id"], "rn").collect()}
+    w = Window.partitionBy("k").orderBy("v", "id")
+    want = {r["id"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == want
