@@ -201,7 +201,8 @@ def compare_folders(git: DataFrame, gcs: DataFrame, folder: str | None = None,
               .otherwise(F.lit("different")))
     note = F.when(F.col("in_git") & F.col("in_gcs") & text & missing,
                   F.lit("Could not fetch content for comparison"))
-    return g.select("rel_path", status.alias("status"), "git_size", "gcs_size", note.alias("note"))
+    return g.select("rel_path", status.alias("status"), "git_size", "gcs_size",
+                    (F.col("gcs_size") - F.col("git_size")).alias("size_delta"), note.alias("note"))
 
 
 def compare_summary(cmp: DataFrame) -> DataFrame:

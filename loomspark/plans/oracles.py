@@ -196,6 +196,7 @@ cmp AS (
               WHEN gt.h IS NULL OR ct.h IS NULL THEN 'different'
               WHEN gt.h = ct.h THEN 'identical' ELSE 'different' END AS status,
          CAST(gt.size AS DOUBLE) AS git_size, CAST(ct.size AS DOUBLE) AS gcs_size,
+         CAST(ct.size - gt.size AS DOUBLE) AS size_delta,
          CASE WHEN gt.rel_path IS NOT NULL AND ct.rel_path IS NOT NULL
                AND lower(regexp_extract(gt.rel_path, '^.+([.][^.]+)$', 1)) IN ('.sql','.py','.yaml','.yml','.json','.txt','.sh')
                AND (gt.h IS NULL OR ct.h IS NULL) THEN 'Could not fetch content for comparison' END AS note
@@ -221,6 +222,7 @@ SELECT coalesce(gt.rel_path, ct.rel_path) AS rel_path,
        CASE WHEN ct.rel_path IS NULL THEN 'only_in_git' WHEN gt.rel_path IS NULL THEN 'only_in_gcs'
             WHEN gt.content = ct.content THEN 'identical' ELSE 'different' END AS status,
        CAST(strlen(gt.content) AS DOUBLE) AS git_size, CAST(strlen(ct.content) AS DOUBLE) AS gcs_size,
+       CAST(strlen(ct.content) - strlen(gt.content) AS DOUBLE) AS size_delta,
        CAST(NULL AS VARCHAR) AS note
 FROM (SELECT * FROM gt WHERE rel_path = 'doc_22.sql') gt
 FULL OUTER JOIN (SELECT * FROM ct WHERE rel_path = 'doc_22.sql') ct ON gt.rel_path = ct.rel_path"""

@@ -151,8 +151,9 @@ def q_safe_table_names(spark, sf):
 
 def _sizes_as_double(df):
     # nullable integers become float64 on one engine and Int64 on the other; doubles agree
-    return df.withColumn("git_size", F.col("git_size").cast("double")).withColumn(
-        "gcs_size", F.col("gcs_size").cast("double"))
+    return (df.withColumn("git_size", F.col("git_size").cast("double"))
+            .withColumn("gcs_size", F.col("gcs_size").cast("double"))
+            .withColumn("size_delta", F.col("size_delta").cast("double")))
 
 
 @register("compare_folders")

@@ -83,3 +83,13 @@ def test_mapping_lookup_fallback(spark):
     assert out["/x/Sheet A.xlsx"]["bq_table"] == "own" and out["/x/Sheet A.xlsx"]["dag_names"] == ["d1"]
     assert out["/x/MIXED.xlsx"]["bq_table"] == "t.m" and out["/x/MIXED.xlsx"]["dag_names"] == []
     assert out["/x/other.xlsx"]["bq_table"] == "own2"
+
+
+def test_trigger_target_sources(spark):
+    df = spark.createDataFrame([
+        ("TriggerDagRunOperator", "direct", None, None),
+        ("TriggerDagRunOperator", None, '{"trigger_dag_id": "from_conf"}', None),
+        ("TriggerDagRunOperator", None, None, '{"trigger_dag_id": {"value": "from_params"}}'),
+        ("BashOperator", "ignored", None, None)], "op string, t string, conf string, params string")
+    got = [r[0] for r in df.select(L.trigger_target("op", "t", "conf", "params")).collect()]
+    assert got == ["direct", "from_conf", "from_params", None]
