@@ -28,13 +28,20 @@ def exact_avg(total, count, digits: int):
 
 def task_performance(ti: DataFrame, thresholds: dict | None = None,
                      group: Sequence[str] = ("dag_id", "task_id"),
-                     duration: str = "duration_s", state: str = "state") -> DataFrame:
+                     duration: str = "duration_s", state: str = "state",
+                     runs: DataFrame | None = None, last_runs: int | None = None) -> DataFrame:
     """Per task: avg/max/p95 of non-null durations, success rate over all instances,
     run_count = non-null durations; tasks without any duration are dropped.
     p95 is the element at 0-based index floor(0.95·n) of the ascending durations.
     Averages are exact decimals (microseconds) rounded half-up; health is decided on the
-    unrounded values (exactly, without division). Output rounds 2/2/2/3."""
+    unrounded values (exactly, without division). Output rounds 2/2/2/3.  With ``runs`` and
+    ``last_runs``, only instances of each DAG's newest runs count (the reference's limit)."""
     group = list(group)
+    if runs is not None and last_runs is not None:
+        # only the instances of each DAG's newest ``last_runs`` runs (runs: dag_id, run_id,
+        # logical_date, run_key)
+        newest = recent_runs(runs, last_runs).select("dag_id", "run_id")
+        ti = ti.join(newest, ["dag_id", "run_id"], "left_semi")
     stats = (ti.groupBy(*group).agg(
         F.sum(F.col(duration).cast(DURATION_DECIMAL)).alias("_sum"),
         F.max(duration).alias("_max"),

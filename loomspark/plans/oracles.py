@@ -813,3 +813,13 @@ ORACLES["flag_counts"] = "SELECT flag_type, count(*) AS n, CAST(count(*) FILTER
     + ORACLES["sql_flags"] + ") x GROUP BY flag_type"
 
 ORACLES["asof_orders"] = DELEGATED["sql_d5_asof"][2]
+
+ORACLES["task_performance_recent"] = ORACLES["task_performance"].replace(
+    "FROM task_instances GROUP BY dag_id, task_id HAVING", "FROM tir GROUP BY dag_id, task_id HAVING").replace(
+    "FROM task_instances WHERE duration_s IS NOT NULL", "FROM tir WHERE duration_s IS NOT NULL").replace(
+    "\nstats AS (", """
+newest AS (SELECT dag_id, run_id FROM (
+  SELECT dag_id, run_id, row_number() OVER (PARTITION BY dag_id ORDER BY CAST(min(start_date) AS DATE) DESC) AS r
+  FROM task_instances GROUP BY dag_id, run_id) WHERE r <= 10),
+tir AS (SELECT * FROM task_instances WHERE (dag_id, run_id) IN (SELECT (dag_id, run_id) FROM newest)),
+stats AS (""", 1)

@@ -624,3 +624,13 @@ def q_asof_orders(spark, sf):
     o = o.withColumnRenamed("o_custkey", "user_id")
     j = asof_join(e, o, "user_id", "ets", "o_orderdate", ["o_orderkey"], right_order="o_orderkey")
     return j.select("event_id", "user_id", F.col("o_orderkey").cast("double").alias("o_orderkey"))
+
+
+@register("task_performance_recent")
+def q_task_performance_recent(spark, sf):
+    """Per task over each DAG's newest 10 runs (runs are the distinct run days seen in
+    the task instances)."""
+    ti = S.task_instances(spark, sf)
+    ti_runs = ti.groupBy("dag_id", "run_id").agg(F.min("start_date").cast("date").alias("logical_date")) \
+        .withColumn("run_key", F.lit(0))
+    return runs.task_performance(ti, PERF_THRESHOLDS, runs=ti_runs, last_runs=10)
