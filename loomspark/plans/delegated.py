@@ -97,7 +97,7 @@ FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 100
 
 _add("sql_d7_grouping_sets", ["orders"], """
 SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total,
-       grouping(o_orderstatus) AS g_status, grouping(o_orderpriority) AS g_priority
+       CAST(grouping(o_orderstatus) AS BIGINT) AS g_status, CAST(grouping(o_orderpriority) AS BIGINT) AS g_priority
 FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)
 """)
 
@@ -108,7 +108,7 @@ FROM orders GROUP BY ROLLUP (year(o_orderdate), o_orderstatus)
 
 _add("sql_d8_windows", ["orders"], """
 SELECT o_orderkey, o_custkey, o_orderdate,
-       rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS price_rank,
+       CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS price_rank,
        CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DOUBLE) AS prev_order,
        CAST(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DOUBLE) AS next_order,
        count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
@@ -125,7 +125,7 @@ LIMIT 20 OFFSET 10
 """)
 
 _add("sql_d9_topk_per_group", ["lineitem"], """
-SELECT l_suppkey, l_orderkey, l_partkey, l_linenumber, l_extendedprice, r FROM (
+SELECT l_suppkey, l_orderkey, l_partkey, l_linenumber, l_extendedprice, CAST(r AS BIGINT) AS r FROM (
   SELECT *, row_number() OVER (PARTITION BY l_suppkey
                                ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_linenumber, l_quantity, l_shipdate) AS r
   FROM lineitem) t
@@ -158,7 +158,7 @@ WHERE c.c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l
 """)
 
 _add("sql_d12_scalars", ["part", "orders"], """
-SELECT p_partkey, upper(p_name) AS name_u, length(p_name) AS name_len,
+SELECT p_partkey, upper(p_name) AS name_u, CAST(length(p_name) AS BIGINT) AS name_len,
        regexp_extract(p_brand, '([0-9]+)', 1) AS brand_no, substr(p_type, 1, 3) AS type3,
        concat(p_brand, '/', p_type) AS brand_type, abs(p_retailprice - 950) AS dist,
        CAST(floor(p_retailprice / 10) AS BIGINT) AS price_bucket, round(sqrt(p_retailprice), 4) AS price_sqrt,
@@ -167,35 +167,37 @@ FROM part
 """)
 
 _add("sql_d12_dates", ["orders"], """
-SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, dayofmonth(o_orderdate) AS d,
+SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m,
+       CAST(dayofmonth(o_orderdate) AS BIGINT) AS d,
        CAST(CAST(o_orderdate AS DATE) AS STRING) AS order_day,
        CAST(date_add(CAST(o_orderdate AS DATE), 30) AS STRING) AS due_day,
-       datediff(DATE '2002-01-01', CAST(o_orderdate AS DATE)) AS age_days,
+       CAST(datediff(DATE '2002-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS age_days,
        CAST(CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS STRING) AS month_start
 FROM orders
 """, """
-SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d,
+SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m,
+       CAST(day(o_orderdate) AS BIGINT) AS d,
        CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_day,
        CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 30 DAY AS DATE) AS VARCHAR) AS due_day,
-       date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS age_days,
+       CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS BIGINT) AS age_days,
        CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS month_start
 FROM orders
 """)
 
 _add("sql_d13_arrays", ["embeddings"], """
-SELECT vec_id, label, size(embedding) AS dims,
+SELECT vec_id, label, CAST(size(embedding) AS BIGINT) AS dims,
        round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), CAST(0 AS DOUBLE),
                        (acc, x) -> acc + x), 6) AS sq_norm,
-       size(filter(embedding, x -> x > 0)) AS positives,
+       CAST(size(filter(embedding, x -> x > 0)) AS BIGINT) AS positives,
        round(CAST(element_at(embedding, 1) AS DOUBLE), 6) AS first_dim,
        named_struct('id', vec_id, 'label', label).label AS label_again,
        map('label', label)['label'] AS label_from_map
 FROM embeddings
 """, """
-SELECT vec_id, label, len(embedding) AS dims,
+SELECT vec_id, label, CAST(len(embedding) AS BIGINT) AS dims,
        round(list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))),
                          lambda acc, x: acc + x), 6) AS sq_norm,
-       len(list_filter(embedding, lambda x: x > 0)) AS positives,
+       CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS positives,
        round(CAST(embedding[1] AS DOUBLE), 6) AS first_dim,
        {'id': vec_id, 'label': label}.label AS label_again,
        map(['label'], [label])['label'] AS label_from_map
@@ -213,10 +215,10 @@ FROM events GROUP BY event_type
 """)
 
 _add("sql_d15_pivot", ["orders"], """
-SELECT * FROM (SELECT year(o_orderdate) AS y, o_orderstatus FROM orders)
+SELECT * FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS y, o_orderstatus FROM orders)
 PIVOT (count(*) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))
 """, """
-SELECT year(o_orderdate) AS y, count(*) FILTER (WHERE o_orderstatus = 'F') AS f,
+SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) FILTER (WHERE o_orderstatus = 'F') AS f,
        count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p
 FROM orders GROUP BY year(o_orderdate)
 """)
