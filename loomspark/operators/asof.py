@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
@@ -43,11 +43,10 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
                       F.lit(None).cast(left.select(F.struct(*[F.col(c) for c in lcols]).alias("s")).schema[0].dataType)
                       .alias("_left"),
                       payload.alias("_right"))
-    n = shuffle_partitions(left.sparkSession)
     # right rows sort before left rows at equal time (<=), larger order last among equals
     # partition ids come from one materialisation: range bounds are sampled, so separate
     # evaluations of the exchange could assign rows differently
-    u = cut_lineage(l_.unionByName(r_).repartitionByRange(n, "_k", "_t", "_kind", "_o")
+    u = cut_lineage(l_.unionByName(r_).repartitionByRange("_k", "_t", "_kind", "_o")
                     .withColumn("_pid", F.spark_partition_id()))
     seq = ["_t", "_kind", "_o"]
     upto = Window.partitionBy("_pid", "_k").orderBy(*seq).rowsBetween(Window.unboundedPreceding, 0)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage
 
 
 def kth_smallest(rows: DataFrame, keys: Sequence[str], value: str, k: DataFrame,
@@ -22,12 +22,12 @@ def kth_smallest(rows: DataFrame, keys: Sequence[str], value: str, k: DataFrame,
     among the non-null ``value`` of ``rows`` in that group (duplicates counted)."""
     keys = list(keys)
     out = out or value
-    n_parts = shuffle_partitions(rows.sparkSession)
     dist = (rows.where(F.col(value).isNotNull())
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m")))
     # one materialisation fixes the partition ids (range bounds are sampled, so two
-    # evaluations of the exchange could place rows differently)
-    ranged = cut_lineage(dist.repartitionByRange(n_parts, *[F.col(c) for c in keys], F.col(value))
+    # evaluations of the exchange could place rows differently).  Without an explicit
+    # count AQE may merge adjacent ranges, which keeps every partition a contiguous slice.
+    ranged = cut_lineage(dist.repartitionByRange(*[F.col(c) for c in keys], F.col(value))
                          .withColumn("_pid", F.spark_partition_id()))
     blocks = ranged.groupBy("_pid", *keys).agg(F.sum("_m").alias("_bm"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,8 +48,7 @@ def row_number_balanced(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     numbered inside each (partition, key) block, and shifted by the number of rows of the
     same key in earlier partitions.  ``order`` should make rows unique within a key."""
     keys, order = list(keys), list(order)
-    n_parts = shuffle_partitions(df.sparkSession)
-    ranged = cut_lineage(df.repartitionByRange(n_parts, *[F.col(c) for c in keys + order])
+    ranged = cut_lineage(df.repartitionByRange(*[F.col(c) for c in keys + order])
                          .withColumn("_pid", F.spark_partition_id()))
     blocks = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_bn"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
