@@ -1,9 +1,10 @@
 """Result-set comparison.
 
 The reference sorts both results and compares them position by position; that needs a
-global sort and a single ordered stream.  Here equality is multiset equality computed
-with ``exceptAll`` (a hash aggregate on all columns, map-side combined), which gives the
-same verdict as "sorted rows are equal" and scales with the data.
+global sort and a single ordered stream.  Here equality is multiset equality: one
+aggregate over the tagged union of both sides counts every distinct row per side
+(map-side combined).  That gives the same verdict as "sorted rows are equal", and the
+rows whose counts differ are exactly ``exceptAll`` in both directions.
 """
 from __future__ import annotations
 
@@ -11,9 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType, ArrayType, DataType
 
-SERIALISE_TYPES = (MapType,)
-
-
 def _comparable(df: DataFrame) -> DataFrame:
     """Map and variant columns cannot take part in set operations: serialise them."""
     def needs(t: DataType) -> bool:
