@@ -180,8 +180,11 @@ def lookup_first(registry: DataFrame, needles: DataFrame, fields: Sequence[str]
 def mapping_lookup(entries: DataFrame, config: DataFrame) -> DataFrame:
     """Entry ⟕ mapping config on the file stem, else on the lower-cased stem; the
     mapping's non-empty bq_table / dag_names beat the entry's own."""
+    from ..session import maybe_broadcast
     e = entries.withColumn("_stem", path_stem("file_path"))
-    c = config.select(F.col("stem").alias("_k"), F.col("bq_table").alias("_bq"), F.col("dag_names").alias("_dags"))
+    # the mapping config is usually small; broadcast it only when that is proven
+    c = maybe_broadcast(config.select(F.col("stem").alias("_k"), F.col("bq_table").alias("_bq"),
+                                      F.col("dag_names").alias("_dags")))
     exact = c.select(F.col("_k").alias("_stem"), F.col("_bq").alias("_bq1"), F.col("_dags").alias("_d1"))
     lower = c.select(F.col("_k").alias("_lstem"), F.col("_bq").alias("_bq2"), F.col("_dags").alias("_d2"))
     j = (e.join(exact, "_stem", "left").withColumn("_lstem", F.lower("_stem"))

@@ -39,7 +39,9 @@ def with_logical_name(df: DataFrame, raw: str = "raw_name", overrides: DataFrame
     """Add ``logical_name``: an explicit override (raw → logical) wins, else F2."""
     if overrides is None:
         return df.withColumn("logical_name", normalise_name(raw))
-    o = overrides.select(F.col("raw_name").alias("_raw"), F.col("logical_name").alias("_ovr"))
+    from ..session import maybe_broadcast
+    # explicit overrides are a user-maintained list: broadcast when it is provably small
+    o = maybe_broadcast(overrides.select(F.col("raw_name").alias("_raw"), F.col("logical_name").alias("_ovr")))
     return (df.join(o, df[raw] == o["_raw"], "left")
             .withColumn("logical_name", normalise_name(raw, "_ovr")).drop("_raw", "_ovr"))
 

@@ -77,3 +77,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table next to the checkpoints (shared storage)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows (one bounded
+    count: ``limit(max_rows + 1)``); otherwise return it unchanged, so the join shuffles
+    (and AQE may still broadcast it once it has measured the real size)."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Partition sizing for a job reading ``input_bytes`` on ``total_cores`` executor cores:
+    file splits and shuffle partitions of about ``target_partition_bytes`` (so a task's data
+    fits in executor memory and spills stay small), at least three tasks per core, and AQE
+    left free to merge small partitions or split skewed ones at run time."""
+    parts = max(total_cores * 3, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
