@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, MapType, StringType,
                                StructField, StructType)
@@ -101,11 +101,23 @@ def mapping_dags(config: DataFrame) -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Log files → (path, line_no, line), line numbers 1-based."""
-    df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return (df.select(_strip_scheme(F.input_file_name()).alias("path"),
-                      F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-            .select("path", (F.col("pos") + 1).cast("long").alias("line_no"), "line"))
+    """Log files → (path, line_no, line), line numbers 1-based per file.
+
+    Files are read line by line with the splittable text source, so a huge log is spread
+    over many tasks (never one value).  Within a split, rows keep file order; a line's
+    number is the count of lines in the file's earlier splits (a small per-split table)
+    plus its position within its own split.  Lines end at \\n, \\r\\n or \\r, and a final
+    newline does not add an empty line (as ``str.splitlines``)."""
+    raw = (spark.read.option("recursiveFileLookup", "true").text(path)
+           .select(_strip_scheme(F.input_file_name()).alias("path"),
+                   F.input_file_block_start().alias("_blk"),
+                   F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")))
+    blocks = raw.groupBy("path", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("path").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return (raw.join(blocks, ["path", "_blk"])
+            .select("path", (F.col("_off") + F.col("_id") - F.col("_first") + 1).cast("long").alias("line_no"),
+                    "line"))
 
 
 # fixed values: the payload layouts of landed scheduler dumps

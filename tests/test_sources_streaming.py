@@ -80,7 +80,7 @@ def test_listing_code_logs_and_config(spark, tmp_path):
     code = {r["name"] for r in FI.scan_code(spark, str(tmp_path)).collect()}
     assert code == {"a.sql", "B.PY"}
     (tmp_path / "log.txt").write_text("l1\nERROR x\nl3")
-    lines = FI.read_log_lines(spark, str(tmp_path / "log.txt")).collect()
+    lines = FI.read_log_lines(spark, str(tmp_path / "log.txt")).orderBy("line_no").collect()
     assert [(r["line_no"], r["line"]) for r in lines] == [(1, "l1"), (2, "ERROR x"), (3, "l3")]
     cfg = tmp_path / "map.json"
     cfg.write_text(json.dumps({"Sheet A": {"bq_table": "p.d.t", "dag_names": ["d1", "d2"]},
@@ -203,3 +203,21 @@ def test_writers(spark, tmp_path):
     store = spark.createDataFrame([("1", "q")], "id string, name string").withColumn("created_at", F.current_timestamp())
     added = stores.append(store, spark.createDataFrame([("r",)], "name string")).collect()
     assert len(added) == 2 and all(r["id"] for r in added)
+
+
+def test_log_lines_split_across_tasks(spark, tmp_path):
+    """A log larger than the split size is read by several tasks; numbering stays exact."""
+    big = tmp_path / "big.log"
+    lines = [f"line {i} " + ("x" * (i % 50)) + (" ERROR" if i % 97 == 0 else "") for i in range(40000)]
+    big.write_text("\n".join(lines) + "\n")
+    (tmp_path / "small.log").write_text("a\r\nb\n\nc")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 * 1024))
+        got = FI.read_log_lines(spark, str(tmp_path))
+        rows = {(os.path.basename(r["path"]), r["line_no"]): r["line"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sum(1 for k in rows if k[0] == "big.log") == 40000
+    assert all(rows[("big.log", i + 1)] == lines[i] for i in range(40000))
+    assert [rows[("small.log", i)] for i in (1, 2, 3, 4)] == ["a", "b", "", "c"]
