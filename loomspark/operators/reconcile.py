@@ -56,14 +56,18 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def reconcile(git: DataFrame, gcs: DataFrame, mapping: DataFrame, acks: DataFrame | None = None,
               scope: str = "all", folder_filter: str | None = None,
-              overrides: DataFrame | None = None) -> DataFrame:
+              overrides: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
     """One finding per logical name in git ∪ gcs ∪ mapping.
 
     Inputs: git/gcs (raw_name, seq, content), mapping (raw_name, seq, bq_table),
-    acks (logical_name).  ``seq`` orders duplicates: the last one wins.
+    acks (logical_name).  ``seq`` orders duplicates: the last one wins.  ``max_bytes``
+    (off by default): a body of that size or larger is treated as not read, so the name
+    is reported as drift (the reference's size guard).
     """
     def tag(df, src, hashed):
         d = with_logical_name(df, overrides=overrides)
+        if hashed and max_bytes is not None:
+            d = d.withColumn("content", F.when(F.octet_length("content") < max_bytes, F.col("content")))
         cols = [F.col("logical_name"), F.lit(src).alias("src"), F.col("seq")]
         if hashed:
             cols += [trimmed_hash("content").alias("h"),

@@ -71,3 +71,11 @@ def test_acknowledge_upsert(spark):
     names = spark.createDataFrame([("A_v2.sql",), ("b.sql",)], "raw_name string")
     out = {r["logical_name"]: r["reason"] for r in R.acknowledge(store, names, "new").collect()}
     assert out == {"a": "new", "b": "new"}
+
+
+def test_size_guard(spark):
+    git = _inv(spark, [("a.sql", 1, "x" * 10), ("b.sql", 1, "small")])
+    gcs = _inv(spark, [("a.sql", 1, "x" * 10), ("b.sql", 1, "small")])
+    mp = _map(spark, [("a", 1, "t.a"), ("b", 1, "t.b")])
+    out = {r["logical_name"]: r["status"] for r in R.reconcile(git, gcs, mp, max_bytes=10).collect()}
+    assert out == {"a": "content_drift", "b": "in_sync"}
