@@ -259,3 +259,22 @@ def task_sql(tasks: DataFrame, runs: DataFrame, rendered: DataFrame, n_runs: int
             .join(r, ["dag_id", "task_id"], "left")
             .select("dag_id", "task_id", "raw_sql", "run_id", "rendered_sql",
                     best_sql("raw_sql", "rendered_sql", F.lit(False)).alias("best_sql")))
+
+
+def task_depth_recursive(edges: DataFrame, nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+    """G3 for small graphs in one SQL statement: a recursive CTE walks from the roots,
+    carrying the path so a cycle is never re-entered, then keeps the shortest depth per
+    node.  Paths are enumerated, so use ``task_depth`` (breadth-first) for large or very
+    branchy graphs; this form stops at ``max_depth`` levels."""
+    spark = edges.sparkSession
+    edges.select("dag_id", "src", "dst").createOrReplaceTempView("_ls_edges")
+    nodes.select("dag_id", "task_id").createOrReplaceTempView("_ls_nodes")
+    return spark.sql(f"""
+        WITH RECURSIVE walk(dag_id, task_id, depth, path) AS (
+          SELECT n.dag_id, n.task_id, 0, array(n.task_id) FROM _ls_nodes n
+          WHERE NOT EXISTS (SELECT 1 FROM _ls_edges e WHERE e.dag_id = n.dag_id AND e.dst = n.task_id)
+          UNION ALL
+          SELECT e.dag_id, e.dst, w.depth + 1, concat(w.path, array(e.dst))
+          FROM walk w JOIN _ls_edges e ON e.dag_id = w.dag_id AND e.src = w.task_id
+          WHERE NOT array_contains(w.path, e.dst) AND w.depth < {int(max_depth)})
+        SELECT dag_id, task_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY dag_id, task_id""")

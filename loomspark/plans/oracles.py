@@ -823,3 +823,12 @@ newest AS (SELECT dag_id, run_id FROM (
   FROM task_instances GROUP BY dag_id, run_id) WHERE r <= 10),
 tir AS (SELECT * FROM task_instances WHERE (dag_id, run_id) IN (SELECT (dag_id, run_id) FROM newest)),
 stats AS (""", 1)
+
+ORACLES["task_depth_recursive"] = "WITH RECURSIVE " + DAG_RUNS.strip() + "," + TASK_DEFS.strip() + """,
+te AS (SELECT dag_id, task_id AS src, unnest(downstream_task_ids) AS dst FROM task_defs),
+walk(dag_id, task_id, depth) AS (
+  SELECT dag_id, task_id, 0 FROM task_defs t
+  WHERE NOT EXISTS (SELECT 1 FROM te WHERE te.dag_id = t.dag_id AND te.dst = t.task_id)
+  UNION ALL
+  SELECT te.dag_id, te.dst, w.depth + 1 FROM walk w JOIN te ON te.dag_id = w.dag_id AND te.src = w.task_id)
+SELECT dag_id, task_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY dag_id, task_id"""

@@ -634,3 +634,10 @@ def q_task_performance_recent(spark, sf):
     ti_runs = ti.groupBy("dag_id", "run_id").agg(F.min("start_date").cast("date").alias("logical_date")) \
         .withColumn("run_key", F.lit(0))
     return runs.task_performance(ti, PERF_THRESHOLDS, runs=ti_runs, last_runs=10)
+
+
+@register("task_depth_recursive")
+def q_task_depth_recursive(spark, sf):
+    t = S.task_defs(spark, sf)
+    nodes = t.select("dag_id", "task_id")
+    return lineage.task_depth_recursive(lineage.task_edges(t), nodes)

@@ -93,3 +93,12 @@ def test_trigger_target_sources(spark):
         ("BashOperator", "ignored", None, None)], "op string, t string, conf string, params string")
     got = [r[0] for r in df.select(L.trigger_target("op", "t", "conf", "params")).collect()]
     assert got == ["direct", "from_conf", "from_params", None]
+
+
+def test_depth_recursive_cycle(spark):
+    edges = spark.createDataFrame([("d", "a", "b"), ("d", "b", "c"), ("d", "c", "b"), ("d", "a", "c")],
+                                  "dag_id string, src string, dst string")
+    nodes = spark.createDataFrame([("d", n) for n in "abc"], "dag_id string, task_id string")
+    got = {r["task_id"]: r["depth"] for r in L.task_depth_recursive(edges, nodes).collect()}
+    assert got == {"a": 0, "b": 1, "c": 1}
+    assert got == {r["task_id"]: r["depth"] for r in L.task_depth(edges, nodes).collect()}
