@@ -56,10 +56,14 @@ def job_name(c) -> Column:
     return F.upper(F.replace(_c(c), F.lit("-"), F.lit("_")))
 
 
+# fixed values: operator-name shortening (removed word, replaced word and replacement)
+OPERATOR_WORD, BIGQUERY_WORD, BIGQUERY_SHORT = "Operator", "BigQuery", "BQ"
+
+
 def short_operator(c) -> Column:
     """Drop 'Operator', 'BigQuery' → 'BQ', then trim."""
-    s = F.replace(_c(c), F.lit("Operator"), F.lit(""))
-    s = F.replace(s, F.lit("BigQuery"), F.lit("BQ"))
+    s = F.replace(_c(c), F.lit(OPERATOR_WORD), F.lit(""))
+    s = F.replace(s, F.lit(BIGQUERY_WORD), F.lit(BIGQUERY_SHORT))
     return F.trim(s)
 
 

@@ -107,13 +107,19 @@ def schema_ddl_rows(meta: DataFrame) -> DataFrame:
                     F.lit("NULLABLE").alias("mode")))
 
 
-def short_unique_labels(names: DataFrame, col: str = "table_name", reserved: str = "Summary",
-                        width: int = 31) -> DataFrame:
+# fixed values: sheet-label rules (characters replaced by '_', maximum width, reserved label)
+LABEL_ILLEGAL = r"[\\/?*\[\]:]"
+LABEL_WIDTH = 31
+LABEL_RESERVED = "Summary"
+
+
+def short_unique_labels(names: DataFrame, col: str = "table_name", reserved: str = LABEL_RESERVED,
+                        width: int = LABEL_WIDTH) -> DataFrame:
     """Label per name: characters \\ / ? * [ ] : → '_', at most ``width`` characters; later
     names with the same label get '_2', '_3', … (order by name; the reserved label counts
     as taken)."""
     from .ranks import row_number_balanced
-    cleaned = F.substring(F.regexp_replace(F.col(col), r"[\\/?*\[\]:]", "_"), 1, width)
+    cleaned = F.substring(F.regexp_replace(F.col(col), LABEL_ILLEGAL, "_"), 1, width)
     d = names.select(col).distinct().withColumn("_clean", cleaned)
     # many long names can share one truncated label: number them without a hot window
     d = row_number_balanced(d, ["_clean"], [col], "_rn")
