@@ -36,20 +36,26 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = build_session(f"local[{cpus}]", app="loomspark-bench", shuffle_partitions=max(8, cpus * 2),
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
-    times = {}
+    times, failed = {}, {}
     for name in HEADLINE:
         if name not in QUERIES:
             continue
         runs = []
-        for i in range(repeat + 1):
-            t0 = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            if i:
-                runs.append(time.perf_counter() - t0)
-        times[name] = round(statistics.median(runs), 3)
+        try:
+            for i in range(repeat + 1):
+                t0 = time.perf_counter()
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                if i:
+                    runs.append(time.perf_counter() - t0)
+            times[name] = round(statistics.median(runs), 3)
+        except Exception as exc:  # noqa: BLE001 — report the failure, keep measuring the rest
+            failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "repeat": repeat}))
+    out = {"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "repeat": repeat}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
