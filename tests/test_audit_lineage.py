@@ -102,3 +102,14 @@ def test_depth_recursive_cycle(spark):
     got = {r["task_id"]: r["depth"] for r in L.task_depth_recursive(edges, nodes).collect()}
     assert got == {"a": 0, "b": 1, "c": 1}
     assert got == {r["task_id"]: r["depth"] for r in L.task_depth(edges, nodes).collect()}
+
+
+def test_audit_names_are_case_sensitive(spark):
+    meta = spark.createDataFrame([("t", "Amount", 1, "decimal", 1)],
+                                 "table_name string, column_name string, ordinal_position long, data_type string, "
+                                 "deployed_to_prod int")
+    target = spark.createDataFrame([("t", "amount", 1, "NUMERIC", "")],
+                                   "table_name string, column_name string, ordinal_position long, data_type string, "
+                                   "description string")
+    got = {r["column_name"]: r["status"] for r in A.schema_audit(meta, target).collect()}
+    assert got == {"Amount": "Source Only", "amount": "Target Only"}
