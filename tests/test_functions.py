@@ -132,3 +132,14 @@ def test_maybe_broadcast_and_conf(spark):
     assert b.count() == 100
     conf = recommended_conf(100 * (1 << 40), 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+
+
+def test_extract_sql_escapes_and_fast_path(spark):
+    docs = ['{"x": "a\\nSELECT * FROM escaped_table_one"}',
+            '{"x": "\\u0053ELECT * FROM unicode_escaped_table"}',
+            '{"sql": "  SELECT a FROM fast_path_table  ", "other": "INSERT INTO never_reached t"}',
+            '{"bash": "echo hello world, nothing to see here"}',
+            '"SELECT * FROM a_top_level_string_doc"']
+    got = _one(spark, T.extract_sql("x"), [(d,) for d in docs])
+    assert got == ["a\nSELECT * FROM escaped_table_one", "SELECT * FROM unicode_escaped_table",
+                   "SELECT a FROM fast_path_table", None, "SELECT * FROM a_top_level_string_doc"]
