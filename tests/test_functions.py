@@ -134,7 +134,7 @@ def test_maybe_broadcast_and_conf(spark):
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
 
 
-def test_extract_sql_escapes_and_fast_path(spark):
+def test_extract_sql_escapes(spark):
     docs = ['{"x": "a\\nSELECT * FROM escaped_table_one"}',
             '{"x": "\\u0053ELECT * FROM unicode_escaped_table"}',
             '{"sql": "  SELECT a FROM fast_path_table  ", "other": "INSERT INTO never_reached t"}',
