@@ -113,3 +113,17 @@ def test_audit_names_are_case_sensitive(spark):
                                    "description string")
     got = {r["column_name"]: r["status"] for r in A.schema_audit(meta, target).collect()}
     assert got == {"Amount": "Source Only", "amount": "Target Only"}
+
+
+def test_listing_order_and_tag_search(spark):
+    from loomspark.operators import catalog, stores
+    objs = spark.createDataFrame([("b", "Zeta.txt", 5), ("b", "alpha/x.sql", 3), ("b", "Beta/y.sql", 4),
+                                  ("b", "beta.txt", 1), ("b", "alpha/z/w.sql", 2)], "bucket string, path string, size long")
+    got = [(r["name"], r["type"], r["objects"]) for r in catalog.folder_listing(objs).collect()]
+    assert got == [("alpha/", "dir", 2), ("Beta/", "dir", 1), ("beta.txt", "file", 1), ("Zeta.txt", "file", 1)]
+    q = spark.createDataFrame([(1, "n1", "select 1", "user", None, ["Lang_1", "T0"]),
+                               (2, "n2", "select 2", "user", "desc", ["Other"])],
+                              "id long, name string, sql string, source string, description string, tags array<string>")
+    assert [r["id"] for r in stores.search_queries(q, text="Lang").collect()] == []      # tags keep their case
+    assert [r["id"] for r in stores.search_queries(q, text="ANG_1").collect()] == [1]
+    assert [r["id"] for r in stores.search_queries(q, text="DESC").collect()] == [2]    # null description is fine
