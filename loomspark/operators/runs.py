@@ -188,3 +188,29 @@ def error_report(ti: DataFrame, logs: DataFrame, n_failed: int = 5, n_tail: int
         c = F.col("line").contains(kw)
         cond = c if cond is None else (cond | c)
     return failed.join(tail, keys).select(*keys, "state", "position", "line_no", "line", cond.alias("is_error"))
+
+
+def execution_log(runs: DataFrame, ti: DataFrame, lines: DataFrame, dag_id: str,
+                  run_id: str | None = None, task_id: str | None = None, n_runs: int = 20) -> DataFrame:
+    """Q12 at the level the arguments select:
+    DAG only → its newest ``n_runs`` runs with durations;
+    DAG + run → that run's task instances with durations;
+    DAG + run + task → every log line, flagged when it is an error line (the log form
+    counts CRITICAL too), with the error count of the log on each row."""
+    if run_id is None:
+        return run_history(runs.where(F.col("dag_id") == dag_id), n=n_runs)
+    inst = ti.where((F.col("dag_id") == dag_id) & (F.col("run_id") == run_id))
+    if task_id is None:
+        return inst.select("task_id", "state", "start_date", "end_date",
+                           duration_seconds("start_date", "end_date").alias("duration_s"), "try_number", "operator")
+    cond = None
+    for kw in LOG_ERROR_KEYWORDS:
+        c = F.col("line").contains(kw)
+        cond = c if cond is None else (cond | c)
+    keys = ["dag_id", "run_id", "task_id"]
+    sel = lines.where((F.col("dag_id") == dag_id) & (F.col("run_id") == run_id) & (F.col("task_id") == task_id))
+    flagged = sel.select(*keys, "line_no", "line", cond.alias("is_error"))
+    totals = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("line_count"),
+                                        F.count_if("is_error").alias("error_count"))
+    # the per-log totals (one row) join back on the log's key
+    return flagged.join(totals, keys).select("line_no", "line", "is_error", "line_count", "error_count")

@@ -119,3 +119,15 @@ def test_row_number_balanced_matches_window(spark):
     w = Window.partitionBy("k").orderBy("v", "id")
     want = {r["id"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(w)).collect()}
     assert got == want
+
+
+def test_execution_log_levels(spark, sf):
+    from loomspark.sources import standins as S
+    r, ti, logs = S.dag_runs(spark, sf), S.task_instances(spark, sf), S.task_logs(spark, sf)
+    assert runs.execution_log(r, ti, logs, "dag_3").count() <= 20
+    one = ti.where("state = 'failed'").select("dag_id", "run_id", "task_id").first()
+    level2 = runs.execution_log(r, ti, logs, one["dag_id"], one["run_id"])
+    assert level2.count() == ti.where(f"dag_id = '{one['dag_id']}' AND run_id = '{one['run_id']}'").count()
+    level3 = runs.execution_log(r, ti, logs, one["dag_id"], one["run_id"], one["task_id"]).collect()
+    assert level3 and all(x["line_count"] == len(level3) for x in level3)
+    assert level3[0]["error_count"] == sum(1 for x in level3 if x["is_error"]) >= 1
