@@ -233,13 +233,19 @@ def _unified_diff(a: pd.Series, b: pd.Series, name: pd.Series) -> pd.Series:
 
 
 def diff_pairs(keys: DataFrame, left: DataFrame, right: DataFrame, key: str,
-               content: str = "content") -> DataFrame:
+               content: str = "content", max_bytes: int | None = None) -> DataFrame:
     """Unified diff for the given keys only; bodies are joined to the (few) drifted keys,
-    so unchanged files never leave their scan."""
+    so unchanged files never leave their scan.  With ``max_bytes``, a pair whose two
+    bodies together reach that size gets no diff, only a note (no giant single diff)."""
     l_ = left.select(F.col(key), F.col(content).alias("_a")).join(keys.select(key), key, "left_semi")
     r_ = right.select(F.col(key), F.col(content).alias("_b")).join(keys.select(key), key, "left_semi")
-    return (keys.select(key).join(l_, key).join(r_, key)
-            .select(key, _unified_diff("_a", "_b", F.col(key)).alias("unified_diff")))
+    pairs = keys.select(key).join(l_, key).join(r_, key)
+    if max_bytes is None:
+        return pairs.select(key, _unified_diff("_a", "_b", F.col(key)).alias("unified_diff"))
+    small = (F.coalesce(F.octet_length("_a"), F.lit(0)) + F.coalesce(F.octet_length("_b"), F.lit(0))) < max_bytes
+    return pairs.select(
+        key, _unified_diff(F.when(small, F.col("_a")), F.when(small, F.col("_b")), F.col(key)).alias("unified_diff"),
+        F.when(~small, F.lit("too large to diff")).alias("diff_note"))
 
 
 def folder_diffs(git: DataFrame, gcs: DataFrame, cmp: DataFrame, folder: str | None = None) -> DataFrame:
