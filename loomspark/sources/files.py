@@ -160,12 +160,19 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                     ts("logical_date").alias("_l"), ts("execution_date").alias("_e"),
                     ts("start_date").alias("start_date"), ts("end_date").alias("end_date"),
                     "state", "run_type").select(
-        "dag_id", "run_id", F.coalesce("_l", "_e").alias("logical_date"), "start_date", "end_date", "state",
-        "run_type")
+        "dag_id", "run_id", F.col("run_id").alias("run_key"), F.coalesce("_l", "_e").alias("logical_date"),
+        "start_date", "end_date", "state", "run_type")
 
 
 def read_task_instances(spark: SparkSession, path: str) -> DataFrame:
-    return _payload(spark, path, "task_instances", TASK_INSTANCE_SCHEMA)
+    """task_instances payloads in the shape the run operators take (run_id,
+    duration_s, parsed timestamps, and ``event_id`` = payload order for "first n")."""
+    t = _payload(spark, path, "task_instances", TASK_INSTANCE_SCHEMA)
+    ts = lambda c: F.try_to_timestamp(F.regexp_replace(F.col(c), "Z$", ""))
+    return t.select(F.monotonically_increasing_id().alias("event_id"), "dag_id",
+                    F.col("dag_run_id").alias("run_id"), "task_id", "state",
+                    F.col("duration").alias("duration_s"), ts("start_date").alias("start_date"),
+                    ts("end_date").alias("end_date"), "try_number", "operator", "rendered_fields")
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:

@@ -221,3 +221,19 @@ def test_log_lines_split_across_tasks(spark, tmp_path):
     assert sum(1 for k in rows if k[0] == "big.log") == 40000
     assert all(rows[("big.log", i + 1)] == lines[i] for i in range(40000))
     assert [rows[("small.log", i)] for i in (1, 2, 3, 4)] == ["a", "b", "", "c"]
+
+
+def test_landed_payloads_feed_the_operators(spark, tmp_path):
+    from loomspark.operators import runs as R
+    (tmp_path / "runs.json").write_text(json.dumps({"dag_runs": [
+        {"dag_id": "d", "dag_run_id": f"r{i}", "execution_date": f"2024-01-0{i}T00:00:00Z",
+         "start_date": f"2024-01-0{i}T00:00:00Z", "end_date": f"2024-01-0{i}T00:00:30Z", "state": "success"}
+        for i in range(1, 6)]}))
+    (tmp_path / "ti.json").write_text(json.dumps({"task_instances": [
+        {"dag_id": "d", "dag_run_id": "r1", "task_id": "t", "state": s, "duration": d,
+         "start_date": "2024-01-01T00:00:00Z", "end_date": "2024-01-01T00:00:10Z", "try_number": 1}
+        for s, d in [("success", 10.0), ("failed", 20.0), ("success", None)]]}))
+    hist = R.run_history(FI.read_runs(spark, str(tmp_path / "runs.json")), n=3).collect()
+    assert len(hist) == 3 and all(h["duration_s"] == 30.0 for h in hist)
+    perf = R.task_performance(FI.read_task_instances(spark, str(tmp_path / "ti.json"))).first()
+    assert (perf["run_count"], perf["avg_duration_s"], perf["p95_duration_s"], perf["success_rate"]) == (2, 15.0, 20.0, 0.667)
