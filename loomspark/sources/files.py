@@ -175,9 +175,14 @@ def read_task_instances(spark: SparkSession, path: str) -> DataFrame:
                     ts("end_date").alias("end_date"), "try_number", "operator", "rendered_fields")
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    t = _payload(spark, path, "tasks", TASK_SCHEMA)
-    return t.select("task_id", F.col("class_ref.class_name").alias("operator"), "downstream_task_ids",
+def read_tasks(spark: SparkSession, path: str, dag_id: str | None = None) -> DataFrame:
+    """Per-DAG task definitions in the shape the graph operators take.  The payload
+    does not name its DAG: ``dag_id`` is given, or taken from each file's name (stem)."""
+    schema = StructType([StructField("tasks", ArrayType(TASK_SCHEMA))])
+    df = spark.read.schema(schema).option("multiLine", "true").json(path)
+    dag = F.lit(dag_id) if dag_id is not None else path_stem(_strip_scheme(F.input_file_name()))
+    t = df.select(dag.alias("dag_id"), F.explode("tasks").alias("r")).select("dag_id", "r.*")
+    return t.select("dag_id", "task_id", F.col("class_ref.class_name").alias("operator"), "downstream_task_ids",
                     "trigger_dag_id", F.coalesce("sql", "query", "bql").alias("sql"))
 
 

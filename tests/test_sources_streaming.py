@@ -237,3 +237,14 @@ def test_landed_payloads_feed_the_operators(spark, tmp_path):
     assert len(hist) == 3 and all(h["duration_s"] == 30.0 for h in hist)
     perf = R.task_performance(FI.read_task_instances(spark, str(tmp_path / "ti.json"))).first()
     assert (perf["run_count"], perf["avg_duration_s"], perf["p95_duration_s"], perf["success_rate"]) == (2, 15.0, 20.0, 0.667)
+
+
+def test_task_payload_feeds_the_graph(spark, tmp_path):
+    from loomspark.operators import lineage as L
+    (tmp_path / "dag_x.json").write_text(json.dumps({"tasks": [
+        {"task_id": "a", "class_ref": {"class_name": "EmptyOperator"}, "downstream_task_ids": ["b"]},
+        {"task_id": "b", "class_ref": {"class_name": "BigQueryInsertJobOperator"}, "downstream_task_ids": [],
+         "sql": "SELECT 1 FROM t WHERE x = 1"}]}))
+    tasks = FI.read_tasks(spark, str(tmp_path / "dag_x.json"))
+    assert [(r["dag_id"], r["task_id"]) for r in L.root_tasks(tasks).collect()] == [("dag_x", "a")]
+    assert L.sql_coverage(tasks).first()["tasks_with_sql"] == 1
