@@ -7,5 +7,11 @@ Sub-packages:
   plans      read-only SQL entry point and the registered query catalogue
   streaming  incremental ingest and a watermarked health roll-up
 """
+import sys
+
+from pyspark import cloudpickle
 
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors by value, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
