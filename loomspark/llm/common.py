@@ -2,11 +2,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir
 
@@ -60,3 +63,23 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """The fold that no model learns from: crc32 of the id's text, modulo 3, is 1 (null ids: not held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable], fields: str, text: str = "text") -> DataFrame:
+    """Replace the column ``text`` by ``fields`` (a DDL string), computed in Arrow batches.  ``make`` runs once
+    per task and returns a function from a list of texts to one sequence per field.  Other columns pass
+    through unchanged as Arrow data (no pandas conversion, so null ids keep their type)."""
+    rest = [f for f in df.schema.fields if f.name != text]
+    new = StructType.fromDDL(fields)
+    types = [to_arrow_type(f.dataType) for f in new.fields]
+    names = [f.name for f in rest] + new.names
+    keep = [f.name for f in rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for b in batches:
+            cols = work(b.column(b.schema.get_field_index(text)).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(b.schema.get_field_index(n)) for n in keep]
+                + [pa.array(c, t) for c, t in zip(cols, types)], names=names)
+    return df.mapInArrow(run, StructType([*rest, *new.fields]))

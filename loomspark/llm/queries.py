@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from . import language_id, packing, quality, secrets
 from .exact_dedup import exact_dedup
 
 LLM_QUERIES: dict = {}
@@ -20,3 +21,25 @@ def register(name: str):
 @register("op2_exact_dedup")
 def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf, "documents")).drop("__file", "__row")
+
+
+@register("op5_secrets")
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.summary(secrets.find_secrets(read_table(spark, sf, "documents")))
+
+
+@register("op10_quality")
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return quality.score(docs, quality.fit(docs, read_table(spark, sf, "labels")))
+
+
+@register("op3_language_id")
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+@register("op9_packing")
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf, "documents"))

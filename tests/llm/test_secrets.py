@@ -1,0 +1,73 @@
+import hashlib
+import math
+import re
+import random
+
+from pyspark.sql import functions as F
+
+from loomspark.llm import secrets
+
+TOKEN = "q7Zp2LxV9sKd03mWbT5yRc8N"
+ROWS = [
+    (1, 'x token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6" y'),
+    (2, "AKIAABCDEFGHIJKLMN and AKIAshort AKIAABCDEFGHIJKLM"),
+    (3, f"key: {TOKEN} tail"), (4, None), (5, ""), (5, ""), (6, "é😀 " + TOKEN),
+    (7, "Password: hunter2 PASSWD=aaaaaaaaaaaa api_key='abcdefghijkl' apikey:zzzz"),
+    (8, "123e4567-e89b-12d3-a456-426614174000 thethethethethethethethe 4417744280351547"),
+    (None, "secret=abcabcabcabc"), (9, "ab0" * 200_000), (10, "a1" * 40),
+]
+
+
+def brute(text):
+    text = text or ""
+    out = []
+    for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(1)) >= 12:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"AKIA[A-Z0-9]+", text):
+        if len(m.group()) >= 18:
+            out.append((m.start(), 1, f"access:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"[0-9a-f]+", text):
+        if len(m.group()) >= 16:
+            out.append((m.start(), 2, f"hex:{m.start()}:{m.end()}"))
+    return ",".join(x[2] for x in sorted(out))
+
+
+def test_base_spans_against_brute_force(as_docs):
+    got = secrets.summary(secrets.find_secrets(as_docs(ROWS))).collect()
+    want = sorted(hashlib.sha256(brute(t).encode()).hexdigest() for _, t in ROWS)
+    assert sorted(r.base_sha256 for r in got) == want
+    by_id = {r.doc_id: r for r in got}
+    assert (by_id[1].n_assign, by_id[1].n_hex, by_id[2].n_access, by_id[7].n_assign) == (1, 1, 1, 2)
+    assert by_id[4].spans == "" and by_id[5].spans == ""
+
+
+def test_entropy_spans_and_allow_list(as_docs):
+    got = {r.doc_id: r for r in secrets.summary(secrets.find_secrets(as_docs(ROWS))).collect()}
+    assert got[3].spans == f"entropy:5:{5 + len(TOKEN)}"
+    assert got[6].spans == f"entropy:3:{3 + len(TOKEN)}"
+    assert got[8].n_entropy == 0 and got[10].n_entropy == 0
+    off = secrets.summary(secrets.find_secrets(as_docs(ROWS), allow=[re.escape(TOKEN)]))
+    assert off.agg(F.sum("n_entropy")).first()[0] == 0
+
+
+def test_incremental_window_equals_recount():
+    rnd = random.Random(3)
+    for _ in range(50):
+        s = "".join(rnd.choice("abcdef0123") for _ in range(rnd.randint(1, 60)))
+        def h(w):
+            return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+        want = max((h(s[i:i + 16]) for i in range(len(s) - 15)), default=0.0)
+        assert abs(secrets.best_window(s, 16) - want) < 1e-9
+
+
+def test_masked_keeps_columns(as_docs):
+    docs = as_docs(ROWS)
+    out = secrets.masked(docs)
+    assert out.columns == docs.columns
+    text = {r.doc_id: r.text for r in out.toDF("doc_id", "text", "a", "b", "c", "d", "e").collect()}
+    assert text[3] == "key: [secret] tail" and text[4] is None and text[1] == 'x [secret]" y'
+
+
+def test_empty_table(as_docs):
+    assert secrets.summary(secrets.find_secrets(as_docs([]))).count() == 0
