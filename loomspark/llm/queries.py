@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from . import language_id, packing, quality, secrets
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 
 LLM_QUERIES: dict = {}
 
@@ -43,3 +44,8 @@ def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
 @register("op9_packing")
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read_table(spark, sf, "documents"))
+
+
+@register("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup(read_table(spark, sf, "documents")).drop("__file", "__row")
