@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import language_id, packing, quality, secrets
+from . import language_id, packing, quality, secrets, tokens
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 
@@ -49,3 +49,8 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
 @register("op1_near_dedup")
 def op1_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup(read_table(spark, sf, "documents")).drop("__file", "__row")
+
+
+@register("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.digest(read_table(spark, sf, "documents"), tokens.load_vocabulary())
