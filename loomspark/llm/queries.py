@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import language_id, neighbours, packing, quality, secrets, tokens, url_lists
+from . import language_id, neighbours, packing, pii, quality, secrets, tokens, url_lists
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 
@@ -92,3 +92,8 @@ def op7_url_lists(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "pages")
     out = url_lists.evaluate(fetched(pages), list_events(pages))
     return out.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd"))
+
+
+@register("op4_personal_data")
+def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.summary(pii.find_personal_data(read_table(spark, sf, "documents")))
