@@ -39,16 +39,16 @@ def _delta(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def row_diff(a: DataFrame, b: DataFrame, n: int | None = 100) -> DataFrame:
     """Rows of ``a`` missing from ``b`` and vice versa, counted with multiplicity
-    (``exceptAll`` both ways), tagged by side; the first ``n`` in (side, all columns) order."""
+    (``exceptAll`` both ways), tagged by side; the first ``n`` in (side, all columns) order.
+    ``n=None``: all of them, each distinct row once with ``times``, the copies it has too many."""
     cols = _comparable(a).columns
     d = _delta(a, b).where(F.col("_ca") != F.col("_cb"))
     side = F.when(F.col("_ca") > F.col("_cb"), F.lit("only_in_a")).otherwise(F.lit("only_in_b"))
-    times = F.abs(F.col("_ca") - F.col("_cb")).cast("int")
-    if n is not None:
-        times = F.least(times, F.lit(n))  # never more than n copies are reported
-    d = d.select(side.alias("side"), *cols, F.explode(F.array_repeat(F.lit(0), times)).alias("_x")).drop("_x")
+    times = F.abs(F.col("_ca") - F.col("_cb"))
     if n is None:
-        return d
+        return d.select(side.alias("side"), *cols, times.alias("times"))
+    times = F.least(times, F.lit(n)).cast("int")  # never more than n copies are reported
+    d = d.select(side.alias("side"), *cols, F.explode(F.array_repeat(F.lit(0), times)).alias("_x")).drop("_x")
     return d.orderBy("side", *cols).limit(n)
 
 

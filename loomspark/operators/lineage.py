@@ -100,7 +100,7 @@ def lineage_edges(mapping: DataFrame, tasks: DataFrame) -> DataFrame:
     return wb.unionByName(roots).unionByName(down).unionByName(sql)
 
 
-def task_depth(edges: DataFrame, nodes: DataFrame, max_levels: int | None = None) -> DataFrame:
+def task_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Shortest depth of every node reachable from a root (a node that is nobody's dst).
 
     Breadth-first: frontier ⋈ edges, minus every node already visited.  Each level is
@@ -115,7 +115,7 @@ def task_depth(edges: DataFrame, nodes: DataFrame, max_levels: int | None = None
     frontier = cut_lineage(roots.select("dag_id", "task_id", F.lit(0).alias("depth")).dropDuplicates())
     levels = [frontier]
     level = 0
-    while max_levels is None or level < max_levels:
+    while True:
         level += 1
         seen = levels[0].select("dag_id", "task_id")
         for lv in levels[1:]:
@@ -180,22 +180,23 @@ def lookup_first(registry: DataFrame, needles: DataFrame, fields: Sequence[str]
 def mapping_lookup(entries: DataFrame, config: DataFrame) -> DataFrame:
     """Entry ⟕ mapping config on the file stem, else on the lower-cased stem; the
     mapping's non-empty bq_table / dag_names beat the entry's own."""
-    from ..session import maybe_broadcast
     e = entries.withColumn("_stem", path_stem("file_path"))
-    # the mapping config is usually small; broadcast it only when that is proven
-    c = maybe_broadcast(config.select(F.col("stem").alias("_k"), F.col("bq_table").alias("_bq"),
-                                      F.col("dag_names").alias("_dags")))
-    exact = c.select(F.col("_k").alias("_stem"), F.col("_bq").alias("_bq1"), F.col("_dags").alias("_d1"))
+    c = config.select(F.col("stem").alias("_k"), F.col("bq_table").alias("_bq"),
+                      F.when(F.size("dag_names") > 0, F.col("dag_names")).alias("_dags"))
+    exact = c.select(F.col("_k").alias("_stem"), F.col("_bq").alias("_bq1"), F.col("_dags").alias("_d1"),
+                     F.lit(True).alias("_in1"))
     lower = c.select(F.col("_k").alias("_lstem"), F.col("_bq").alias("_bq2"), F.col("_dags").alias("_d2"))
     j = (e.join(exact, "_stem", "left").withColumn("_lstem", F.lower("_stem"))
          .join(lower, "_lstem", "left"))
-    hit1 = F.col("_bq1").isNotNull() | F.col("_d1").isNotNull()
+    hit1 = F.col("_in1").isNotNull()
     bq = F.when(hit1, F.col("_bq1")).otherwise(F.col("_bq2"))
     dags = F.when(hit1, F.col("_d1")).otherwise(F.col("_d2"))
     has_own = "bq_table" in entries.columns
     bq_out = F.coalesce(F.nullif(bq, F.lit("")), F.col("bq_table")) if has_own else bq
-    return j.withColumn("bq_table", bq_out).withColumn("dag_names", F.coalesce(dags, F.array().cast("array<string>"))) \
-        .drop("_stem", "_lstem", "_bq1", "_d1", "_bq2", "_d2")
+    own = [F.col("dag_names")] if "dag_names" in entries.columns else []
+    return j.withColumn("bq_table", bq_out).withColumn(
+        "dag_names", F.coalesce(dags, *own, F.array().cast("array<string>"))) \
+        .drop("_stem", "_lstem", "_bq1", "_d1", "_in1", "_bq2", "_d2")
 
 
 def trace(needles: DataFrame, registry: DataFrame, config: DataFrame, runs: DataFrame,
@@ -261,20 +262,20 @@ def task_sql(tasks: DataFrame, runs: DataFrame, rendered: DataFrame, n_runs: int
                     best_sql("raw_sql", "rendered_sql", F.lit(False)).alias("best_sql")))
 
 
-def task_depth_recursive(edges: DataFrame, nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def task_depth_recursive(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """G3 for small graphs in one SQL statement: a recursive CTE walks from the roots,
     carrying the path so a cycle is never re-entered, then keeps the shortest depth per
     node.  Paths are enumerated, so use ``task_depth`` (breadth-first) for large or very
-    branchy graphs; this form stops at ``max_depth`` levels."""
+    branchy graphs; the depth itself has no limit."""
     spark = edges.sparkSession
     edges.select("dag_id", "src", "dst").createOrReplaceTempView("_ls_edges")
     nodes.select("dag_id", "task_id").createOrReplaceTempView("_ls_nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(dag_id, task_id, depth, path) AS (
+    return spark.sql("""
+        WITH RECURSIVE walk(dag_id, task_id, depth, path) MAX RECURSION LEVEL 2147483647 AS (
           SELECT n.dag_id, n.task_id, 0, array(n.task_id) FROM _ls_nodes n
           WHERE NOT EXISTS (SELECT 1 FROM _ls_edges e WHERE e.dag_id = n.dag_id AND e.dst = n.task_id)
           UNION ALL
           SELECT e.dag_id, e.dst, w.depth + 1, concat(w.path, array(e.dst))
           FROM walk w JOIN _ls_edges e ON e.dag_id = w.dag_id AND e.src = w.task_id
-          WHERE NOT array_contains(w.path, e.dst) AND w.depth < {int(max_depth)})
+          WHERE NOT array_contains(w.path, e.dst))
         SELECT dag_id, task_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY dag_id, task_id""")

@@ -39,9 +39,7 @@ def with_logical_name(df: DataFrame, raw: str = "raw_name", overrides: DataFrame
     """Add ``logical_name``: an explicit override (raw → logical) wins, else F2."""
     if overrides is None:
         return df.withColumn("logical_name", normalise_name(raw))
-    from ..session import maybe_broadcast
-    # explicit overrides are a user-maintained list: broadcast when it is provably small
-    o = maybe_broadcast(overrides.select(F.col("raw_name").alias("_raw"), F.col("logical_name").alias("_ovr")))
+    o = overrides.select(F.col("raw_name").alias("_raw"), F.col("logical_name").alias("_ovr"))
     return (df.join(o, df[raw] == o["_raw"], "left")
             .withColumn("logical_name", normalise_name(raw, "_ovr")).drop("_raw", "_ovr"))
 
@@ -56,18 +54,14 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def reconcile(git: DataFrame, gcs: DataFrame, mapping: DataFrame, acks: DataFrame | None = None,
               scope: str = "all", folder_filter: str | None = None,
-              overrides: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
+              overrides: DataFrame | None = None) -> DataFrame:
     """One finding per logical name in git ∪ gcs ∪ mapping.
 
     Inputs: git/gcs (raw_name, seq, content), mapping (raw_name, seq, bq_table),
-    acks (logical_name).  ``seq`` orders duplicates: the last one wins.  ``max_bytes``
-    (off by default): a body of that size or larger is treated as not read, so the name
-    is reported as drift (the reference's size guard).
+    acks (logical_name).  ``seq`` orders duplicates: the last one wins.
     """
     def tag(df, src, hashed):
         d = with_logical_name(df, overrides=overrides)
-        if hashed and max_bytes is not None:
-            d = d.withColumn("content", F.when(F.octet_length("content") < max_bytes, F.col("content")))
         cols = [F.col("logical_name"), F.lit(src).alias("src"), F.col("seq")]
         if hashed:
             cols += [trimmed_hash("content").alias("h"),
@@ -233,19 +227,13 @@ def _unified_diff(a: pd.Series, b: pd.Series, name: pd.Series) -> pd.Series:
 
 
 def diff_pairs(keys: DataFrame, left: DataFrame, right: DataFrame, key: str,
-               content: str = "content", max_bytes: int | None = None) -> DataFrame:
+               content: str = "content") -> DataFrame:
     """Unified diff for the given keys only; bodies are joined to the (few) drifted keys,
-    so unchanged files never leave their scan.  With ``max_bytes``, a pair whose two
-    bodies together reach that size gets no diff, only a note (no giant single diff)."""
-    l_ = left.select(F.col(key), F.col(content).alias("_a")).join(keys.select(key), key, "left_semi")
-    r_ = right.select(F.col(key), F.col(content).alias("_b")).join(keys.select(key), key, "left_semi")
-    pairs = keys.select(key).join(l_, key).join(r_, key)
-    if max_bytes is None:
-        return pairs.select(key, _unified_diff("_a", "_b", F.col(key)).alias("unified_diff"))
-    small = (F.coalesce(F.octet_length("_a"), F.lit(0)) + F.coalesce(F.octet_length("_b"), F.lit(0))) < max_bytes
-    return pairs.select(
-        key, _unified_diff(F.when(small, F.col("_a")), F.when(small, F.col("_b")), F.col(key)).alias("unified_diff"),
-        F.when(~small, F.lit("too large to diff")).alias("diff_note"))
+    so unchanged files never leave their scan."""
+    l_ = left.select(F.col(key), F.col(content).alias("_a"))
+    r_ = right.select(F.col(key), F.col(content).alias("_b"))
+    pairs = keys.select(key).distinct().join(l_, key).join(r_, key)
+    return pairs.select(key, _unified_diff("_a", "_b", F.col(key)).alias("unified_diff"))
 
 
 def folder_diffs(git: DataFrame, gcs: DataFrame, cmp: DataFrame, folder: str | None = None) -> DataFrame:

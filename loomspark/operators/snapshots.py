@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources import sinks
 from .reconcile import diff_pairs
 
@@ -38,6 +39,6 @@ def snapshot_diff(spark: SparkSession, current: DataFrame, base: str, version: i
                                                "unified_diff"))
     # materialise the comparison before the new version is written, so the result does
     # not depend on which version is "latest" when it is read
-    out = out.checkpoint(eager=True)
+    out = cut_lineage(out)
     sinks.write_version(cur, base, version)
     return out

@@ -253,6 +253,10 @@ ORACLES["row_diff"] = _ROWCMP + """
 SELECT * FROM (SELECT 'only_in_a' AS side, * FROM ea UNION ALL SELECT 'only_in_b' AS side, * FROM eb)
 ORDER BY side, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority LIMIT 100"""
 
+ORACLES["row_diff_all"] = _ROWCMP + """
+SELECT 'only_in_a' AS side, *, count(*) AS times FROM ea GROUP BY ALL
+UNION ALL SELECT 'only_in_b' AS side, *, count(*) AS times FROM eb GROUP BY ALL"""
+
 ORACLES["verdict"] = _ROWCMP + """
 SELECT CASE WHEN (SELECT count(*) FROM orders) = (SELECT count(*) FROM orders_b)
              AND (SELECT count(*) FROM ea) = 0 AND (SELECT count(*) FROM eb) = 0 THEN 'SAFE' ELSE 'UNSAFE' END AS verdict,
@@ -454,8 +458,8 @@ UNION ALL
 SELECT needle, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, 0, 0, 'no_excel' FROM looked WHERE pos IS NULL"""
 
 # ── SQL text, JSON, prompts, lint, formats ────────────────────────────────────
-from ..operators.textjobs import FLAG_INFO, KNOWN_FUNCTIONS, LINE_RULES, MISSING_RULES  # noqa: E402
-from .oracle_standins import DAG_SOURCE_LINES, RENDERED_JSON, SQL_STATEMENTS  # noqa: E402
+from ..operators.textjobs import FLAG_INFO, LINE_RULES, MISSING_RULES  # noqa: E402
+from .oracle_standins import DAG_SOURCE_LINES, RENDERED_JSON  # noqa: E402
 
 
 def _q(s: str) -> str:
@@ -463,54 +467,42 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_BLANK_RE = r"(?s)--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|" + '"(?:[^"\\\\]|\\\\.)*"'
-_WHERE_RE = r"(?is)\bWHERE\b(.*?)(\bGROUP\s+BY\b|\bORDER\s+BY\b|\bHAVING\b|\bQUALIFY\b|\bLIMIT\b|\bWINDOW\b|$)"
-_FRAG_RE = r"(?i)(\(\s*SELECT\b[^()]*\))"
-_KNOWN = "[" + ", ".join(_q(k) for k in KNOWN_FUNCTIONS) + "]"
-
-_STMTS = with_(SQL_STATEMENTS, f"""
-b AS (SELECT stmt_id, dag_id, sql, regexp_replace(sql, {_q(_BLANK_RE)}, '''''', 'g') AS s FROM sql_statements),
-w AS (SELECT *, regexp_extract(s, {_q(_WHERE_RE)}, 1) AS wh,
-             regexp_extract_all(regexp_replace(s, '\\s+', ' ', 'g'), {_q(_FRAG_RE)}, 1) AS frags FROM b),
-f AS (SELECT *, list_filter(list_transform(regexp_extract_all(wh, '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1),
-                                           lambda x: lower(x)), lambda x: NOT list_contains({_KNOWN}, x))[1] AS fn
-      FROM w)
-""")
-
-ORACLES["sql_flags"] = _STMTS + f"""
-SELECT stmt_id, 'select_star' AS flag_type, {_q(FLAG_INFO['select_star'][0])} AS severity,
-       {_q(FLAG_INFO['select_star'][1])} AS description
-FROM f WHERE regexp_matches(s, {_q(r'(?i)(\bSELECT\s+|\bDISTINCT\s+|,\s*|\.|\(\s*)\*')})
-UNION ALL
-SELECT stmt_id, 'full_table_scan', {_q(FLAG_INFO['full_table_scan'][0])}, {_q(FLAG_INFO['full_table_scan'][1])}
-FROM f WHERE NOT regexp_matches(s, '(?i)\\bWHERE\\b')
-UNION ALL
-SELECT stmt_id, 'repeated_subquery', {_q(FLAG_INFO['repeated_subquery'][0])}, {_q(FLAG_INFO['repeated_subquery'][1])}
-FROM f WHERE len(frags) <> len(list_distinct(frags))
-UNION ALL
-SELECT stmt_id, 'non_sargable', 'medium',
-       'Function ''' || fn || ''' applied to column in WHERE — may prevent partition/index use.'
-FROM f WHERE regexp_matches(s, '(?i)\\bWHERE\\b') AND fn IS NOT NULL"""
-
-ORACLES["repeated_fragments"] = _STMTS + """
-SELECT stmt_id, CAST(len(frags) AS BIGINT) AS fragments, len(frags) <> len(list_distinct(frags)) AS repeated FROM f"""
-
-_READ_RE = r"(?i)\b(?:FROM|JOIN)\s+`?([A-Za-z_][A-Za-z0-9_.\-]*)`?"
-_WRITE_RE = (r"(?i)\b(?:INSERT\s+(?:INTO\s+)?|MERGE\s+(?:INTO\s+)?|CREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+"
-             r"(?:IF\s+NOT\s+EXISTS\s+)?)`?([A-Za-z_][A-Za-z0-9_.\-]*)`?")
-
-ORACLES["object_access"] = _STMTS + f""",
+# What each of the six shapes of statements holds is known from how the stand-in makes them,
+# so these oracles state the answers and do not repeat the rules.
+_FLAGGED = """
+SELECT o_orderkey AS stmt_id, x.flag AS flag_type, x.fn FROM orders, (VALUES
+  (0, 'select_star', NULL), (0, 'full_table_scan', NULL), (1, 'non_sargable', 'UDF_CLEAN'),
+  (2, 'select_star', NULL), (3, 'repeated_subquery', NULL), (4, 'full_table_scan', NULL),
+  (5, 'select_star', NULL), (5, 'non_sargable', 'my_fn')) x(shape, flag, fn)
+WHERE o_orderkey % 6 = x.shape"""
+
+ORACLES["sql_flags"] = f"""
+SELECT stmt_id, flag_type,
+       CASE flag_type {' '.join(f"WHEN {_q(k)} THEN {_q(v[0])}" for k, v in FLAG_INFO.items())} END AS severity,
+       CASE WHEN fn IS NOT NULL
+            THEN 'Function ' || chr(39) || fn || chr(39) || ' applied to column in WHERE — may prevent partition/index use.'
+            ELSE CASE flag_type {' '.join(f"WHEN {_q(k)} THEN {_q(v[1])}" for k, v in FLAG_INFO.items())} END
+       END AS description
+FROM ({_FLAGGED})"""
+
+ORACLES["repeated_fragments"] = """
+SELECT o_orderkey AS stmt_id, CAST(CASE o_orderkey % 6 WHEN 3 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS BIGINT) AS fragments,
+       o_orderkey % 6 = 3 AS repeated FROM orders"""
+
+ORACLES["object_access"] = """
+WITH o AS (SELECT 'dag_' || CAST(o_custkey % 20 AS VARCHAR) AS dag_id, o_orderkey % 6 AS shape,
+                  CAST(o_custkey AS VARCHAR) AS c, o_custkey FROM orders),
 acc AS (
-  SELECT dag_id, unnest(regexp_extract_all(s, {_q(_READ_RE)}, 1)) AS object, true AS r, false AS w FROM b
-  UNION ALL
-  SELECT dag_id, unnest(regexp_extract_all(s, {_q(_WRITE_RE)}, 1)), false, true FROM b),
-g AS (SELECT dag_id, object, bool_or(r) AS r, bool_or(w) AS w FROM acc GROUP BY dag_id, object)
-SELECT dag_id, object, operation, type FROM (
-  SELECT dag_id, object,
-         CASE WHEN r AND w THEN 'read/write' WHEN w THEN 'write' ELSE 'read' END AS operation,
-         CASE WHEN regexp_matches(lower(object), '(_view|_vw|_v)$') OR (r AND NOT w) THEN 'view' ELSE 'table' END AS type,
-         row_number() OVER (PARTITION BY dag_id ORDER BY object) AS rn
-  FROM g) WHERE rn <= 10"""
+  SELECT dag_id, 'sales.orders_' || c AS object, true AS r FROM o WHERE shape IN (0, 2) UNION
+  SELECT dag_id, 'sales.orders_v', true FROM o WHERE shape = 1 UNION
+  SELECT dag_id, 'mart.daily_' || CAST(o_custkey % 7 AS VARCHAR), false FROM o WHERE shape = 2 UNION
+  SELECT dag_id, 't', true FROM o WHERE shape = 3 UNION
+  SELECT dag_id, 'ref.keys_' || CAST(o_custkey % 3 AS VARCHAR), true FROM o WHERE shape = 3 UNION
+  SELECT dag_id, 'mart.cust_' || c, false FROM o WHERE shape = 4 UNION
+  SELECT dag_id, x.object, true FROM o, (VALUES ('ops.orders'), ('ops.lines')) x(object) WHERE shape = 5)
+SELECT dag_id, object, CASE WHEN bool_or(r) AND bool_or(NOT r) THEN 'read/write' WHEN bool_or(r) THEN 'read' ELSE 'write' END AS operation,
+       CASE WHEN bool_and(r) THEN 'view' ELSE 'table' END AS type
+FROM acc GROUP BY dag_id, object"""
 
 _SQLW = "(?i)\\b(SELECT|WITH|INSERT|MERGE|UPDATE|DELETE|CREATE)\\b"
 
@@ -736,6 +728,18 @@ SELECT id, name, source FROM saved_queries
 WHERE contains(lower(name), 't5') OR contains(lower(sql), 't5') OR contains(lower(coalesce(description, '')), 't5')
    OR len(list_filter(tags, lambda t: contains(t, 't5'))) > 0"""
 
+# term by term in glossary order over every text: word boundaries as classes (RE2's are ASCII only)
+ORACLES["expand_glossary"] = with_(GLOSSARY).replace("WITH ", "WITH RECURSIVE ", 1) + r"""
+, steps AS (SELECT row_number() OVER (ORDER BY pos) AS i, term, definition FROM glossary),
+fold(conv_id, turn, i, t) AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT), text FROM conversations
+  UNION ALL
+  SELECT f.conv_id, f.turn, s.i,
+         regexp_replace(f.t, '(?i)(^|[^\pL\pN_])' || regexp_escape(s.term) || '($|[^\pL\pN_])',
+                        '\1' || s.term || ' (' || replace(coalesce(s.definition, ''), '\', '\\') || ')\2')
+  FROM fold f JOIN steps s ON s.i = f.i + 1)
+SELECT conv_id, turn, t AS expanded FROM fold WHERE i = (SELECT count(*) FROM steps)"""
+
 ORACLES["search_glossary"] = with_(GLOSSARY) + """
 SELECT term, pos, definition FROM glossary WHERE contains(lower(term), 'th') OR contains(lower(definition), 'th')"""
 

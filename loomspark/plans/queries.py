@@ -196,6 +196,11 @@ def q_row_diff(spark, sf):
     return compare.row_diff(S.read_table(spark, sf, "orders"), S.orders_changed(spark, sf), n=100)
 
 
+@register("row_diff_all")
+def q_row_diff_all(spark, sf):
+    return compare.row_diff(S.read_table(spark, sf, "orders"), S.orders_changed(spark, sf), n=None)
+
+
 @register("fingerprint")
 def q_fingerprint(spark, sf):
     return compare.fingerprint(S.read_table(spark, sf, "orders"))
@@ -355,7 +360,7 @@ def q_repeated_fragments(spark, sf):
 
 @register("object_access")
 def q_object_access(spark, sf):
-    return textjobs.object_access(S.sql_statements(spark, sf), group="dag_id", limit=10)
+    return textjobs.object_access(S.sql_statements(spark, sf), group="dag_id")
 
 
 @register("json_extract")

@@ -1,61 +1,67 @@
 """Read-only SQL entry point over registered tables.
 
 The statement is checked *before* it reaches ``spark.sql``, because Spark runs
-commands (DDL/DML) eagerly when the statement is parsed.  The check blanks comments
-and quoted text, then requires a single statement that starts like a query and
-contains no write/DDL keyword anywhere (``WITH … INSERT`` parses like a read).
-No LIMIT is ever added: the caller decides what to collect.
+commands (DDL/DML) eagerly.  Spark's own parser reads it (parsing executes nothing);
+the parsed plan may hold no command, no insert and no external script.  Functions that
+call arbitrary JVM methods are refused by name.  No LIMIT is ever added: the caller
+decides what to collect.
 """
 from __future__ import annotations
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: statement starts accepted as reads
-READ_STARTS = ("SELECT", "WITH", "VALUES", "FROM", "TABLE")
-# fixed values: keywords that make a statement a write, DDL or session command
-BLOCKED = ("INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "MERGE", "TRUNCATE", "ALTER",
-           "GRANT", "REVOKE", "LOAD", "COPY", "ATTACH", "DETACH", "PRAGMA", "CALL",
-           "EXECUTE", "SET", "RESET", "USE", "REFRESH", "CACHE", "UNCACHE", "MSCK", "ANALYZE",
-           "REPAIR", "ADD", "OVERWRITE", "DECLARE")
+# fixed values: functions that run code of the session's JVM
+JVM_CALLS = ("reflect", "java_method", "try_reflect")
+# fixed values: parsed nodes that are no reads, besides every command
+_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
+NO_READS = (_LOGICAL + "Command", _LOGICAL + "ParsedStatement", _LOGICAL + "ScriptTransformation")
 
+# raw strings first: a backslash in them escapes nothing
 _COMMENT_OR_QUOTE = re.compile(
-    r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`", re.S)
+    r"--[^\n]*|/\*.*?\*/|\b[rR]'[^']*'|\b[rR]\"[^\"]*\"|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.S)
 
 
 class ReadOnlyViolation(ValueError):
     pass
 
 
-def _blank(sql: str) -> str:
-    return _COMMENT_OR_QUOTE.sub(lambda m: " " if m.group(0)[0] in "-/" else "''", sql)
+def _tokens(sql: str) -> str:
+    """The statement without comments, literals and back quotes."""
+    return _COMMENT_OR_QUOTE.sub(" ", sql).replace("`", "")
 
 
-def check_read_only(sql: str) -> str:
+def check_read_only(sql: str, spark: SparkSession | None = None) -> str:
     """Return the statement (without a trailing ';') or raise ``ReadOnlyViolation``."""
-    body = _blank(sql).strip()
-    while body.endswith(";"):
-        body = body[:-1].rstrip()
-    if ";" in body:
-        raise ReadOnlyViolation("only one statement is allowed")
-    first = re.match(r"[\s(]*([A-Za-z]+)", body)
-    if not first or first.group(1).upper() not in READ_STARTS:
-        raise ReadOnlyViolation("only SELECT / WITH / VALUES / FROM / TABLE statements are allowed")
-    words = set(w.upper() for w in re.findall(r"[A-Za-z_]+", body))
-    hit = sorted(words.intersection(BLOCKED))
-    if hit:
-        raise ReadOnlyViolation(f"statement contains {', '.join(hit)}")
-    s = sql.strip()
-    while s.endswith(";"):
-        s = s[:-1].rstrip()
-    return s
+    spark = spark or SparkSession.active()
+    stmt = sql.strip()
+    while stmt.endswith(";"):
+        stmt = stmt[:-1].rstrip()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(stmt)
+    except ParseException as exc:
+        raise ReadOnlyViolation(f"not a single valid statement: {str(exc)[:200]}") from None
+    jvm = spark.sparkContext._jvm
+    refused = [jvm.java.lang.Class.forName(n, False, plan.getClass().getClassLoader()) for n in NO_READS]
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        if any(c.isInstance(node) for c in refused):
+            raise ReadOnlyViolation(f"{node.nodeName()} is not a read")
+        for below in (node.children(), node.innerChildren()):
+            waiting += [n for n in (below.apply(i) for i in range(below.size())) if hasattr(n, "nodeName")]
+    calls = re.findall(r"(?i)\b(" + "|".join(JVM_CALLS) + r")\s*\(", _tokens(stmt))
+    if calls:
+        raise ReadOnlyViolation(f"function {calls[0]} is not allowed")
+    return stmt
 
 
 def run_sql(spark: SparkSession, sql: str) -> DataFrame:
     """Run a read-only query; with no tables registered, an empty result with a note."""
-    stmt = check_read_only(sql)
+    stmt = check_read_only(sql, spark)
     if not spark.catalog.listTables():
         return spark.createDataFrame([("no tables are registered",)], "note string").limit(0)
     return spark.sql(stmt)

@@ -5,9 +5,6 @@ in settings that are not already present, so cluster-provided values win.
 """
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Defaults that matter for correctness (UTC) and for scale (AQE, skew handling).
@@ -42,23 +39,18 @@ def build_session(master: str | None = None, app: str = "loomspark",
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local (test) session without that setting gets a fresh scratch folder;
-    a cluster session without it is an error, because a machine-local folder does
-    not survive the loss of an executor.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``.  Where that is unset (as in tests), a folder
+    in the session's warehouse, which driver and executors share too; it goes when the session ends."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not _is_local(spark):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        d = tempfile.mkdtemp(prefix="loomspark-ckpt-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        d = f"{base}/_checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", d)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
@@ -73,20 +65,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table next to the checkpoints (shared storage)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows (one bounded
-    count: ``limit(max_rows + 1)``); otherwise return it unchanged, so the join shuffles
-    (and AQE may still broadcast it once it has measured the real size)."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Partition sizing for a job reading ``input_bytes`` on ``total_cores`` executor cores:
     file splits and shuffle partitions of about ``target_partition_bytes`` (so a task's data

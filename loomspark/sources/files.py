@@ -7,8 +7,10 @@ needed (hashes, code scans).
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, MapType, StringType,
@@ -18,7 +20,8 @@ from ..functions.names import path_name, path_stem
 
 
 def _strip_scheme(c):
-    return F.regexp_replace(c, r"^file:", "")
+    """The path as listings give it: no scheme, no URL encoding."""
+    return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), r"^file:(?://(?=/))?", "")
 
 
 def list_objects(spark: SparkSession, root: str, glob: str | None = None, with_md5: bool = False) -> DataFrame:
@@ -39,9 +42,11 @@ def list_tree(spark: SparkSession, root: str, folder: str | None = None, glob: s
     """Files under root/folder keyed by the path relative to that folder."""
     base = root.rstrip("/") + ("/" + folder.strip("/") if folder else "")
     lst = list_objects(spark, base, glob)
-    marker = "/" + base.strip("/").split("/")[-1] + "/"
-    rel = F.expr(f"substring(path, instr(path, '{marker}') + {len(marker)})")
-    return lst.withColumn("rel_path", rel)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    resolved = re.sub(r"^file:(//(?=/))?", "", fs.resolvePath(path).toString()).rstrip("/")
+    return lst.withColumn("rel_path", F.substring("path", len(resolved) + 2, 2 ** 31 - 1))
 
 
 def scan_workbooks(spark: SparkSession, roots: Sequence[str], folder_filter: str | None = None) -> DataFrame:
@@ -78,11 +83,18 @@ def read_delimited(spark: SparkSession, path: str, infer: bool = True) -> DataFr
 
 
 def read_store(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A JSON store with a fixed schema; missing or unreadable → empty table."""
+    """A JSON store with a fixed schema.  A missing store is empty; a store with a line
+    that does not parse is corrupt as a whole and is empty too (never a partial table)."""
     try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    except Exception:  # noqa: BLE001 — a missing store is the default value
+        raw = spark.read.schema(StructType([*schema.fields, StructField("_corrupt", StringType())])).option(
+            "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
+    # every column is asked for, so every line is parsed in full
+    broken = raw.where(F.col("_corrupt").isNotNull()).select(*raw.columns).limit(1).collect()
+    return spark.createDataFrame([], schema) if broken else raw.select(*schema.names)
 
 
 MAPPING_VALUE = StructType([StructField("bq_table", StringType()), StructField("dag_names", ArrayType(StringType()))])

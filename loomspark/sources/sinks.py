@@ -2,6 +2,7 @@
 collected.  Stores are written as new versions, never over the path being read."""
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import DataFrame
@@ -39,9 +40,12 @@ def write_ddl(ddl_rows: DataFrame, path: str) -> None:
 
 
 def write_text_bundle(files: DataFrame, path: str, content: str = "content", kind: str = "file_type") -> None:
-    """K5: the files whose status is ok, as text, one folder per file type."""
+    """K5: the files whose status is ok, as text, one folder per file type
+    and path, so that every body keeps its name."""
     ok = files.where(F.col("status") == "ok")
-    ok.select(kind, F.col(content).alias("value")).write.mode("overwrite").partitionBy(kind).text(path)
+    named = [F.col(kind)] + ([F.col("path")] if "path" in files.columns else [])
+    ok.select(*named, F.col(content).alias("value")).write.mode("overwrite").partitionBy(
+        *[c for c in (kind, "path") if c in files.columns]).text(path)
 
 
 def append_audit(record: DataFrame, path: str) -> None:
@@ -59,10 +63,13 @@ def write_version(df: DataFrame, base: str, version: int | None = None) -> str:
 
 
 def latest_version(spark, base: str) -> DataFrame | None:
-    """The newest version written by ``write_version`` (None when there is none)."""
-    try:
-        all_v = spark.read.parquet(base)
-    except Exception:  # noqa: BLE001 — no snapshot yet
+    """The newest complete version written by ``write_version`` (None when there is none).  Only
+    that version's folder is read; a folder without a success mark is still being written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base.rstrip("/"))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return None
-    top = all_v.agg(F.max("v").alias("v"))
-    return all_v.join(top, "v", "left_semi").drop("v")
+    found = [(int(m[1]), st.getPath().toString()) for st in fs.listStatus(path)
+             if (m := re.fullmatch(r"v=(\d+)", st.getPath().getName()))
+             and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(max(found)[1]) if found else None

@@ -71,20 +71,3 @@ def test_acknowledge_upsert(spark):
     names = spark.createDataFrame([("A_v2.sql",), ("b.sql",)], "raw_name string")
     out = {r["logical_name"]: r["reason"] for r in R.acknowledge(store, names, "new").collect()}
     assert out == {"a": "new", "b": "new"}
-
-
-def test_size_guard(spark):
-    git = _inv(spark, [("a.sql", 1, "x" * 10), ("b.sql", 1, "small")])
-    gcs = _inv(spark, [("a.sql", 1, "x" * 10), ("b.sql", 1, "small")])
-    mp = _map(spark, [("a", 1, "t.a"), ("b", 1, "t.b")])
-    out = {r["logical_name"]: r["status"] for r in R.reconcile(git, gcs, mp, max_bytes=10).collect()}
-    assert out == {"a": "content_drift", "b": "in_sync"}
-
-
-def test_diff_size_guard(spark):
-    keys = spark.createDataFrame([("a",), ("b",)], "k string")
-    left = spark.createDataFrame([("a", "x\n" * 50), ("b", "y\n")], "k string, content string")
-    right = spark.createDataFrame([("a", "z\n" * 50), ("b", "w\n")], "k string, content string")
-    out = {r["k"]: r for r in R.diff_pairs(keys, left, right, "k", max_bytes=64).collect()}
-    assert out["a"]["unified_diff"] is None and out["a"]["diff_note"] == "too large to diff"
-    assert "+w" in out["b"]["unified_diff"] and out["b"]["diff_note"] is None

@@ -7,18 +7,24 @@ from loomspark.plans.sqlapi import ReadOnlyViolation, check_read_only, run_sql
     "INSERT INTO t VALUES (1)", "drop table t", "/* hi */ DROP TABLE t", "-- c\nDELETE FROM t",
     "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT 1; DROP TABLE t", "CREATE VIEW v AS SELECT 1",
     "SET spark.sql.x=1", "MERGE INTO t USING s ON 1=1", "select 1 union all select 2; select 3",
-    "CACHE TABLE t", "ALTER TABLE t ADD COLUMN x INT",
+    "CACHE TABLE t", "ALTER TABLE t ADD COLUMN x INT", "", "SELECT (",
+    r"WITH x AS (SELECT r'\' AS a) INSERT INTO t SELECT * FROM x -- '", "FROM a INSERT INTO t SELECT *",
+    r"WITH x AS (SELECT R\"\" AS a) INSERT INTO t SELECT * FROM x -- \"",
+    "/* a /* nested */ b */ INSERT INTO t SELECT 1", "SELECT reflect('java.lang.System', 'exit', 0)",
+    "SELECT `java_method`('java.lang.Runtime', 'getRuntime')", "SELECT r'\\', try_reflect ('a', 'b')",
+    "SELECT TRANSFORM(a) USING 'cat' FROM t", "DESCRIBE t", "EXPLAIN SELECT 1", "USE db",
 ])
-def test_rejects_writes(sql):
+def test_rejects_writes(spark, sql):
     with pytest.raises(ReadOnlyViolation):
         check_read_only(sql)
 
 
 @pytest.mark.parametrize("sql", [
     "SELECT 'drop table x' AS s", "-- comment\nSELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a",
+    "SELECT load, set, add FROM metrics", "SELECT 'reflect(1)' AS s -- reflect(", "SELECT * FROM (WITH a AS (SELECT 1) SELECT * FROM a)",
     "VALUES (1), (2)", "(SELECT 1)", "SELECT replace('a', 'a', 'b');", "FROM range(3) SELECT id",
 ])
-def test_allows_reads(sql):
+def test_allows_reads(spark, sql):
     check_read_only(sql)
 
 
