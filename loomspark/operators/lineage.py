@@ -36,12 +36,17 @@ def trigger_target(operator, trigger_dag_id, conf=None, params=None):
         cands.append(F.get_json_object(F.col(conf), "$.trigger_dag_id"))
     if params is not None:
         cands.append(F.get_json_object(F.col(params), "$.trigger_dag_id.value"))
-    return F.when(F.col(operator).contains("TriggerDagRun"), F.coalesce(*cands))
+    return F.when(F.col(operator).contains("TriggerDagRun"), F.coalesce(*[F.nullif(c, F.lit("")) for c in cands]))
+
+
+def _trigger(tasks: DataFrame):
+    """F39 with every branch the task table has a column for."""
+    return trigger_target("operator", "trigger_dag_id", *[c if c in tasks.columns else None for c in ("conf", "params")])
 
 
 def child_dag_edges(tasks: DataFrame) -> DataFrame:
     """Parent DAG → triggered DAG, deduplicated per parent."""
-    t = tasks.select("dag_id", trigger_target("operator", "trigger_dag_id").alias("child_dag_id"))
+    t = tasks.select("dag_id", _trigger(tasks).alias("child_dag_id"))
     return t.where(F.col("child_dag_id").isNotNull()).dropDuplicates(["dag_id", "child_dag_id"])
 
 
@@ -63,14 +68,14 @@ def task_graph(tasks: DataFrame, runs: DataFrame, instances: DataFrame,
             .agg(F.max_by(F.struct("state", "start_date", "end_date", "duration", "try_number"), "seq").alias("i")))
     computed = duration_seconds("i.start_date", "i.end_date")
     dur = F.when(computed.isNull() | (computed == 0), F.col("i.duration")).otherwise(computed)
-    return (tasks.join(run, "dag_id", "left")
+    return (tasks.withColumn("_child", _trigger(tasks)).join(run, "dag_id", "left")
             .join(inst, ["dag_id", "run_id", "task_id"], "left")
             .select("dag_id", "run_id", "run_state", "task_id", "operator",
                     F.array_join("downstream_task_ids", ", ").alias("downstream"),
                     F.col("i.state").alias("state"), F.col("i.start_date").alias("start_time"),
                     F.col("i.end_date").alias("end_time"), dur.alias("duration_s"),
                     F.col("i.try_number").alias("try_number"),
-                    trigger_target("operator", "trigger_dag_id").alias("trigger_dag_id")))
+                    F.col("_child").alias("trigger_dag_id")))
 
 
 def sql_coverage(tasks: DataFrame) -> DataFrame:
@@ -100,6 +105,24 @@ def lineage_edges(mapping: DataFrame, tasks: DataFrame) -> DataFrame:
     return wb.unionByName(roots).unionByName(down).unionByName(sql)
 
 
+def lineage_nodes(mapping: DataFrame, tasks: DataFrame) -> DataFrame:
+    """G1: the nodes of ``lineage_edges`` — ``id``, ``type`` (excel, dag, task, sql), ``label`` and the
+    ``detail`` a reader wants first: target table, operator or the SQL text."""
+    none = F.lit(None).cast("string")
+    excel = mapping.select(F.concat(F.lit("excel:"), F.col("raw_name")).alias("id"), F.lit("excel").alias("type"),
+                           F.col("raw_name").alias("label"), F.col("bq_table").alias("detail"))
+    dags = (mapping.select(F.explode("dag_names").alias("dag_id")).unionByName(tasks.select("dag_id")).distinct()
+            .select(F.concat(F.lit("dag:"), F.col("dag_id")).alias("id"), F.lit("dag").alias("type"),
+                    F.col("dag_id").alias("label"), none.alias("detail")))
+    name = F.concat(F.col("dag_id"), F.lit("."), F.col("task_id"))
+    task = tasks.select(F.concat(F.lit("task:"), name).alias("id"), F.lit("task").alias("type"),
+                        F.col("task_id").alias("label"), F.col("operator").alias("detail"))
+    sql = tasks.where(F.length(F.trim("sql")) > 0).select(
+        F.concat(F.lit("sql:"), name).alias("id"), F.lit("sql").alias("type"), F.col("task_id").alias("label"),
+        F.col("sql").alias("detail"))
+    return excel.unionByName(dags).unionByName(task).unionByName(sql).dropDuplicates(["id"])
+
+
 def task_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Shortest depth of every node reachable from a root (a node that is nobody's dst).
 
@@ -199,67 +222,138 @@ def mapping_lookup(entries: DataFrame, config: DataFrame) -> DataFrame:
         .drop("_stem", "_lstem", "_bq1", "_d1", "_in1", "_bq2", "_d2")
 
 
+def _traced_dags(needles: DataFrame, registry: DataFrame, config: DataFrame) -> DataFrame:
+    """(needle, pos, table_name, bq_table, dag_id): the first workbook of each needle and the DAGs of
+    its mapping; a null ``pos`` where no workbook matches, a null ``dag_id`` where no DAG is listed."""
+    wb = lookup_first(registry, needles)
+    mapped = mapping_lookup(wb.where(F.col("pos").isNotNull()), config)
+    out = mapped.select("needle", "pos", "table_name", "bq_table", F.explode_outer("dag_names").alias("dag_id"))
+    none = wb.where(F.col("pos").isNull()).select("needle", "pos", *[
+        F.lit(None).cast("string").alias(c) for c in ("table_name", "bq_table", "dag_id")])
+    return out.unionByName(none)
+
+
 def trace(needles: DataFrame, registry: DataFrame, config: DataFrame, runs: DataFrame,
           tasks: DataFrame, instances: DataFrame, n_runs: int = 5) -> DataFrame:
     """Q16 (batch form): for any number of mapping names at once →
     workbook (first registry match) → mapping (target table, DAGs) → each DAG's newest
-    ``n_runs`` runs with task counts, failed tasks and tasks with SQL.
-    status: no_excel (no workbook matches), no_dag (mapping lists no DAG), not_found (a
-    listed DAG has no run), ok."""
-    wb = lookup_first(registry, needles)
-    mapped = mapping_lookup(wb.where(F.col("pos").isNotNull()), config)
-    per_dag = mapped.select("needle", "table_name", "bq_table", F.explode_outer("dag_names").alias("dag_id"))
-    recent = recent_runs(runs, n_runs).select("dag_id", "run_id", "state", "logical_date", "recency")
+    ``n_runs`` runs by start date, with task counts, failed tasks and tasks with SQL.
+    status: no_excel (the registry is empty), not_found (no workbook matches), no_dag (the
+    mapping lists no DAG), no_runs (a listed DAG has none), ok."""
+    per_dag = _traced_dags(needles, registry, config)
+    recent = recent_runs(runs, n_runs, order="start_date").select("dag_id", "run_id", "state", "recency")
     tstat = (instances.join(recent.select("dag_id", "run_id"), ["dag_id", "run_id"], "left_semi")
              .groupBy("dag_id", "run_id").agg(
                  F.count_distinct("task_id").alias("tasks_run"),
                  F.count_distinct(F.when(F.col("state") == "failed", F.col("task_id"))).alias("tasks_failed")))
-    cov = sql_coverage(tasks)
     out = (per_dag.join(recent, "dag_id", "left").join(tstat, ["dag_id", "run_id"], "left")
-           .join(cov, "dag_id", "left"))
-    status = (F.when(F.col("dag_id").isNull(), F.lit("no_dag"))
-              .when(F.col("run_id").isNull(), F.lit("not_found")).otherwise(F.lit("ok")))
-    found = out.select("needle", "table_name", "bq_table", "dag_id", "run_id", F.col("state").alias("run_state"),
-                       F.col("recency").cast("long").alias("recency"),
-                       F.coalesce("tasks_run", F.lit(0)).cast("long").alias("tasks_run"),
-                       F.coalesce("tasks_failed", F.lit(0)).cast("long").alias("tasks_failed"),
-                       F.coalesce("tasks", F.lit(0)).cast("long").alias("tasks"),
-                       F.coalesce("tasks_with_sql", F.lit(0)).cast("long").alias("tasks_with_sql"),
-                       status.alias("status"))
-    missing = wb.where(F.col("pos").isNull()).select(
-        "needle", F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("string").alias("bq_table"),
-        F.lit(None).cast("string").alias("dag_id"), F.lit(None).cast("string").alias("run_id"),
-        F.lit(None).cast("string").alias("run_state"), F.lit(None).cast("long").alias("recency"),
-        *[F.lit(0).cast("long").alias(c) for c in ("tasks_run", "tasks_failed", "tasks", "tasks_with_sql")],
-        F.lit("no_excel").alias("status"))
-    return found.unionByName(missing)
+           .join(sql_coverage(tasks), "dag_id", "left"))
+    status = (F.when(F.col("pos").isNull(), "no_excel" if registry.isEmpty() else "not_found")
+              .when(F.col("dag_id").isNull(), "no_dag").when(F.col("run_id").isNull(), "no_runs").otherwise("ok"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tasks_run", "tasks_failed", "tasks", "tasks_with_sql")]
+    return out.select("needle", "table_name", "bq_table", "dag_id", "run_id", F.col("state").alias("run_state"),
+                      F.col("recency").cast("long").alias("recency"), *counts, status.alias("status"))
+
+
+def trace_runs(needles: DataFrame, registry: DataFrame, config: DataFrame, runs: DataFrame,
+               n_runs: int = 5) -> DataFrame:
+    """Q16, runs: per needle and DAG the newest ``n_runs`` runs by start date with durations."""
+    recent = recent_runs(runs, n_runs, order="start_date")
+    return (_traced_dags(needles, registry, config).where(F.col("dag_id").isNotNull()).select("needle", "dag_id")
+            .join(recent, "dag_id").select(
+                "needle", "dag_id", "recency", "run_id", "state", F.col("start_date").alias("start_time"),
+                F.col("end_date").alias("end_time"), duration_seconds("start_date", "end_date").alias("duration_s")))
+
+
+def trace_tasks(needles: DataFrame, registry: DataFrame, config: DataFrame, runs: DataFrame,
+                tasks: DataFrame, instances: DataFrame) -> DataFrame:
+    """Q16, tasks: per needle and DAG every task with the state and stored duration of its instance
+    in the DAG's newest run by start date (of several instances the last in ``seq`` order)."""
+    last = recent_runs(runs, 1, order="start_date").select("dag_id", "run_id")
+    inst = (instances.join(last, ["dag_id", "run_id"], "left_semi").groupBy("dag_id", "task_id")
+            .agg(F.max_by(F.struct("run_id", "state", "duration"), "seq").alias("i")))
+    return (_traced_dags(needles, registry, config).where(F.col("dag_id").isNotNull()).select("needle", "dag_id")
+            .join(tasks, "dag_id").join(inst, ["dag_id", "task_id"], "left").select(
+                "needle", "dag_id", "task_id", "operator", F.array_join("downstream_task_ids", ", ").alias("downstream"),
+                F.col("i.run_id").alias("run_id"), F.col("i.state").alias("state"),
+                F.col("i.duration").alias("duration_s")))
+
+
+def trace_sql(needles: DataFrame, registry: DataFrame, config: DataFrame, runs: DataFrame,
+              tasks: DataFrame, rendered: DataFrame, n_runs: int = 10, files: DataFrame | None = None) -> DataFrame:
+    """Q16, SQL: per needle and DAG the best SQL of every task that has some."""
+    best = task_sql(tasks, runs, rendered, n_runs, files).where(F.length("best_sql") > 0)
+    return (_traced_dags(needles, registry, config).where(F.col("dag_id").isNotNull()).select("needle", "dag_id")
+            .join(best, "dag_id").select("needle", "dag_id", "task_id", "best_sql"))
+
+
+def rendered_from_fields(instances: DataFrame, fields: str = "rendered_fields") -> DataFrame:
+    """Instances with ``rendered_sql`` and ``truncated`` read from their rendered-fields JSON: the SQL
+    found in it (F15), else what is left of a truncated repr (F17, F18)."""
+    from ..functions import sqltext as T
+    inner = T.unwrap_rendered(fields)
+    cut = T.salvage_truncated_sql(F.get_json_object(inner, "$.configuration"))
+    truncated = T.is_truncated(fields)
+    return instances.withColumns({
+        "rendered_sql": F.when(truncated, cut).otherwise(T.extract_sql(inner)), "truncated": truncated})
+
+
+def raw_task_sql(tasks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(dag_id, task_id, raw_sql) from task definitions (JSON text in ``definition``): the content of the
+    .sql file a definition names (F16) — ``files`` holds ``rel_path``, ``content`` and, where a path
+    exists below several roots, ``root_order``: the first root that has text — else the SQL in the
+    definition itself (F15).  Tasks without a definition column keep their ``sql``."""
+    from ..functions import sqltext as T
+    if "definition" not in tasks.columns:
+        return tasks.select("dag_id", "task_id", F.col("sql").alias("raw_sql"))
+    t = tasks.select("dag_id", "task_id", T.sql_file_ref("definition").alias("rel_path"),
+                     T.extract_sql("definition").alias("_own"))
+    if files is None:
+        return t.select("dag_id", "task_id", F.col("_own").alias("raw_sql"))
+    order = F.col("root_order") if "root_order" in files.columns else F.lit(0)
+    first = (files.where(F.length("content") > 0).join(t.select("rel_path").distinct(), "rel_path", "left_semi")
+             .groupBy("rel_path").agg(F.min_by("content", order).alias("content")))
+    return t.join(first, "rel_path", "left").select("dag_id", "task_id", F.coalesce("content", "_own").alias("raw_sql"))
 
 
 def latest_task_sql(runs: DataFrame, rendered: DataFrame, n_runs: int = 10) -> DataFrame:
     """W3 (batch form): per (dag, task), among the DAG's newest ``n_runs`` successful runs,
     the newest run in which the task rendered SQL.  The instance of a task in a run is the
-    last one in ``seq`` order."""
+    last one in ``seq`` order.  ``truncated`` comes along where the instances have it."""
     ok = recent_runs(runs.where(F.col("state") == "success"), n_runs)
+    more = ["truncated"] if "truncated" in rendered.columns else []
     inst = (rendered.join(ok.select("dag_id", "run_id"), ["dag_id", "run_id"], "left_semi")
             .groupBy("dag_id", "run_id", "task_id")
-            .agg(F.max_by("rendered_sql", "seq").alias("rendered_sql")))
+            .agg(F.max_by(F.struct("rendered_sql", *more), "seq").alias("i")).select("dag_id", "run_id", "task_id", "i.*"))
     with_sql = inst.where(F.coalesce(F.length(F.trim("rendered_sql")), F.lit(0)) > 0)
     order = ok.select("dag_id", "run_id", F.struct(F.col("logical_date"), F.col("run_key")).alias("_o"))
     return (with_sql.join(order, ["dag_id", "run_id"])
             .groupBy("dag_id", "task_id")
-            .agg(F.max_by(F.struct("run_id", "rendered_sql"), "_o").alias("r"))
-            .select("dag_id", "task_id", "r.run_id", "r.rendered_sql"))
+            .agg(F.max_by(F.struct("run_id", "rendered_sql", *more), "_o").alias("r"))
+            .select("dag_id", "task_id", "r.run_id", "r.rendered_sql", *[f"r.{c}" for c in more]))
+
+
+def one_task_sql(runs: DataFrame, rendered: DataFrame, dag_id: str, task_id: str, n_runs: int = 10) -> DataFrame:
+    """W3 (single task): the task's instance in the newest of ``n_runs`` successful runs that holds the
+    task at all, with or without SQL."""
+    ok = recent_runs(runs.where((F.col("state") == "success") & (F.col("dag_id") == dag_id)), n_runs)
+    inst = rendered.where((F.col("dag_id") == dag_id) & (F.col("task_id") == task_id))
+    return (inst.join(ok.select("dag_id", "run_id", "recency"), ["dag_id", "run_id"])
+            .orderBy("recency", F.desc("seq")).limit(1).select("dag_id", "task_id", "run_id", "rendered_sql"))
 
 
-def task_sql(tasks: DataFrame, runs: DataFrame, rendered: DataFrame, n_runs: int = 10) -> DataFrame:
-    """Q15: raw SQL of the definition, the newest rendered SQL (W3) and the better of the
-    two (F19; rendered text here is never truncated)."""
+def task_sql(tasks: DataFrame, runs: DataFrame, rendered: DataFrame, n_runs: int = 10,
+             files: DataFrame | None = None) -> DataFrame:
+    """Q15: raw SQL of the definition or of the file it names, the newest rendered SQL (W3) and the
+    better of the two (F19: a truncated rendering never beats raw SQL)."""
     from ..functions.sqltext import best_sql
+    if "rendered_sql" not in rendered.columns:
+        rendered = rendered_from_fields(rendered)
     r = latest_task_sql(runs, rendered, n_runs)
-    return (tasks.select("dag_id", "task_id", F.col("sql").alias("raw_sql"))
-            .join(r, ["dag_id", "task_id"], "left")
+    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in r.columns else F.lit(False)
+    return (raw_task_sql(tasks, files).join(r, ["dag_id", "task_id"], "left")
             .select("dag_id", "task_id", "raw_sql", "run_id", "rendered_sql",
-                    best_sql("raw_sql", "rendered_sql", F.lit(False)).alias("best_sql")))
+                    best_sql("raw_sql", "rendered_sql", cut).alias("best_sql")))
 
 
 def task_depth_recursive(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -429,7 +429,7 @@ ml AS (
 ORACLES["mapping_lookup"] = with_(REGISTRY, MAPPING_CONFIG, _MAPLOOK) + """
 SELECT pos, file_path, bq_table, array_to_string(dag_names, ',') AS dag_names FROM ml"""
 
-ORACLES["trace"] = with_(DAG_RUNS, TASK_DEFS, GRAPH_INSTANCES, REGISTRY, MAPPING_CONFIG, NEEDLES, _MAPLOOK, """
+_TRACE = with_(DAG_RUNS, TASK_DEFS, GRAPH_INSTANCES, REGISTRY, MAPPING_CONFIG, NEEDLES, _MAPLOOK, """
 firsts AS (
   SELECT n.needle, min(r.pos) AS pos FROM needles n JOIN registry r
     ON contains(lower(coalesce(r.file_path, '') || chr(1) || coalesce(r.table_name, '')), lower(n.needle))
@@ -439,23 +439,45 @@ per_dag AS (
   SELECT l.needle, r.table_name, m.bq_table, d.dag_id
   FROM looked l JOIN registry r USING (pos) JOIN ml m USING (pos)
   LEFT JOIN (SELECT pos, unnest(dag_names) AS dag_id FROM ml) d USING (pos)),
-recent AS (SELECT dag_id, run_id, state, recency FROM (
-  SELECT *, row_number() OVER (PARTITION BY dag_id ORDER BY logical_date DESC, run_key DESC) AS recency FROM dag_runs)
+recent AS (SELECT dag_id, run_id, state, recency, start_date, end_date FROM (
+  SELECT *, row_number() OVER (PARTITION BY dag_id ORDER BY start_date DESC, run_key DESC) AS recency FROM dag_runs)
   WHERE recency <= 5),
 tstat AS (SELECT dag_id, run_id, count(DISTINCT task_id) AS tasks_run,
                  count(DISTINCT CASE WHEN state = 'failed' THEN task_id END) AS tasks_failed
           FROM graph_instances WHERE (dag_id, run_id) IN (SELECT (dag_id, run_id) FROM recent) GROUP BY ALL),
 cov AS (SELECT dag_id, count(*) AS tasks, count(*) FILTER (WHERE length(trim(coalesce(sql, ''))) > 0) AS tasks_with_sql
         FROM task_defs GROUP BY dag_id)
-""") + """
+""")
+
+ORACLES["trace"] = _TRACE + """
 SELECT p.needle, p.table_name, p.bq_table, p.dag_id, r.run_id, r.state AS run_state, CAST(r.recency AS DOUBLE) AS recency,
        CAST(coalesce(t.tasks_run, 0) AS BIGINT) AS tasks_run, CAST(coalesce(t.tasks_failed, 0) AS BIGINT) AS tasks_failed,
        CAST(coalesce(c.tasks, 0) AS BIGINT) AS tasks, CAST(coalesce(c.tasks_with_sql, 0) AS BIGINT) AS tasks_with_sql,
-       CASE WHEN p.dag_id IS NULL THEN 'no_dag' WHEN r.run_id IS NULL THEN 'not_found' ELSE 'ok' END AS status
+       CASE WHEN p.dag_id IS NULL THEN 'no_dag' WHEN r.run_id IS NULL THEN 'no_runs' ELSE 'ok' END AS status
 FROM per_dag p LEFT JOIN recent r USING (dag_id) LEFT JOIN tstat t ON t.dag_id = p.dag_id AND t.run_id = r.run_id
 LEFT JOIN cov c ON c.dag_id = p.dag_id
 UNION ALL
-SELECT needle, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, 0, 0, 'no_excel' FROM looked WHERE pos IS NULL"""
+SELECT needle, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, 0, 0, 'not_found' FROM looked WHERE pos IS NULL"""
+
+ORACLES["trace_runs"] = _TRACE + """
+SELECT p.needle, p.dag_id, r.recency, r.run_id, r.state, r.start_date AS start_time, r.end_date AS end_time,
+       CAST(epoch_us(r.end_date) - epoch_us(r.start_date) AS DOUBLE) / 1000000 AS duration_s
+FROM per_dag p JOIN recent r USING (dag_id)"""
+
+ORACLES["trace_tasks"] = _TRACE + """
+SELECT p.needle, p.dag_id, t.task_id, t.operator, array_to_string(t.downstream_task_ids, ', ') AS downstream,
+       i.run_id, i.state, i.duration AS duration_s
+FROM per_dag p JOIN task_defs t USING (dag_id)
+LEFT JOIN (SELECT g.* FROM graph_instances g JOIN recent r ON r.dag_id = g.dag_id AND r.run_id = g.run_id AND r.recency = 1
+           QUALIFY row_number() OVER (PARTITION BY g.dag_id, g.task_id
+                                      ORDER BY s1 DESC, s2 DESC, s3 DESC, s4 DESC, s5 DESC) = 1) i
+  ON i.dag_id = t.dag_id AND i.task_id = t.task_id"""
+
+ORACLES["lineage_nodes"] = with_(DAG_RUNS, TASK_DEFS, MAPPING) + """
+SELECT 'excel:' || raw_name AS id, 'excel' AS type, raw_name AS label, bq_table AS detail FROM mapping UNION
+SELECT 'dag:' || dag_id, 'dag', dag_id, NULL FROM (SELECT unnest(dag_names) AS dag_id FROM mapping UNION SELECT dag_id FROM task_defs) UNION
+SELECT 'task:' || dag_id || '.' || task_id, 'task', task_id, operator FROM task_defs UNION
+SELECT 'sql:' || dag_id || '.' || task_id, 'sql', task_id, sql FROM task_defs WHERE length(trim(sql)) > 0"""
 
 # ── SQL text, JSON, prompts, lint, formats ────────────────────────────────────
 from ..operators.textjobs import FLAG_INFO, LINE_RULES, MISSING_RULES  # noqa: E402
@@ -779,6 +801,35 @@ SELECT t.dag_id, t.task_id, t.sql AS raw_sql, l.run_id, l.rendered_sql,
             ELSE coalesce(t.sql, l.rendered_sql) END AS best_sql
 FROM task_defs t LEFT JOIN lts l USING (dag_id, task_id)"""
 
+ORACLES["trace_sql"] = _LATEST_SQL.rstrip() + ", " + _TRACE.split("firsts AS (")[0].split("WITH ", 1)[1].split(
+    GRAPH_INSTANCES)[1].lstrip(",") + "firsts AS (" + _TRACE.split("firsts AS (")[1].split("recent AS (")[0].rstrip().rstrip(",") + """
+SELECT p.needle, p.dag_id, t.task_id,
+       CASE WHEN length(coalesce(l.rendered_sql, '')) > length(t.sql) THEN l.rendered_sql ELSE t.sql END AS best_sql
+FROM per_dag p JOIN task_defs t USING (dag_id) LEFT JOIN lts l USING (dag_id, task_id) WHERE t.sql IS NOT NULL"""
+
+# which SQL each loading task has is known from how the stand-ins make it
+ORACLES["task_sql_files"] = with_(DAG_RUNS, """
+ok AS (SELECT run_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY dag_id ORDER BY logical_date DESC, run_key DESC) AS rc
+  FROM dag_runs WHERE state = 'success') WHERE rc <= 10),
+t AS (
+  SELECT 'dag_' || CAST(o_custkey % 20 AS VARCHAR) AS dag_id, 'load_' || CAST(o_orderkey AS VARCHAR) AS task_id,
+         CASE WHEN o_orderkey % 16 = 0 THEN 'SELECT file_col FROM root1.t_' || CAST(o_orderkey AS VARCHAR)
+              WHEN o_orderkey % 8 = 0 THEN 'SELECT file_col FROM root2.t_' || CAST(o_orderkey AS VARCHAR)
+              WHEN o_orderkey % 4 = 1 THEN 'SELECT a, b FROM ds.top_' || CAST(o_orderkey AS VARCHAR)
+              WHEN o_orderkey % 4 = 2 THEN 'SELECT c FROM ds.job_' || CAST(o_orderkey AS VARCHAR) END AS raw_sql,
+         o.run_id, o_orderkey % 3 = 0 AS cut,
+         CASE WHEN o.run_id IS NULL THEN NULL
+              WHEN o_orderkey % 3 = 0 THEN 'SELECT cut_col, another_one FROM ds.cut_' || CAST(o_orderkey AS VARCHAR)
+              WHEN o_orderkey % 3 = 1 THEN 'SELECT a, b, rendered_column FROM ds.rendered_' || CAST(o_orderkey AS VARCHAR)
+         END AS rendered_sql
+  FROM orders LEFT JOIN ok o ON o.run_id = 'run_' || CAST(o_orderkey AS VARCHAR))
+""") + """
+SELECT dag_id, task_id, raw_sql, CASE WHEN rendered_sql IS NOT NULL THEN run_id END AS run_id, rendered_sql,
+       CASE WHEN raw_sql IS NULL THEN rendered_sql WHEN rendered_sql IS NULL OR cut THEN raw_sql
+            WHEN length(raw_sql) >= length(rendered_sql) THEN raw_sql ELSE rendered_sql END AS best_sql
+FROM t"""
+
 ORACLES["error_report"] = with_(TASK_INSTANCES, TASK_LOGS, """
 ff AS (SELECT dag_id, run_id, task_id, state, position FROM (
   SELECT *, row_number() OVER (PARTITION BY dag_id, run_id ORDER BY event_id) AS position

@@ -557,6 +557,37 @@ def q_task_sql(spark, sf):
     return lineage.task_sql(S.task_defs(spark, sf), S.dag_runs(spark, sf), S.rendered_instances(spark, sf), 10)
 
 
+@register("task_sql_files")
+def q_task_sql_files(spark, sf):
+    return lineage.task_sql(S.load_tasks(spark, sf), S.dag_runs(spark, sf), S.load_instances(spark, sf), 10,
+                            files=S.load_files(spark, sf))
+
+
+def _trace_inputs(spark, sf):
+    return S.trace_needles(spark, sf), S.registry(spark, sf), S.mapping_config(spark, sf), S.dag_runs(spark, sf)
+
+
+@register("trace_runs")
+def q_trace_runs(spark, sf):
+    t = lineage.trace_runs(*_trace_inputs(spark, sf), n_runs=5)
+    return t.withColumn("recency", F.col("recency").cast("long"))
+
+
+@register("trace_tasks")
+def q_trace_tasks(spark, sf):
+    return lineage.trace_tasks(*_trace_inputs(spark, sf), S.task_defs(spark, sf), S.graph_instances(spark, sf))
+
+
+@register("trace_sql")
+def q_trace_sql(spark, sf):
+    return lineage.trace_sql(*_trace_inputs(spark, sf), S.task_defs(spark, sf), S.rendered_instances(spark, sf))
+
+
+@register("lineage_nodes")
+def q_lineage_nodes(spark, sf):
+    return lineage.lineage_nodes(S.mapping(spark, sf), S.task_defs(spark, sf))
+
+
 @register("error_report")
 def q_error_report(spark, sf):
     return runs.error_report(S.task_instances(spark, sf), S.task_logs(spark, sf)).withColumn(

@@ -149,7 +149,10 @@ TASK_SCHEMA = StructType([
     StructField("class_ref", StructType([StructField("class_name", StringType())])),
     StructField("downstream_task_ids", ArrayType(StringType())),
     StructField("trigger_dag_id", StringType()), StructField("sql", StringType()),
-    StructField("query", StringType()), StructField("bql", StringType())])
+    StructField("query", StringType()), StructField("bql", StringType()),
+    # nested objects come as their JSON text
+    StructField("configuration", StringType()), StructField("conf", StringType()),
+    StructField("params", StringType())])
 DAG_SCHEMA = StructType([
     StructField("dag_id", StringType()), StructField("schedule_interval", StringType()),
     StructField("is_paused", BooleanType()),
@@ -194,8 +197,11 @@ def read_tasks(spark: SparkSession, path: str, dag_id: str | None = None) -> Dat
     df = spark.read.schema(schema).option("multiLine", "true").json(path)
     dag = F.lit(dag_id) if dag_id is not None else path_stem(_strip_scheme(F.input_file_name()))
     t = df.select(dag.alias("dag_id"), F.explode("tasks").alias("r")).select("dag_id", "r.*")
+    own = {c: F.col(c) for c in ("sql", "query", "bql")}
+    own["configuration"] = F.try_parse_json("configuration")
     return t.select("dag_id", "task_id", F.col("class_ref.class_name").alias("operator"), "downstream_task_ids",
-                    "trigger_dag_id", F.coalesce("sql", "query", "bql").alias("sql"))
+                    "trigger_dag_id", F.coalesce("sql", "query", "bql").alias("sql"), "conf", "params",
+                    F.to_json(F.struct(*[c.alias(k) for k, c in own.items()])).alias("definition"))
 
 
 def read_dags(spark: SparkSession, path: str) -> DataFrame:

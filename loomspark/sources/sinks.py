@@ -53,18 +53,19 @@ def append_audit(record: DataFrame, path: str) -> None:
     record.write.mode("append").json(path)
 
 
-def write_version(df: DataFrame, base: str, version: int | None = None) -> str:
+def write_version(df: DataFrame, base: str, version: int | None = None, mode: str = "errorifexists") -> str:
     """K7/K8: write the next version of a store or snapshot under base/v=<n> and return
     its path (a reader of the previous version is never disturbed)."""
     v = version if version is not None else int(time.time() * 1000)
     out = f"{base.rstrip('/')}/v={v}"
-    df.write.mode("errorifexists").parquet(out)
+    df.write.mode(mode).parquet(out)
     return out
 
 
-def latest_version(spark, base: str) -> DataFrame | None:
+def latest_version(spark, base: str, before: int | None = None) -> DataFrame | None:
     """The newest complete version written by ``write_version`` (None when there is none).  Only
-    that version's folder is read; a folder without a success mark is still being written."""
+    that version's folder is read; a folder without a success mark is still being written.
+    ``before``: only versions below it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base.rstrip("/"))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
@@ -72,4 +73,5 @@ def latest_version(spark, base: str) -> DataFrame | None:
     found = [(int(m[1]), st.getPath().toString()) for st in fs.listStatus(path)
              if (m := re.fullmatch(r"v=(\d+)", st.getPath().getName()))
              and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    found = [f for f in found if before is None or f[0] < before]
     return spark.read.parquet(max(found)[1]) if found else None

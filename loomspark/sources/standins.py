@@ -467,3 +467,43 @@ def rendered_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.replace(F.col("sql"), F.lit("CURRENT_DATE()"), day))
     return (inst.join(defs, ["dag_id", "task_id"]).join(runs, ["dag_id", "run_id"])
             .select("dag_id", "run_id", "task_id", "state", "seq", rendered.alias("rendered_sql")))
+
+
+def load_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders → one loading task per order, its definition as JSON text: a .sql file reference, SQL at the
+    top, a nested query job, or none (by key mod 4)."""
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey").cast("string")
+    shape = F.col("o_orderkey") % 4
+    js = (F.when(shape == 0, F.concat(F.lit('{"sql": "sql/load_'), k, F.lit('.sql"}')))
+          .when(shape == 1, F.concat(F.lit('{"retries": 2, "sql": "SELECT a, b FROM ds.top_'), k, F.lit('"}')))
+          .when(shape == 2, F.concat(F.lit('{"configuration": {"query": {"query": "SELECT c FROM ds.job_'), k, F.lit('"}}}')))
+          .otherwise(F.lit('{"python_callable": "run"}')))
+    return o.select(F.concat(F.lit("dag_"), (F.col("o_custkey") % 20).cast("string")).alias("dag_id"),
+                    F.concat(F.lit("load_"), k).alias("task_id"), js.alias("definition"))
+
+
+def load_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders → the .sql files that half of the references of ``load_tasks`` find, some below two roots."""
+    o = read_table(spark, sf_dir, "orders").where("o_orderkey % 8 = 0")
+    k = F.col("o_orderkey").cast("string")
+    roots = F.when(F.col("o_orderkey") % 16 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    return o.select(F.concat(F.lit("sql/load_"), k, F.lit(".sql")).alias("rel_path"), k.alias("k"),
+                    F.explode(roots).alias("root_order")).select(
+        "rel_path", "root_order", F.concat(F.lit("SELECT file_col FROM root"), F.col("root_order").cast("string"),
+                                           F.lit(".t_"), F.col("k")).alias("content"))
+
+
+def load_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders → the instance of each loading task in its run, with rendered fields: a truncated repr, plain
+    SQL, or nothing (by key mod 3)."""
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey").cast("string")
+    shape = F.col("o_orderkey") % 3
+    js = (F.when(shape == 0, F.concat(
+        F.lit('{"rendered_fields": {"configuration": "Truncated. You can change this. {\'query\': {\'query\': '
+              '\'SELECT cut_col, another_one FROM ds.cut_'), k, F.lit('...\'..."}}')))
+        .when(shape == 1, F.concat(F.lit('{"sql": "SELECT a, b, rendered_column FROM ds.rendered_'), k, F.lit('"}'))))
+    return o.select(F.concat(F.lit("dag_"), (F.col("o_custkey") % 20).cast("string")).alias("dag_id"),
+                    F.concat(F.lit("run_"), k).alias("run_id"), F.concat(F.lit("load_"), k).alias("task_id"),
+                    F.col("o_orderkey").alias("seq"), js.alias("rendered_fields"))

@@ -95,23 +95,26 @@ def _header_names(cells: dict[int, str], width: int) -> list[str]:
 
 def _decode_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
         for path, kind, content in zip(pdf["path"], pdf["kind"], pdf["content"]):
+            out = []  # one workbook at a time
             try:
                 rows = decode_rows(bytes(content))
                 header_row = 4 if kind == "mapping" else 1
                 width = max((max(r) + 1 for r in rows.values() if r), default=0)
                 names = _header_names(rows.get(header_row, {}), width)
+                out += [(path, 0, ci, name, None, None) for ci, name in enumerate(names)]
                 for rn in sorted(r for r in rows if r > header_row):
                     for ci, val in rows[rn].items():
                         out.append((path, rn - header_row, ci, names[ci], val, None))
             except Exception as exc:  # noqa: BLE001 — one bad file must not stop the batch
-                out.append((path, None, None, None, None, f"{type(exc).__name__}: {exc}"))
-        yield pd.DataFrame(out, columns=["path", "row_no", "col_no", "col_name", "value", "error"])
+                out = [(path, None, None, None, None, f"{type(exc).__name__}: {exc}")]
+            yield pd.DataFrame(out, columns=["path", "row_no", "col_no", "col_name", "value", "error"]).astype(
+                {"row_no": "Int64", "col_no": "Int64"})
 
 
 def read_workbook_cells(files: DataFrame) -> DataFrame:
-    """binaryFile rows (path, kind, content) → long cell table for all workbooks."""
+    """binaryFile rows (path, kind, content) → long cell table for all workbooks.  Row 0 names
+    every column, also those without a value and of sheets without data."""
     return files.select("path", "kind", "content").mapInPandas(_decode_partition, CELLS_SCHEMA)
 
 
@@ -138,7 +141,8 @@ def workbook_table(cells: DataFrame, path: str) -> DataFrame:
     """One workbook as an all-string table (S3 shape): pivot of its cells in column order."""
     one = cells.where((F.col("path") == path) & F.col("error").isNull())
     header = [r["col_name"] for r in one.select("col_no", "col_name").distinct().orderBy("col_no").collect()]
-    return one.groupBy("row_no").pivot("col_name", header).agg(F.first("value")).orderBy("row_no").drop("row_no")
+    data = one.where("row_no > 0")
+    return data.groupBy("row_no").pivot("col_name", header).agg(F.first("value")).orderBy("row_no").drop("row_no")
 
 
 def ingest(files: DataFrame, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -152,14 +156,26 @@ def ingest(files: DataFrame, registry: DataFrame | None = None) -> tuple[DataFra
         seen = registry.select(F.col("file_path").alias("path"), "file_mtime")
         todo = files.join(seen, ["path", "file_mtime"], "left_anti")
     cells = read_workbook_cells(todo)
+    return cells, registry_entries(todo, cells)
+
+
+def registry_entries(todo: DataFrame, cells: DataFrame) -> DataFrame:
+    """One registry entry per file of ``todo`` from its cells."""
     per_file = cells.groupBy("path").agg(
-        F.count_distinct("row_no").alias("row_count"),
+        F.count_distinct(F.when(F.col("row_no") > 0, F.col("row_no"))).alias("row_count"),
         F.array_sort(F.collect_set(F.struct("col_no", "col_name"))).alias("_cols"),  # bounded by sheet width
         F.max("error").alias("error"))
-    entries = (todo.select("path", "source_folder", "file_mtime").join(per_file, "path", "left").select(
+    return (todo.select("path", "source_folder", "file_mtime").join(per_file, "path", "left").select(
         safe_table_name(F.col("source_folder"), path_stem("path")).alias("table_name"),
         "source_folder", F.col("path").alias("file_path"),
         F.transform("_cols", lambda s: s["col_name"]).alias("columns"),
         F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count"), "file_mtime",
         F.when(F.col("error").isNotNull(), "error").otherwise("loaded").alias("status")))
-    return cells, entries
+
+
+def ingest_counts(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row: how many of ``files`` were loaded, skipped as unchanged, or could not be decoded."""
+    done = entries.groupBy("file_path").agg(F.first("status").alias("status"))
+    return files.select(F.col("path").alias("file_path")).join(done, "file_path", "left").agg(
+        F.count_if(F.col("status") == "loaded").alias("loaded"), F.count_if(F.col("status").isNull()).alias("skipped"),
+        F.count_if(F.col("status") == "error").alias("errors"))
