@@ -116,23 +116,44 @@ def sketcher():
     return sketch
 
 
-def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
+def most_common(a: np.ndarray, b: np.ndarray) -> int:
+    """An upper bound of the longest common subsequence: of the values that occur once in each sequence those in
+    the same order (longest increasing subsequence of their places), and all common copies of the others."""
+    va, ia, na = np.unique(a, return_index=True, return_counts=True)
+    vb, ib, nb = np.unique(b, return_index=True, return_counts=True)
+    _, xa, xb = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    once = (na[xa] == 1) & (nb[xb] == 1)
+    rest = int(np.minimum(na[xa], nb[xb])[~once].sum())
+    places = ib[xb[once]][np.argsort(ia[xa[once]])]
+    if len(places) < 2 or (np.diff(places) > 0).all():
+        return rest + len(places)
+    tails: list[int] = []
+    for x in places.tolist():
+        at = bisect_left(tails, x)
+        tails[at:at + 1] = [x]
+    return rest + len(tails)
+
+
+def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int, band: int | None = None) -> int | None:
     """The edit distance of two sequences if it is at most ``limit``, else None.  Only the diagonals within the
-    limit are looked at: the furthest position reached on each with 0, 1, 2, ... edits."""
+    limit are looked at: the furthest position reached on each with 0, 1, 2, ... edits.  A narrower ``band``
+    around the first and last diagonal gives the distance of the best alignment inside it."""
     la, lb = len(a), len(b)
     goal = lb - la
     if abs(goal) > limit:
         return None
-    if limit < max(np.count_nonzero(~np.isin(a, b)), np.count_nonzero(~np.isin(b, a))):
-        return None
-    stops: dict[int, list[int]] = {}
+    band = limit if band is None else band
+    low, high = max(-band + min(0, goal), -la), min(band + max(0, goal), lb)
+    xs, ys = a.tolist(), b.tolist()
+    stops: dict[int, np.ndarray] = {}
 
     def slide(d: int, i: int) -> int:
+        if i >= la or i + d >= lb or xs[i] != ys[i + d]:
+            return i
         if d not in stops:
-            lo, hi = max(0, -d), min(la, lb - d)
-            stops[d] = [*(np.flatnonzero(a[lo:hi] != b[lo + d:hi + d]) + lo).tolist(), hi]
-        s = stops[d]
-        return s[bisect_left(s, i)]
+            first, last = max(0, -d), min(la, lb - d)
+            stops[d] = np.append(np.flatnonzero(a[first:last] != b[first + d:last + d]) + first, last).astype(np.int32)
+        return int(stops[d][np.searchsorted(stops[d], i)])
 
     reach = {0: slide(0, 0)}
     edits = 0
@@ -142,7 +163,7 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None
             return None
         now = {}
         spare = limit - edits
-        for d in range(max(-edits, goal - spare, -la), min(edits, goal + spare, lb) + 1):
+        for d in range(max(-edits, goal - spare, low), min(edits, goal + spare, high) + 1):
             i = max(reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1)
             if i >= max(0, -d):
                 now[d] = slide(d, min(i, la, lb - d))
@@ -151,8 +172,17 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether the alignment leaves at most the allowed edits; narrow bands are tried first."""
     n = max(len(a), len(b))
-    return edit_distance_within(a, b, int(n * (1 - similarity) + 1e-9)) is not None
+    limit = int(n * (1 - similarity) + 1e-9)
+    if abs(len(a) - len(b)) > limit or n - most_common(a, b) > limit:
+        return False
+    band = 4
+    while band < limit:
+        if edit_distance_within(a, b, limit, band) is not None:
+            return True
+        band *= 8
+    return edit_distance_within(a, b, limit) is not None
 
 
 def _sketches(src: DataFrame) -> DataFrame:
@@ -182,8 +212,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = [near(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), similarity)
-                    for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
+            ka, kb = t.column(2), t.column(3)  # read in place, row by row
+            keep = [near(np.frombuffer(ka[i].as_buffer(), np.uint32), np.frombuffer(kb[i].as_buffer(), np.uint32),
+                         similarity) for i in range(t.num_rows)]
             yield t.select([0, 1]).filter(pa.array(keep, pa.bool_()))
     return both.mapInArrow(run, "a long, b long")
 
@@ -234,7 +265,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def make():
         shingles = shingler()
-        return lambda ts: [[shingles(t).tobytes() for t in ts]]
+        # 32 bits of each k-mer's hash are plenty to align two texts
+        return lambda ts: [[(shingles(t) >> np.uint64(32)).astype(np.uint32).tobytes() for t in ts]]
     texts = written(map_texts(texts, make, "kmers binary"), f"{root}/kmers")
 
     comp = _linked(members, texts, similarity, root)

@@ -31,9 +31,7 @@ def brute_groups(texts):
             if not len(a) or not len(b):
                 same = not len(a) and not len(b) and plain[i] == plain[j]
             else:
-                n = max(len(a), len(b))
-                limit = int(n * 0.2 + 1e-9)
-                same = nd.edit_distance_within(a, b, limit) is not None
+                same = nd.similar(a, b)
             if same:
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(texts))]
@@ -58,6 +56,21 @@ def test_banded_distance_equals_full_table():
         for limit in (0, 2, 5, 30):
             got = nd.edit_distance_within(np.array(a, np.int64), np.array(b, np.int64), limit)
             assert got == (want if want <= limit else None)
+            assert len(a) + len(b) == 0 or nd.most_common(np.array(a), np.array(b)) >= max(len(a), len(b)) - want
+
+
+def test_similar_equals_full_table():
+    rnd = random.Random(8)
+    for _ in range(300):
+        a = [rnd.randint(0, 40) for _ in range(rnd.randint(1, 60))]
+        b = a[:]
+        for _ in range(rnd.randint(0, 12)):
+            k = rnd.randrange(len(b) + 1)
+            b[k:k + rnd.randint(0, 2)] = [rnd.randint(0, 40) for _ in range(rnd.randint(0, 2))]
+        if rnd.random() < 0.2:
+            b = b[len(b) // 3:] + b[:len(b) // 3]
+        n = max(len(a), len(b))
+        assert nd.similar(np.array(a), np.array(b)) == (edit_distance(a, b) <= int(n * 0.2 + 1e-9))
 
 
 def test_shingles_depend_on_words_only():
