@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ..session import cut_lineage
 from ..functions.types import (MATCH, SOURCE_ONLY, TARGET_ONLY, TYPE_MISMATCH, audit_status,
                                source_to_target_type)
 
@@ -117,17 +118,27 @@ def short_unique_labels(names: DataFrame, col: str = "table_name", reserved: str
                         width: int = LABEL_WIDTH) -> DataFrame:
     """Label per name: characters \\ / ? * [ ] : → '_', at most ``width`` characters; later
     names with the same label get '_2', '_3', … (order by name; the reserved label counts
-    as taken)."""
+    as taken).  All labels differ: a numbered label that equals another label is numbered on
+    until it is free (a label without a number stays)."""
     from .ranks import row_number_balanced
     cleaned = F.substring(F.regexp_replace(F.col(col), LABEL_ILLEGAL, "_"), 1, width)
     d = names.select(col).distinct().withColumn("_clean", cleaned)
     # many long names can share one truncated label: number them without a hot window
     d = row_number_balanced(d, ["_clean"], [col], "_rn")
     d = d.withColumn("_i", F.col("_rn") + F.when(F.col("_clean") == reserved, 1).otherwise(0))
-    suffix = F.col("_i").cast("string")
+    number = F.col("_i").cast("string")
     label = F.when(F.col("_i") == 1, F.col("_clean")).otherwise(
-        F.concat(F.expr(f"substring(_clean, 1, {width} - length(cast(_i as string)) - 1)"), F.lit("_"), suffix))
-    return d.select(col, label.alias("label"))
+        F.concat(F.expr(f"substring(_clean, 1, {width} - length(cast(_i as string)) - 1)"), F.lit("_"), number))
+    while True:
+        d = cut_lineage(d.select(col, "_clean", "_i", label.alias("label")))
+        taken = d.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col("_i") > 1, F.col(col))).alias("_first"))
+        taken = taken.where("_n > 1")
+        if taken.isEmpty():
+            return d.select(col, "label")
+        top = d.groupBy("_clean").agg(F.max("_i").alias("_top"))
+        lost = F.col("_first").isNotNull() & (F.col("_first")[col] != F.col(col))
+        d = (d.join(taken, "label", "left").join(top, "_clean")
+             .withColumn("_i", F.col("_i") + F.when(lost, F.col("_top")).otherwise(0)))
 
 
 # ── schema tree of a DataFrame (Q20) ───────────────────────────────────────────

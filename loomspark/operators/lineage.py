@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import path_stem
@@ -164,7 +164,7 @@ def _pieces(text, length: int):
     """All distinct ``length``-letter substrings of a string column."""
     return F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(text) - (length - 1), F.lit(1))),
-        lambda i: F.substring(text, i, length)))
+        lambda i: F.substr(text, i, length if isinstance(length, Column) else F.lit(length))))
 
 
 def lookup_first(registry: DataFrame, needles: DataFrame, fields: Sequence[str] = ("file_path", "table_name"),
@@ -173,29 +173,32 @@ def lookup_first(registry: DataFrame, needles: DataFrame, fields: Sequence[str]
     the needle, case-insensitively.
 
     A substring match is a theta join.  To keep both sides distributed it becomes an
-    equi-join: registry text is cut into ``gram``-letter pieces, each needle is joined on
-    the one of its own pieces that is rarest in the registry (every true match contains
-    it), and candidates are confirmed with ``contains``.  Needles shorter than ``gram``
-    use pieces of their own length.  Needles with no match keep null fields."""
-    hay = registry.select(pos, *fields).withColumn(
-        "_hay", F.lower(F.concat_ws("\u0001", *[F.coalesce(F.col(f), F.lit("")) for f in fields])))
+    equi-join: registry text is cut into ``gram``-letter pieces, and each needle is joined on
+    the two of its own pieces that are rarest in the registry (every true match contains
+    both).  Only (piece, ``pos``) pairs are shuffled; the text is fetched for the candidates
+    that have both and confirmed with ``contains``.  Needles shorter than ``gram`` use pieces
+    of their own length.  Needles with no match keep null fields."""
+    hay = registry.select(pos, F.lower(F.concat_ws("\u0001", *[F.coalesce(F.col(f), F.lit("")) for f in fields])).alias("_hay"))
     n = (needles.select("needle").dropDuplicates(["needle"])
          .withColumn("_n", F.lower("needle")).where(F.length("_n") > 0))
-    cands = []
-    # short needles need pieces of their own length; skip those passes when there are none
-    sizes = range(1, gram + 1) if not n.where(F.length("_n") < gram).isEmpty() else [gram]
-    for size in sizes:
-        sel = n.where(F.length("_n") == size) if size < gram else n.where(F.length("_n") >= gram)
-        pieces = hay.select(pos, "_hay", F.explode(_pieces(F.col("_hay"), size)).alias("_g"))
-        freq = pieces.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-        own = sel.select("needle", "_n", F.explode(_pieces(F.col("_n"), size)).alias("_g"))
-        best = (own.join(freq, "_g", "left")
-                .groupBy("needle", "_n").agg(F.min_by("_g", F.coalesce("_f", F.lit(0))).alias("_g")))
-        cands.append(best.join(pieces, "_g"))
-    cand = cands[0]
-    for c in cands[1:]:
-        cand = cand.unionByName(c)
-    first = (cand.where(F.col("_hay").contains(F.col("_n")))
+    # one pass per piece length: a needle's pieces are as long as it is, up to ``gram``
+    n = n.withColumn("_size", F.least(F.length("_n"), F.lit(gram)))
+    sizes = F.array(*[F.lit(i) for i in range(1, gram + 1)])
+    cut = lambda text, size: F.explode(F.transform(_pieces(F.col(text), size), lambda g: g)).alias("_g")
+    own = n.select("needle", "_size", cut("_n", F.col("_size")))
+    # only the piece lengths that some needle has are cut from the registry
+    used = own.select("_size").distinct()
+    pieces = (hay.select(pos, "_hay", F.explode(sizes).alias("_size")).join(F.broadcast(used), "_size", "left_semi")
+              .select(pos, cut("_hay", F.col("_size"))))  # at most ``gram`` sizes
+    wanted = pieces.join(own.select("_g").distinct(), "_g", "left_semi")
+    freq = wanted.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    rare = (own.join(freq, "_g", "left").groupBy("needle")
+            .agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "_g"))), 1, 2).alias("_r"))
+            .where(F.col("_r")[0]["f"] > 0))
+    have = lambda i: (rare.select("needle", F.coalesce(F.get("_r", F.lit(i))["_g"], F.col("_r")[0]["_g"]).alias("_g"))
+                      .join(wanted, "_g").select("needle", pos))
+    cand = have(0).join(have(1), ["needle", pos]).distinct()
+    first = (cand.join(hay, pos).where(F.col("_hay").contains(F.lower("needle")))
              .groupBy("needle").agg(F.min(pos).alias(pos)))
     return n.select("needle").join(first, "needle", "left").join(registry, pos, "left")
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import cut_lineage
 from ..functions.names import normalise_name, path_suffix
 
 # fixed values: reconcile statuses in report order
@@ -238,10 +239,15 @@ def diff_pairs(keys: DataFrame, left: DataFrame, right: DataFrame, key: str,
 
 def folder_diffs(git: DataFrame, gcs: DataFrame, cmp: DataFrame, folder: str | None = None) -> DataFrame:
     """Unified diffs for the 'different' paths that have content on both sides."""
-    drifted = cmp.where((F.col("status") == "different") & F.col("note").isNull()).select("rel_path")
-    g = last_wins(_relative(git, folder, "path").select("rel_path", "seq", "content"), ["rel_path"], "seq")
-    c = last_wins(_relative(gcs, folder, "path").select("rel_path", "seq", "content"), ["rel_path"], "seq")
-    return diff_pairs(drifted, g, c, "rel_path")
+    drifted = cut_lineage(cmp.where((F.col("status") == "different") & F.col("note").isNull()).select("rel_path"))
+
+    def bodies(side: DataFrame) -> DataFrame:
+        # the winning row of each drifted path first, without bodies; only these rows' bodies are joined
+        rows = _relative(side, folder, "path")
+        win = (rows.select("rel_path", "seq").join(drifted, "rel_path", "left_semi")
+               .groupBy("rel_path").agg(F.max("seq").alias("seq")))
+        return rows.select("rel_path", "seq", "content").join(win, ["rel_path", "seq"]).dropDuplicates(["rel_path"])
+    return diff_pairs(drifted, bodies(git), bodies(gcs), "rel_path")
 
 
 def reconcile_detail(git: DataFrame, gcs: DataFrame, mapping: DataFrame, names: DataFrame,

@@ -36,7 +36,7 @@ git_files AS (
   SELECT 'doc_' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 9 = 0 THEN '.bin' ELSE '.sql' END AS raw_name,
          'sql/' || source || '/doc_' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 9 = 0 THEN '.bin' ELSE '.sql' END AS path,
          doc_id AS seq, text AS content
-  FROM documents WHERE doc_id % 10 <> 0)"""
+  FROM documents WHERE doc_id % 10 <> 0 OR doc_id % 70 = 0)"""
 
 GCS_FILES = """
 gcs_files AS (
@@ -66,7 +66,7 @@ source_columns AS (
               ELSE 'geometry' END AS data_type,
          CAST(CASE WHEN p_size % 2 = 0 THEN 1 WHEN p_size % 5 = 0 THEN NULL ELSE 0 END AS INTEGER) AS deployed_to_prod,
          CAST(CASE WHEN p_size % 10 = 3 THEN 0 ELSE 1 END AS INTEGER) AS is_streamed
-  FROM part WHERE p_partkey % 17 <> 0)"""
+  FROM part WHERE p_partkey % 17 <> 0 OR p_partkey % 85 = 0)"""
 
 TARGET_COLUMNS = """
 target_columns AS (
@@ -263,9 +263,11 @@ saved_queries AS (
 
 GLOSSARY = """
 glossary AS (
-  SELECT term, min(item_id) AS pos, arg_max(definition, item_id) AS definition FROM (
-    SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS term, item_id, 'passage ' || CAST(item_id AS VARCHAR) AS definition
-    FROM benchmark) WHERE length(term) > 1 GROUP BY term)"""
+  SELECT term, min(item_id * 100000 + i - 1) AS pos, arg_max(definition, item_id) AS definition FROM (
+    SELECT item_id, 'passage ' || CAST(item_id AS VARCHAR) AS definition, unnest(w) AS term,
+           unnest(range(1, len(w) + 1)) AS i
+    FROM (SELECT item_id, regexp_split_to_array(lower(text), '[^\\pL]+') AS w FROM benchmark))
+  WHERE length(term) >= 10 GROUP BY term)"""
 
 RENDERED_INSTANCES = """
 rendered_instances AS (

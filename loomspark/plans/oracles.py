@@ -728,7 +728,7 @@ SELECT page_id, regexp_extract(s, '^([^/]*)', 1) AS bucket,
 FROM s"""
 
 ORACLES["upsert"] = """
-WITH store AS (SELECT doc_id, source, 1 AS version FROM documents WHERE doc_id % 2 = 0),
+WITH store AS (SELECT doc_id, source, 1 AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0),
 new AS (SELECT doc_id, upper(source) AS source, 2 AS version FROM documents WHERE doc_id % 3 = 0),
 u AS (SELECT * FROM store UNION ALL SELECT * FROM new)
 SELECT doc_id, source, version FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) = 1"""
@@ -747,8 +747,8 @@ WHERE source = 'assistant' AND (contains(lower(name), 'turn 2') OR contains(lowe
 
 ORACLES["search_tags"] = with_(SAVED_QUERIES) + """
 SELECT id, name, source FROM saved_queries
-WHERE contains(lower(name), 't5') OR contains(lower(sql), 't5') OR contains(lower(coalesce(description, '')), 't5')
-   OR len(list_filter(tags, lambda t: contains(t, 't5'))) > 0"""
+WHERE contains(lower(name), 'ang_1') OR contains(lower(sql), 'ang_1') OR contains(lower(coalesce(description, '')), 'ang_1')
+   OR len(list_filter(tags, lambda t: contains(t, 'ang_1'))) > 0"""
 
 # term by term in glossary order over every text: word boundaries as classes (RE2's are ASCII only)
 ORACLES["expand_glossary"] = with_(GLOSSARY).replace("WITH ", "WITH RECURSIVE ", 1) + r"""

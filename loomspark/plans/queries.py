@@ -502,7 +502,7 @@ def q_split_uri(spark, sf):
 @register("upsert")
 def q_upsert(spark, sf):
     d = S.read_table(spark, sf, "documents")
-    store = d.where(F.col("doc_id") % 2 == 0).select("doc_id", "source", F.lit(1).alias("version"))
+    store = d.where((F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 3 != 0)).select("doc_id", "source", F.lit(1).alias("version"))
     new = d.where(F.col("doc_id") % 3 == 0).select("doc_id", F.upper("source").alias("source"), F.lit(2).alias("version"))
     return stores.upsert(store, new, ["doc_id"], "version")
 
@@ -527,7 +527,7 @@ def q_search_queries(spark, sf):
 
 @register("search_tags")
 def q_search_tags(spark, sf):
-    return stores.search_queries(S.saved_queries(spark, sf), text="t5").select("id", "name", "source")
+    return stores.search_queries(S.saved_queries(spark, sf), text="ang_1").select("id", "name", "source")
 
 
 @register("search_glossary")

@@ -74,7 +74,7 @@ def _doc_path():
 
 
 def git_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").where(F.col("doc_id") % 10 != 0)
+    d = read_table(spark, sf_dir, "documents").where((F.col("doc_id") % 10 != 0) | (F.col("doc_id") % 70 == 0))
     return d.select(
         F.regexp_extract(_doc_path(), r"([^/]*)$", 1).alias("raw_name"),
         _doc_path().alias("path"),
@@ -124,7 +124,7 @@ def _by_type(pairs, other):
 
 def source_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part → source (MySQL-like) column metadata: header ⋈ detail shape flattened."""
-    p = read_table(spark, sf_dir, "part").where(F.col("p_partkey") % 17 != 0)
+    p = read_table(spark, sf_dir, "part").where((F.col("p_partkey") % 17 != 0) | (F.col("p_partkey") % 85 == 0))
     return p.select(
         F.concat(F.lit("tbl_"), F.col("p_size").cast("string")).alias("table_name"),
         F.concat(F.lit("col_"), F.col("p_partkey").cast("string")).alias("column_name"),
@@ -377,14 +377,14 @@ def rendered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark → glossary: the first word of each passage is a term (first passage
-    fixes its position, the last passage gives its definition)."""
+    """benchmark → glossary: every word of ten letters or more is a term (its first place over
+    all passages fixes its position, the last passage with it gives its definition)."""
     b = read_table(spark, sf_dir, "benchmark")
-    term = F.lower(F.regexp_extract("text", r"^([A-Za-z]+)", 1))
-    rows = b.select(term.alias("term"), F.col("item_id"),
-                    F.concat(F.lit("passage "), F.col("item_id").cast("string")).alias("definition"))
-    return (rows.where(F.length("term") > 1).groupBy("term")
-            .agg(F.min("item_id").alias("pos"), F.max_by("definition", "item_id").alias("definition")))
+    rows = b.select("item_id", F.posexplode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("i", "term")).select(
+        "term", "item_id", (F.col("item_id") * 100_000 + F.col("i")).alias("at"),
+        F.concat(F.lit("passage "), F.col("item_id").cast("string")).alias("definition"))
+    return (rows.where(F.length("term") >= 10).groupBy("term")
+            .agg(F.min("at").alias("pos"), F.max_by("definition", "item_id").alias("definition")))
 
 
 def dag_source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
