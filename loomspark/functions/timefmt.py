@@ -47,6 +47,14 @@ def fmt_ago(ts, now) -> Column:
             .otherwise(F.concat(F.floor(hours / 24).cast("string"), F.lit("d ago"))))
 
 
+def fmt_ago_text(text, now) -> Column:
+    """Relative age of an ISO text (a trailing Z allowed); empty → '', text that is no time → its first
+    10 characters."""
+    t = F.try_to_timestamp(F.regexp_replace(_c(text), "Z$", "+00:00"))
+    return (F.when(F.coalesce(_c(text), F.lit("")) == "", F.lit(""))
+            .when(t.isNull(), F.substring(_c(text), 1, 10)).otherwise(fmt_ago(t, now)))
+
+
 def fmt_size(size) -> Column:
     """Bytes → 'N B' / 'x.y KB' / 'x.y MB'; null → '—'. Halves round up (Java formatting)."""
     b = _c(size)

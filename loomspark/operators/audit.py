@@ -108,6 +108,14 @@ def schema_ddl_rows(meta: DataFrame) -> DataFrame:
                     F.lit("NULLABLE").alias("mode")))
 
 
+def schema_ddl_arrays(ddl_rows: DataFrame) -> DataFrame:
+    """K4: per (batch, table) the target DDL as one JSON array, fields in position order (as many as the
+    table has columns)."""
+    field = F.struct("position", F.struct("name", "type", "mode").alias("f"))
+    return ddl_rows.groupBy("batch", "table_name").agg(F.to_json(F.transform(
+        F.array_sort(F.collect_list(field)), lambda s: s["f"])).alias("fields"))
+
+
 # fixed values: sheet-label rules (characters replaced by '_', maximum width, reserved label)
 LABEL_ILLEGAL = r"[\\/?*\[\]:]"
 LABEL_WIDTH = 31

@@ -115,6 +115,34 @@ def target_of(registry: DataFrame, config: DataFrame, needles: DataFrame) -> Dat
                        F.coalesce("dag_names", F.array().cast("array<string>")).alias("dag_names"))
 
 
+def dags_of(registry: DataFrame, config: DataFrame, needles: DataFrame) -> DataFrame:
+    """Q17: the DAGs of each mapping-file name (first registry match), one row per DAG in the order of
+    the mapping; a name without a match or without DAGs has no row."""
+    return target_of(registry, config, needles).select("needle", F.posexplode("dag_names").alias("pos", "dag_id")) \
+        .withColumn("pos", F.col("pos").cast("long"))
+
+
+def table_schema(spark: SparkSession, name: str) -> DataFrame:
+    """Q17: the columns of a registered table with their types, in order; no rows for an unknown table."""
+    fields = spark.table(name).schema.fields if spark.catalog.tableExists(name) else []
+    rows = [(name, i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields, 1)]
+    return spark.createDataFrame(rows, "table_name string, position long, column_name string, column_type string")
+
+
+def project_task_table(graph: DataFrame) -> DataFrame:
+    """Display projection of a task graph — operator without its suffix, one decimal, '—' for what
+    is missing, empty or zero."""
+    dash = F.lit("—")
+    shown = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), dash)
+    return graph.select(
+        "dag_id", F.col("task_id").alias("task"), F.replace("operator", F.lit("Operator"), F.lit("")).alias("operator"),
+        shown("state").alias("state"),
+        F.when(F.col("duration_s") != 0, F.format_string("%.1f", F.bround(F.col("duration_s").cast("decimal(38,6)"), 1)
+                                                         .cast("double"))).otherwise(dash).alias("duration"),
+        F.when(F.col("try_number") > 0, F.col("try_number").cast("long").cast("string")).otherwise(dash).alias("try"),
+        shown("downstream").alias("depends_on"))
+
+
 # ── listings (Q22) ─────────────────────────────────────────────────────────────
 
 def object_paths(urls: DataFrame, url: str = "url", size: str | None = None) -> DataFrame:

@@ -887,3 +887,23 @@ walk(dag_id, task_id, depth) AS (
   UNION ALL
   SELECT te.dag_id, te.dst, w.depth + 1 FROM walk w JOIN te ON te.dag_id = w.dag_id AND te.src = w.task_id)
 SELECT dag_id, task_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY dag_id, task_id"""
+
+ORACLES["dags_of"] = _LOOKUP.replace("WITH ", "WITH " + MAPPING_CONFIG.strip() + ",", 1) + "," + _MAPLOOK + """
+SELECT l.needle, CAST(u.i - 1 AS BIGINT) AS pos, u.dag_id
+FROM looked l JOIN ml m USING (pos), unnest(m.dag_names) WITH ORDINALITY u(dag_id, i)"""
+
+ORACLES["task_table"] = "SELECT dag_id, task_id AS task, replace(operator, 'Operator', '') AS operator, coalesce(nullif(state, ''), '—') AS state, " \
+    "CASE WHEN coalesce(duration_s, 0) = 0 THEN '—' ELSE printf('%.1f', round_even(duration_s, 1)) END AS duration, " \
+    "CASE WHEN coalesce(try_number, 0) > 0 THEN CAST(CAST(try_number AS BIGINT) AS VARCHAR) ELSE '—' END AS try, " \
+    "coalesce(nullif(downstream, ''), '—') AS depends_on FROM (" + ORACLES["task_graph"] + ")"
+
+ORACLES["schema_ddl_arrays"] = "SELECT batch, table_name, '[' || string_agg('{\"name\":\"' || name || '\",\"type\":\"' || type || " \
+    "'\",\"mode\":\"' || mode || '\"}', ',' ORDER BY position) || ']' AS fields FROM (" + ORACLES["schema_ddl"] + ") GROUP BY batch, table_name"
+
+ORACLES["ago_text"] = """
+WITH e AS (SELECT event_id, event_id % 4 AS shape,
+                  CAST(floor(date_diff('microsecond', date_trunc('second', ts), TIMESTAMP '2024-02-01 00:00:00') / 6e7) AS BIGINT) AS mins
+           FROM events)
+SELECT event_id, CASE WHEN shape = 0 THEN 'not a time' WHEN shape = 1 THEN '' WHEN mins < 1 THEN 'just now'
+  WHEN mins < 60 THEN CAST(mins AS VARCHAR) || 'm ago' WHEN mins // 60 < 24 THEN CAST(mins // 60 AS VARCHAR) || 'h ago'
+  ELSE CAST(mins // 60 // 24 AS VARCHAR) || 'd ago' END AS age FROM e"""

@@ -331,6 +331,11 @@ def q_mapping_lookup(spark, sf):
         "pos", "file_path", "bq_table", F.array_join("dag_names", ",").alias("dag_names"))
 
 
+@register("schema_ddl_arrays")
+def q_schema_ddl_arrays(spark, sf):
+    return audit.schema_ddl_arrays(audit.schema_ddl_rows(_meta(spark, sf)))
+
+
 @register("trace")
 def q_trace(spark, sf):
     t = lineage.trace(S.trace_needles(spark, sf), S.registry(spark, sf), S.mapping_config(spark, sf),
@@ -677,3 +682,24 @@ def q_task_depth_recursive(spark, sf):
     t = S.task_defs(spark, sf)
     nodes = t.select("dag_id", "task_id")
     return lineage.task_depth_recursive(lineage.task_edges(t), nodes)
+
+
+@register("dags_of")
+def q_dags_of(spark, sf):
+    return catalog.dags_of(S.registry(spark, sf), S.mapping_config(spark, sf), S.trace_needles(spark, sf))
+
+
+@register("task_table")
+def q_task_table(spark, sf):
+    return catalog.project_task_table(
+        lineage.task_graph(S.task_defs(spark, sf), S.dag_runs(spark, sf), S.graph_instances(spark, sf)))
+
+
+@register("ago_text")
+def q_ago_text(spark, sf):
+    e = S.read_table(spark, sf, "events")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = (F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("not a time "), F.col("event_id").cast("string")))
+            .when(F.col("event_id") % 4 == 1, F.lit("")).when(F.col("event_id") % 4 == 2, F.concat(iso, F.lit("Z")))
+            .otherwise(iso))
+    return e.select("event_id", TF.fmt_ago_text(text, F.lit(FORMAT_NOW).cast("timestamp")).alias("age"))
