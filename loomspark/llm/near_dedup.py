@@ -10,10 +10,12 @@ the diagonals that d may reach, the band), n the longer length.  At 0.8 or more
 groups are the connected components.
 
 Identical word sequences are collapsed first, so a group of exact copies counts once.  In a bucket
-of texts that share a sketch, one leader is compared with the others, and only while the bucket
-still holds several components; after ``ROUNDS`` leaders all pairs that are still open across
-components are compared (in buckets over ``LARGE`` only those that share a second sketch, which
-linked texts do).  Work on a large group is thus linear in its size.
+of texts that share a sketch, leaders are compared with the others, one in the first round and
+``LEADERS`` in the later ones, and only while the bucket still holds several components.  What is
+open after ``ROUNDS`` rounds goes through an exact filter: two similar texts share at least one of
+the rarest fifth of their k-mers (prefix filter; boilerplate is frequent and so never in it).  Of
+the pairs that do, those between components are compared, for every text outside its bucket's
+largest component.  Work on a large group is thus linear in its size, and no pair is left out.
 """
 from __future__ import annotations
 
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import located, map_texts, small, work_dir, written
@@ -32,8 +34,8 @@ WORDS = 5
 SKETCHES = 40
 PICKS = 4
 SIMILARITY = 0.8
-ROUNDS = 3
-LARGE = 64
+ROUNDS = 2
+LEADERS = 8
 
 
 def shingler():
@@ -219,13 +221,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(run, "a long, b long")
 
 
+def _table(df: DataFrame, path: str) -> DataFrame:
+    """A written table in at most a few files per core: what links texts is small beside the texts."""
+    return written(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), path)
+
+
 def components(edges: DataFrame, root: str) -> DataFrame:
     """(rid, comp) of every vertex of the edges (a, b): comp is the smallest rid of its component.  Labels
     spread to neighbours and then jump to their label's label, until none changes."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, f"{root}/edges")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).toDF("rid", "comp"),
-                     f"{root}/labels-0")
+    both = _table(both, f"{root}/edges")
+    labels = _table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).toDF("rid", "comp"),
+                    f"{root}/labels-0")
     step = 0
     while True:
         step += 1
@@ -233,7 +240,7 @@ def components(edges: DataFrame, root: str) -> DataFrame:
         spread = labels.join(near, F.col("rid") == F.col("a")).select(
             "rid", F.col("comp").alias("was"), F.least("comp", "m").alias("next"))
         jump = labels.toDF("next", "far")
-        out = written(spread.join(jump, "next", "left").select(
+        out = _table(spread.join(jump, "next", "left").select(
             "rid", F.least("next", F.coalesce("far", "next")).alias("comp"), "was"), f"{root}/labels-{step}")
         labels = out.select("rid", "comp")
         if out.where("comp <> was").isEmpty():
@@ -256,11 +263,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = written(reps, f"{root}/representatives")
     keys = (rows.select("rid", "n", "keys").join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")
             .select("rid", "n", F.explode("keys").alias("key")))
-    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"{root}/keys")
-    n_shared = shared.count()
-    members = written(keys.join(small(shared, n_shared, 40), "key"), f"{root}/members")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    shared = _table(shared, f"{root}/keys")
+    members = _table(keys.join(small(shared, shared.count(), 40), "key"), f"{root}/members")
 
-    need = written(members.select("rid").distinct().join(rows.select("rid", "__file", "__row"), "rid"), f"{root}/need")
+    need = _table(members.select("rid").distinct().join(rows.select("rid", "__file", "__row"), "rid"), f"{root}/need")
     texts = src.join(small(need, need.count(), 250), ["__file", "__row"]).select("rid", "text")
 
     def make():
@@ -288,44 +295,69 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float, root: str)
     comp = spark.createDataFrame([], "rid long, comp long")
     edges = spark.createDataFrame([], "a long, b long")
     tested = spark.createDataFrame([], "a long, b long")
-    # lengths further apart than the similarity allows cannot be linked
-    fits = F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity - 1e-9)
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
     for r in range(ROUNDS + 1):
-        now = members.join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        order = F.struct(F.xxhash64("rid", F.lit(r)), "rid", "n", "comp")
-        lead = (now.groupBy("key").agg(F.min(order).alias("l"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-                .where("c0 <> c1").select("key", F.col("l.rid").alias("x"), F.col("l.n").alias("m"),
-                                          F.col("l.comp").alias("cx")))
-        open_ = now.join(lead, "key")
-        if r < ROUNDS:
-            pairs = ordered(open_.where((F.col("comp") != F.col("cx")) & fits).withColumnsRenamed({"rid": "y"}))
-        else:
-            open_ = written(open_.select("key", "size", "rid", "n", "comp", "cx"), f"{root}/open")
-            other = open_.where("comp <> cx").select("key", F.col("rid").alias("x"), F.col("n").alias("m"),
-                                                     F.col("comp").alias("c"))
-            pairs = ordered(open_.where(F.col("size") <= LARGE).join(other, "key")
-                            .where((F.col("comp") != F.col("c")) & fits).withColumnsRenamed({"rid": "y"}))
-            large = open_.where(F.col("size") > LARGE).select("key", "rid", "n", "comp", "cx")
-            if not large.isEmpty():
-                second = members.select("rid", F.col("key").alias("key2"))
-                two = large.join(second, "rid").where("key <> key2")
-                other = two.where("comp <> cx").select("key", "key2", F.col("rid").alias("x"), F.col("n").alias("m"),
-                                                       F.col("comp").alias("c"))
-                pairs = pairs.unionByName(ordered(
-                    two.join(other, ["key", "key2"]).where((F.col("comp") != F.col("c")) & fits)
-                    .withColumnsRenamed({"rid": "y"}))).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), f"{root}/pairs-{r}")
-        if pairs.isEmpty():
-            if r < ROUNDS:
-                continue
+        now = members.select("key", "rid", "n").join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        open_ = _table(now.join(mixed.select("key"), "key"), f"{root}/open-{r}")
+        if open_.isEmpty():
             break
-        found = written(_verified(pairs, texts, similarity), f"{root}/links-{r}")
+        pairs = _with_leaders(open_, r, similarity) if r < ROUNDS else _rare_pairs(open_, texts, similarity, root)
+        pairs = _table(pairs.join(tested, ["a", "b"], "left_anti"), f"{root}/pairs-{r}")
+        found = _table(_verified(pairs, texts, similarity), f"{root}/links-{r}")
         tested = tested.unionByName(pairs)
         if not found.isEmpty():
             edges = edges.unionByName(found)
             comp = components(edges, f"{root}/components-{r}")
     return comp
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _fits(similarity: float):
+    """Lengths further apart than the similarity allows cannot be linked."""
+    return F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity - 1e-9)
+
+
+def _with_leaders(open_: DataFrame, r: int, similarity: float) -> DataFrame:
+    """Pairs of each bucket's leaders with the members of other components.  Leaders come first in a random
+    order of all texts, so the buckets of one group tend to have the same."""
+    lead = F.struct(F.col("rid").alias("x"), F.col("n").alias("m"), F.col("comp").alias("cx"))
+    seeds = range(1 if r == 0 else LEADERS)
+    first = open_.groupBy("key").agg(*[
+        F.min(F.struct(F.xxhash64("rid", F.lit(r * LEADERS + i)).alias("h"), lead.alias("l"))).alias(f"l{i}") for i in seeds])
+    first = first.select("key", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}.l") for i in seeds]))).alias("l")) \
+        .select("key", "l.*")
+    return _ordered(open_.join(first, "key").where((F.col("comp") != F.col("cx")) & _fits(similarity))
+                    .withColumnRenamed("rid", "y"))
+
+
+def _rare_pairs(open_: DataFrame, texts: DataFrame, similarity: float, root: str) -> DataFrame:
+    """Pairs between components that share one of their rarest k-mers, for texts outside the largest component
+    of some open bucket.  A text of n k-mers has at least ceil(similarity * n) in common with a similar one,
+    so its n - ceil(similarity * n) + 1 rarest hold one of them, in the order of all open texts."""
+    sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    docs = open_.join(main, "key").groupBy("rid", "n", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor"))
+    docs = _table(docs, f"{root}/open-texts")
+    told = labelled
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for i in range(t.num_rows):
+                kmers = told(np.frombuffer(t.column(1)[i].as_buffer(), np.uint32).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(kmers), t.column(0)[i].as_py(), np.int64)), pa.array(kmers.view(np.int64))],
+                    names=["rid", "kmer"])
+    kmers = texts.join(docs.select("rid"), "rid", "left_semi").select("rid", "kmers").mapInArrow(spread, "rid long, kmer long")
+    kmers = _table(kmers, f"{root}/open-kmers")
+    # a k-mer of one text alone is in no pair, but counts as rare
+    often = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("rid").orderBy("df", "kmer")
+    prefix = (kmers.join(often, "kmer").join(docs, "rid").withColumn("place", F.row_number().over(rarest))
+              .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).where("df > 1"))
+    prefix = _table(prefix.select("rid", "n", "comp", "minor", "kmer"), f"{root}/open-prefixes")
+    minor = prefix.where("minor").select(F.col("rid").alias("x"), F.col("n").alias("m"), F.col("comp").alias("cx"), "kmer")
+    return _ordered(prefix.join(minor, "kmer").where((F.col("comp") != F.col("cx")) & _fits(similarity))
+                    .withColumnRenamed("rid", "y"))
