@@ -15,6 +15,8 @@ from ..session import ensure_checkpoint_dir
 
 #: Largest estimated size of a side that is sent to every executor; beyond it joins shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Rows in an Arrow batch for Python.
+BATCH_ROWS = 500
 
 
 def pick(df: DataFrame, *names: str, extra: Sequence[Column] = ()) -> DataFrame:
@@ -65,10 +67,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts may be long: at most ``BATCH_ROWS`` rows go to a Python task at a time in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable], fields: str, text: str = "text") -> DataFrame:
     """Replace the column ``text`` by ``fields`` (a DDL string), computed in Arrow batches.  ``make`` runs once
     per task and returns a function from a list of texts to one sequence per field.  Other columns pass
     through unchanged as Arrow data (no pandas conversion, so null ids keep their type)."""
+    bounded_batches(df.sparkSession)
     rest = [f for f in df.schema.fields if f.name != text]
     new = StructType.fromDDL(fields)
     types = [to_arrow_type(f.dataType) for f in new.fields]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import located, map_texts, small, work_dir, written
+from .common import bounded_batches, located, map_texts, small, work_dir, written
 
 WORDS = 5
 SKETCHES = 40
@@ -102,7 +102,7 @@ def sketcher():
         if len(x) <= PICKS:
             at = np.arange(len(x))[None, :]
         else:
-            step = max(1, 2_000_000 // len(x))
+            step = max(1, 400_000 // len(x))
             parts = []
             for i in range(0, SKETCHES, step):
                 v = (x[None, :] ^ seeds[i:i + step, None]) * m1
@@ -211,6 +211,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     both = (pairs.join(texts.select(F.col("rid").alias("a"), F.col("kmers").alias("ka")), "a")
             .join(texts.select(F.col("rid").alias("b"), F.col("kmers").alias("kb")), "b").select("a", "b", "ka", "kb"))
     near = similar
+    bounded_batches(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:

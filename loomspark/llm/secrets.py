@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pick
+from .common import bounded_batches, map_texts, pick
 
 # The base patterns and their minimal lengths
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -133,6 +133,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     at = docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
     src = docs.toDF(*names)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def mask(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
