@@ -42,8 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for own, col in (("k_id", "doc_id"), ("k_text", "text"), ("k_lang", "lang")):
         src = src.withColumn(own, F.col(names[docs.columns.index(col)]))
     model = language_id.fit(src, "k_id", "k_text", "k_lang")
-    out = language_id.identify(src, model, "k_id", "k_text", keep=tuple(names))
-    return out.where("accepted").select(*names).toDF(*docs.columns)
+    return language_id.accepted(docs, model)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
