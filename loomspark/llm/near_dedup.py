@@ -294,7 +294,6 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float, root: str)
     """(rid, comp) of the texts that have a verified link."""
     spark = members.sparkSession
     comp = spark.createDataFrame([], "rid long, comp long")
-    edges = spark.createDataFrame([], "a long, b long")
     tested = spark.createDataFrame([], "a long, b long")
     for r in range(ROUNDS + 1):
         now = members.select("key", "rid", "n").join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
@@ -307,11 +306,21 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float, root: str)
         found = _table(_verified(pairs, texts, similarity), f"{root}/links-{r}")
         tested = tested.unionByName(pairs)
         if not found.isEmpty():
-            edges = edges.unionByName(found)
-            comp = components(edges, f"{root}/components-{r}")
+            comp = _merged(comp, found, f"{root}/components-{r}")
     return comp
 
 
+def _merged(comp: DataFrame, links: DataFrame, root: str) -> DataFrame:
+    """The components after new links: only the components that the links join are worked on, as vertices."""
+    known = lambda c: comp.select(F.col("rid").alias(c), F.col("comp").alias(f"c{c}"))
+    between = (links.join(known("a"), "a", "left").join(known("b"), "b", "left")
+               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b"))
+    new = components(between, root)
+    moved = comp.join(new.toDF("comp", "to"), "comp", "left").select("rid", F.coalesce("to", "comp").alias("comp"))
+    fresh = new.join(comp.select("rid"), "rid", "left_anti")
+    return _table(moved.unionByName(fresh), f"{root}/merged")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
