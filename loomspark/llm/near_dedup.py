@@ -4,18 +4,21 @@ Words are runs of letters, digits and non-ASCII characters in lower case; a k-me
 (a shorter text is one k-mer), labelled with its occurrence number in the text.  Each of
 ``SKETCHES`` hash orders picks the ``PICKS`` smallest k-mers of a text and hashes them in text order,
 so texts that keep order as well as content share sketches.  Texts that share one are candidates.
+Of few k-mers a sketch says too little: where the shorter text has fewer than ``SHORT``, candidates
+share one of their rarest k-mers instead (prefix filter, below), which no similar pair fails to do.
 
 The similarity of two texts is 1 - d / n: d the edit distance of their k-mer sequences (found on
 the diagonals that d may reach, the band), n the longer length.  At 0.8 or more they are linked;
 groups are the connected components.
 
 Identical word sequences are collapsed first, so a group of exact copies counts once.  In a bucket
-of texts that share a sketch, leaders are compared with the others, one in the first round and
+of texts that share a sketch or a rare k-mer, leaders are compared with the others, one in the first round and
 ``LEADERS`` in the later ones, and only while the bucket still holds several components.  What is
 open after ``ROUNDS`` rounds goes through an exact filter: two similar texts share at least one of
 the rarest fifth of their k-mers (prefix filter; boilerplate is frequent and so never in it).  Of
 the pairs that do, those between components are compared, for every text outside its bucket's
-largest component.  Work on a large group is thus linear in its size, and no pair is left out.
+largest component.  Work on a large group is thus linear in its size, and no candidate is left out;
+similar texts of ``SHORT`` k-mers or more that share no sketch are missed.
 """
 from __future__ import annotations
 
@@ -33,6 +36,8 @@ from .common import bounded_batches, located, map_texts, small, work_dir, writte
 WORDS = 5
 SKETCHES = 40
 PICKS = 4
+#: Pairs whose shorter text has fewer k-mers are found by the exact prefix filter, not by sketches.
+SHORT = 25
 SIMILARITY = 0.8
 ROUNDS = 2
 LEADERS = 8
@@ -92,26 +97,22 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
 
 
 def sketcher():
-    """Function from k-mer hashes to the sketch keys of a text (fewer where its k-mers are few)."""
+    """Function from labelled k-mers, more than ``PICKS``, to the sketch keys of a text."""
     seeds = np.random.default_rng(7).integers(1, 2 ** 63, SKETCHES, dtype=np.uint64)
     slots = np.arange(SKETCHES, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)
     m1, m2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-    def sketch(kmers: np.ndarray) -> np.ndarray:
-        x = labelled(kmers)
-        if len(x) <= PICKS:
-            at = np.arange(len(x))[None, :]
-        else:
-            step = max(1, 400_000 // len(x))
-            parts = []
-            for i in range(0, SKETCHES, step):
-                v = (x[None, :] ^ seeds[i:i + step, None]) * m1
-                v ^= v >> np.uint64(31)
-                v *= m2
-                parts.append(np.sort(np.argpartition(v, PICKS - 1, axis=1)[:, :PICKS], axis=1))
-            at = np.concatenate(parts)
-        key = slots[:len(at)] + np.uint64(len(x) <= PICKS)
-        for j in range(at.shape[1]):
+    def sketch(x: np.ndarray) -> np.ndarray:
+        step = max(1, 400_000 // len(x))
+        parts = []
+        for i in range(0, SKETCHES, step):
+            v = (x[None, :] ^ seeds[i:i + step, None]) * m1
+            v ^= v >> np.uint64(31)
+            v *= m2
+            parts.append(np.sort(np.argpartition(v, PICKS - 1, axis=1)[:, :PICKS], axis=1))
+        at = np.concatenate(parts)
+        key = slots.copy()
+        for j in range(PICKS):
             key = (key ^ x[at[:, j]]) * m1
             key ^= key >> np.uint64(30)
         return key.view(np.int64)
@@ -187,8 +188,11 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return edit_distance_within(a, b, limit) is not None
 
 
-def _sketches(src: DataFrame) -> DataFrame:
-    """rid, id, place, number of k-mers, digest of the word sequence and sketch keys of every row."""
+def _sketches(src: DataFrame, similarity: float) -> DataFrame:
+    """rid, id, place, number of k-mers, digest of the word sequence, sketch keys (from ``SHORT`` k-mers on) and
+    labelled k-mers (of texts that a text of fewer than ``SHORT`` can be similar to) of every row."""
+    longest = (SHORT - 1) / similarity + 1e-9
+
     def make():
         shingles, sketch = shingler(), sketcher()
 
@@ -197,13 +201,15 @@ def _sketches(src: DataFrame) -> DataFrame:
             for t in texts:
                 s = shingles(t)
                 if len(s):
-                    out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s)))
+                    x = labelled(s)
+                    out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
+                                sketch(x) if len(s) >= SHORT else [], x.view(np.int64) if len(s) <= longest else []))
                 else:  # no word: equal only to texts with the same characters but blanks
                     out.append((0, hashlib.blake2b("".join(t.split()).encode("utf-8", "surrogatepass"),
-                                                   digest_size=16, person=b"no words").digest(), []))
-            return list(zip(*out)) or [[], [], []]
+                                                   digest_size=16, person=b"no words").digest(), [], []))
+            return list(zip(*out)) or [[], [], [], []]
         return work
-    return map_texts(src, make, "n int, digest binary, keys array<long>")
+    return map_texts(src, make, "n int, digest binary, keys array<long>, few array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -258,12 +264,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     root = work_dir(docs.sparkSession, "near-dedup")
     src = located(docs, [id_col, text_col], f"{root}/input").withColumnsRenamed({id_col: "id", text_col: "text"})
     src = src.withColumn("text", F.coalesce("text", F.lit("")))
-    rows = written(_sketches(src.withColumn("rid", F.monotonically_increasing_id())), f"{root}/rows")
+    rows = written(_sketches(src.withColumn("rid", F.monotonically_increasing_id()), similarity), f"{root}/rows")
 
     reps = rows.groupBy("digest").agg(F.min("rid").alias("rep"))
     reps = written(reps, f"{root}/representatives")
-    keys = (rows.select("rid", "n", "keys").join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")
-            .select("rid", "n", F.explode("keys").alias("key")))
+    of_reps = lambda c: (rows.where(F.size(c) > 0).select("rid", "n", c)
+                         .join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")
+                         .select("rid", "n", F.explode(c).alias("key")))
+    few = _table(of_reps("few").withColumnRenamed("key", "kmer"), f"{root}/short-kmers")
+    rare = _table(_prefixes(few, similarity).select("rid", "n", F.col("kmer").alias("key")), f"{root}/short-keys")
+    keys = of_reps("keys").unionByName(rare)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     shared = _table(shared, f"{root}/keys")
     members = _table(keys.join(small(shared, shared.count(), 40), "key"), f"{root}/members")
@@ -343,6 +353,15 @@ def _with_leaders(open_: DataFrame, r: int, similarity: float) -> DataFrame:
                     .withColumnRenamed("rid", "y"))
 
 
+def _prefixes(kmers: DataFrame, similarity: float) -> DataFrame:
+    """Of the rows (rid, n, kmer, ...) those of each text's n - ceil(similarity * n) + 1 rarest k-mers that other
+    texts have too: a k-mer of one text alone is in no pair, but counts as rare."""
+    often = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("rid").orderBy("df", "kmer")
+    return (kmers.join(often, "kmer").withColumn("place", F.row_number().over(rarest))
+            .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).where("df > 1"))
+
+
 def _rare_pairs(open_: DataFrame, texts: DataFrame, similarity: float, root: str) -> DataFrame:
     """Pairs between components that share one of their rarest k-mers, for texts outside the largest component
     of some open bucket.  A text of n k-mers has at least ceil(similarity * n) in common with a similar one,
@@ -362,11 +381,7 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame, similarity: float, root: str
                     names=["rid", "kmer"])
     kmers = texts.join(docs.select("rid"), "rid", "left_semi").select("rid", "kmers").mapInArrow(spread, "rid long, kmer long")
     kmers = _table(kmers, f"{root}/open-kmers")
-    # a k-mer of one text alone is in no pair, but counts as rare
-    often = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("rid").orderBy("df", "kmer")
-    prefix = (kmers.join(often, "kmer").join(docs, "rid").withColumn("place", F.row_number().over(rarest))
-              .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).where("df > 1"))
+    prefix = _prefixes(kmers.join(docs, "rid"), similarity)
     prefix = _table(prefix.select("rid", "n", "comp", "minor", "kmer"), f"{root}/open-prefixes")
     minor = prefix.where("minor").select(F.col("rid").alias("x"), F.col("n").alias("m"), F.col("comp").alias("cx"), "kmer")
     return _ordered(prefix.join(minor, "kmer").where((F.col("comp") != F.col("cx")) & _fits(similarity))

@@ -113,6 +113,26 @@ def test_groups_equal_brute_force(as_docs):
     assert all(got[i].class_size == len(c) for c in want for i in c)
 
 
+def test_short_texts_equal_brute_force(as_docs):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for n in [8, 9, 10, 14, 19, 24, 28, 29, 34] * 25:
+        base = [word() for _ in range(n)]
+        texts.append(" ".join(base))
+        for copy in ([*base, word()], [word(), *base], [word(), *base[1:]], [*base[:-1], word()]):
+            if rnd.random() < 0.5:
+                texts.append(" ".join(copy))
+    got = {r.doc_id: r.class_id for r in nd.near_dedup(as_docs(list(enumerate(texts)))).collect()}
+    assert classes([got[i] for i in range(len(texts))]) == classes(brute_groups(texts))
+    shared = " ".join(word() for _ in range(7))  # many unlike texts around common k-mers, and 8/9 and 9/9 words
+    texts = [f"{shared} {word()} {word()} {word()}" for _ in range(60)]
+    texts += ["a b c d e f g h", "a b c d e f g h i", "z a b c d e f g h", "q r s t u v w x y", "q r s t u v w x k"]
+    got = {r.doc_id: r.class_id for r in nd.near_dedup(as_docs(list(enumerate(texts)))).collect()}
+    assert got[60] == got[61] == got[62] == 60 and got[63] == got[64] == 63
+    assert classes([got[i] for i in range(len(texts))]) == classes(brute_groups(texts))
+
+
 def test_repeated_rows_and_null_ids(as_docs):
     text = "one two three four five six seven"
     out = nd.near_dedup(as_docs([(7, text), (7, text), (None, text), (None, "other words")])).collect()
