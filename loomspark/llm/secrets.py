@@ -4,12 +4,14 @@ Besides three fixed patterns, every candidate string (a run of token characters)
 inside it each maximal run of one character class (hexadecimal, base 64) is crossed by a window
 whose Shannon entropy is kept up to date from the counts of the character that enters and the one
 that leaves.  A run whose best window reaches its class's threshold is reported, unless the
-allow-list covers the candidate.
+allow-list covers the candidate or base spans cover every character of it; a candidate that goes
+on beyond them is reported whole, beside the spans inside it.
 """
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -75,11 +77,18 @@ def scanner(allow: Sequence[str] = ()):
         if digit.search(text) is None:  # a secret by entropy holds a digit
             return out + [("hex", m.start(), m.end(), 0.0) for m in hexa.finditer(text)]
         out += [("hex", m.start(), m.end(), 0.0) for m in hexa.finditer(text)]
-        base = sorted((s, e) for _, s, e, _ in out)
+        starts, ends = [], []  # the characters that base spans cover, as runs
+        for s, e in sorted((s, e) for _, s, e, _ in out):
+            if ends and s <= ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                starts.append(s)
+                ends.append(e)
         for m in cand.finditer(text):
             if digit.search(m[0]) is None or allowed.fullmatch(m[0]):
                 continue
-            if any(s < m.end() and m.start() < e for s, e in base):
+            at = bisect_right(starts, m.start()) - 1
+            if at >= 0 and m.end() <= ends[at]:
                 continue
             high = 0.0
             for runs, width, least in classes:
