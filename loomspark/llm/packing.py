@@ -19,14 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, work_dir, written
+from .exact_dedup import normalised
 
 CAPACITY = 8192
 SHARD_ROWS = 2048
 
 
 def duplicate_cluster(text: Column) -> Column:
-    """Copies (up to runs of white space) share a cluster."""
-    return F.xxhash64(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    """Texts that operator 2 calls equal (all but blanks) share a cluster."""
+    return F.xxhash64(normalised(text))
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[tuple[int, int]]:
@@ -73,16 +74,23 @@ def _pack(capacity: int):
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
-         source_col: str = "source", shard_rows: int = SHARD_ROWS) -> DataFrame:
+         source_col: str = "source", shard_rows: int = SHARD_ROWS, cluster_col: str | None = None) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, bin_id, bin_offset, source, cluster``.
 
     ``start`` and ``length`` are code points of the text.  Pieces of full capacity have a bin of their
     own.  Null and empty texts give one row of length 0 without a bin.  A null source conflicts with none.
-    Repeated rows are documents of their own (copies, so never in one bin).  No rows from an empty table."""
+    Repeated rows are documents of their own (copies, so never in one bin).  No rows from an empty table.
+    ``cluster_col`` names the duplicate clusters, such as ``class_id`` of ``near_dedup``; rows without one, and all
+    rows by default, are clustered by ``duplicate_cluster``."""
     n = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
-    thin = pick(docs, id_col, text_col, source_col).select(
+    cluster = duplicate_cluster(F.col(text_col))
+    if cluster_col:  # the word keeps given names apart from those by text
+        given = F.xxhash64(F.lit("cluster"), F.col(cluster_col).cast("string"))
+        cluster = F.when(F.col(cluster_col).isNull(), cluster).otherwise(given)
+    names = dict.fromkeys([id_col, text_col, source_col, *([cluster_col] if cluster_col else [])])
+    thin = pick(docs, *names).select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
-        F.col(source_col).cast("string").alias("source"), duplicate_cluster(F.col(text_col)).alias("cluster"),
+        F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"),
         n.alias("n"))
     root = work_dir(docs.sparkSession, "packing")
     thin = written(thin, f"{root}/documents")

@@ -57,5 +57,17 @@ def test_pieces_cover_texts_and_bins_hold(as_docs):
         assert len(src) == len(set(src)) and len({r.cluster for r in rs}) == len(rs)
 
 
+def test_clusters_are_those_of_the_dedup_operators(as_docs):
+    rows = [(1, "abc", None, "s1"), (2, " abc", None, "s2"), (3, "a bc\n", None, "s3"), (4, "other", None, "s4"),
+            (5, "others", None, "s5"), (6, "more", None, "s6")]
+    bins = {r.doc_id: r.bin_id for r in packing.pack(as_docs(rows), capacity=100).collect()}
+    assert len({bins[i] for i in (1, 2, 3)}) == 3
+    docs = as_docs(rows).toDF("doc_id", "text", "class_id", "source", "n_chars", "digest", "other")
+    classes = docs.selectExpr("doc_id", "text", "source", "case when doc_id in (4, 5, 6) then 4 end as class_id")
+    out = packing.pack(classes, capacity=100, cluster_col="class_id").collect()
+    bins = {r.doc_id: r.bin_id for r in out}
+    assert len({bins[i] for i in (1, 2, 3)}) == len({bins[i] for i in (4, 5, 6)}) == 3
+
+
 def test_empty_table(as_docs):
     assert packing.pack(as_docs([])).count() == 0
