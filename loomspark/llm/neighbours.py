@@ -114,8 +114,9 @@ def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     n, n_asked = entries.count(), asked.select("eid").distinct().count()
     top = entries.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, c: a + c * c)))).first()[0]
 
-    both = entries.select("eid", "vec", F.lit(False).alias("query")).unionByName(
-        entries.join(asked.select("eid").distinct(), "eid", "left_semi").select("eid", "vec", F.lit(True).alias("query")))
+    both = entries.select("eid", "cid", "vec", F.lit(False).alias("query")).unionByName(
+        entries.join(asked.select("eid").distinct(), "eid", "left_semi")
+        .select("eid", "cid", "vec", F.lit(True).alias("query")))
     ways, shifts = _frames(dim + 1, curves)
     project, cells_of, bits = _projected, hilbert_keys, BITS
 
@@ -140,7 +141,7 @@ def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, pa.array(np.full(b.num_rows, c, np.int32)), pa.array(key)],
                     names=[*b.schema.names, "curve", "key"])
-    placed = both.mapInArrow(place, "eid long, vec array<double>, query boolean, curve int, key long")
+    placed = both.mapInArrow(place, "eid long, cid long, vec array<double>, query boolean, curve int, key long")
     blocks = max(BLOCKS, -(-n // BLOCK_ROWS))
     ordered = written(placed.repartitionByRange(curves * blocks, "curve", "key", "query", "eid")
                       .withColumn("block", F.spark_partition_id()), f"{root}/curves")
@@ -160,7 +161,7 @@ def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
                .join(near, ["curve", "own"]).withColumn("part", F.pmod(F.xxhash64("eid"), F.lit(parts)))
                .select("eid", "vec", "curve", "block", "part"))
     again = spark.read.schema(ordered.schema).parquet(f"{root}/curves")  # column ids of its own for the cogroup
-    base = again.where("not query").select("eid", "vec", "curve", "block").withColumn(
+    base = again.where("not query").select("eid", "cid", "vec", "curve", "block").withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     best = _best_of_block(k + 1)
     found = (queries.groupBy("curve", "block", "part").cogroup(base.groupBy("curve", "block", "part"))
@@ -183,16 +184,25 @@ def _best_of_block(k: int):
         if not len(queries) or not len(base):
             return pd.DataFrame({"qid": [], "eid": [], "score": []}).astype({"qid": "int64", "eid": "int64"})
         q, b = np.stack(queries["vec"].to_numpy()), np.stack(base["vec"].to_numpy())
-        qid, eid = queries["eid"].to_numpy(), base["eid"].to_numpy()
-        # a few more than k by the fast product, then the plain sum of products decides
+        qid, eid, cid = queries["eid"].to_numpy(), base["eid"].to_numpy(), base["cid"].to_numpy()
+        # a few more than k by the fast product, then the plain sum of products and the smallest id decide
         m = min(len(b), k + 4)
+        error = 4 * b.shape[1] * np.finfo(np.float64).eps * np.sqrt((b * b).sum(axis=1).max())
         out = []
         for i in range(0, len(q), 512):
             fast = q[i:i + 512] @ b.T
             at = np.argpartition(-fast, m - 1, axis=1)[:, :m] if m < len(b) else np.tile(np.arange(m), (len(fast), 1))
             exact = (b[at] * q[i:i + 512][:, None, :]).sum(axis=2)
-            rank = np.lexsort((eid[at], -exact), axis=1)[:, :k]
+            rank = np.lexsort((eid[at], cid[at], -exact), axis=1)[:, :k]
             at, exact = np.take_along_axis(at, rank, 1), np.take_along_axis(exact, rank, 1)
+            if m < len(b):  # rows cut at the border may tie with the last: then every row down to it is measured
+                least = exact[:, -1] - error * np.sqrt((q[i:i + 512] ** 2).sum(axis=1))
+                near = fast >= least[:, None]
+                for j in np.flatnonzero(near.sum(axis=1) > m):
+                    all_ = np.flatnonzero(near[j])
+                    sums = (b[all_] * q[i + j]).sum(axis=1)
+                    first = np.lexsort((eid[all_], cid[all_], -sums))[:k]
+                    at[j], exact[j] = all_[first], sums[first]
             out.append((np.repeat(qid[i:i + 512], at.shape[1]), eid[at].ravel(), exact.ravel()))
         qs, es, ss = map(np.concatenate, zip(*out))
         return pd.DataFrame({"qid": qs, "eid": es, "score": ss})

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from loomspark.llm import neighbours as nn
 
@@ -53,3 +54,16 @@ def test_hilbert_curve_visits_neighbours():
     assert sorted(key) == list(range(512))
     path = g[np.argsort(key)]
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_ties_at_the_border_of_a_block_go_to_the_smaller_id():
+    rnd = np.random.default_rng(3)
+    b = rnd.integers(0, 2, (400, 16)).astype(float)
+    cid = rnd.permutation(400)
+    q = rnd.integers(0, 2, (30, 16)).astype(float)
+    got = nn._best_of_block(6)(
+        pd.DataFrame({"eid": range(1000, 1030), "vec": list(q)}),
+        pd.DataFrame({"eid": range(400), "cid": cid, "vec": list(b)}))
+    for i in range(30):
+        want = np.lexsort((cid, -(b @ q[i])))[:6]
+        assert got.eid[got.qid == 1000 + i].tolist() == want.tolist()
