@@ -45,14 +45,14 @@ def best_window(s: str, width: int) -> float:
     total = 0.0
     best = math.inf
     for i, ch in enumerate(s):
-        c = counts.get(ch, 0)
-        total += term[c + 1] - term[c]
-        counts[ch] = c + 1
-        if i >= width:
+        if i >= width:  # first out, so that no count is ever above the width
             old = s[i - width]
             c = counts[old]
             total += term[c - 1] - term[c]
             counts[old] = c - 1
+        c = counts.get(ch, 0)
+        total += term[c + 1] - term[c]
+        counts[ch] = c + 1
         if i >= width - 1 and total < best:
             best = total
     return math.log2(width) - best / width
@@ -105,7 +105,8 @@ def scanner(allow: Sequence[str] = ()):
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  allow: Sequence[str] = ()) -> DataFrame:
     """One row per document: ``doc_id`` and ``found``, the array of its spans (kind, start, end in code points,
-    end exclusive, entropy).  Null counts as empty and has no spans; an empty table gives no rows.
+    end exclusive, entropy).  Null counts as empty and has no spans; an empty table gives no rows; repeated rows
+    are rows of their own; texts of any length are read whole.  Base spans of different kinds may overlap.
     ``allow`` adds regular expressions that suppress whole candidates of the entropy search."""
     src = pick(docs, id_col, text_col).select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -138,7 +139,7 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with the same columns, every span of every text (overlaps merged) replaced by ``mark``.
-    Null texts stay null."""
+    Null texts stay null; repeated rows and texts of any length come out row by row."""
     at = docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
     src = docs.toDF(*names)

@@ -85,3 +85,25 @@ def test_masked_keeps_columns(as_docs):
 
 def test_empty_table(as_docs):
     assert secrets.summary(secrets.find_secrets(as_docs([]))).count() == 0
+
+
+def entropies(s, width):
+    h = lambda w: -sum(w.count(c) / width * math.log2(w.count(c) / width) for c in set(w))
+    return max((h(s[i:i + width]) for i in range(len(s) - width + 1)), default=0.0)
+
+
+def test_runs_of_one_character_around_the_window(as_docs):
+    rnd = random.Random(17)
+    alphabet = {16: "0123456789abcdef", 20: "ABCxyz0189+/_-"}
+    for width, chars in alphabet.items():
+        for run in range(width - 3, 2 * width + 3):
+            tail = "".join(rnd.choice(chars) for _ in range(rnd.randint(0, 30)))
+            s = tail[:rnd.randint(0, len(tail))] + chars[0] * run + tail
+            assert abs(secrets.best_window(s, width) - entropies(s, width)) < 1e-9
+    hard = ["00000000000000000Z", "AAAAAAAAAAAAAAAAAAAAA1", "id=00000000000000000000Zx", "key 0" + "=" * 40,
+            "q7Zp2LxV9sKd03mWbT5yRc8N" + "0" * 50]
+    docs = as_docs(list(enumerate(hard)))
+    got = {r.doc_id: r for r in secrets.summary(secrets.find_secrets(docs)).collect()}
+    assert [got[i].n_entropy for i in range(5)] == [0, 0, 0, 0, 1]
+    text = {r[0]: r[1] for r in secrets.masked(docs).collect()}
+    assert text[1] == hard[1] and text[4] == "[secret]" and text[3] == hard[3]
