@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import language_id, neighbours, packing, pii, quality, secrets, tokens, url_lists
+from . import imatch, language_id, neighbours, packing, pii, quality, secrets, tokens, url_lists
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 
@@ -97,3 +97,8 @@ def op7_url_lists(spark: SparkSession, sf: str) -> DataFrame:
 @register("op4_personal_data")
 def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.summary(pii.find_personal_data(read_table(spark, sf, "documents")))
+
+
+@register("op11_imatch")
+def op11_imatch(spark: SparkSession, sf: str) -> DataFrame:
+    return imatch.compare_edits(read_table(spark, sf, "documents"))
