@@ -23,10 +23,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import located, pick, small, work_dir, written
+from .common import in_order, located, pick, small, work_dir, written
 
 #: Least and largest inverse document frequency of lexicon terms: in one of 20 to one of 2 000 documents.
 BAND = (math.log(20), math.log(2000))
@@ -112,21 +112,6 @@ def likeness(a: str, b: str) -> Column:
             .otherwise(0.0))
 
 
-def in_order(rows: DataFrame, path: str, *order: Column) -> DataFrame:
-    """``rows`` with ``pos``, their places from 0 in a total order, written below ``path``: range partitions are
-    sorted, and the sizes of the partitions before give each its offset."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt = written(dealt.withColumn("mid", F.monotonically_increasing_id()), f"{path}/dealt")
-    part = F.call_function("shiftright", F.col("mid"), F.lit(33))
-    sizes = dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    out = dealt.withColumn("part", part).join(small(sizes, parts, 40), "part").withColumn(
-        "pos", F.col("offset") + F.col("mid").bitwiseAND((1 << 33) - 1))
-    return written(out.drop("mid", "part", "offset"), f"{path}/ordered")
-
-
 def edited(docs: DataFrame, id_col: str, text_col: str, root: str) -> DataFrame:
     """``key, next_key, id, next_id, n_chars, text, edited``: every document and its text with the last quarter
     (rounded down) replaced by as many first characters, or all, of the next document by id; after the last

@@ -48,3 +48,23 @@ SELECT p.page_id, p.host, strftime(p.d, '%Y-%m-%d') AS fetched_at, hits.found IS
        coalesce(len(hits.found), 0) AS n_active, coalesce(array_to_string(list_sort(hits.found), ','), '') AS entries
 FROM p LEFT JOIN hits USING (page_id)
 """
+
+LLM_ORACLES["op13_hard_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, y.id, a.label = y.label AS same, CAST(list_inner_product(a.e, y.e) AS BIGINT) AS score
+  FROM v a, v y WHERE a.id % 100 = 0 AND a.id <> y.id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, p.positive_score, s.id AS negative_id, s.score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS rank
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""

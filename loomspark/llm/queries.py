@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import imatch, language_id, neighbours, packing, pii, quality, secrets, tokens, url_lists
+from . import hard_negatives, imatch, language_id, neighbours, packing, pii, quality, secrets, tokens, url_lists
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 
@@ -102,3 +102,10 @@ def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 @register("op11_imatch")
 def op11_imatch(spark: SparkSession, sf: str) -> DataFrame:
     return imatch.compare_edits(read_table(spark, sf, "documents"))
+
+
+@register("op13_hard_negatives")
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, sf, "embeddings")
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
