@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import hard_negatives, imatch, language_id, neighbours, packing, pii, quality, secrets, tokens, url_lists
+from . import hard_negatives, imatch, language_id, neighbours, packing, pii, quality, secrets, spelling, tokens, url_lists
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 
@@ -109,3 +109,10 @@ def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_table(spark, sf, "embeddings")
     moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
     return hard_negatives.mine(rows.withColumn("label", moved))
+
+
+@register("op12_spelling")
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    found = spelling.runs(read_table(spark, sf, "documents"), "doc_id", "text", 5)
+    words = found.select(spelling.with_typos(F.col("run"), F.col("id")).alias("word"))
+    return spelling.variants(spelling.counted(words, 5, 3))
