@@ -1,37 +1,42 @@
 """Read-only SQL entry point over registered tables.
 
 The statement is checked *before* it reaches ``spark.sql``, because Spark runs
-commands (DDL/DML) eagerly.  Spark's own parser reads it (parsing executes nothing);
-the parsed plan may hold no command, no insert and no external script.  Functions that
-call arbitrary JVM methods are refused by name.  No LIMIT is ever added: the caller
-decides what to collect.
+commands (DDL/DML) eagerly.  Spark's own parser reads it (parsing executes nothing), and the
+parsed plan, with the plans inside its expressions, may hold only nodes of an allow-list: the
+parts of queries.  Functions that call arbitrary JVM methods are refused by the last part of their
+name, wherever they stand, and so are names that are expressions (``IDENTIFIER(...)``), which no
+reader of the plan can check.  No LIMIT is ever added: the caller decides what to collect.
 """
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: functions that run code of the session's JVM
 JVM_CALLS = ("reflect", "java_method", "try_reflect")
-# fixed values: parsed nodes that are no reads, besides every command
-_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
-NO_READS = (_LOGICAL + "Command", _LOGICAL + "ParsedStatement", _LOGICAL + "ScriptTransformation")
-
-# raw strings first: a backslash in them escapes nothing
-_COMMENT_OR_QUOTE = re.compile(
-    r"--[^\n]*|/\*.*?\*/|\b[rR]'[^']*'|\b[rR]\"[^\"]*\"|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.S)
+# fixed values: the nodes of parsed queries
+READS = frozenset((
+    "Aggregate", "AsOfJoin", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin",
+    "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "PipeOperator", "Pivot", "Project", "RelationTimeTravel",
+    "Repartition", "RepartitionByExpression", "Sample", "Sort", "SubqueryAlias", "UnresolvedHaving", "UnresolvedHint",
+    "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTVFAliases",
+    "UnresolvedTableValuedFunction", "UnresolvedWith", "Union", "Unpivot", "WithWindowDefinition"))
 
 
 class ReadOnlyViolation(ValueError):
     pass
 
 
-def _tokens(sql: str) -> str:
-    """The statement without comments, literals and back quotes."""
-    return _COMMENT_OR_QUOTE.sub(" ", sql).replace("`", "")
+def _function_name(expr, kind: str) -> str | None:
+    """The last part of the name of an unresolved function, generator or table function."""
+    if kind == "UnresolvedFunction":
+        return expr.nameParts().last()
+    if kind == "UnresolvedGenerator":
+        return expr.name().funcName()
+    if kind == "UnresolvedTableValuedFunction":
+        return expr.name().last()
+    return None
 
 
 def check_read_only(sql: str, spark: SparkSession | None = None) -> str:
@@ -44,18 +49,29 @@ def check_read_only(sql: str, spark: SparkSession | None = None) -> str:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(stmt)
     except ParseException as exc:
         raise ReadOnlyViolation(f"not a single valid statement: {str(exc)[:200]}") from None
-    jvm = spark.sparkContext._jvm
-    refused = [jvm.java.lang.Class.forName(n, False, plan.getClass().getClassLoader()) for n in NO_READS]
+    load = spark.sparkContext._jvm.java.lang.Class.forName
+    a_plan, a_subquery = (load(f"org.apache.spark.sql.catalyst.{n}", False, plan.getClass().getClassLoader())
+                          for n in ("plans.logical.LogicalPlan", "expressions.PlanExpression"))
     waiting = [plan]
     while waiting:
         node = waiting.pop()
-        if any(c.isInstance(node) for c in refused):
-            raise ReadOnlyViolation(f"{node.nodeName()} is not a read")
-        for below in (node.children(), node.innerChildren()):
-            waiting += [n for n in (below.apply(i) for i in range(below.size())) if hasattr(n, "nodeName")]
-    calls = re.findall(r"(?i)\b(" + "|".join(JVM_CALLS) + r")\s*\(", _tokens(stmt))
-    if calls:
-        raise ReadOnlyViolation(f"function {calls[0]} is not allowed")
+        kind = node.getClass().getSimpleName()
+        is_plan = a_plan.isInstance(node)
+        if is_plan and kind not in READS:
+            raise ReadOnlyViolation(f"{kind} is not a read")
+        if kind == "ExpressionWithUnresolvedIdentifier":
+            raise ReadOnlyViolation("names that are expressions are not allowed")
+        name = _function_name(node, kind)
+        if name is not None and name.lower() in JVM_CALLS:
+            raise ReadOnlyViolation(f"function {name} is not allowed")
+        below = [node.children()]
+        if is_plan:
+            below += [node.expressions()]
+            inner = node.innerChildren()
+            waiting += [n for n in (inner.apply(i) for i in range(inner.size())) if a_plan.isInstance(n)]
+        elif a_subquery.isInstance(node):
+            waiting.append(node.plan())
+        waiting += [n.apply(i) for n in below for i in range(n.size())]
     return stmt
 
 
