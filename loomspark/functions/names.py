@@ -93,3 +93,8 @@ def split_object_uri(c) -> Column:
     bucket = F.regexp_extract(s, r"^([^/]*)", 1)
     prefix = F.regexp_replace(F.regexp_extract(s, r"^[^/]*(.*)$", 1), r"^/+|/+$", "")
     return F.struct(bucket.alias("bucket"), prefix.alias("prefix"))
+
+
+def quoted(name: str) -> str:
+    """A column name as it must be written in expressions, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"

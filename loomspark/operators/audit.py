@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..session import cut_lineage
+from ..functions.names import quoted
 from ..functions.types import (MATCH, SOURCE_ONLY, TARGET_ONLY, TYPE_MISMATCH, audit_status,
                                source_to_target_type)
 
@@ -151,33 +152,59 @@ def short_unique_labels(names: DataFrame, col: str = "table_name", reserved: str
 
 # ── schema tree of a DataFrame (Q20) ───────────────────────────────────────────
 
+def _children(t):
+    """What a schema tree shows below a type: its fields, also those of an array's elements; no fields for a leaf."""
+    while isinstance(t, ArrayType):
+        t = t.elementType
+    return t.fields if isinstance(t, StructType) else []
+
+
 def leaf_fields(schema: StructType, prefix: str = "", mode: str | None = None):
-    """(dot-path, type, mode) of every leaf; a struct contributes only its leaves, to any
-    depth.  Arrays are REPEATED; others NULLABLE/REQUIRED."""
+    """(dot-path, type, mode) of every leaf; structs and arrays of structs contribute only their leaves, to any
+    depth.  Arrays and all leaves inside them are REPEATED; others NULLABLE/REQUIRED.  A map is a leaf, and so is a
+    struct without fields."""
     out = []
     for f in schema.fields:
         path = f"{prefix}.{f.name}" if prefix else f.name
-        t = f.dataType
-        m = mode or ("REPEATED" if isinstance(t, ArrayType) else ("NULLABLE" if f.nullable else "REQUIRED"))
-        if isinstance(t, StructType) and t.fields:
-            out.extend(leaf_fields(t, path, m if m == "REPEATED" else None))
+        m = mode or ("REPEATED" if isinstance(f.dataType, ArrayType) else ("NULLABLE" if f.nullable else "REQUIRED"))
+        below = _children(f.dataType)
+        if below:
+            out.extend(leaf_fields(StructType(below), path, m if m == "REPEATED" else None))
         else:
-            out.append((path, t.simpleString(), m))
+            out.append((path, f.dataType.simpleString(), m))
     return out
 
 
+def _leaf_counts(c, t) -> list:
+    """For each leaf below a value, in the order of ``leaf_fields``: how many of its values are not null in one row.
+    Arrays are added up over their elements, whatever their depth."""
+    if isinstance(t, StructType) and t.fields:
+        return [n for f in t.fields for n in _leaf_counts(c.getField(f.name), f.dataType)]
+    if isinstance(t, ArrayType) and _children(t):
+        zero = F.lit(0).cast("long")
+
+        def total(k: int):
+            return F.coalesce(F.aggregate(c, zero, lambda n, x: n + _leaf_counts(x, t.elementType)[k]), zero)
+        return [total(k) for k in range(len(leaf_fields(StructType().add("x", t))))]
+    return [F.when(c.isNotNull(), 1).otherwise(0).cast("long")]
+
+
 def flatten_columns(df: DataFrame) -> DataFrame:
-    """Every struct leaf as a top-level column named by its dot-path."""
-    paths = [p for p, _, _ in leaf_fields(df.schema)]
-    return df.select(*[F.col(".".join(f"`{x}`" for x in p.split("."))).alias(p) for p in paths])
+    """Every leaf of structs as a top-level column named by its dot-path; arrays stay whole."""
+    def leaves(c, t, path):
+        if isinstance(t, StructType) and t.fields:
+            return [x for f in t.fields for x in leaves(c.getField(f.name), f.dataType, f"{path}.{f.name}")]
+        return [c.alias(path)]
+    return df.select(*[x for f in df.schema.fields for x in leaves(F.col(quoted(f.name)), f.dataType, f.name)])
 
 
 def leaf_profile(df: DataFrame) -> DataFrame:
-    """One aggregate over the table → (path, type, mode, non_null, row_count) per leaf."""
+    """One aggregate over the table → (path, type, mode, non_null, row_count) per leaf.  Below arrays ``non_null``
+    counts the values of all elements."""
     leaves = leaf_fields(df.schema)
-    flat = flatten_columns(df)
-    counts = flat.agg(F.count(F.lit(1)).alias("_rows"),
-                      *[F.count(F.col(f"`{p}`")).alias(f"_n{i}") for i, (p, _, _) in enumerate(leaves)])
-    stack = ", ".join(f"'{p}', '{t}', '{m}', _n{i}" for i, (p, t, m) in enumerate(leaves))
-    return counts.selectExpr(f"stack({len(leaves)}, {stack}) AS (path, type, mode, non_null)", "_rows AS row_count") \
-        .select("path", "type", "mode", F.col("non_null").cast("long"), F.col("row_count").cast("long"))
+    counts = [n for f in df.schema.fields for n in _leaf_counts(F.col(quoted(f.name)), f.dataType)]
+    one = df.select(*[n.alias(f"_n{i}") for i, n in enumerate(counts)]).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.coalesce(F.sum(f"_n{i}"), F.lit(0)).alias(f"_n{i}") for i in range(len(counts))])
+    rows = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("type"), F.lit(m).alias("mode"),
+                              F.col(f"_n{i}").cast("long").alias("non_null")) for i, (p, t, m) in enumerate(leaves)])
+    return one.select(F.explode(rows).alias("leaf"), F.col("_rows").cast("long").alias("row_count")).select("leaf.*", "row_count")

@@ -351,6 +351,19 @@ SELECT path, type, mode, non_null, row_count FROM (
   UNION ALL SELECT 'account.balance', 'double', 'NULLABLE', count(c_acctbal), count(*) FROM customer
   UNION ALL SELECT 'tags', 'array<string>', 'REPEATED', count(CASE WHEN c_acctbal > 0 THEN 1 END), count(*) FROM customer)"""
 
+ORACLES["leaf_profile_nested"] = """
+WITH l AS (SELECT count(l_partkey) AS parts, count(CASE WHEN l_discount > 0 THEN 1 END) AS rates,
+                  count(CASE WHEN l_returnflag <> 'N' THEN 1 END) AS flags, count(CASE WHEN l_quantity > 25 THEN 1 END) AS lots
+           FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+counts AS (
+  SELECT 'o_orderkey' AS path, 'bigint' AS type, 'NULLABLE' AS mode, count(o_orderkey) AS non_null FROM orders
+  UNION ALL SELECT 'paid.total', 'double', 'NULLABLE', count(CASE WHEN o_orderstatus <> 'O' THEN o_totalprice END) FROM orders
+  UNION ALL SELECT p.prefix || x.leaf, x.type, 'REPEATED',
+    CASE x.leaf WHEN 'part' THEN parts WHEN 'off.rate' THEN rates WHEN 'back.flag''s' THEN flags ELSE lots END
+  FROM l, (VALUES ('content.items.'), ('content.groups.')) p(prefix),
+    (VALUES ('part', 'bigint'), ('off.rate', 'double'), ('back.flag''s', 'string'), ('lots', 'array<double>')) x(leaf, type))
+SELECT path, type, mode, non_null, (SELECT count(*) FROM orders) AS row_count FROM counts"""
+
 # ── delegated SQL ─────────────────────────────────────────────────────────────
 from .delegated import DELEGATED  # noqa: E402
 

@@ -264,6 +264,11 @@ def q_leaf_profile(spark, sf):
     return audit.leaf_profile(S.nested_customer(spark, sf))
 
 
+@register("leaf_profile_nested")
+def q_leaf_profile_nested(spark, sf):
+    return audit.leaf_profile(S.nested_orders(spark, sf))
+
+
 # ── delegated SQL (D1–D19) through the read-only entry point ─────────────────
 
 from . import delegated, sqlapi  # noqa: E402

@@ -219,6 +219,18 @@ def nested_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_acctbal") > 0, F.array(F.col("c_mktsegment"))).alias("tags"))
 
 
+def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as an array of structs inside a struct, and names that need quoting."""
+    item = F.struct(F.col("l_partkey").alias("part"), F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("off.rate"),
+                    F.struct(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag's")).alias("back"),
+                    F.when(F.col("l_quantity") > 25, F.array(F.col("l_quantity"))).alias("lots"))
+    lines = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    o = read_table(spark, sf_dir, "orders")
+    return o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice")).alias("paid.total"),
+        F.struct(F.col("items"), F.array(F.col("items")).alias("groups")).alias("content"))
+
+
 # fixed values: the task template every DAG runs (line number → task)
 TASK_TEMPLATE = [
     # (n, operator, downstream line numbers)

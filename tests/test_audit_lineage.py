@@ -40,6 +40,19 @@ def test_leaf_profile_nested(spark):
     assert A.flatten_columns(df).columns == ["id", "s.a", "s.b.c", "s.b.d", "r"]
 
 
+def test_leaves_inside_arrays(spark):
+    df = spark.createDataFrame(
+        [(1, [(1, [(None,), ("x",)]), (None, None), None], [[(1.0,)], [], None, [(None,), (2.0,)]], {"k": 1}),
+         (2, None, None, None), (3, [], [], None)],
+        "`a.id` long, arr array<struct<`it's`:int, sub:array<struct<b:string>>>>, deep array<array<struct<v:double>>>, "
+        "m map<string,int>")
+    got = [(r["path"], r["type"], r["mode"], r["non_null"], r["row_count"]) for r in A.leaf_profile(df).collect()]
+    assert got == [("a.id", "bigint", "NULLABLE", 3, 3), ("arr.it's", "int", "REPEATED", 1, 3),
+                   ("arr.sub.b", "string", "REPEATED", 1, 3), ("deep.v", "double", "REPEATED", 2, 3), ("m", "map<string,int>", "NULLABLE", 1, 3)]
+    assert A.flatten_columns(df).columns == ["a.id", "arr", "deep", "m"]
+    assert [r["non_null"] for r in A.leaf_profile(df.limit(0)).collect()] == [0] * 5
+
+
 def test_depth_cycle_terminates(spark):
     edges = spark.createDataFrame([("d", "a", "b"), ("d", "b", "c"), ("d", "c", "b"), ("d", "x", "y"), ("d", "y", "x")],
                                   "dag_id string, src string, dst string")
