@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
-from ..functions.names import subfolder
+from ..functions.names import quoted, subfolder
 from .lineage import lookup_first, mapping_lookup
 
 
@@ -19,7 +19,7 @@ def stringify_all(df: DataFrame) -> DataFrame:
     """S3: every column to string; nested values as JSON, binary as base64."""
     cols = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = F.col(quoted(f.name))
         if isinstance(f.dataType, (StructType, ArrayType, MapType)):
             cols.append(F.to_json(c).alias(f.name))
         elif isinstance(f.dataType, BinaryType):

@@ -8,22 +8,44 @@ rows whose counts differ are exactly ``exceptAll`` in both directions.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StructType, ArrayType, DataType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+
+
+def _canonical(c: Column, t: DataType) -> Column:
+    """A value of the same meaning that can be grouped and ordered: map entries in the order of their keys,
+    variants as JSON."""
+    if t.typeName() == "variant":
+        return F.to_json(c)
+    if isinstance(t, MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(
+            e["key"].alias("key"), _canonical(e["value"], t.valueType).alias("value")))
+        return F.array_sort(entries, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+    if isinstance(t, StructType) and _needs(t):
+        made = F.struct(*[_canonical(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(t.fields)])
+        return F.when(c.isNotNull(), made)
+    if isinstance(t, ArrayType) and _needs(t):
+        return F.transform(c, lambda x: _canonical(x, t.elementType))
+    return c
+
+
+def _needs(t: DataType) -> bool:
+    """Whether a type holds a map or a variant, which cannot take part in set operations."""
+    if isinstance(t, MapType) or t.typeName() == "variant":
+        return True
+    if isinstance(t, StructType):
+        return any(_needs(f.dataType) for f in t.fields)
+    return isinstance(t, ArrayType) and _needs(t.elementType)
+
 
 def _comparable(df: DataFrame) -> DataFrame:
-    """Map and variant columns cannot take part in set operations: serialise them."""
-    def needs(t: DataType) -> bool:
-        if isinstance(t, MapType) or t.typeName() == "variant":
-            return True
-        if isinstance(t, StructType):
-            return any(needs(f.dataType) for f in t.fields)
-        if isinstance(t, ArrayType):
-            return needs(t.elementType)
-        return False
-    return df.select([F.to_json(F.col(f.name)).alias(f.name) if needs(f.dataType) else F.col(f.name)
-                      for f in df.schema.fields])
+    """The columns by position, c0, c1, ... (names may repeat), in a form that set operations take: values with a
+    map or variant inside as JSON of their canonical form."""
+    src = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return src.select([F.to_json(_canonical(F.col(f.name), f.dataType)).alias(f.name)
+                       if _needs(f.dataType) and f.dataType.typeName() != "variant"
+                       else _canonical(F.col(f.name), f.dataType).alias(f.name) for f in src.schema.fields])
 
 
 def _delta(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -40,16 +62,18 @@ def _delta(a: DataFrame, b: DataFrame) -> DataFrame:
 def row_diff(a: DataFrame, b: DataFrame, n: int | None = 100) -> DataFrame:
     """Rows of ``a`` missing from ``b`` and vice versa, counted with multiplicity
     (``exceptAll`` both ways), tagged by side; the first ``n`` in (side, all columns) order.
-    ``n=None``: all of them, each distinct row once with ``times``, the copies it has too many."""
-    cols = _comparable(a).columns
+    ``n=None``: all of them, each distinct row once with ``times``, the copies it has too many.
+    Columns are matched by position and may repeat a name; maps are equal whatever the order of their
+    entries, and come out as JSON of their entries by key."""
+    cols = [f"c{i}" for i in range(len(a.columns))]
     d = _delta(a, b).where(F.col("_ca") != F.col("_cb"))
     side = F.when(F.col("_ca") > F.col("_cb"), F.lit("only_in_a")).otherwise(F.lit("only_in_b"))
     times = F.abs(F.col("_ca") - F.col("_cb"))
     if n is None:
-        return d.select(side.alias("side"), *cols, times.alias("times"))
+        return d.select(side.alias("side"), *cols, times.alias("times")).toDF("side", *a.columns, "times")
     times = F.least(times, F.lit(n)).cast("int")  # never more than n copies are reported
-    d = d.select(side.alias("side"), *cols, F.explode(F.array_repeat(F.lit(0), times)).alias("_x")).drop("_x")
-    return d.orderBy("side", *cols).limit(n)
+    d = d.select(side.alias("_side"), *cols, F.explode(F.array_repeat(F.lit(0), times)).alias("_x")).drop("_x")
+    return d.orderBy("_side", *cols).limit(n).toDF("side", *a.columns)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -20,8 +20,13 @@ from ..functions.names import path_name, path_stem
 
 
 def _strip_scheme(c):
-    """The path as listings give it: no scheme, no URL encoding."""
-    return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), r"^file:(?://(?=/))?", "")
+    """The path of a listing without the scheme; paths of the ``binaryFile`` source are not URL-encoded."""
+    return F.regexp_replace(c, r"^file:(?://(?=/))?", "")
+
+
+def _input_file():
+    """The file a row was read from, in the form of listings: ``input_file_name`` is URL-encoded."""
+    return _strip_scheme(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))))
 
 
 def list_objects(spark: SparkSession, root: str, glob: str | None = None, with_md5: bool = False) -> DataFrame:
@@ -71,7 +76,7 @@ def scan_workbooks(spark: SparkSession, roots: Sequence[str], folder_filter: str
 def scan_code(spark: SparkSession, root: str, exts: Sequence[str] = (".sql", ".py")) -> DataFrame:
     """Whole files with path, name and content for the given (lower-cased) suffixes."""
     df = (spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-          .select(_strip_scheme(F.input_file_name()).alias("path"), F.col("value").alias("content")))
+          .select(_input_file().alias("path"), F.col("value").alias("content")))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return df.where(suffix.isin(*[e.lower() for e in exts])).select(
         "path", path_name(F.col("path")).alias("name"), "content")
@@ -121,7 +126,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     plus its position within its own split.  Lines end at \\n, \\r\\n or \\r, and a final
     newline does not add an empty line (as ``str.splitlines``)."""
     raw = (spark.read.option("recursiveFileLookup", "true").text(path)
-           .select(_strip_scheme(F.input_file_name()).alias("path"),
+           .select(_input_file().alias("path"),
                    F.input_file_block_start().alias("_blk"),
                    F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")))
     blocks = raw.groupBy("path", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
@@ -195,7 +200,7 @@ def read_tasks(spark: SparkSession, path: str, dag_id: str | None = None) -> Dat
     does not name its DAG: ``dag_id`` is given, or taken from each file's name (stem)."""
     schema = StructType([StructField("tasks", ArrayType(TASK_SCHEMA))])
     df = spark.read.schema(schema).option("multiLine", "true").json(path)
-    dag = F.lit(dag_id) if dag_id is not None else path_stem(_strip_scheme(F.input_file_name()))
+    dag = F.lit(dag_id) if dag_id is not None else path_stem(_input_file())
     t = df.select(dag.alias("dag_id"), F.explode("tasks").alias("r")).select("dag_id", "r.*")
     own = {c: F.col(c) for c in ("sql", "query", "bql")}
     own["configuration"] = F.try_parse_json("configuration")

@@ -38,3 +38,22 @@ def test_no_cartesian(spark):
     a = spark.createDataFrame([(1, "x")], "k int, v string")
     plan = C.compare_results(a, a)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_repeated_names_and_maps(spark):
+    a, b = spark.sql("SELECT 1 a, 2 a"), spark.sql("SELECT 1 a, 3 a")
+    assert C.compare_results(a, a).first()["status"] == "PASS"
+    assert C.compare_results(a, b).first()["status"] == "FAIL"
+    diff = C.row_diff(a, b)
+    assert diff.columns == ["side", "a", "a"] and [tuple(r) for r in diff.collect()] == [("only_in_a", 1, 2), ("only_in_b", 1, 3)]
+    assert C.row_diff(a, b, None).columns == ["side", "a", "a", "times"]
+    m1 = spark.sql("SELECT map(1, 2, 3, 4) m, named_struct('x', array(map('a', map(1, 2, 3, 4), 'b', map()))) s, 1 `p.q`")
+    m2 = spark.sql("SELECT map(3, 4, 1, 2) m, named_struct('x', array(map('b', map(), 'a', map(3, 4, 1, 2)))) s, 1 `p.q`")
+    m3 = spark.sql("SELECT map(3, 4, 1, 5) m, named_struct('x', array(map('b', map(), 'a', map(3, 4, 1, 2)))) s, 1 `p.q`")
+    assert C.compare_results(m1, m2).first()["status"] == "PASS" and C.row_diff(m1, m2).isEmpty()
+    assert C.compare_results(m1, m3).first()["status"] == "FAIL"
+    assert C.fingerprint(m1).first() == C.fingerprint(m2).first() != C.fingerprint(m3).first()
+    null = spark.sql("SELECT cast(NULL AS struct<m:map<int,int>>) s")
+    some = spark.sql("SELECT named_struct('m', cast(NULL AS map<int,int>)) s")
+    assert C.compare_results(null, null).first()["status"] == "PASS"
+    assert C.compare_results(null, some).first()["status"] == "FAIL"

@@ -1,7 +1,9 @@
 """Cases beyond the stand-ins: unique labels, own DAG names, path listings, corrupt stores, long graphs."""
 from pyspark.sql import functions as F
 
-from loomspark.operators import audit, compare, lineage, reconcile
+from loomspark.functions.sqltext import extract_sql
+from loomspark.operators import audit, catalog, compare, lineage, reconcile
+from loomspark.operators import textjobs as T
 from loomspark.sources import files, sinks
 
 
@@ -99,3 +101,25 @@ def test_folder_diffs_read_each_side_once_for_bodies(spark, sf):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("text#") and plan.count("Relation [") + plan.count("Relation ") <= 8
     assert out.count() == out.where(F.length("unified_diff") > 0).count()
+
+
+def test_json_nested_beyond_the_parser_is_not_parseable(spark):
+    deep = "[" * 100_000
+    rows = spark.createDataFrame([(1, deep), (2, deep + "1" + "]" * 100_000), (3, '{"a": {"sql": "SELECT a, b FROM some_table"}}')],
+                                 "id int, doc string")
+    out = {r["id"]: (r["sql"], r["js"]) for r in rows.select("id", extract_sql("doc").alias("sql"), T.first_json("doc").alias("js")).collect()}
+    assert out[1] == (None, None) and out[2] == (None, None)
+    assert out[3] == ("SELECT a, b FROM some_table", '{"a": {"sql": "SELECT a, b FROM some_table"}}')
+
+
+def test_names_with_percent_signs_and_quotes(spark, tmp_path):
+    for name in ("50%off.sql", "a%20b.sql", "a b.sql", "c+d.sql"):
+        (tmp_path / name).write_text(f"select '{name}'")
+    listed = {r["path"] for r in files.list_objects(spark, str(tmp_path)).collect()}
+    assert listed == {f"{tmp_path}/{n}" for n in ("50%off.sql", "a%20b.sql", "a b.sql", "c+d.sql")}
+    code = {r["path"]: r["content"] for r in files.scan_code(spark, str(tmp_path)).collect()}
+    assert code == {p: f"select '{p.rsplit('/', 1)[1]}'" for p in listed}
+    tree = {r["rel_path"] for r in files.list_tree(spark, str(tmp_path)).collect()}
+    assert tree == {"50%off.sql", "a%20b.sql", "a b.sql", "c+d.sql"}
+    odd = spark.createDataFrame([(1, 2)], "`a``b` int, `x.y` int")
+    assert [tuple(r) for r in catalog.stringify_all(odd).collect()] == [("1", "2")]
