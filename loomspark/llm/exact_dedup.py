@@ -7,11 +7,13 @@ partial aggregation collapses hot groups before the shuffle.  The same state fol
 again for later deliveries; new rows then meet everything seen before.
 
 Digests that were hit more than once are checked on full bytes: their texts are grouped by the
-normalised text itself.  A digest that covers different texts is split into its true groups.
+normalised text itself.  For texts of earlier deliveries their locators are followed to the files that
+hold them.  A digest that covers different texts is split into its true groups.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +69,20 @@ def _advance(spark: SparkSession, schema, rows: str, state: str, batch_bytes: in
                        F.col("value")[best].alias("best"))
 
 
+def _earlier_texts(spark: SparkSession, schema, root: str, delivery: str, known: DataFrame, text_col: str) -> DataFrame:
+    """``digest, norm, best`` of the rows of earlier deliveries that have one of the known digests, read where their
+    locators point."""
+    past = (spark.read.schema(schema).parquet(f"{root}/digests/*")
+            .where(~F.col("_metadata.file_path").contains(f"/digests/{delivery}/")).join(known, "digest", "left_semi"))
+    past = written(past, f"{root}/earlier/{delivery}")
+    files = [unquote(r["file"]) for r in past.select("best.file").distinct().collect()]  # names of files only
+    if not files:
+        return past.select("digest", F.lit("").alias("norm"), "best").limit(0)
+    texts = spark.read.parquet(*files).select(normalised(F.col(text_col)).alias("norm"), F.col("_metadata.file_path").alias("f"),
+                                              F.col("_metadata.row_index").alias("r"))
+    return past.join(texts, (F.col("best.file") == F.col("f")) & (F.col("best.row") == F.col("r"))).select("digest", "norm", "best")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None,
                 digest: Callable[[Column], Column] = sha256_hex, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, __file, __row``.
@@ -75,8 +91,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     original text stays, then the smallest id (null ids last), then the first row by place: repeated
     rows leave exactly one.  Null text counts as empty; all empty texts are one group.  An empty
     table gives no rows.  ``digest`` may be any function of the normalised text: full bytes decide.
-    With ``state_dir`` the state of earlier calls counts too (``__file``, ``__row`` of a row that
-    stays may then lie in an earlier delivery)."""
+    With ``state_dir`` the state of earlier calls counts too: the row that stays may then lie in an earlier
+    delivery, whose files must still be there (with the same text column), since hits are checked on their bytes.
+    Texts of any length are read whole."""
     spark = docs.sparkSession
     root = state_dir or work_dir(spark, "exact-dedup")
     src = located(docs, [id_col, text_col], work_dir(spark, "exact-dedup-input"))
@@ -91,9 +108,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     f"{root}/groups/{delivery}")
 
     hits = state.where("rows > 1").select("digest")
+    if state_dir:  # of the digests of this delivery only
+        hits = written(hits.join(thin.select("digest"), "digest", "left_semi"), f"{root}/hits/{delivery}")
     known = small(hits, hits.count(), 100)
     texts = src.select(digest(norm).alias("digest"), norm.alias("norm"), best.alias("best")).join(
         known, "digest", "left_semi")
+    if state_dir:
+        earlier = _earlier_texts(spark, rows.schema, root, delivery, known, text_col)
+        texts = texts.withColumn("now", F.lit(True)).unionByName(earlier.withColumn("now", F.lit(False)))
     classes = texts.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"), F.min("best").alias("best"))
     clash = written(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
                     .select("digest"), f"{root}/clashes/{delivery}")
@@ -102,6 +124,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = thin.join(state.withColumnsRenamed({"best": "top"}), "digest")
     if clashes:
         split = texts.join(small(clash, clashes, 100), "digest", "left_semi")
+        if state_dir:  # earlier texts have told the groups apart; the rows are this delivery's
+            split = split.where("now")
         own = (classes.withColumnsRenamed({"best": "top"}).join(small(clash, clashes, 100), "digest", "left_semi"))
         split = split.join(own, ["digest", "norm"]).select("best", "top", "rows", sha256_hex(F.col("norm")).alias("sha"))
         full = full.join(small(clash, clashes, 100), "digest", "left_anti")

@@ -49,3 +49,17 @@ def test_state_spans_batches_and_deliveries(as_docs, tmp_path):
 
 def test_empty_table(as_docs):
     assert exact_dedup(as_docs([])).count() == 0
+
+
+def test_weak_digest_across_deliveries(spark, tmp_path):
+    weak = lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 0)  # noqa: E731  every text has the same digest
+    state = f"file://{tmp_path}/state"
+    seen = []
+    for k, rows in enumerate([[(1, "alpha"), (2, "al pha")], [(3, "beta"), (4, "alpha "), (5, "alpha x")], [(6, "be ta"), (7, "gamma")]]):
+        path = str(tmp_path / f"delivery-{k}")
+        spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen += rows
+        got = rows_of(exact_dedup(docs, state_dir=state, digest=weak))
+        now = {i for i, _ in rows}
+        assert got == [r for r in brute(seen) if r[0] in now]
