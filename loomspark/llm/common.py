@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -77,6 +78,19 @@ def in_order(rows: DataFrame, path: str, *order: Column) -> DataFrame:
     return written(out.drop("mid", "part", "offset"), f"{path}/ordered")
 
 
+def bounded_sample(rows: DataFrame, keys: Sequence[str], most: int, h: str, *ties: str) -> DataFrame:
+    """At most ``most`` rows of each combination of ``keys``, the first in the order of the hash column ``h`` (a long)
+    and ``ties``.  A threshold on the hash, from the counts of the combinations, leaves about four times as many
+    (all, where there are no more) before they are ranked, so that no task gets a combination whole."""
+    total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
+    same = [F.col(f"__k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    total = total.toDF(*[f"__k{i}" for i in range(len(keys))], "__total")
+    near = rows.join(total, reduce(lambda a, b: a & b, same)).where(
+        F.pmod(F.col(h), F.lit(1 << 40)) * F.col("__total") < F.lit(4.0 * most * (1 << 40)))
+    first = Window.partitionBy(*keys).orderBy(h, *ties)
+    return near.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most).select(*rows.columns)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no model learns from: crc32 of the id's text, modulo 3, is 1 (null ids: not held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
