@@ -5,20 +5,22 @@ bad.  A text is compressed in blocks under each dictionary; the difference of th
 their sum says which labelled texts it resembles, and a logistic curve turns it into a score.
 
 What is learned comes from a bounded sample of labelled rows: per label at most ``SAMPLE_ROWS``
-rows for the dictionaries and as many others for the curve, in the order of a hash of their ids,
-none longer than ``SAMPLE_CHARS`` code points.  Every text is scored whole.
+rows for the dictionaries and as many others for the curve, in the order of a hash of their content and
+place.  A dictionary is trained on whole texts of up to ``TEXT_BLOCKS`` blocks, and on as many blocks of a
+longer one, chosen by hash; the curve and every score see whole texts.
 """
 from __future__ import annotations
 
 import math
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, pick
+from .common import bounded_sample, held_out, located, map_texts, pick, small, work_dir, written
 
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 40_000
+TEXT_BLOCKS = 10
 DICT_BYTES = 64 << 10
 BLOCK_BYTES = 4096
 LEVEL = 3
@@ -29,9 +31,27 @@ def _blocks(text: str) -> list[bytes]:
     return [data[i:i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
 
 
+def _chosen_blocks():
+    """Function for map_texts: a text's blocks, of a long one those with the smallest hashes."""
+    most = TEXT_BLOCKS
+
+    def make():
+        def work(texts):
+            out = []
+            for t in texts:
+                found = _blocks(t)
+                if len(found) > most:
+                    at = sorted(range(len(found)), key=lambda i: (xxhash.xxh64_intdigest(found[i], i), i))[:most]
+                    found = [found[i] for i in sorted(at)]
+                out.append(found)
+            return [out]
+        return work
+    return make
+
+
 def _train(group: pd.DataFrame) -> pd.DataFrame:
     import zstandard as zstd
-    pieces = [b for t in group.sort_values(["h", "text"])["text"] for b in _blocks(t)]
+    pieces = [bytes(b) for blocks in group.sort_values("h")["blocks"] for b in blocks]
     try:
         made = zstd.train_dictionary(DICT_BYTES, pieces).as_bytes()
     except zstd.ZstdError:  # too little text to train on: the text itself is the dictionary
@@ -94,18 +114,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "quality") -> dict:
     """Learn from labelled rows outside the held-out fold.  The model is a small dict: two dictionaries of
     at most ``DICT_BYTES`` and the curve.  Without labels of both kinds it scores every text with the
-    share of label 1 (0.5 if there are no labels)."""
+    share of label 1 (0.5 if there are no labels).
+
+    An id with several labels counts as 1; null ids have no label; null and empty texts teach nothing.  Rows that
+    repeat an id are rows of their own, and the bounds hold for rows; ties of the hash go by place; equal scores of
+    the curve's texts share its value there.  Texts of any length take part."""
+    root = work_dir(docs.sparkSession, "quality")
     known = (pick(labels, id_col, label_col).toDF("id", "label").where("id is not null and label in (0, 1)")
-             .where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").cast("int").alias("label"))
-             .withColumn("h", F.xxhash64("id")).withColumn("part", F.pmod(F.col("h"), F.lit(2)).cast("int")))
-    text = pick(docs, id_col, text_col).toDF("id", "text").where(
-        F.col("text").isNotNull() & F.char_length("text").between(1, SAMPLE_CHARS))
-    first = Window.partitionBy("label", "part").orderBy("h", "id")
-    chosen = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS).drop("n")
+             .where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").cast("int").alias("label")))
+    src = located(docs, [id_col, text_col], f"{root}/input").toDF("id", "text", "file", "row").where(
+        F.char_length("text") > 0)
+    rows = src.select("id", "file", "row", F.xxhash64("id", "text", "row").alias("h")).join(known, "id")
+    rows = written(rows.select("file", "row", "label", "h", F.pmod(F.col("h"), F.lit(2)).cast("int").alias("part")), f"{root}/rows")
+    # the first bit of the hash has chosen the part
+    chosen = written(bounded_sample(rows.withColumn("h", F.shiftright("h", 1)), ["label", "part"], SAMPLE_ROWS, "h", "file", "row"),
+                     f"{root}/chosen")
     total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = total.get(1, 0) / sum(total.values()) if total else 0.5
-    sample = text.join(F.broadcast(chosen), "id")  # at most 4 * SAMPLE_ROWS ids
-    made = {r["label"]: bytes(r["dictionary"]) for r in sample.where("part = 0").groupBy("label").applyInPandas(
+    sample = src.select("text", "file", "row").join(small(chosen, chosen.count(), 250), ["file", "row"])
+    pieces = map_texts(sample.where("part = 0").select("text", "label", "h"), _chosen_blocks(), "blocks array<binary>")
+    made = {r["label"]: bytes(r["dictionary"]) for r in pieces.groupBy("label").applyInPandas(
         _train, "label int, dictionary binary").collect()}
     if len(made) < 2:
         return {"good": b"", "bad": b"", "slope": 0.0, "intercept": _logit(prior)}
@@ -125,7 +153,8 @@ def _logit(p: float) -> float:
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted, size_difference``.  Null and empty texts
-    have a size difference of 0.  An empty table gives no rows."""
+    have a size difference of 0.  Repeated rows are rows of their own; texts of any length are scored whole; equal
+    texts have equal scores; an empty table gives no rows."""
     src = pick(docs, id_col, text_col).select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if model["good"]:
