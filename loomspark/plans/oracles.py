@@ -420,6 +420,26 @@ ORACLES["task_depth"] = "WITH RECURSIVE " + PART_TREE + """, walk(dag_id, task_i
   SELECT e.dag_id, e.dst, w.depth + 1 FROM walk w JOIN tree_edges e ON e.dag_id = w.dag_id AND e.src = w.task_id)
 SELECT dag_id, task_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY dag_id, task_id"""
 
+ORACLES["task_structure"] = "WITH RECURSIVE " + PART_TREE + """,
+bk AS (SELECT p_partkey AS k, p_partkey % 20 AS dag, p_partkey // 20 AS i FROM part),
+backs AS (SELECT k, dag, (i - 1) // 2 AS up FROM bk WHERE k % 7 = 0 AND i >= 1
+  UNION ALL SELECT k, dag, ((i - 1) // 2 - 1) // 2 FROM bk WHERE k % 11 = 0 AND i >= 3
+  UNION ALL SELECT k, dag, i FROM bk WHERE k % 31 = 0),
+es AS (SELECT src, dst FROM tree_edges UNION
+  SELECT 't' || CAST(k AS VARCHAR), 't' || CAST(up * 20 + dag AS VARCHAR) FROM backs
+  WHERE up * 20 + dag IN (SELECT p_partkey FROM part)),
+reach(a, b) AS (SELECT src, dst FROM es UNION SELECT r.a, e.dst FROM reach r JOIN es e ON e.src = r.b),
+rings AS (SELECT x.a AS v, min(x.b) AS cycle_id FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+entered AS (SELECT DISTINCT d.cycle_id FROM es e JOIN rings d ON d.v = e.dst LEFT JOIN rings s ON s.v = e.src
+            WHERE s.cycle_id IS DISTINCT FROM d.cycle_id),
+starts AS (SELECT task_id AS v FROM tree_nodes WHERE task_id NOT IN (SELECT dst FROM es)
+  UNION SELECT v FROM rings WHERE cycle_id NOT IN (SELECT cycle_id FROM entered)),
+walk(v, depth) AS (SELECT v, 0 FROM starts UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN es e ON e.src = w.v WHERE w.depth < 60),
+depths AS (SELECT v, min(depth) AS depth FROM walk GROUP BY v),
+ins AS (SELECT dst AS v, count(*) AS n FROM es GROUP BY dst)
+SELECT n.dag_id, n.task_id, CAST(d.depth AS BIGINT) AS depth, r.cycle_id, greatest(coalesce(i.n, 0) - 1, 0) AS revisits
+FROM tree_nodes n LEFT JOIN depths d ON d.v = n.task_id LEFT JOIN rings r ON r.v = n.task_id LEFT JOIN ins i ON i.v = n.task_id"""
+
 _LOOKUP = with_(REGISTRY, NEEDLES, """
 firsts AS (
   SELECT n.needle, min(r.pos) AS pos FROM needles n JOIN registry r

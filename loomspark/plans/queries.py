@@ -288,7 +288,7 @@ for _name, (_tables, _spark_sql, _duck_sql) in delegated.DELEGATED.items():
 
 # ── lineage ───────────────────────────────────────────────────────────────────
 
-from ..operators import lineage  # noqa: E402
+from ..operators import graphs, lineage  # noqa: E402
 
 
 @register("task_graph")
@@ -324,6 +324,11 @@ def q_task_depth(spark, sf):
         "dag_id", "task_id", F.col("depth").cast("long"))
 
 
+@register("task_structure")
+def q_task_structure(spark, sf):
+    return graphs.task_structure(S.part_cycle_edges(spark, sf), S.part_tree_nodes(spark, sf))
+
+
 @register("lookup_first")
 def q_lookup_first(spark, sf):
     return lineage.lookup_first(S.registry(spark, sf), S.trace_needles(spark, sf)).select(

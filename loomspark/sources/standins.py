@@ -307,6 +307,21 @@ def part_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("task_id"))
 
 
+def part_cycle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task graph of ``part_tree_edges`` with edges back to the parent (keys divisible by 7), to the
+    grandparent (by 11) and to the task itself (by 31)."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    dag, i = k % 20, F.floor(k / 20)
+    up = lambda n: F.floor((n - 1) / 2)
+    back = F.array(F.when((k % 7 == 0) & (i >= 1), up(i)), F.when((k % 11 == 0) & (i >= 3), up(up(i))), F.when(k % 31 == 0, i))
+    e = p.select(F.concat(F.lit("dag_"), dag.cast("string")).alias("dag_id"), F.concat(F.lit("t"), k.cast("string")).alias("src"),
+                 F.explode(F.filter(back, lambda x: x.isNotNull())).alias("to"), dag.alias("dag"))
+    e = e.withColumn("to", F.col("to") * 20 + F.col("dag")).join(p.select(F.col("p_partkey").alias("to")), "to", "left_semi")
+    return part_tree_edges(spark, sf_dir).unionByName(
+        e.select("dag_id", "src", F.concat(F.lit("t"), F.col("to").cast("string")).alias("dst")))
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workbook registry: one workbook per part, insertion order = part key."""
     p = read_table(spark, sf_dir, "part")
