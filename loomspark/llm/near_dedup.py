@@ -11,14 +11,18 @@ The similarity of two texts is 1 - d / n: d the edit distance of their k-mer seq
 the diagonals that d may reach, the band), n the longer length.  At 0.8 or more they are linked;
 groups are the connected components.
 
-Identical word sequences are collapsed first, so a group of exact copies counts once.  In a bucket
-of texts that share a sketch or a rare k-mer, leaders are compared with the others, one in the first round and
-``LEADERS`` in the later ones, and only while the bucket still holds several components.  What is
-open after ``ROUNDS`` rounds goes through an exact filter: two similar texts share at least one of
-the rarest fifth of their k-mers (prefix filter; boilerplate is frequent and so never in it).  Of
-the pairs that do, those between components are compared, for every text outside its bucket's
-largest component.  Work on a large group is thus linear in its size, and no candidate is left out;
-similar texts of ``SHORT`` k-mers or more that share no sketch are missed.
+Identical word sequences are collapsed first, so a group of exact copies counts once.  Texts that
+share a sketch or a rare k-mer are a bucket, and a bucket has a leader.  In a round a text meets one
+leader: the first, in a random order of all texts that its buckets share, of the leaders of its
+buckets that hold several components.  Links of a round join texts to leaders, so these stars are
+contracted first and only distinct edges between leaders are spread along.  What is open after
+``ROUNDS`` rounds goes through an exact filter: two similar texts share at least one of the rarest
+fifth of their k-mers (prefix filter; boilerplate is frequent and so never in it).  Every text
+outside its bucket's largest component meets the components that share such a k-mer: their members
+lie in cells of about ``CELL`` texts, and in a cell it is compared with those that share one, the
+likeliest first, until one is similar.  Work on a large group is thus at most one pair per text and
+round, texts travel once for each cell and not for each pair, and no candidate is left out; similar
+texts of ``SHORT`` k-mers or more that share no sketch are missed.
 """
 from __future__ import annotations
 
@@ -27,6 +31,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +45,10 @@ PICKS = 4
 SHORT = 25
 SIMILARITY = 0.8
 ROUNDS = 2
-LEADERS = 8
+#: Texts of one side in a cell of the exact filter (about).
+CELL = 1024
+#: First prefix k-mers that texts compare to meet once.
+HEAD = 16
 
 
 def shingler():
@@ -304,30 +312,46 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float, root: str)
     """(rid, comp) of the texts that have a verified link."""
     spark = members.sparkSession
     comp = spark.createDataFrame([], "rid long, comp long")
-    tested = spark.createDataFrame([], "a long, b long")
+    tested = spark.createDataFrame([], "x long, y long")
     for r in range(ROUNDS + 1):
         now = members.select("key", "rid", "n").join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         open_ = _table(now.join(mixed.select("key"), "key"), f"{root}/open-{r}")
         if open_.isEmpty():
             break
-        pairs = _with_leaders(open_, r, similarity) if r < ROUNDS else _rare_pairs(open_, texts, similarity, root)
-        pairs = _table(pairs.join(tested, ["a", "b"], "left_anti"), f"{root}/pairs-{r}")
-        found = _table(_verified(pairs, texts, similarity), f"{root}/links-{r}")
-        tested = tested.unionByName(pairs)
+        if r < ROUNDS:
+            pairs = _with_leaders(open_, r, similarity).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
+            pairs = _table(pairs.join(tested, ["x", "y"], "left_anti"), f"{root}/pairs-{r}")
+            found = _verified(pairs, texts, similarity)
+            tested = tested.unionByName(pairs.select("x", "y"))
+        else:
+            found = _rare_links(open_, texts, similarity, root)
+        found = _table(found, f"{root}/links-{r}")
         if not found.isEmpty():
             comp = _merged(comp, found, f"{root}/components-{r}")
     return comp
 
 
 def _merged(comp: DataFrame, links: DataFrame, root: str) -> DataFrame:
-    """The components after new links: only the components that the links join are worked on, as vertices."""
+    """The components after new links (a, b): only the components that the links join are worked on, as vertices.
+    Each vertex ``a`` first becomes its smallest ``b``; labels spread along what is left between these."""
     known = lambda c: comp.select(F.col("rid").alias(c), F.col("comp").alias(f"c{c}"))
-    between = (links.join(known("a"), "a", "left").join(known("b"), "b", "left")
-               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b"))
-    new = components(between, root)
+    if not comp.isEmpty():
+        links = (links.join(known("a"), "a", "left").join(known("b"), "b", "left")
+                 .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b"))
+    star = _table(links.groupBy("a").agg(F.min("b").alias("hub")), f"{root}/stars")
+    of = lambda c, to: star.toDF(c, to)
+    hubs = (links.join(of("b", "far"), "b", "left").join(of("a", "near"), "a")
+            .select(F.col("near").alias("a"), F.coalesce("far", "b").alias("b")).where("a <> b"))
+    between = _table(_ordered(hubs.toDF("x", "y")), f"{root}/hubs")
+    label = (components(between, root) if not between.isEmpty()
+             else comp.sparkSession.createDataFrame([], "rid long, comp long")).toDF("hub", "label")
+    of_hub = star.join(label, "hub", "left").select(F.col("a").alias("rid"), F.coalesce("label", "hub").alias("to"))
+    ends = links.select(F.col("b").alias("rid")).distinct().join(star.select(F.col("a").alias("rid")), "rid", "left_anti")
+    ends = ends.join(label.withColumnRenamed("hub", "rid"), "rid", "left").select("rid", F.coalesce("label", "rid").alias("to"))
+    new = _table(of_hub.unionByName(ends), f"{root}/new")
     moved = comp.join(new.toDF("comp", "to"), "comp", "left").select("rid", F.coalesce("to", "comp").alias("comp"))
-    fresh = new.join(comp.select("rid"), "rid", "left_anti")
+    fresh = new.join(comp.select("rid"), "rid", "left_anti").select("rid", F.col("to").alias("comp"))
     return _table(moved.unionByName(fresh), f"{root}/merged")
 
 
@@ -335,22 +359,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _fits(similarity: float):
-    """Lengths further apart than the similarity allows cannot be linked."""
-    return F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity - 1e-9)
-
-
 def _with_leaders(open_: DataFrame, r: int, similarity: float) -> DataFrame:
-    """Pairs of each bucket's leaders with the members of other components.  Leaders come first in a random
-    order of all texts, so the buckets of one group tend to have the same."""
-    lead = F.struct(F.col("rid").alias("x"), F.col("n").alias("m"), F.col("comp").alias("cx"))
-    seeds = range(1 if r == 0 else LEADERS)
-    first = open_.groupBy("key").agg(*[
-        F.min(F.struct(F.xxhash64("rid", F.lit(r * LEADERS + i)).alias("h"), lead.alias("l"))).alias(f"l{i}") for i in seeds])
-    first = first.select("key", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}.l") for i in seeds]))).alias("l")) \
-        .select("key", "l.*")
-    return _ordered(open_.join(first, "key").where((F.col("comp") != F.col("cx")) & _fits(similarity))
-                    .withColumnRenamed("rid", "y"))
+    """Of each text at most one pair (a, b): the text and the first leader, in the round's random order, of its
+    buckets.  In the first round a bucket's leader is its first text in that order; later the first one of its
+    largest component, so that only the texts outside it are compared."""
+    lead = F.struct(F.xxhash64("rid", F.lit(r)).alias("h"), F.col("rid").alias("x"), F.col("n").alias("m"),
+                    F.col("comp").alias("cx"))
+    if r == 0:
+        first = open_.groupBy("key").agg(F.min(lead).alias("l"))
+    else:
+        parts = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(lead).alias("l"))
+        first = parts.groupBy("key").agg(F.max_by("l", F.struct("size", "l.h")).alias("l"))
+    met = open_.join(first, "key").where((F.col("comp") != F.col("l.cx")) & F.least("n", "l.m").__ge__(
+        F.greatest("n", "l.m") * F.lit(similarity - 1e-9)))
+    return met.groupBy("rid").agg(F.min("l").alias("l")).select(F.col("rid").alias("a"), F.col("l.x").alias("b"))
 
 
 def _prefixes(kmers: DataFrame, similarity: float) -> DataFrame:
@@ -362,10 +384,11 @@ def _prefixes(kmers: DataFrame, similarity: float) -> DataFrame:
             .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).where("df > 1"))
 
 
-def _rare_pairs(open_: DataFrame, texts: DataFrame, similarity: float, root: str) -> DataFrame:
-    """Pairs between components that share one of their rarest k-mers, for texts outside the largest component
-    of some open bucket.  A text of n k-mers has at least ceil(similarity * n) in common with a similar one,
-    so its n - ceil(similarity * n) + 1 rarest hold one of them, in the order of all open texts."""
+def _rare_links(open_: DataFrame, texts: DataFrame, similarity: float, root: str) -> DataFrame:
+    """Links (a, b) between components whose texts share one of their rarest k-mers, for texts outside the largest
+    component of some open bucket; one for each such text, component and cell suffices.  A text of n k-mers has at
+    least ceil(similarity * n) in common with a similar one, so its n - ceil(similarity * n) + 1 rarest hold one of
+    them, in the order of all open texts."""
     sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
     docs = open_.join(main, "key").groupBy("rid", "n", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor"))
@@ -382,7 +405,65 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame, similarity: float, root: str
     kmers = texts.join(docs.select("rid"), "rid", "left_semi").select("rid", "kmers").mapInArrow(spread, "rid long, kmer long")
     kmers = _table(kmers, f"{root}/open-kmers")
     prefix = _prefixes(kmers.join(docs, "rid"), similarity)
-    prefix = _table(prefix.select("rid", "n", "comp", "minor", "kmer"), f"{root}/open-prefixes")
-    minor = prefix.where("minor").select(F.col("rid").alias("x"), F.col("n").alias("m"), F.col("comp").alias("cx"), "kmer")
-    return _ordered(prefix.join(minor, "kmer").where((F.col("comp") != F.col("cx")) & _fits(similarity))
-                    .withColumnRenamed("rid", "y"))
+    prefix = _table(prefix.select("rid", "n", "comp", "minor", "kmer", "place"), f"{root}/open-prefixes")
+    sets = F.transform(F.array_sort(F.collect_list(F.struct("place", "kmer"))), lambda s: s["kmer"])
+    own = _table(prefix.groupBy("rid").agg(sets.alias("prefix"), F.max("minor").alias("minor")), f"{root}/prefix-sets")
+    # Which text has to look into which component: one whose lengths fit, and that will not all look for it.  Two
+    # texts that share some of their first k-mers meet under the first of these only.
+    head = own.select("rid", F.slice("prefix", 1, HEAD).alias("head"))
+    headed = prefix.join(head, "rid")
+    held = headed.groupBy("kmer", "comp").agg(
+        F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("rid").alias("first"), F.min("minor").alias("all_minor"),
+        F.when(F.count(F.lit(1)) == 1, F.first("head")).otherwise(F.array().cast("array<long>")).alias("its_head"))
+    least = F.lit(similarity - 1e-9)
+    common = F.array_intersect("head", "its_head")
+    seeks = (headed.where("minor").select(F.col("rid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("m"), "kmer", "head")
+             .join(held, "kmer").where((F.col("cx") != F.col("comp")) & (F.col("n1") >= F.col("m") * least)
+                                       & (F.col("m") >= F.col("n0") * least)
+                                       & ~(F.col("all_minor") & (F.col("first") > F.col("x")))
+                                       & ((F.size(common) == 0) | (F.get(common, F.lit(0)) == F.col("kmer"))))
+             .select("x", "comp").distinct())
+    seeks = _table(seeks, f"{root}/seeks")
+    held = prefix.select("rid", "comp").distinct()
+    sides = (held.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("rows"))
+             .join(seeks.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("columns")), "comp"))
+    sides = _table(sides, f"{root}/sides")
+    n_cells = max(1, -(-(held.count() + seeks.count()) // CELL))
+    cell = F.pmod(F.xxhash64("comp", "i", "j"), F.lit(n_cells)).alias("cell")
+    to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = own.join(texts, "rid")
+    base = (held.join(sides, "comp").withColumn("i", F.pmod(F.xxhash64("rid"), F.col("rows"))).withColumn("j", to("columns"))
+            .select("rid", "comp", cell, F.concat_ws("-", "comp", "i", "j").alias("at")).join(own, "rid"))
+    asked = (seeks.withColumnRenamed("x", "rid").join(sides, "comp").withColumn("j", F.pmod(F.xxhash64("rid"), F.col("columns")))
+             .withColumn("i", to("rows")).select("rid", "comp", cell, F.concat_ws("-", "comp", "i", "j").alias("at"))
+             .join(own, "rid"))
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # column ids of its own for the cogroup
+    return asked.groupBy("cell").cogroup(base.groupBy("cell")).applyInPandas(_first_links(similarity), "a long, b long")
+
+
+def _first_links(similarity: float):
+    """cogroup function: of each text the first similar member that shares a prefix k-mer, for each place it asks at."""
+    near = similar
+
+    def run(asked: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        texts = [np.frombuffer(k, np.uint32) for k in base["kmers"]]
+        rids, minor = base["rid"].to_numpy(), base["minor"].to_numpy()
+        lists: dict = {}
+        for row, (at, prefix) in enumerate(zip(base["at"], base["prefix"])):
+            for k in prefix.tolist():
+                lists.setdefault((at, k), []).append(row)
+        out = []
+        for x, at, prefix, kmers, small_ in zip(asked["rid"], asked["at"], asked["prefix"], asked["kmers"], asked["minor"]):
+            hits: dict = {}
+            for k in prefix.tolist():
+                for row in lists.get((at, k), ()):
+                    hits[row] = hits.get(row, 0) + 1
+            text = np.frombuffer(kmers, np.uint32)
+            for row in sorted(hits, key=lambda r: (-hits[r], rids[r])):
+                if minor[row] and small_ and rids[row] > x:
+                    continue  # that text asks for this one
+                if near(text, texts[row], similarity):
+                    out.append((x, rids[row]))
+                    break
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    return run

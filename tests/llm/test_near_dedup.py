@@ -142,3 +142,42 @@ def test_repeated_rows_and_null_ids(as_docs):
 
 def test_empty_table(as_docs):
     assert nd.near_dedup(as_docs([])).count() == 0
+
+
+def test_one_pair_per_text_and_round(as_docs, spark, monkeypatch, tmp_path):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    base, passage = [word() for _ in range(80)], [word() for _ in range(60)]
+    texts = []
+    for _ in range(1600):  # one large group whose texts differ from one another in up to four words
+        copy = base[:]
+        for _ in range(2):
+            copy[rnd.randrange(80)] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join(passage + [word() for _ in range(40)]) for _ in range(400)]  # one bucket, no group
+    monkeypatch.setattr(nd, "work_dir", lambda s, name: f"{tmp_path}/{name}")
+    got = {r.doc_id: r.class_id for r in nd.near_dedup(as_docs(list(enumerate(texts)))).collect()}
+    assert sum(got[i] == got[0] for i in range(1600)) == 1600
+    assert all(got[i] == i for i in range(1600, 2000))
+    for r in range(nd.ROUNDS):
+        path = tmp_path / "near-dedup" / f"pairs-{r}"
+        if path.exists():
+            pairs = spark.read.parquet(str(path))
+            assert pairs.count() == pairs.select("a").distinct().count() <= 2000
+
+
+def test_merged_equals_union_find(spark, tmp_path):
+    rnd = random.Random(5)
+    comp = spark.createDataFrame([], "rid long, comp long")
+    links = []
+    for r in range(3):
+        new = [(a, b) for a, b in ((rnd.randrange(150), rnd.randrange(150)) for _ in range(30)) if a != b]
+        links += new
+        comp = nd._merged(comp, spark.createDataFrame(new, "a long, b long"), f"{tmp_path}/{r}")
+        parent = {v: v for p in links for v in p}
+        for _ in parent:
+            for a, b in links:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        rows = comp.collect()
+        assert len(rows) == len({x.rid for x in rows}) == len(parent)
+        assert classes([x.comp for x in sorted(rows)]) == classes([parent[v] for v in sorted(parent)])
