@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..session import cut_lineage
+from .linediff import line_changes, lines_of
 from ..functions.names import normalise_name, path_suffix
 
 # fixed values: reconcile statuses in report order
@@ -237,17 +238,26 @@ def diff_pairs(keys: DataFrame, left: DataFrame, right: DataFrame, key: str,
     return pairs.select(key, _unified_diff("_a", "_b", F.col(key)).alias("unified_diff"))
 
 
+def _drifted_bodies(side: DataFrame, drifted: DataFrame, folder: str | None) -> DataFrame:
+    """The winning row of each drifted path, found without bodies; only these rows' bodies are joined."""
+    rows = _relative(side, folder, "path")
+    win = (rows.select("rel_path", "seq").join(drifted, "rel_path", "left_semi")
+           .groupBy("rel_path").agg(F.max("seq").alias("seq")))
+    return rows.select("rel_path", "seq", "content").join(win, ["rel_path", "seq"]).dropDuplicates(["rel_path"])
+
+
 def folder_diffs(git: DataFrame, gcs: DataFrame, cmp: DataFrame, folder: str | None = None) -> DataFrame:
-    """Unified diffs for the 'different' paths that have content on both sides."""
+    """Unified diffs, as texts, for the 'different' paths that have content on both sides (each pair is one value of
+    a Python call: for files of any size use ``folder_line_changes``)."""
     drifted = cut_lineage(cmp.where((F.col("status") == "different") & F.col("note").isNull()).select("rel_path"))
+    return diff_pairs(drifted, _drifted_bodies(git, drifted, folder), _drifted_bodies(gcs, drifted, folder), "rel_path")
 
-    def bodies(side: DataFrame) -> DataFrame:
-        # the winning row of each drifted path first, without bodies; only these rows' bodies are joined
-        rows = _relative(side, folder, "path")
-        win = (rows.select("rel_path", "seq").join(drifted, "rel_path", "left_semi")
-               .groupBy("rel_path").agg(F.max("seq").alias("seq")))
-        return rows.select("rel_path", "seq", "content").join(win, ["rel_path", "seq"]).dropDuplicates(["rel_path"])
-    return diff_pairs(drifted, bodies(git), bodies(gcs), "rel_path")
+
+def folder_line_changes(git: DataFrame, gcs: DataFrame, cmp: DataFrame, folder: str | None = None) -> DataFrame:
+    """``rel_path, op, no, line`` of the 'different' paths with content on both sides: their changed lines, as rows."""
+    drifted = cut_lineage(cmp.where((F.col("status") == "different") & F.col("note").isNull()).select("rel_path"))
+    old, new = (lines_of(_drifted_bodies(side, drifted, folder), "rel_path") for side in (git, gcs))
+    return line_changes(old, new, "rel_path", drifted)
 
 
 def reconcile_detail(git: DataFrame, gcs: DataFrame, mapping: DataFrame, names: DataFrame,

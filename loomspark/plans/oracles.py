@@ -205,6 +205,13 @@ cmp AS (
 
 ORACLES["compare_folders"] = _CMP + "SELECT * FROM cmp"
 
+# a drifted copy ends in ' drift': its last line is another, or a new one where the text ends with its last line's end
+ORACLES["folder_line_changes"] = _CMP + """
+SELECT cmp.rel_path, CASE WHEN g.content = '' OR regexp_matches(g.content, '[\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]$')
+                          THEN 0 ELSE 1 END AS removed, 1 AS added
+FROM cmp JOIN git_files g ON g.path = 'sql/' || cmp.rel_path
+WHERE cmp.status = 'different' AND cmp.note IS NULL"""
+
 ORACLES["compare_summary"] = _CMP + """
 SELECT CAST(count(*) FILTER (WHERE status = 'only_in_git') AS BIGINT) AS only_in_git,
        CAST(count(*) FILTER (WHERE status = 'only_in_gcs') AS BIGINT) AS only_in_gcs,

@@ -93,7 +93,7 @@ def q_log_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # ── reconcile, folder compare, result compare ─────────────────────────────────
 
-from ..operators import compare, reconcile  # noqa: E402
+from ..operators import compare, linediff, reconcile  # noqa: E402
 from ..functions import names as N  # noqa: E402
 
 
@@ -173,6 +173,13 @@ def q_compare_one_file(spark, sf):
                                                       folder="sql/src2", file_name="doc_22.sql"))
 
 
+@register("folder_line_changes")
+def q_folder_line_changes(spark, sf):
+    git, gcs = S.git_files(spark, sf), S.gcs_files(spark, sf)
+    cmp = reconcile.compare_folders(git, gcs, folder="sql")
+    return linediff.change_counts(reconcile.folder_line_changes(git, gcs, cmp, folder="sql"), "rel_path")
+
+
 @register("folder_diffs")
 def q_folder_diffs(spark, sf):
     git, gcs = S.git_files(spark, sf), S.gcs_files(spark, sf)
