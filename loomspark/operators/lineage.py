@@ -86,11 +86,11 @@ def sql_coverage(tasks: DataFrame) -> DataFrame:
 
 
 def lineage_edges(mapping: DataFrame, tasks: DataFrame) -> DataFrame:
-    """G1: workbook → DAG (from the mapping's dag_names), DAG → root tasks only,
+    """G1: workbook → DAG (from the mapping's dag_names, each edge once), DAG → root tasks only,
     task → downstream, task → SQL (when the task has SQL)."""
     wb = mapping.select(F.concat(F.lit("excel:"), F.col("raw_name")).alias("src"),
                         F.explode("dag_names").alias("dag_id"))
-    wb = wb.select("src", F.concat(F.lit("dag:"), F.col("dag_id")).alias("dst"), F.lit("excel_dag").alias("kind"))
+    wb = wb.select("src", F.concat(F.lit("dag:"), F.col("dag_id")).alias("dst"), F.lit("excel_dag").alias("kind")).distinct()
     node = lambda d, t: F.concat(F.lit("task:"), d, F.lit("."), t)
     roots = root_tasks(tasks).select(F.concat(F.lit("dag:"), F.col("dag_id")).alias("src"),
                                      node(F.col("dag_id"), F.col("task_id")).alias("dst"),
@@ -107,10 +107,13 @@ def lineage_edges(mapping: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def lineage_nodes(mapping: DataFrame, tasks: DataFrame) -> DataFrame:
     """G1: the nodes of ``lineage_edges`` — ``id``, ``type`` (excel, dag, task, sql), ``label`` and the
-    ``detail`` a reader wants first: target table, operator or the SQL text."""
+    ``detail`` a reader wants first: target table, operator or the SQL text.  Of several rows of one workbook the last
+    by the mapping's ``seq`` counts, then (and without one) the greatest target table; of repeated tasks the
+    greatest operator and SQL text."""
     none = F.lit(None).cast("string")
     excel = mapping.select(F.concat(F.lit("excel:"), F.col("raw_name")).alias("id"), F.lit("excel").alias("type"),
-                           F.col("raw_name").alias("label"), F.col("bq_table").alias("detail"))
+                           F.col("raw_name").alias("label"), F.col("bq_table").alias("detail"),
+                           (F.col("seq") if "seq" in mapping.columns else F.lit(0)).cast("long").alias("seq"))
     dags = (mapping.select(F.explode("dag_names").alias("dag_id")).unionByName(tasks.select("dag_id")).distinct()
             .select(F.concat(F.lit("dag:"), F.col("dag_id")).alias("id"), F.lit("dag").alias("type"),
                     F.col("dag_id").alias("label"), none.alias("detail")))
@@ -120,7 +123,9 @@ def lineage_nodes(mapping: DataFrame, tasks: DataFrame) -> DataFrame:
     sql = tasks.where(F.length(F.trim("sql")) > 0).select(
         F.concat(F.lit("sql:"), name).alias("id"), F.lit("sql").alias("type"), F.col("task_id").alias("label"),
         F.col("sql").alias("detail"))
-    return excel.unionByName(dags).unionByName(task).unionByName(sql).dropDuplicates(["id"])
+    every = excel.unionByName(dags.unionByName(task).unionByName(sql).withColumn("seq", F.lit(0).cast("long")))
+    return every.groupBy("id").agg(F.max(F.struct("seq", "detail", "type", "label")).alias("n")).select(
+        "id", "n.type", "n.label", "n.detail")
 
 
 def task_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:

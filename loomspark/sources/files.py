@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -73,12 +74,15 @@ def scan_workbooks(spark: SparkSession, roots: Sequence[str], folder_filter: str
     return out
 
 
-def scan_code(spark: SparkSession, root: str, exts: Sequence[str] = (".sql", ".py")) -> DataFrame:
-    """Whole files with path, name and content for the given (lower-cased) suffixes."""
+def scan_code(spark: SparkSession, root: str, exts: Sequence[str] = (".sql", ".py"), any_case: bool = True) -> DataFrame:
+    """Whole files with path, name and content for the given suffixes, in any case or, as the scan of the
+    reconcile job (P8), exactly as written."""
     df = (spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
           .select(_input_file().alias("path"), F.col("value").alias("content")))
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return df.where(suffix.isin(*[e.lower() for e in exts])).select(
+    suffix = F.regexp_extract("path", r"(\.[^./]+)$", 1)
+    fits = F.lower(suffix).isin(*[e.lower() for e in exts]) if any_case else reduce(
+        lambda a, b: a | b, [F.col("path").endswith(e) for e in exts])
+    return df.where(fits).select(
         "path", path_name(F.col("path")).alias("name"), "content")
 
 

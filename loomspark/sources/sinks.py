@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.textjobs import json_safe
@@ -53,6 +54,22 @@ def append_audit(record: DataFrame, path: str) -> None:
     record.write.mode("append").json(path)
 
 
+def write_audited(df: DataFrame, write: Callable[[DataFrame], None], audit_path: str, module: str, source: str,
+                  query: str, user_action: str | None = None) -> dict:
+    """K6: run ``write`` on ``df`` and append its audit row; the row count is observed while the rows are written,
+    so nothing is read or computed a second time.  Returns ``row_count`` and ``duration_ms``.  If ``write``
+    fails there is no audit row; one that runs several jobs over the frame counts the first."""
+    seen = Observation()
+    begun = time.monotonic()
+    write(df.observe(seen, F.count(F.lit(1)).alias("row_count")))
+    out = {"row_count": seen.get["row_count"], "duration_ms": round((time.monotonic() - begun) * 1000)}
+    append_audit(df.sparkSession.range(1).select(
+        F.current_timestamp().alias("timestamp"), F.lit(module).alias("module"), F.lit(source).alias("source"),
+        F.lit(query).alias("query"), F.lit(out["row_count"]).cast("long").alias("row_count"),
+        F.lit(out["duration_ms"]).cast("long").alias("duration_ms"), F.lit(user_action).alias("user_action")), audit_path)
+    return out
+
+
 def write_version(df: DataFrame, base: str, version: int | None = None, mode: str = "errorifexists") -> str:
     """K7/K8: write the next version of a store or snapshot under base/v=<n> and return
     its path (a reader of the previous version is never disturbed)."""

@@ -123,3 +123,34 @@ def test_names_with_percent_signs_and_quotes(spark, tmp_path):
     assert tree == {"50%off.sql", "a%20b.sql", "a b.sql", "c+d.sql"}
     odd = spark.createDataFrame([(1, 2)], "`a``b` int, `x.y` int")
     assert [tuple(r) for r in catalog.stringify_all(odd).collect()] == [("1", "2")]
+
+
+def test_suffixes_as_written(spark, tmp_path):
+    for name in ("a.sql", "b.SQL", "c.Py", "d.py"):
+        (tmp_path / name).write_text("x")
+    names = lambda **kw: {r["name"] for r in files.scan_code(spark, str(tmp_path), **kw).collect()}
+    assert names() == {"a.sql", "b.SQL", "c.Py", "d.py"} and names(any_case=False) == {"a.sql", "d.py"}
+
+
+def test_audited_write_counts_while_it_writes(spark, tmp_path):
+    df = spark.range(1000).repartition(3).where("id % 3 = 0")
+    spark.sparkContext.setJobGroup("audited-write", "one run")
+    got = sinks.write_audited(df, lambda d: d.write.parquet(f"{tmp_path}/out"), f"{tmp_path}/audit", "m", "src", "q")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("audited-write"))
+    spark.sparkContext.setJobGroup("plain-write", "one run")
+    df.write.parquet(f"{tmp_path}/again")
+    sinks.append_audit(spark.range(1), f"{tmp_path}/other")
+    assert jobs == len(spark.sparkContext.statusTracker().getJobIdsForGroup("plain-write"))
+    assert got["row_count"] == 334 == spark.read.parquet(f"{tmp_path}/out").count() and got["duration_ms"] >= 0
+    row = spark.read.json(f"{tmp_path}/audit").first()
+    assert (row["row_count"], row["module"], row["duration_ms"]) == (334, "m", got["duration_ms"])
+
+
+def test_nodes_of_repeated_names(spark):
+    mapping = spark.createDataFrame([("A", ["d", "d"], "t.old", 1), ("A", ["d"], "t.new", 2), ("A", ["e"], "t.zzz", 0)],
+                                    "raw_name string, dag_names array<string>, bq_table string, seq long")
+    tasks = spark.createDataFrame([], "dag_id string, task_id string, operator string, sql string, downstream_task_ids array<string>")
+    nodes = {r["id"]: r["detail"] for r in lineage.lineage_nodes(mapping, tasks).collect()}
+    assert nodes == {"excel:A": "t.new", "dag:d": None, "dag:e": None}
+    edges = sorted(map(tuple, lineage.lineage_edges(mapping, tasks).collect()))
+    assert edges == [("excel:A", "dag:d", "excel_dag"), ("excel:A", "dag:e", "excel_dag")]
