@@ -19,7 +19,7 @@ LLM_ORACLES["op7_url_lists"] = r"""
 WITH p AS (
   SELECT page_id, DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INTEGER) AS d,
          nullif(lower(regexp_replace(regexp_extract(url,
-           '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', '')), '') AS host,
+           '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1), '\.+$', '')), '') AS host,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 names AS (

@@ -21,8 +21,9 @@ KINDS = ("host", "domain", "prefix")
 
 
 def url_host(url: Column) -> Column:
-    """The host in lower case without user, port and trailing dots; null where there is none."""
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    """The host in lower case without user, port and trailing dots, an IPv6 address in its brackets; null where there
+    is none."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
     host = F.lower(F.regexp_replace(host, r"\.+$", ""))
     return F.when(host != "", host)
 
@@ -50,7 +51,7 @@ def intervals(events: DataFrame) -> DataFrame:
 
 def lookup_keys(host: Column, path: Column, depth: int) -> Column:
     """All keys under which a list may name a URL; ``depth``: the most path segments any prefix entry has."""
-    labels = F.split(host, r"\.")
+    labels = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\."))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)),
                           lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     parts = F.slice(_segments(F.lower(path)), 1, depth) if depth else F.array().cast("array<string>")

@@ -66,3 +66,16 @@ def test_plan_has_no_python(spark):
     caps = spark.createDataFrame(CAPTURES, "page_id long, url string, fetched_at timestamp")
     plan = url_lists.evaluate(caps, ev)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_ipv6_hosts(spark):
+    events = [("host", "[::1]", "add", day(0)), ("prefix", "[2001:DB8::2]/a/b", "add", day(0)), ("domain", "1]", "add", day(0)),
+              ("host", "[", "add", day(0)), ("domain", "[::ffff:1.2.3.4]", "add", day(0))]
+    urls = ["https://[::1]/", "http://u@[::1]:8080/x", "http://[::2]/", "http://[2001:db8::2]:80/A/b/c", "http://[2001:db8::2]/a",
+            "http://[::ffff:1.2.3.4]/", "http://[broken/a"]
+    ev = spark.createDataFrame(events, "kind string, value string, action string, at timestamp")
+    caps = spark.createDataFrame([(i, u, day(1)) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp")
+    got = {r.page_id: (r.host, r.entries) for r in url_lists.evaluate(caps, ev).collect()}
+    assert got == {0: ("[::1]", "host:[::1]"), 1: ("[::1]", "host:[::1]"), 2: ("[::2]", ""),
+                   3: ("[2001:db8::2]", "prefix:[2001:db8::2]/a/b"), 4: ("[2001:db8::2]", ""),
+                   5: ("[::ffff:1.2.3.4]", "domain:[::ffff:1.2.3.4]"), 6: ("[broken", "")}
