@@ -316,7 +316,7 @@ def q_child_dag_edges(spark, sf):
 
 @register("lineage_edges")
 def q_lineage_edges(spark, sf):
-    return lineage.lineage_edges(S.mapping(spark, sf), S.task_defs(spark, sf))
+    return lineage.lineage_edges(S.mapping(spark, sf, every=True), S.task_defs(spark, sf))
 
 
 @register("sql_coverage")
@@ -607,7 +607,7 @@ def q_trace_sql(spark, sf):
 
 @register("lineage_nodes")
 def q_lineage_nodes(spark, sf):
-    return lineage.lineage_nodes(S.mapping(spark, sf), S.task_defs(spark, sf))
+    return lineage.lineage_nodes(S.mapping(spark, sf, every=True), S.task_defs(spark, sf))
 
 
 @register("error_report")
