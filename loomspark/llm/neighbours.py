@@ -3,16 +3,18 @@
 Inner products become distances by one extra coordinate (the room that a vector's norm leaves to
 the largest norm; 0 for queries, which are scaled to it).  Each of ``CURVES`` orderings projects
 the vectors to a few random directions, shifts them at random and sorts them along a Hilbert
-curve.  Spark range-partitions all orderings by (curve, key); a partition is a block.  A query
-meets every block that its window on a curve touches: ``window_share`` of all rows around its key.
-The best of all curves are merged and reranked by exact inner products of the original vectors.
+curve: Spark range-partitions all orderings by (curve, key), and every row gets its place.  A query
+meets the rows in a window around its own place on every curve, in blocks of rows: it is sent to the few
+blocks that its window touches, and no block meets another.  Only keys travel to be sorted; the vectors
+join their places once.  The best of all curves are merged and reranked by exact inner products.
 
 Equal vectors are one entry that carries its smallest ids (no more can be in a result), so copies
 neither crowd a window nor a task.
 
-The share sets cost against recall.  The given vectors have 64 almost equal directions, so even
-the 20th neighbour is hardly closer than a random vector and windows must be wide; vectors with
-structure need far less.
+Windows set cost against recall.  ``window_rows`` fixes them: then the work of a query does not grow with
+the table.  Vectors without structure have no near neighbours that any ordering could bring
+together; the given ones have 64 almost equal directions, so the default is a share of the table, a
+small one on many curves.  Their work is just below that of brute force.
 """
 from __future__ import annotations
 
@@ -24,15 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, work_dir, written
+from .common import in_order, pick, small, work_dir, written
 
-CURVES = 8
+CURVES = 32
 DIRECTIONS = 6
 BITS = 10
-WINDOW_SHARE = 0.2
-#: Blocks per curve at least, and rows in a block and queries in a task at most (about).
-BLOCKS = 16
-BLOCK_ROWS = 4096
+WINDOW_SHARE = 0.02
+#: Rows of a block at least (else a quarter of a window), and queries that meet a block in one task at most (about).
+BLOCK_ROWS = 512
 QUERY_ROWS = 4096
 
 
@@ -81,13 +82,15 @@ def _projected(batch: pa.RecordBatch, ways: np.ndarray, top: float, dim: int) ->
 
 
 def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-           every: int = 20, window_share: float = WINDOW_SHARE, curves: int = CURVES) -> DataFrame:
+           every: int = 20, window_share: float = WINDOW_SHARE, window_rows: int | None = None,
+           curves: int = CURVES) -> DataFrame:
     """For each row whose id is divisible by ``every``: its ``k`` nearest among all other rows, as
     ``query_id, rank, vec_id, score`` (rank from 1 by descending inner product, ties to the smaller id).
 
     Rows with a null id, and vectors that are null, zero, hold null or non-finite components, or differ in
     length from most others, take no part.  Rows repeated with id and vector count once.  Fewer rows than
-    ``k`` + 1: all of them.  Nothing comes from an empty table."""
+    ``k`` + 1: all of them.  Nothing comes from an empty table.  Windows hold ``window_rows`` rows of a curve,
+    by default ``window_share`` of them; whole blocks are searched."""
     spark = vectors.sparkSession
     root = work_dir(spark, "neighbours")
     v = F.col("vec")
@@ -96,6 +99,7 @@ def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
             .where(F.col("id").isNotNull() & F.size(v).cast("int").__gt__(0)
                    & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
                    & F.exists(v, lambda c: c != 0)))
+    narrow = vectors.schema[vectors.columns.index(vec_col)].dataType.simpleString() == "array<float>"
     sizes = rows.groupBy(F.size(v).alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
@@ -111,12 +115,12 @@ def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     entries = written(entries.withColumn("eid", F.monotonically_increasing_id()), f"{root}/entries")
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "vec").distinct()
     asked = written(asked.join(entries.select("vec", "eid"), "vec").select("id", "eid"), f"{root}/asked")
-    n, n_asked = entries.count(), asked.select("eid").distinct().count()
+    n_asked = asked.select("eid").distinct().count()
+    on_curve = entries.count() + n_asked
     top = entries.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, c: a + c * c)))).first()[0]
 
-    both = entries.select("eid", "cid", "vec", F.lit(False).alias("query")).unionByName(
-        entries.join(asked.select("eid").distinct(), "eid", "left_semi")
-        .select("eid", "cid", "vec", F.lit(True).alias("query")))
+    both = entries.select("eid", "vec", F.lit(False).alias("query")).unionByName(
+        entries.join(asked.select("eid").distinct(), "eid", "left_semi").select("eid", "vec", F.lit(True).alias("query")))
     ways, shifts = _frames(dim + 1, curves)
     project, cells_of, bits = _projected, hilbert_keys, BITS
 
@@ -139,30 +143,32 @@ def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
             for c in range(len(u)):
                 key = cells_of((u[c] * (1 << bits)).astype(np.int64), bits)
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(np.full(b.num_rows, c, np.int32)), pa.array(key)],
-                    names=[*b.schema.names, "curve", "key"])
-    placed = both.mapInArrow(place, "eid long, cid long, vec array<double>, query boolean, curve int, key long")
-    blocks = max(BLOCKS, -(-n // BLOCK_ROWS))
-    ordered = written(placed.repartitionByRange(curves * blocks, "curve", "key", "query", "eid")
-                      .withColumn("block", F.spark_partition_id()), f"{root}/curves")
-
-    # where each block lies on its curve, and the blocks that the windows of its queries touch
-    along = Window.partitionBy("curve").orderBy("block")
-    spans = ordered.groupBy("curve", "block").agg(F.sum(F.when(F.col("query"), 0).otherwise(1)).alias("size"))
-    spans = written(spans.withColumn("end", F.sum("size").over(along)).withColumn("start", F.col("end") - F.col("size")),
-                    f"{root}/blocks")
-    half = F.lit(window_share * n / 2)
-    near = spans.alias("q").join(
-        spans.alias("b"), (F.col("q.curve") == F.col("b.curve")) & (F.col("b.size") > 0)
-        & (F.col("b.start") <= F.col("q.end") + half) & (F.col("b.end") >= F.col("q.start") - half)).select(
-        F.col("q.curve").alias("curve"), F.col("q.block").alias("own"), F.col("b.block").alias("block"))
-    parts = max(1, -(-n_asked // QUERY_ROWS))
-    queries = (ordered.where("query").select("eid", "vec", "curve", F.col("block").alias("own"))
-               .join(near, ["curve", "own"]).withColumn("part", F.pmod(F.xxhash64("eid"), F.lit(parts)))
-               .select("eid", "vec", "curve", "block", "part"))
-    again = spark.read.schema(ordered.schema).parquet(f"{root}/curves")  # column ids of its own for the cogroup
-    base = again.where("not query").select("eid", "cid", "vec", "curve", "block").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+                    [b.column(b.schema.get_field_index("eid")), b.column(b.schema.get_field_index("query")),
+                     pa.array(np.full(b.num_rows, c, np.int32)), pa.array(key)], names=["eid", "query", "curve", "key"])
+    placed = both.mapInArrow(place, "eid long, query boolean, curve int, key long")
+    ordered = in_order(placed, f"{root}/curves", *map(F.col, ("curve", "key", "query", "eid")))
+
+    # places on the own curve, and the blocks that a query's window touches
+    width = window_rows or max(1, round(window_share * on_curve))
+    block_rows = max(BLOCK_ROWS, width // 4)
+    at = F.col("pos") - F.col("curve").cast("long") * on_curve
+    block = lambda c: F.floor(c / block_rows).cast("long")
+    spots = ordered.where("query").select("eid", "curve", F.explode(F.sequence(
+        block(F.greatest(at - width // 2, F.lit(0))), block(F.least(at + width // 2, F.lit(on_curve - 1))))).alias("block"))
+    spots = written(spots, f"{root}/spots")
+    parts = spots.groupBy("curve", "block").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("parts"))
+    parts = written(parts, f"{root}/parts")
+    spread = small(parts, parts.count(), 40)
+    kind = "array<float>" if narrow else "array<double>"
+    vectors_ = entries.select("eid", "cid", F.col("vec").cast(kind).alias("vec"))
+    queries = (spots.join(spread, ["curve", "block"]).withColumn("part", F.pmod(F.xxhash64("eid"), F.col("parts")))
+               .join(vectors_.drop("cid"), "eid").select("eid", "vec", "curve", "block", "part"))
+    again = spark.read.schema(ordered.schema).parquet(f"{root}/curves/ordered")  # column ids of its own for the cogroup
+    base = (again.where("not query").select("eid", "curve", block(at).alias("block"))
+            .join(spark.read.schema(parts.schema).parquet(f"{root}/parts"), ["curve", "block"])
+            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            .join(vectors_.select(*[F.col(c).alias(c) for c in vectors_.columns]), "eid")
+            .select("eid", "cid", "vec", "curve", "block", "part"))
     best = _best_of_block(k + 1)
     found = (queries.groupBy("curve", "block", "part").cogroup(base.groupBy("curve", "block", "part"))
              .applyInPandas(best, "qid long, eid long, score double"))
@@ -183,7 +189,7 @@ def _best_of_block(k: int):
     def run(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(base):
             return pd.DataFrame({"qid": [], "eid": [], "score": []}).astype({"qid": "int64", "eid": "int64"})
-        q, b = np.stack(queries["vec"].to_numpy()), np.stack(base["vec"].to_numpy())
+        q, b = (np.stack(x["vec"].to_numpy()).astype(np.float64) for x in (queries, base))
         qid, eid, cid = queries["eid"].to_numpy(), base["eid"].to_numpy(), base["cid"].to_numpy()
         # a few more than k by the fast product, then the plain sum of products and the smallest id decide
         m = min(len(b), k + 4)

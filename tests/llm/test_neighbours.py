@@ -67,3 +67,30 @@ def test_ties_at_the_border_of_a_block_go_to_the_smaller_id():
     for i in range(30):
         want = np.lexsort((cid, -(b @ q[i])))[:6]
         assert got.eid[got.qid == 1000 + i].tolist() == want.tolist()
+
+
+def clustered(n, dim=64, seed=5):
+    """Vectors around n / 50 centres: twenty near neighbours of each are in its own cluster."""
+    rnd = np.random.default_rng(seed)
+    centres = rnd.normal(size=(n // 50, dim))
+    x = centres[np.arange(n) % len(centres)] + rnd.normal(size=(n, dim)) * 0.15
+    return [(int(i), [float(np.float32(c)) for c in v / np.linalg.norm(v)]) for i, v in enumerate(x)]
+
+
+def test_fixed_windows_keep_work_and_recall(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(nn, "BLOCK_ROWS", 64)
+    per_query = []
+    for n in (2000, 6000):
+        monkeypatch.setattr(nn, "work_dir", lambda s, name, n=n: f"{tmp_path}/{n}")
+        data = frame(spark, clustered(n))
+        found = nn.search(data, window_rows=200, curves=16).cache()
+        assert nn.recall(found, data) >= 0.9
+        blocks = spark.read.parquet(f"{tmp_path}/{n}/spots").groupBy("eid").count().agg({"count": "max"}).first()[0]
+        per_query.append(blocks)
+    assert max(per_query) <= 16 * (200 // 64 + 2)  # whatever the table
+
+
+def test_recall_without_structure(spark):
+    rnd = np.random.default_rng(9)
+    data = frame(spark, [(i, [float(np.float32(c)) for c in rnd.normal(size=64)]) for i in range(5000)])
+    assert nn.recall(nn.search(data).cache(), data) >= 0.9
