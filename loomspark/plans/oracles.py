@@ -909,6 +909,7 @@ ORACLES["flag_counts"] = "SELECT flag_type, count(*) AS n, CAST(count(*) FILTER
     + ORACLES["sql_flags"] + ") x GROUP BY flag_type"
 
 ORACLES["asof_orders"] = DELEGATED["sql_d5_asof"][2]
+ORACLES["windows_orders"] = DELEGATED["sql_d8_windows"][2]
 
 ORACLES["task_performance_recent"] = ORACLES["task_performance"].replace(
     "FROM task_instances GROUP BY dag_id, task_id HAVING", "FROM tir GROUP BY dag_id, task_id HAVING").replace(

@@ -93,7 +93,7 @@ def q_log_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # ── reconcile, folder compare, result compare ─────────────────────────────────
 
-from ..operators import compare, linediff, reconcile  # noqa: E402
+from ..operators import compare, linediff, reconcile, windows  # noqa: E402
 from ..functions import names as N  # noqa: E402
 
 
@@ -684,6 +684,20 @@ def q_asof_orders(spark, sf):
     return j.select("event_id", "user_id", F.col("o_orderkey").cast("double").alias("o_orderkey"))
 
 
+@register("windows_orders")
+def q_windows_orders(spark, sf):
+    """D8 with the skew-safe windows: the columns of ``sql_d8_windows`` by halo blocks."""
+    o = S.read_table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
+        (-F.col("o_totalprice")).alias("down"))
+    o = windows.ordered_windows(o, ["o_custkey"], ["down", "o_orderkey"], number="price_rank")
+    o = windows.ordered_windows(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], number="n", running={"running_total": "price"},
+                                shifted={"prev_order": ("o_orderkey", 1), "next_order": ("o_orderkey", -1)})
+    return o.select("o_orderkey", "o_custkey", "o_orderdate", "price_rank", F.col("prev_order").cast("double").alias("prev_order"),
+                    F.col("next_order").cast("double").alias("next_order"), F.least("n", F.lit(3)).cast("long").alias("last3"),
+                    F.col("running_total").cast("double").alias("running_total"))
+
+
 @register("task_performance_recent")
 def q_task_performance_recent(spark, sf):
     """Per task over each DAG's newest 10 runs (runs are the distinct run days seen in
