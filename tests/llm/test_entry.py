@@ -7,9 +7,9 @@ import __spark_entry__ as entry
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names
-    assert {"op2_exact_dedup", "op7_url_lists"} <= set(entry.oracle_sql())
+    assert {"op2_exact_dedup", "op7_url_lists", "op13_hard_negatives"} <= set(entry.oracle_sql())
 
 
 def test_nothing_else_imports_the_subpackage():
