@@ -5,6 +5,7 @@ segment, so a prefix with millions of objects is rolled up in parallel.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,55 @@ def catalog_tables(spark: SparkSession, database: str | None = None) -> DataFram
     return table_stats(spark, frames).join(kinds, "table_name")
 
 
+def databases(spark: SparkSession) -> DataFrame:
+    """Q19: the databases of the session's catalog."""
+    return spark.createDataFrame([(d.name, d.description, d.locationUri) for d in spark.catalog.listDatabases()],
+                                 "database string, description string, location string")
+
+
+def table_metadata(spark: SparkSession, in_databases: Sequence[str] | None = None) -> DataFrame:
+    """Q19: ``database, table_name, table_type, provider, created, modified, files, size_bytes, row_count,
+    column_count, column_types`` of every registered table and view (temporary ones have no database).
+
+    Type and creation come from the catalog, one description per table; files, sizes and last changes from one
+    distributed listing of all tables' folders (null for views); row counts from one job over all tables."""
+    names = [d.name for d in spark.catalog.listDatabases()] if in_databases is None else list(in_databases)
+    told, frames = {}, {}
+    for db in names:
+        for t in spark.catalog.listTables(db):
+            ident = quoted(t.name) if t.isTemporary else f"{quoted(db)}.{quoted(t.name)}"
+            if ident not in told:
+                about = json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {ident} AS JSON").first()[0])
+                place = about.get("location")
+                told[ident] = (ident, None if t.isTemporary else db, t.name, t.tableType, about.get("provider"), about.get("created_time"),
+                               None if place is None else place.rstrip("/"))
+                frames[ident] = spark.table(ident)
+    schema = "ident string, database string, table_name string, table_type string, provider string, created_at string, location string"
+    out = spark.createDataFrame([*told.values()], schema)
+    places = sorted({r[-1] for r in told.values() if r[-1]})
+    if places:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(places)
+        steps = F.split(F.regexp_replace("path", "^(file:)//(?=/)", "$1"), "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+        sizes = (files.select("length", "modificationTime", F.explode(above).alias("location"))
+                 .join(F.broadcast(out.where("location is not null").select("location").distinct()), "location")  # a row per table
+                 .groupBy("location").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("size_bytes"),
+                                          F.max("modificationTime").alias("modified")))
+        out = out.join(sizes, "location", "left")
+    else:
+        out = out.select("*", F.lit(None).cast("long").alias("files"), F.lit(None).cast("long").alias("size_bytes"),
+                         F.lit(None).cast("timestamp").alias("modified"))
+    here = F.col("location").isNotNull()
+    if not frames:
+        stats = spark.createDataFrame([], "ident string, row_count long, column_count long, column_types string")
+    else:
+        stats = table_stats(spark, frames).withColumnRenamed("table_name", "ident")
+    return out.join(stats, "ident", "left").select(
+        "database", "table_name", "table_type", "provider", F.to_timestamp("created_at").alias("created"), "modified",
+        F.when(here, F.coalesce("files", F.lit(0))).alias("files"), F.when(here, F.coalesce("size_bytes", F.lit(0))).alias("size_bytes"),
+        "row_count", "column_count", "column_types")
+
+
 def filter_contains(df: DataFrame, col: str, needle: str | None) -> DataFrame:
     """Case-insensitive substring filter; no needle → all rows."""
     if not needle:
