@@ -12,9 +12,9 @@ the diagonals that d may reach, the band), n the longer length.  At 0.8 or more
 groups are the connected components.
 
 Identical word sequences are collapsed first, so a group of exact copies counts once.  Texts that
-share a sketch or a rare k-mer are a bucket, and a bucket has a leader.  In a round a text meets one
-leader: the first, in a random order of all texts that its buckets share, of the leaders of its
-buckets that hold several components.  Links of a round join texts to leaders, so these stars are
+share a sketch or a rare k-mer are a bucket, and a bucket has a leader, the first text in one of
+``ORDERS`` random orders.  In a round a text meets one leader, chosen by hash from those of its buckets
+that hold several components; so a leader unlike most of a group leaves only some of it open.  Links of a round join texts to leaders, so these stars are
 contracted first and only distinct edges between leaders are spread along.  What is open after
 ``ROUNDS`` rounds goes through an exact filter: two similar texts share at least one of the rarest
 fifth of their k-mers (prefix filter; boilerplate is frequent and so never in it).  Every text
@@ -44,7 +44,9 @@ PICKS = 4
 #: Pairs whose shorter text has fewer k-mers are found by the exact prefix filter, not by sketches.
 SHORT = 25
 SIMILARITY = 0.8
-ROUNDS = 2
+ROUNDS = 3
+#: Random orders that leaders are the first of.
+ORDERS = 8
 #: Texts of one side in a cell of the exact filter (about).
 CELL = 1024
 #: First prefix k-mers that texts compare to meet once.
@@ -360,11 +362,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _with_leaders(open_: DataFrame, r: int, similarity: float) -> DataFrame:
-    """Of each text at most one pair (a, b): the text and the first leader, in the round's random order, of its
-    buckets.  In the first round a bucket's leader is its first text in that order; later the first one of its
+    """Of each text at most one pair (a, b): the text and one of the leaders of its buckets, by a hash of both.  In
+    the first round a bucket's leader is its first text in the bucket's random order; later the first one of its
     largest component, so that only the texts outside it are compared."""
-    lead = F.struct(F.xxhash64("rid", F.lit(r)).alias("h"), F.col("rid").alias("x"), F.col("n").alias("m"),
-                    F.col("comp").alias("cx"))
+    lead = F.struct(F.xxhash64("rid", F.lit(r), F.pmod("key", F.lit(ORDERS))).alias("h"), F.col("rid").alias("x"),
+                    F.col("n").alias("m"), F.col("comp").alias("cx"))
     if r == 0:
         first = open_.groupBy("key").agg(F.min(lead).alias("l"))
     else:
@@ -372,7 +374,8 @@ def _with_leaders(open_: DataFrame, r: int, similarity: float) -> DataFrame:
         first = parts.groupBy("key").agg(F.max_by("l", F.struct("size", "l.h")).alias("l"))
     met = open_.join(first, "key").where((F.col("comp") != F.col("l.cx")) & F.least("n", "l.m").__ge__(
         F.greatest("n", "l.m") * F.lit(similarity - 1e-9)))
-    return met.groupBy("rid").agg(F.min("l").alias("l")).select(F.col("rid").alias("a"), F.col("l.x").alias("b"))
+    choice = F.struct(F.xxhash64("l.x", "rid").alias("by"), F.col("l.x").alias("x"))
+    return met.groupBy("rid").agg(F.min(choice).alias("c")).select(F.col("rid").alias("a"), F.col("c.x").alias("b"))
 
 
 def _prefixes(kmers: DataFrame, similarity: float) -> DataFrame:
