@@ -80,3 +80,17 @@ def test_long_chains_and_rings_take_few_rounds(spark, monkeypatch):
 
 def test_empty(spark):
     assert structure(spark, []) == {}
+
+
+def test_rounds_are_planned_with_real_sizes(spark, monkeypatch):
+    sizes = []
+    cut = graphs.cut_lineage
+
+    def seen(df):
+        out = cut(df)
+        sizes.append(int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return out
+    monkeypatch.setattr(graphs, "cut_lineage", seen)
+    edges = spark.createDataFrame([("g", f"t{i:03d}", f"t{i + 1:03d}") for i in range(300)], "dag_id string, src string, dst string")
+    assert graphs.task_structure(edges, edges.selectExpr("dag_id", "src task_id").limit(0)).count() == 301
+    assert max(sizes) < 1 << 30
