@@ -139,7 +139,7 @@ def task_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     e = cut_lineage(edges.select("dag_id", F.col("src").alias("task_id"), F.col("dst").alias("_dst"))
                     .dropDuplicates())
     roots = nodes.select("dag_id", "task_id").join(
-        e.select("dag_id", F.col("_dst").alias("task_id")), ["dag_id", "task_id"], "left_anti")
+        e.select("dag_id", F.col("_dst").alias("task_id")).hint("merge"), ["dag_id", "task_id"], "left_anti")
     frontier = cut_lineage(roots.select("dag_id", "task_id", F.lit(0).alias("depth")).dropDuplicates())
     levels = [frontier]
     level = 0
@@ -148,9 +148,10 @@ def task_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         seen = levels[0].select("dag_id", "task_id")
         for lv in levels[1:]:
             seen = seen.unionByName(lv.select("dag_id", "task_id"))
-        nxt = (frontier.select("dag_id", "task_id").join(e, ["dag_id", "task_id"])
+        # merge joins: levels are sent from task to task, none of them through the driver
+        nxt = (frontier.select("dag_id", "task_id").hint("merge").join(e, ["dag_id", "task_id"])
                .select("dag_id", F.col("_dst").alias("task_id")).dropDuplicates()
-               .join(seen, ["dag_id", "task_id"], "left_anti")
+               .join(seen.hint("merge"), ["dag_id", "task_id"], "left_anti")
                .select("dag_id", "task_id", F.lit(level).alias("depth")))
         nxt = cut_lineage(nxt)
         if nxt.isEmpty():
