@@ -322,7 +322,10 @@ def raw_task_sql(tasks: DataFrame, files: DataFrame | None = None) -> DataFrame:
     order = F.col("root_order") if "root_order" in files.columns else F.lit(0)
     first = (files.where(F.length("content") > 0).join(t.select("rel_path").distinct(), "rel_path", "left_semi")
              .groupBy("rel_path").agg(F.min_by("content", order).alias("content")))
-    return t.join(first, "rel_path", "left").select("dag_id", "task_id", F.coalesce("content", "_own").alias("raw_sql"))
+    # in a join, tasks that name no file would all meet in the task of the null key
+    named = t.where(F.col("rel_path").isNotNull()).join(first, "rel_path", "left")
+    return named.select("dag_id", "task_id", F.coalesce("content", "_own").alias("raw_sql")).unionByName(
+        t.where(F.col("rel_path").isNull()).select("dag_id", "task_id", F.col("_own").alias("raw_sql")))
 
 
 def latest_task_sql(runs: DataFrame, rendered: DataFrame, n_runs: int = 10) -> DataFrame:
