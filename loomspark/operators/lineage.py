@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import path_stem
 from ..functions.timefmt import duration_seconds
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .runs import latest_run, recent_runs
 
 
@@ -332,7 +332,8 @@ def latest_task_sql(runs: DataFrame, rendered: DataFrame, n_runs: int = 10) -> D
     """W3 (batch form): per (dag, task), among the DAG's newest ``n_runs`` successful runs,
     the newest run in which the task rendered SQL.  The instance of a task in a run is the
     last one in ``seq`` order.  ``truncated`` comes along where the instances have it."""
-    ok = recent_runs(runs.where(F.col("state") == "success"), n_runs)
+    # written first: its real size decides whether instances are filtered where they are read or meet it by a shuffle
+    ok = stored(recent_runs(runs.where(F.col("state") == "success"), n_runs).select("dag_id", "run_id", "logical_date", "run_key"))
     more = ["truncated"] if "truncated" in rendered.columns else []
     inst = (rendered.join(ok.select("dag_id", "run_id"), ["dag_id", "run_id"], "left_semi")
             .groupBy("dag_id", "run_id", "task_id")

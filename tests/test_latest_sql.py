@@ -35,3 +35,8 @@ def test_tasks_without_a_file_are_spread(spark):
     assert len(out) == 400 and max(map(parts.count, set(parts))) < 200
     assert sorted(r["task_id"] for r in out if r["raw_sql"] == "SELECT 1") == [f"t{i}" for i in range(5)]
     assert sum(r["raw_sql"] is None for r in out) == 5
+
+
+def test_runs_are_read_once_for_instances(spark, sf):
+    df = lineage.latest_task_sql(S.dag_runs(spark, sf), S.rendered_instances(spark, sf), 10)
+    assert df._jdf.queryExecution().executedPlan().toString().count("orders.parquet") == 1
