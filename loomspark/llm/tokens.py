@@ -57,14 +57,18 @@ class Segmenter:
         self.byte_score = worst - BYTE_PENALTY
         tails: dict[str, set[int]] = {}
         for p in self.body:
-            tails.setdefault(p[-2:], set()).add(len(p))
-        self.tails = {t: sorted(n, reverse=True) for t, n in tails.items()}
+            if len(p) > 2:
+                tails.setdefault(p[-3:], set()).add(len(p))
+        # lengths of the pieces that end in three characters, longest first; one and two are always tried
+        self.tails: dict[str, tuple[int, ...]] = {t: (*sorted(n, reverse=True), 2, 1) for t, n in tails.items()}
         self.longest_head = max(map(len, self.head))
         self.known: dict[str, bytes] = {}
+        self.bytes_of = [bytes([int(p[1:-1], 16)]) if kind == 1 else (" " + p[1:] if p[:1] == MARK else p).encode("utf-8", "surrogatepass")
+                         for p, _, kind in vocabulary]
 
     def learn(self, words: Iterable[str]) -> None:
         """Segment the words in sorted order, sharing the forward scores of common prefixes."""
-        head, body, tails, longest = self.head, self.body, self.tails, self.longest_head
+        head, body, tails, longest, short = self.head, self.body, self.tails, self.longest_head, (2, 1)
         best: list[float] = [0.0]                      # score of the best segmentation of each prefix
         back: list[tuple[int, tuple[int, ...]]] = [(0, ())]  # where its last piece starts, and the piece's ids
         last = ""
@@ -78,8 +82,7 @@ class Segmenter:
                 score, at, ids = None, 0, ()
                 if i <= longest and (hit := head.get(w[:i])):
                     score, ids = hit[0], (hit[1],)
-                pair = w[i - 2:i] if i > 1 else ""
-                for m in (*tails.get(pair, ()), 1):
+                for m in tails.get(w[i - 3:i], short) if i > 3 else short:
                     j = i - m
                     if j < 1:
                         continue
@@ -111,19 +114,8 @@ class Segmenter:
         return [b"".join([known[w] for w in ws]) for ws in split]
 
     def decode(self, raw: bytes) -> str:
-        pieces, out, pending = self.pieces, [], bytearray()
-        for i in memoryview(raw).cast("i"):
-            p, _, kind = pieces[i]
-            if kind == 1:
-                pending.append(int(p[1:-1], 16))
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "surrogatepass"))
-                pending.clear()
-            out.append(" " + p[1:] if p[0] == MARK else p)
-        if pending:
-            out.append(pending.decode("utf-8", "surrogatepass"))
-        return "".join(out)[1:]
+        whole = b"".join(map(self.bytes_of.__getitem__, memoryview(raw).cast("i")))
+        return whole.decode("utf-8", "surrogatepass")[1:]
 
 
 def encode(docs: DataFrame, vocabulary: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,3 +56,11 @@ def test_empty_table(vocabulary, as_docs):
 def test_vocabulary_must_be_complete():
     with pytest.raises(ValueError):
         tokens.Segmenter([("a", 0.0, 0)])
+
+
+def test_decoding_takes_no_step_per_token():
+    seg = tokens.Segmenter(tokens.load_vocabulary())
+    text = "a line\nanother ☃ line\n\n end "
+    raw, = seg.encode_batch([text])
+    seg.pieces = None  # pieces are not looked at one by one, also where there are byte pieces
+    assert seg.decode(raw) == text
