@@ -10,8 +10,8 @@ def test_levels_are_not_broadcast(spark, monkeypatch):
     cut = lineage.cut_lineage
     monkeypatch.setattr(lineage, "cut_lineage", lambda df: plans.append(
         df._jdf.queryExecution().executedPlan().toString()) or cut(df))
-    edges = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c"), ("g", "c", "a"), ("g", "r", "a")], "dag_id string, src string, dst string")
-    nodes = spark.createDataFrame([("g", x) for x in "abcr"], "dag_id string, task_id string")
+    edges = spark.sql("SELECT * FROM VALUES ('g', 'a', 'b'), ('g', 'b', 'c'), ('g', 'c', 'a'), ('g', 'r', 'a') AS e(dag_id, src, dst)")
+    nodes = spark.sql("SELECT * FROM VALUES ('g', 'a'), ('g', 'b'), ('g', 'c'), ('g', 'r') AS n(dag_id, task_id)")
     got = {r["task_id"]: r["depth"] for r in lineage.task_depth(edges, nodes).collect()}
     assert got == {"r": 0, "a": 1, "b": 2, "c": 3}
     assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
