@@ -7,10 +7,12 @@ size of a text and differ from language to language, so a text is rejected if it
 ``REJECT_SHARE`` of a low quantile of what training texts, or excerpts of training texts if those reach less,
 of its length class have that are taken for the same language.  One rule holds for all sizes.
 
-Document frequencies count every training text.  The centroids come from a bounded sample: ``SAMPLE_ROWS``
-texts for each of the ``MAX_LANGUAGES`` languages with most training texts, as trigram counts, whatever
-their length; the floors from as many texts for each language and power of two of the length, and from
-excerpts of the sample.  A sample takes rows in the order of a hash of their content and place.
+Everything is learnt from every training text of the ``MAX_LANGUAGES`` languages with most of them.  Trigrams are
+counted once and written.  Each round of k-means assigns all texts to the centroids of their language and
+adds them up, in whole numbers, so that no order of the sums matters; only where the rounds begin comes from
+a bounded sample of each language.  Floors count the cosines of all texts in bins, and those of excerpts: one of every
+text, of a length by its hash, and one of each length from some texts of each language and length, so that
+rare lengths have them too.  A sample takes rows in the order of a hash of their content and place.
 """
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, bounded_sample, held_out, located, map_texts, pick, small, work_dir, written
@@ -39,6 +41,13 @@ QUANTILE = 0.005
 LEAST_ROWS = 20
 LEAST_COSINE = 0.02
 EXCERPT_CHARS = (12, 25, 50, 100, 200, 400, 800, 3200, 12_800)
+#: Trigrams of texts that are worked on at a time (about).
+ENTRIES = 1 << 18
+#: Weights are added up as whole numbers of this share, cosines are counted in bins of that width.
+WEIGHT_SCALE = 1 << 20
+BINS = 1 << 16
+#: Languages whose sums a task holds.
+HELD_LANGUAGES = 32
 
 
 def counter():
@@ -76,31 +85,87 @@ def length_class(n: int) -> int:
     return int(math.log2(1 + n))
 
 
-def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Texts in all, and of each dimension the texts that have it: one partial sum per task."""
-    bounded_batches(texts.sparkSession)
+def _parts(dims: pa.ListArray, counts: pa.ListArray) -> Iterator[tuple]:
+    """Of lists, none empty, runs of about ``ENTRIES`` entries: first and last row, starts of rows, dimensions, counts."""
+    ends, d, c = dims.offsets.to_numpy(), dims.values.to_numpy(), counts.values.to_numpy()
+    shift = int(counts.offsets[0].as_py()) - int(ends[0])
+    first = 0
+    while first < len(dims):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + ENTRIES, "right")) - 1)
+        i, j = ends[first], ends[last]
+        yield first, last, ends[first:last] - i, d[i:j].astype(np.int64), c[i + shift:j + shift]
+        first = last
 
+
+def _document_frequencies(texts: DataFrame) -> np.ndarray:
+    """Of each dimension the texts that have it: one partial sum per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total, n = counter(), np.zeros(1 << DIMS_LOG2, np.int64), 0
+        total = np.zeros(1 << DIMS_LOG2, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                total[count(t)[0]] += 1
-                n += 1
+            total += np.bincount(b.column(0).flatten().to_numpy(), minlength=len(total))
         dims = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(dims, -1), pa.int32()),
-                                          pa.array(np.append(total[dims], n), pa.int64())], names=["dim", "n"])
-    sums = texts.select("text").mapInArrow(run, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(1 << DIMS_LOG2, np.float64), 0  # at most 2**DIMS_LOG2 + 1 rows
-    for r in sums:
-        if r["dim"] < 0:
-            n = r["n"]
-        else:
-            df[r["dim"]] = r["n"]
-    return df, n
+        yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array(total[dims], pa.int64())], names=["dim", "n"])
+    sums = texts.select("dims").mapInArrow(run, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(1 << DIMS_LOG2, np.float64)  # at most 2**DIMS_LOG2 rows
+    df[sums["dim"].to_numpy()] = sums["n"].to_numpy()
+    return df
+
+
+def _sums(idf: np.ndarray, centres: np.ndarray):
+    """mapInArrow function: rows (no, dims, counts) added up by the nearest centroid of their language, the ``no``-th."""
+    langs, k, size = centres.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = centres.reshape(-1)
+        held: dict[int, np.ndarray] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, total in held.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lang * k + at // size, pa.int32()), pa.array(at % size, pa.int32()), pa.array(total[at])],
+                    names=["centre", "dim", "n"])
+            held.clear()
+        for b in batches:
+            no = b.column(0).to_numpy().astype(np.int64)
+            for first, last, starts, dims, counts in _parts(b.column(1), b.column(2)):
+                often = np.diff(np.append(starts, len(dims)))
+                w = np.log1p(counts) * idf[dims]
+                w /= np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), often)
+                own = np.repeat(no[first:last] * (k * size), often) + dims
+                near = np.argmax([np.add.reduceat(w * flat[own + j * size], starts) for j in range(k)], axis=0)
+                lang, at = np.repeat(no[first:last], often), np.repeat(near, often) * size + dims
+                whole = np.rint(w * WEIGHT_SCALE).astype(np.int64)
+                for x in np.unique(no[first:last]).tolist():
+                    mine = lang == x
+                    np.add.at(held.setdefault(x, np.zeros(k * size, np.int64)), at[mine], whole[mine])
+            if len(held) > HELD_LANGUAGES:
+                yield from rows()
+        yield from rows()
+    return run
+
+
+def _refined(texts: DataFrame, idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Spherical k-means over all rows (no, dims, counts) from the centroids by language, place and dimension, in at
+    most ``ROUNDS`` rounds, until none changes it.  A centroid that no text is nearest to stays."""
+    texts = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)  # each task returns sums of all centroids
+    for _ in range(ROUNDS):
+        got = (texts.mapInArrow(_sums(idf, centres), "centre int, dim int, n long").groupBy("centre", "dim")
+               .agg(F.sum("n").alias("n")).toArrow())  # 2**DIMS_LOG2 rows for each centroid at most
+        new = np.zeros((centres.shape[0] * centres.shape[1], centres.shape[2]), np.float32)
+        at = got["centre"].to_numpy()
+        n = got["n"].to_numpy().astype(np.float64)
+        lengths = np.sqrt(np.bincount(at, n * n, minlength=len(new)))
+        new[at, got["dim"].to_numpy()] = n / lengths[at]
+        new = np.where(lengths[:, None] > 0, new, centres.reshape(new.shape)).reshape(centres.shape)
+        if np.array_equal(new, centres):
+            break
+        centres = new
+    return centres
 
 
 def _cluster(idf: np.ndarray):
-    """applyInPandas function: the centroids of one language, from the trigram counts of its sample."""
+    """applyInPandas function: where the centroids of one language begin, from the trigram counts of its sample."""
     k, rounds, dims = CLUSTERS, ROUNDS, 1 << DIMS_LOG2
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -147,32 +212,47 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     root = work_dir(spark, "language-id")
     src = (located(docs, [id_col, text_col, lang_col], f"{root}/input").toDF("id", "text", "lang", "file", "row")
            .where("text is not null and lang is not null").where(~held_out(F.col("id"))))
-    df, n = _document_frequencies(src)
-    idf = (np.log((n + 1) / (df + 1)) + 0.1).astype(np.float32)
-    rows = written(src.where(F.col("text").rlike(r"\p{L}")).select(
-        "lang", "file", "row", F.xxhash64("id", "text", "row").alias("h"),
-        F.floor(F.log2(F.char_length("text"))).alias("size")), f"{root}/rows")
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    rows = rows.join(F.broadcast(langs.select("lang")), "lang")  # MAX_LANGUAGES rows
-
-    def texts_of(chosen: DataFrame, name: str) -> DataFrame:
-        chosen = written(chosen, f"{root}/{name}")
-        return src.select("text", "file", "row").join(small(chosen, chosen.count(), 250), ["file", "row"])
-    sample = texts_of(bounded_sample(rows, ["lang"], SAMPLE_ROWS, "h", "file", "row"), "sample")
-    made = (map_texts(sample.select("lang", "text", "h"), _counts(), "dims array<int>, counts array<float>")
-            .groupBy("lang").applyInPandas(_cluster(idf), "lang string, dims binary, weights binary").collect())
-    made.sort(key=lambda r: (r["lang"], bytes(r["dims"]), bytes(r["weights"])))
-    centres = np.zeros((len(made), 1 << DIMS_LOG2), np.float32)
-    for c, r in zip(centres, made):
+    src = src.select("lang", "file", "row", F.xxhash64("id", "text", "row").alias("h"),
+                     F.floor(F.log2(F.char_length("text"))).alias("size"), "text")
+    counted = written(map_texts(src, _counts(), "dims array<int>, counts array<float>"), f"{root}/trigrams")
+    texts = counted.where(F.size("dims") > 0)
+    idf = (np.log((counted.count() + 1) / (_document_frequencies(texts) + 1)) + 0.1).astype(np.float32)
+    often = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    langs = sorted(r["lang"] for r in often)
+    known = spark.createDataFrame(list(zip(langs, range(len(langs)))), "lang string, no int")
+    texts = texts.join(F.broadcast(known), "lang")  # MAX_LANGUAGES rows
+    rows = texts.select("lang", "file", "row", "h", "size")
+
+    def chosen(keys: list[str], name: str) -> DataFrame:
+        out = written(bounded_sample(rows, keys, SAMPLE_ROWS, "h", "file", "row").select("file", "row"), f"{root}/{name}")
+        return small(out, out.count(), 250)
+    begun = (texts.join(chosen(["lang"], "sample"), ["file", "row"]).select("lang", "dims", "counts", "h")
+             .groupBy("lang").applyInPandas(_cluster(idf), "lang string, dims binary, weights binary").collect())
+    begun.sort(key=lambda r: (r["lang"], bytes(r["dims"]), bytes(r["weights"])))
+    centres = np.zeros((len(langs), CLUSTERS, 1 << DIMS_LOG2), np.float32)
+    used = dict.fromkeys(langs, 0)
+    for r in begun:
+        c = centres[langs.index(r["lang"]), used[r["lang"]]]
         c[np.frombuffer(bytes(r["dims"]), np.int32)] = np.frombuffer(bytes(r["weights"]), np.float32)
-    model = {"idf": idf, "langs": [r["lang"] for r in made], "centres": centres}
-    like = texts_of(bounded_sample(rows, ["lang", "size"], SAMPLE_ROWS, "h", "file", "row"), "like")
-    model["floors"] = _floors(model, like, sample) if made else {}
+        used[r["lang"]] += 1
+    if begun:
+        centres = _refined(texts.select("no", "dims", "counts"), idf, centres)
+    model = {"idf": idf, "langs": [x for x in langs for _ in range(used[x])],
+             "centres": np.concatenate([np.zeros((0, 1 << DIMS_LOG2), np.float32),
+                                        *[c[:used[x]] for x, c in zip(langs, centres)]])}
+    like = chosen(["lang", "size"], "like").withColumn("all", F.lit(True))
+    parts = src.join(F.broadcast(known), "lang").join(like, ["file", "row"], "left").select("h", "text", "all")
+    model["floors"] = _floors(model, texts.select("dims", "counts"), parts, root) if begun else {}
     return model
 
 
-def _floors(model: dict, like: DataFrame, sample: DataFrame) -> dict:
-    """Floors by (language, length class), and of all languages by (None, length class)."""
+def _floors(model: dict, texts: DataFrame, sources: DataFrame, root: str) -> dict:
+    """Floors by (language, length class), and of all languages by (None, length class), from the trigrams of texts
+    and from excerpts of ``sources`` (h, text, all): of every length if ``all``, else of one by hash."""
+    def judged(nearest, at, n):
+        near, cos = nearest(at, n)
+        return model["langs"][near], length_class(len(at)), int(cos * BINS)
+
     def make():
         count, nearest = counter(), _nearest(model)
 
@@ -180,20 +260,35 @@ def _floors(model: dict, like: DataFrame, sample: DataFrame) -> dict:
             out = []
             for t in texts:
                 at, n, _ = count(t)
-                near, cos = nearest(at, n) if len(at) else (None, None)
-                out.append((None, None, None) if near is None else (model["langs"][near], length_class(len(at)), cos))
+                out.append(judged(nearest, at, n) if len(at) else (None, None, None))
             return list(zip(*out)) or [[], [], []]
         return work
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest = _nearest(model)
+        for b in batches:
+            out = []
+            for first, last, starts, dims, counts in _parts(b.column(0), b.column(1)):
+                out += [judged(nearest, at, n) for at, n in zip(np.split(dims, starts[1:]), np.split(counts, starts[1:]))]
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()),
+                                              pa.array(cols[2], pa.int32())], names=["near", "k", "bin"])
     spot = lambda n: F.pmod(F.xxhash64("h", F.lit(n)), F.char_length("text") - F.lit(n) + 1).cast("int") + 1
-    parts = sample.select(F.explode(F.array(*[F.when(F.char_length("text") >= n, F.substring(
-        F.col("text"), spot(n), F.lit(n))) for n in EXCERPT_CHARS])).alias("text")).where("text is not null")
-    texts = like.select("text", F.lit(False).alias("part")).unionByName(parts.select("text", F.lit(True).alias("part")))
-    seen = map_texts(texts, make, "near string, k int, cos double").where("k is not null")
-    low = (seen.groupBy("part", "near", "k").agg(F.count(F.lit(1)).alias("n"), F.percentile("cos", F.lit(QUANTILE)).alias("q"))
-           .unionByName(seen.groupBy("part", "k").agg(F.count(F.lit(1)).alias("n"), F.percentile(
-               "cos", F.lit(QUANTILE)).alias("q")).withColumn("near", F.lit(None).cast("string"))))
+    turn = F.pmod("h", F.lit(len(EXCERPT_CHARS)))
+    parts = sources.select(F.explode(F.array(*[
+        F.when((F.col("all") | (turn == i)) & (F.char_length("text") >= n), F.substring(F.col("text"), spot(n), F.lit(n)))
+        for i, n in enumerate(EXCERPT_CHARS)])).alias("text")).where("text is not null")
+    fields = "near string, k int, bin int"
+    seen = (texts.mapInArrow(whole, fields).withColumn("part", F.lit(False))
+            .unionByName(map_texts(parts, make, fields).where("k is not null").withColumn("part", F.lit(True))))
+    bins = written(seen.groupBy("part", "near", "k", "bin").agg(F.count(F.lit(1)).alias("n")), f"{root}/bins")
+    bins = bins.unionByName(bins.groupBy("part", "k", "bin").agg(F.sum("n").alias("n")).withColumn("near", F.lit(None).cast("string")))
+    group = Window.partitionBy("part", "near", "k")  # at most BINS + 1 rows
+    low = (bins.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "total": F.sum("n").over(group)})
+           .where((F.col("total") >= LEAST_ROWS) & (F.col("upto") > F.lit(QUANTILE) * (F.col("total") - 1)))
+           .groupBy("part", "near", "k").agg((F.min("bin") / F.lit(BINS)).alias("q")))
     out: dict = {}
-    for r in low.where(F.col("n") >= LEAST_ROWS).collect():  # two rows for each known language and length class
+    for r in low.collect():  # two rows for each known language and length class
         key = r["near"], r["k"]
         out[key] = min(out.get(key, math.inf), REJECT_SHARE * r["q"])
     return out

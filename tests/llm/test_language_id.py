@@ -122,3 +122,42 @@ def test_most_languages_that_are_learnt(as_docs, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
     rows = [(i, f"words of {lang}", lang) for lang, n in (("a", 30), ("b", 20), ("c", 3)) for i in range(n)]
     assert set(language_id.fit(as_docs(rows))["langs"]) == {"a", "b"}
+
+
+def cosines(model, text):
+    dims, counts, _ = language_id.counter()(text)
+    return model["centres"] @ np.bincount(dims, language_id.weights(dims, counts, model["idf"]), 1 << language_id.DIMS_LOG2)
+
+
+def test_every_training_text_is_learnt_from(as_docs, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 3)
+    rnd = random.Random(9)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(5))
+    rows = [(i, " ".join(word("abcdefghij") for _ in range(20)), "x") for i in range(120)]
+    rows += [(200 + i, " ".join(word("klmnopqrst") for _ in range(20)), "y") for i in range(120)]
+    learnt = language_id.fit(as_docs(rows).repartition(5))
+    held = language_id.identify(as_docs(rows), learnt).where("held_out").select("doc_id").collect()
+    for i, text, lang in rows:  # every trigram of every training text has a weight in a centroid of its language
+        dims, _, _ = language_id.counter()(text)
+        own = np.array([x == lang for x in learnt["langs"]])
+        assert (i,) in [tuple(r) for r in held] or (learnt["centres"][own][:, dims] > 0).any(axis=0).all(), i
+    again = language_id.fit(as_docs(rows).repartition(2))
+    assert learnt["langs"] == again["langs"] and learnt["floors"].keys() == again["floors"].keys()
+
+
+def test_floors_count_every_training_text(as_docs, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 3)
+    monkeypatch.setattr(language_id, "QUANTILE", 0.0)
+    monkeypatch.setattr(language_id, "EXCERPT_CHARS", (100_000,))
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(ITALIAN + DUTCH + POLISH) for _ in range(rnd.randint(5, 40))), "x") for i in range(150)]
+    model = language_id.fit(as_docs(rows))
+    held = {r.doc_id for r in language_id.identify(as_docs(rows), model).where("held_out").collect()}
+    least = {}
+    for i, text, _ in rows:
+        if i not in held:
+            k = language_id.length_class(len(language_id.counter()(text)[0]))
+            least.setdefault(k, []).append(float(cosines(model, text).max()))
+    want = {k: language_id.REJECT_SHARE * min(v) for k, v in least.items() if len(v) >= language_id.LEAST_ROWS}
+    got = {k: f for (near, k), f in model["floors"].items() if near is None}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
