@@ -5,11 +5,12 @@ Lines travel as rows of 64-bit hashes; no file is ever one Python value.
 1. *Anchors* are lines that occur once on either side (a grouping by file and line).  Anchors that follow
    one another on both sides are merged into blocks with windows, so there are about as many blocks
    as changes.
-2. Of the blocks those that keep their order are chosen: the heaviest chain, in one small task per file
-   over the blocks' places alone.
-3. Lines between chosen blocks are gaps.  Only gaps are compared line by line, each by itself: common
-   ends first, then, up to ``GAP_CELLS`` pairs of lines, the longest common subsequence; a larger gap without
-   anchors is reported as replaced whole.
+2. Of the blocks those that keep their order are chosen: all, where none moved, else the heaviest chain, in one
+   small task per file over the blocks' places alone.
+3. Lines between chosen blocks are gaps.  A gap whose sides have no line in common is changed whole.  Only the
+   others are compared line by line, about ``BUCKET_LINES`` lines of gaps in a call: common ends first, then, up
+   to ``GAP_CELLS`` pairs of lines, the longest common subsequence; a larger gap without anchors is reported as
+   replaced whole.
 4. Changed lines meet their texts again by file and number.
 """
 from __future__ import annotations
@@ -21,10 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 #: Pairs of lines that a gap may have for the longest common subsequence.
 GAP_CELLS = 4_000_000
+#: Lines of gaps that go to one Python call (about; a gap stays together).
+BUCKET_LINES = 20_000
 # fixed values: what ends a line
 LINE_ENDS = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -99,12 +102,20 @@ def changed(a: list, b: list) -> tuple[list[int], list[int]]:
     return [k for k in left if k not in keep_l], [k for k in right if k not in keep_r]
 
 
-def _gap_changes(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    old, new = old.sort_values("no"), new.sort_values("no")
-    gone, come = changed(old["h"].tolist(), new["h"].tolist())
-    file = (old if len(old) else new)["file"].iloc[0]
-    nos = [*old["no"].iloc[gone], *new["no"].iloc[come]]
-    return pd.DataFrame({"file": [file] * len(nos), "op": ["-"] * len(gone) + ["+"] * len(come), "no": nos}).astype(
+def _gap_changes(bucket: pd.DataFrame) -> pd.DataFrame:
+    """The changed lines of gaps, from their rows (file, gap, side, no, h): ``file, op, no``."""
+    bucket = bucket.sort_values(["file", "gap", "side", "no"], ignore_index=True)
+    file, gap, new = bucket["file"], bucket["gap"], bucket["side"].to_numpy() == 1
+    h = bucket["h"].to_numpy()
+    ends = np.flatnonzero(((file != file.shift(-1)) | (gap != gap.shift(-1))).to_numpy()) + 1
+    keep = np.zeros(len(bucket), bool)
+    for first, last in zip([0, *ends], ends):
+        split = first + int(np.searchsorted(new[first:last], True))
+        gone, come = changed(h[first:split].tolist(), h[split:last].tolist())
+        keep[first + np.array(gone, int)] = True
+        keep[split + np.array(come, int)] = True
+    out = bucket[keep]
+    return pd.DataFrame({"file": out["file"], "op": np.where(new[keep], "+", "-"), "no": out["no"]}).astype(
         {"file": object, "op": object, "no": "int64"})
 
 
@@ -130,7 +141,10 @@ def line_changes(old: DataFrame, new: DataFrame, key: str, files: DataFrame | No
               .withColumn("block", F.sum(F.col("begins").cast("int")).over(by_left))
               .groupBy("file", "block").agg(F.min("l").alias("l0"), F.min("r").alias("r0"), F.count(F.lit(1)).alias("size")))
     kind = old.schema[key].dataType.simpleString()
-    chosen = cut_lineage(blocks.groupBy("file").applyInPandas(_chosen, f"file {kind}, l0 long, r0 long, size long"))
+    back = F.coalesce(F.lag("r0").over(Window.partitionBy("file").orderBy("l0")) > F.col("r0"), F.lit(False))
+    blocks = cut_lineage(blocks.withColumn("back", back).withColumn("moved", F.max("back").over(Window.partitionBy("file"))))
+    chosen = cut_lineage(blocks.where("not moved").select("file", "l0", "r0", "size").unionByName(
+        blocks.where("moved").groupBy("file").applyInPandas(_chosen, f"file {kind}, l0 long, r0 long, size long")))
 
     def gaps(side: DataFrame, start: str) -> DataFrame:
         """Lines outside the chosen blocks with the number of blocks before them."""
@@ -140,8 +154,13 @@ def line_changes(old: DataFrame, new: DataFrame, key: str, files: DataFrame | No
         rows = (rows.withColumn("gap", F.count("size").over(upto))
                 .withColumn("end", F.last(F.when(F.col("size").isNotNull(), F.col("no") + F.col("size")), ignorenulls=True).over(upto)))
         return rows.where("size is null and (end is null or no >= end)").select("file", "gap", "no", "h")
-    found = (gaps(l_, "l0").groupBy("file", "gap").cogroup(gaps(r_, "r0").groupBy("file", "gap"))
-             .applyInPandas(_gap_changes, f"file {kind}, op string, no long"))
+    both_sides = stored(gaps(l_, "l0").withColumn("side", F.lit(0)).unionByName(gaps(r_, "r0").withColumn("side", F.lit(1))))
+    common = (both_sides.groupBy("file", "gap", "h").agg(F.min("side").alias("s0"), F.max("side").alias("s1"))
+              .where("s0 <> s1").select("file", "gap").distinct())
+    whole = both_sides.join(common, ["file", "gap"], "left_anti").select("file", F.when(F.col("side") == 0, "-").otherwise("+").alias("op"), "no")
+    mixed = stored(both_sides.join(common, ["file", "gap"], "left_semi"))
+    bucket = F.pmod(F.xxhash64("file", "gap"), F.lit(1 + mixed.count() // BUCKET_LINES)).alias("bucket")
+    found = whole.unionByName(mixed.groupBy(bucket).applyInPandas(_gap_changes, f"file {kind}, op string, no long"))
     text = (old.select(F.col(key).alias("file"), "no", "line", F.lit("-").alias("op"))
             .unionByName(new.select(F.col(key).alias("file"), "no", "line", F.lit("+").alias("op"))))
     return found.join(text, ["file", "op", "no"]).select(F.col("file").alias(key), "op", "no", "line")

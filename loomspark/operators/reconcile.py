@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .linediff import line_changes, lines_of
 from ..functions.names import normalise_name, path_suffix
 
@@ -28,6 +28,8 @@ WARNING_GROUP = ("undeclared", "not_deployed", "gcs_orphan", "git_only", "bq_mis
 CRITICAL_GROUP = ("content_drift", "schema_drift", "no_source", "mapping_ghost")
 # fixed values: suffixes compared by content in the folder comparison
 TEXT_SUFFIXES = (".sql", ".py", ".yaml", ".yml", ".json", ".txt", ".sh")
+#: Drifted paths that are sent to every executor at most (some MB); of more, bodies meet them by a shuffle.
+BROADCAST_PATHS = 100_000
 
 
 def trimmed_hash(content) -> "F.Column":
@@ -239,11 +241,13 @@ def diff_pairs(keys: DataFrame, left: DataFrame, right: DataFrame, key: str,
 
 
 def _drifted_bodies(side: DataFrame, drifted: DataFrame, folder: str | None) -> DataFrame:
-    """The winning row of each drifted path, found without bodies; only these rows' bodies are joined."""
+    """The winning row of each drifted path, found without bodies; only these rows' bodies are joined, once, and
+    written: what reads them again does not scan the inventory again."""
     rows = _relative(side, folder, "path")
-    win = (rows.select("rel_path", "seq").join(drifted, "rel_path", "left_semi")
-           .groupBy("rel_path").agg(F.max("seq").alias("seq")))
-    return rows.select("rel_path", "seq", "content").join(win, ["rel_path", "seq"]).dropDuplicates(["rel_path"])
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_PATHS else df
+    win = stored(rows.select("rel_path", "seq").join(few(drifted), "rel_path", "left_semi")
+                 .groupBy("rel_path").agg(F.max("seq").alias("seq")))
+    return stored(rows.select("rel_path", "seq", "content").join(few(win), ["rel_path", "seq"]).dropDuplicates(["rel_path"]))
 
 
 def folder_diffs(git: DataFrame, gcs: DataFrame, cmp: DataFrame, folder: str | None = None) -> DataFrame:

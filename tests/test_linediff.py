@@ -72,3 +72,27 @@ def test_empty(spark):
     assert changes(spark, {"a": (None, None)}) == {}
     none = spark.createDataFrame([], "path string, no long, line string")
     assert L.line_changes(none, none, "path").count() == 0
+
+
+def test_many_files_take_few_python_calls(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    plain, chain = L._gap_changes, L._chosen
+
+    def gaps(bucket):
+        calls.add(1)
+        return plain(bucket)
+
+    def pair(old, new):
+        calls.add(1)
+        return plain(old, new)
+
+    def chosen(group):
+        calls.add(1)
+        return chain(group)
+    monkeypatch.setattr(L, "_gap_changes", gaps if plain.__code__.co_argcount == 1 else pair)
+    monkeypatch.setattr(L, "_chosen", chosen)
+    pairs = {f"f{i}": ("a\nb", "a\nc") for i in range(100)} | {f"g{i}": ("x\nx\ny", "x\ny\nx") for i in range(100)}
+    got = changes(spark, pairs)
+    assert all(got[f"f{i}"] == [("+", 2, "c"), ("-", 2, "b")] for i in range(100))
+    assert all(rebuilt(["x", "x", "y"], got[f"g{i}"]) == ["x", "y", "x"] and len(got[f"g{i}"]) == 2 for i in range(100))
+    assert calls.value <= 2
