@@ -8,9 +8,9 @@ Lines travel as rows of 64-bit hashes; no file is ever one Python value.
 2. Of the blocks those that keep their order are chosen: all, where none moved, else the heaviest chain, in one
    small task per file over the blocks' places alone.
 3. Lines between chosen blocks are gaps.  A gap whose sides have no line in common is changed whole.  Only the
-   others are compared line by line, about ``BUCKET_LINES`` lines of gaps in a call: common ends first, then, up
-   to ``GAP_CELLS`` pairs of lines, the longest common subsequence; a larger gap without anchors is reported as
-   replaced whole.
+   others are compared line by line, about ``BUCKET_LINES`` lines of gaps in a call: common ends first, then the
+   longest common subsequence, in one way for gaps of any size (rows of bits in a band that widens until no
+   longest one can lie outside; some hundred rows are held at a time).
 4. Changed lines meet their texts again by file and number.
 """
 from __future__ import annotations
@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, stored
 
-#: Pairs of lines that a gap may have for the longest common subsequence.
+#: Pairs of lines that ``changed`` holds in one table.
 GAP_CELLS = 4_000_000
+#: Lines of a gap that share a window of the other side, and parts that a gap is walked in at each level.
+BLOCK_ROWS, PARTS = 256, 64
+#: How far the first band goes to either side.
+BAND = 256
 #: Lines of gaps that go to one Python call (about; a gap stays together).
 BUCKET_LINES = 20_000
 # fixed values: what ends a line
@@ -72,8 +76,9 @@ def _chosen(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def changed(a: list, b: list) -> tuple[list[int], list[int]]:
-    """Places in two sequences that a longest common subsequence leaves out (all between common ends, if they have
-    more than ``GAP_CELLS`` pairs)."""
+    """Places in two sequences that a longest common subsequence leaves out, from a table of every pair (all between common
+    ends, if they have more than ``GAP_CELLS`` pairs).  The plain form that tests hold ``changed_places`` against;
+    no query uses it."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -102,6 +107,118 @@ def changed(a: list, b: list) -> tuple[list[int], list[int]]:
     return [k for k in left if k not in keep_l], [k for k in right if k not in keep_r]
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
+    """Places in ``x`` and ``y`` (codes from 0, not empty) of a longest common subsequence: the one that ``changed`` finds.
+
+    Both are read from their ends.  A bit of a row says that a column adds nothing to the longest common subsequence
+    so far (Hyyrö's rows), the carries of its sum are the columns where the row adds a line.  Rows only meet the columns of a
+    band; it is wide enough when no more lines of the shorter side are left out than it goes to either side.
+    The way back takes rows again from those kept at each part's begin."""
+    n, m = len(x), len(y)
+    order = np.argsort(y[::-1], kind="stable")
+    starts = np.searchsorted(y[::-1][order], np.arange(max(x.max(), y.max()) + 2)).tolist()
+    x, y, places = x[::-1].tolist(), y[::-1].tolist(), order.tolist()
+
+    def mask(code: int, s: int, e: int) -> int:
+        at, to = starts[code], starts[code + 1]
+        at, to = bisect_left(places, s, at, to), bisect_left(places, e, at, to)
+        if to - at <= 8:
+            return sum(1 << p - s for p in places[at:to])
+        bits = np.zeros(e - s, bool)
+        bits[order[at:to] - s] = True
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def moved(row: int, s: int, e: int, s1: int, e1: int) -> int:
+        """A row of the columns from ``s`` to ``e`` as one from ``s1`` to ``e1``; new columns add nothing yet."""
+        row = (row & ((1 << e - s) - 1)) >> s1 - s
+        return row & ((1 << e1 - s1) - 1) if e1 <= e else row | ((1 << e1 - s1) - (1 << e - s1))
+
+    def through(row: int, block: tuple, end: int, carries: list | None = None) -> int:
+        """The row after a block, of the columns before ``end``."""
+        first, last, s, e = block
+        masks: dict[int, int] = {}
+        for code in x[first:last]:
+            if code not in masks:
+                masks[code] = mask(code, s, min(e, end))
+            met = row & masks[code]
+            total, rest = row + met, row ^ met
+            if carries is not None:
+                carries.append(total ^ rest)
+            row = total | rest
+        return row
+
+    def after(row: int, blocks: list, then: tuple, end: int) -> int:
+        """The row that the block ``then`` begins with, from the one that the first of the blocks before it begins with."""
+        for block, (_, _, s1, e1) in zip(blocks, [*blocks[1:], then]):
+            row = moved(through(row, block, end), block[2], min(block[3], end), s1, min(e1, end))
+        return row
+
+    wide = BAND
+    while True:
+        low, high = min(0, m - n) - wide, max(0, m - n) + wide
+        blocks = [(i, min(i + BLOCK_ROWS, n), max(0, i + low), min(m, i + BLOCK_ROWS + high)) for i in range(0, n, BLOCK_ROWS)]
+        begin = (1 << blocks[0][3]) - 1
+        if wide >= max(n, m):
+            break
+        row, length = begin, 0
+        for block, (_, _, s1, e1) in zip(blocks, [*blocks[1:], (n, n, m, m)]):
+            row = through(row, block, m)
+            length += s1 - block[2] - (row & ((1 << s1 - block[2]) - 1)).bit_count()
+            row = moved(row, block[2], block[3], s1, e1)
+        left_out = min(n, m) - length
+        if left_out <= wide:
+            break
+        wide = min(4 * wide, left_out)
+
+    kept_x, kept_y, j = [], [], m
+
+    def back(blocks: list, row: int) -> None:
+        nonlocal j
+        if len(blocks) > 1:
+            step = -(-len(blocks) // PARTS)
+            parts = [blocks[k:k + step] for k in range(0, len(blocks), step)]
+            rows = [row]
+            for part, then in zip(parts, parts[1:]):
+                rows.append(after(rows[-1], part, then[0], j))
+            while parts and j:
+                part, row = parts.pop(), rows.pop()
+                back(part, moved(row, part[0][2], part[0][3], part[0][2], min(part[0][3], j)))
+            return
+        (i0, i, s, _), carries = blocks[0], []
+        through(row, blocks[0], j, carries)
+        while i > i0 and j:
+            if x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                kept_x.append(n - 1 - i)
+                kept_y.append(m - 1 - j)
+            elif carries[i - 1 - i0] >> j - s & 1:
+                j -= 1
+            else:
+                i -= 1
+    back(blocks, begin)
+    return kept_x, kept_y
+
+
+def changed_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two sequences of any length that a longest common subsequence leaves out."""
+    def alike(p: np.ndarray, q: np.ndarray) -> int:
+        k = min(len(p), len(q))
+        other = p[:k] != q[:k]
+        return int(other.argmax()) if other.any() else k
+    head = alike(a, b)
+    tail = alike(a[head:][::-1], b[head:][::-1])
+    out = [np.arange(head, len(a) - tail), np.arange(head, len(b) - tail)]
+    x, y = a[out[0]], b[out[1]]
+    both = np.intersect1d(x, y)
+    if not len(both):
+        return out[0], out[1]
+    in_x, known = np.flatnonzero(np.isin(x, both)), np.isin(y, both)
+    code = np.where(known, np.searchsorted(both, y), len(both))
+    in_y = np.flatnonzero(known | np.append(True, known[:-1]))  # of lines in a row that only y has the first
+    kept = _common(np.searchsorted(both, x[in_x]), code[in_y])
+    return np.delete(out[0], in_x[kept[0]]), np.delete(out[1], in_y[kept[1]])
+
+
 def _gap_changes(bucket: pd.DataFrame) -> pd.DataFrame:
     """The changed lines of gaps, from their rows (file, gap, side, no, h): ``file, op, no``."""
     bucket = bucket.sort_values(["file", "gap", "side", "no"], ignore_index=True)
@@ -111,9 +228,9 @@ def _gap_changes(bucket: pd.DataFrame) -> pd.DataFrame:
     keep = np.zeros(len(bucket), bool)
     for first, last in zip([0, *ends], ends):
         split = first + int(np.searchsorted(new[first:last], True))
-        gone, come = changed(h[first:split].tolist(), h[split:last].tolist())
-        keep[first + np.array(gone, int)] = True
-        keep[split + np.array(come, int)] = True
+        gone, come = changed_places(h[first:split], h[split:last])
+        keep[first + gone] = True
+        keep[split + come] = True
     out = bucket[keep]
     return pd.DataFrame({"file": out["file"], "op": np.where(new[keep], "+", "-"), "no": out["no"]}).astype(
         {"file": object, "op": object, "no": "int64"})

@@ -1,6 +1,8 @@
 """Line changes against hand-written and longest-common-subsequence diffs."""
 import random
 
+import numpy as np
+
 from loomspark.operators import linediff as L
 
 
@@ -96,3 +98,35 @@ def test_many_files_take_few_python_calls(spark, monkeypatch):
     assert all(got[f"f{i}"] == [("+", 2, "c"), ("-", 2, "b")] for i in range(100))
     assert all(rebuilt(["x", "x", "y"], got[f"g{i}"]) == ["x", "y", "x"] and len(got[f"g{i}"]) == 2 for i in range(100))
     assert calls.value <= 2
+
+
+def test_gaps_of_any_size_keep_their_common_lines(spark):
+    pairs = {}
+    for name, n in (("short", 30), ("long", 3000)):
+        old = [f"line {i % (n // 2)}" for i in range(n)]
+        new = [*old[:9], "edited", *old[10:n - 9], "another", *old[n - 8:]]
+        pairs[name] = ("\n".join(old), "\n".join(new))
+    got = changes(spark, pairs)
+    assert got == {name: [("+", 10, "edited"), ("+", n - 8, "another"), ("-", 10, "line 9"), ("-", n - 8, f"line {n // 2 - 9}")]
+                   for name, n in (("short", 30), ("long", 3000))}
+
+
+def test_places_are_those_of_the_whole_table(monkeypatch):
+    monkeypatch.setattr(L, "GAP_CELLS", 10 ** 9)
+    rnd = random.Random(3)
+
+    def equal(a, b):
+        return tuple(x.tolist() for x in L.changed_places(np.array(a, np.int64), np.array(b, np.int64))) == L.changed(a, b)
+    long = [rnd.randrange(9) for _ in range(2500)]
+    assert equal(long, [rnd.randrange(9) for _ in range(2600)]) and equal(long, long[:40] + long[47:2400] + [50, 51] + long[2400:])
+    for _ in range(1500):
+        monkeypatch.setattr(L, "BLOCK_ROWS", rnd.choice([1, 2, 5, 256]))
+        monkeypatch.setattr(L, "PARTS", rnd.choice([2, 3, 64]))
+        monkeypatch.setattr(L, "BAND", rnd.choice([1, 3, 256]))
+        k = rnd.choice([1, 2, 4, 20])
+        a = [rnd.randrange(k) for _ in range(rnd.randint(0, 40))]
+        b = a[:]
+        for _ in range(rnd.randint(0, 6)):
+            i = rnd.randint(0, len(b))
+            b[i:i + rnd.randint(0, 4)] = [rnd.randrange(k + 3) for _ in range(rnd.randint(0, 4))]
+        assert equal(a, b) and equal(b, a) and equal(a, a[::-1]), (a, b)
