@@ -191,8 +191,9 @@ def _common(x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
                 i, j = i - 1, j - 1
                 kept_x.append(n - 1 - i)
                 kept_y.append(m - 1 - j)
-            elif carries[i - 1 - i0] >> j - s & 1:
-                j -= 1
+            elif carries[i - 1 - i0] >> j - s & 1:  # the row's line is one of them: the next like it
+                code = x[i - 1]
+                j = places[bisect_left(places, j, starts[code], starts[code + 1]) - 1] + 1
             else:
                 i -= 1
     back(blocks, begin)
