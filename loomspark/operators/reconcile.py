@@ -241,13 +241,12 @@ def diff_pairs(keys: DataFrame, left: DataFrame, right: DataFrame, key: str,
 
 
 def _drifted_bodies(side: DataFrame, drifted: DataFrame, folder: str | None) -> DataFrame:
-    """The winning row of each drifted path, found without bodies; only these rows' bodies are joined, once, and
-    written: what reads them again does not scan the inventory again."""
+    """The winning row of each drifted path, found without bodies; only these rows' bodies are joined, once."""
     rows = _relative(side, folder, "path")
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_PATHS else df
     win = stored(rows.select("rel_path", "seq").join(few(drifted), "rel_path", "left_semi")
                  .groupBy("rel_path").agg(F.max("seq").alias("seq")))
-    return stored(rows.select("rel_path", "seq", "content").join(few(win), ["rel_path", "seq"]).dropDuplicates(["rel_path"]))
+    return rows.select("rel_path", "seq", "content").join(few(win), ["rel_path", "seq"]).dropDuplicates(["rel_path"])
 
 
 def folder_diffs(git: DataFrame, gcs: DataFrame, cmp: DataFrame, folder: str | None = None) -> DataFrame:
@@ -258,9 +257,10 @@ def folder_diffs(git: DataFrame, gcs: DataFrame, cmp: DataFrame, folder: str | N
 
 
 def folder_line_changes(git: DataFrame, gcs: DataFrame, cmp: DataFrame, folder: str | None = None) -> DataFrame:
-    """``rel_path, op, no, line`` of the 'different' paths with content on both sides: their changed lines, as rows."""
+    """``rel_path, op, no, line`` of the 'different' paths with content on both sides: their changed lines, as rows.
+    Bodies are written, as they are read again for the texts of changed lines."""
     drifted = cut_lineage(cmp.where((F.col("status") == "different") & F.col("note").isNull()).select("rel_path"))
-    old, new = (lines_of(_drifted_bodies(side, drifted, folder), "rel_path") for side in (git, gcs))
+    old, new = (lines_of(stored(_drifted_bodies(side, drifted, folder)), "rel_path") for side in (git, gcs))
     return line_changes(old, new, "rel_path", drifted)
 
 
